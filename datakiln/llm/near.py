@@ -31,7 +31,7 @@ FIT_ROWS, FIT_QUERIES, MOST_LISTS = 20_000, 400, 256
 RECALL = 0.97
 COLUMNS_A_BLOCK = 16
 WIDTH = 2.1
-ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
+ROWS_A_LIST, ROWS_A_BLOCK, QUERIES_A_BLOCK = 1024, 4096, 1024
 SEED = 7
 
 
@@ -153,7 +153,7 @@ def nearest_neighbours(rows: DataFrame, is_query: str, k: int = 5, key: str = "v
     whole = scratch.save(vectors.valid(rows, key, vector, nonzero=True), "vectors")
     common = whole.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     n, dim = (common["count"], common["dim"]) if common else (0, 1)
-    lists = int(min(MOST_LISTS, max(1, n**0.5 / 4)))
+    lists = min(MOST_LISTS, max(1, n // ROWS_A_LIST))
     taken = whole.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", F.lit(SEED))).limit(FIT_ROWS).select("v").toArrow()
     if taken.num_rows > k:
         sample = unit(vectors.matrix(taken))

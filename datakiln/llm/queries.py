@@ -70,4 +70,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested against plain versions."""
+    return {"op2_mixing": MIXING_SQL, "op3_top_k": TOP_K_SQL}
+
+
+#: The exact searches and the mixture, as DuckDB states them.
+TOP_K_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+whole AS (SELECT vec_id, list_transform(min(v), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM sound GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+MIXING_SQL = r"""
+WITH slim AS (
+  SELECT doc_id, source, md5('0:' || CAST(doc_id AS VARCHAR)) AS shuffled,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sizes AS (SELECT source, sum(size) AS source_size FROM slim GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM sizes),
+weighted AS (SELECT *, [5.0, 2.0, 1.0][CAST((rank - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight, 3.0 * CAST(source_size AS DOUBLE) AS ceiling FROM ranked),
+levels AS (
+  SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER ()
+      - coalesce(sum(ceiling) OVER (ORDER BY ceiling / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY ceiling / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+goals AS (SELECT source, source_size, rank, least(ceiling, weight * max(level) OVER ()) AS target FROM levels),
+timed AS (
+  SELECT d.*, g.source_size, g.rank, g.target,
+         sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM slim d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+copies AS (
+  SELECT t.*, e.epoch, CAST((e.epoch - 1) * source_size + upto AS DOUBLE) / target AS time
+  FROM timed t, (SELECT unnest([1, 2, 3]) AS epoch) e WHERE size > 0),
+queued AS (SELECT *, sum(size) OVER (ORDER BY time, rank, shuffled, size ROWS UNBOUNDED PRECEDING) AS total FROM copies),
+kept AS (SELECT doc_id, count(*) AS copies FROM queued WHERE total <= (SELECT sum(size) FROM slim) GROUP BY doc_id)
+SELECT t.doc_id, t.size, CAST(t.source_size AS BIGINT) AS source_size, t.target, CAST(coalesce(k.copies, 0) * t.size AS BIGINT) AS taken,
+       t.source, CAST(coalesce(k.copies, 0) AS INTEGER) AS copies
+FROM timed t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
