@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = grouped.groupBy("root").agg(F.min("least").alias("joint"))
     joint = grouped.join(named, "root").select(F.col("node").alias("fp"), "joint")
     names = least.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
+    names = scratch.save(names, "names")  # both sides of the next join are then dealt anew, so a hot fingerprint can be split
     return printed.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
