@@ -60,18 +60,10 @@ class Model:
 
 def contexts(sample: DataFrame) -> DataFrame:
     """(word, toxic, clean): in how many contexts, the words before, it occurs in documents of either label."""
-
-    @F.arrow_udf("array<struct<word:string,before:string>>")
-    def pairs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("word", pa.string()), ("before", pa.string())]))
-        for batch in batches:
-            rows = []
-            for text in batch:
-                words = words_of(text.as_py() or "")
-                rows.append([{"word": b, "before": a} for a, b in set(zip(["", *words], words, strict=False))])
-            yield pa.array(rows, kind)
-
-    pair = sample.select("label", F.explode(pairs(F.col("text"))).alias("p"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    spelt = sample.select("label", words.alias("words"))
+    before = F.concat(F.array(F.lit("")), F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
+    pair = spelt.select("label", F.explode(F.array_distinct(F.arrays_zip(F.col("words").alias("word"), before.alias("before")))).alias("p"))
     met = pair.groupBy("p.word", "p.before").agg(F.max("label").alias("toxic"), F.max(1 - F.col("label")).alias("clean"))
     return met.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
