@@ -93,7 +93,8 @@ def histograms(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame
         if low is None:
             continue
         width = (high - low) / bins
-        place = F.least(F.floor((xs[c] - low) / width), F.lit(bins - 1)) if width > 0 else F.when(xs[c].isNotNull(), 0)
+        inside = F.least(F.floor((xs[c] - low) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+        place = F.when(xs[c].isNotNull(), inside)
         made.append(F.struct(F.lit(c).alias("column"), F.lit(low).alias("low"), F.lit(high).alias("high"), place.cast("int").alias("bin")))
     schema = "column string, low double, high double, hist array<bigint>"
     if not made:
