@@ -63,7 +63,7 @@ def contexts(sample: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     spelt = sample.select("label", words.alias("words"))
     before = F.concat(F.array(F.lit("")), F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
-    pair = spelt.select("label", F.explode(F.array_distinct(F.arrays_zip(F.col("words").alias("word"), before.alias("before")))).alias("p"))
+    pair = spelt.select("label", F.explode(F.arrays_zip(F.col("words").alias("word"), before.alias("before"))).alias("p"))
     met = pair.groupBy("p.word", "p.before").agg(F.max("label").alias("toxic"), F.max(1 - F.col("label")).alias("clean"))
     return met.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
