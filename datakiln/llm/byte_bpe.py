@@ -172,8 +172,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             ids = as_lists(encoder(text.as_py() or "" for text in batch))
             yield pa.StructArray.from_arrays([ids, bytes_of(ids, table)], ["ids", "decoded"])
 
-    made = docs.withColumn("coded", coded(F.col(text)))
-    return made.withColumns({"ids": F.col("coded.ids"), "decoded": F.col("coded.decoded")}).drop("coded")
+    made = docs.withColumn("_bpe_coded", coded(F.col(text)))
+    return made.withColumns({"ids": F.col("_bpe_coded.ids"), "decoded": F.col("_bpe_coded.decoded")}).drop("_bpe_coded")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     are alike, so a key must name one text.
     """
     plan = mix_plan(docs, text, key, source, seed)
-    often = plan.groupBy("key").agg(F.max("copies").alias("copies")).withColumnRenamed("key", "mix_key")
-    joined = docs.join(often.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("mix_key")))
-    repeated = joined.filter("copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    often = plan.groupBy(F.col("key").alias("_mix_key")).agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0")
+    joined = docs.join(often.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_mix_key")))
+    repeated = joined.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return repeated.select(*docs.columns)

@@ -156,15 +156,20 @@ def believed_instances(mentioned: DataFrame, rounds: int = ROUNDS, least_seeds:
     return sure.filter(F.col("trust") >= believed).groupBy("pattern", "instance").agg(F.max_by("kind", "trust").alias("kind"))
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with base and spans (arrays of spans, the second with those the method adds); one row for each row."""
-    scanned = docs.withColumn("scan", scan(F.col(text))).withColumns({"row": F.monotonically_increasing_id(), "base": F.col("scan.base"), "mentions": F.col("scan.mentions")})
-    rows = scratch.save(scanned.drop("scan"), "pii")
-    mentioned = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with base and spans (arrays of spans, the second with those the method adds); one row for each row.
+
+    ``keep`` names the columns that are carried along (all, if None); what is not named is
+    not written with the intermediate rows.  Columns base and spans of ``docs`` are replaced.
+    """
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
+    noted = docs.select(*carried, scan(F.col(text)).alias(sp.NOTED)).withColumns({sp.ROW: F.monotonically_increasing_id(), "base": F.col(f"{sp.NOTED}.base"), sp.NOTED: F.col(f"{sp.NOTED}.mentions")})
+    rows = scratch.save(noted, "pii")
+    mentioned = rows.select(F.col(sp.ROW).alias("row"), F.explode(sp.NOTED).alias("m")).select("row", "m.*")
     known = believed_instances(mentioned)
-    waiting = F.exists("mentions", lambda m: m["kind"] == "")
+    waiting = F.exists(sp.NOTED, lambda m: m["kind"] == "")
     extra = mentioned.filter("kind = ''").drop("kind").join(known, ["pattern", "instance"]).select("row", "kind", "start", "end")
-    return sp.add_spans(rows, extra, waiting, KINDS).drop("row", "mentions")
+    return sp.add_spans(rows, extra, waiting, KINDS).drop(sp.ROW, sp.NOTED)
 
 
 def report(found: DataFrame) -> DataFrame:

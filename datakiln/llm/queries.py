@@ -57,12 +57,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.report(pii.find(docs))
+    return pii.report(pii.find(docs, keep=["doc_id"]))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.report(secrets.find(docs))
+    return secrets.report(secrets.find(docs, keep=["doc_id"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

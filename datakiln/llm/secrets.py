@@ -79,8 +79,8 @@ def in_scope(parts: DataFrame, others: DataFrame, scope: int) -> DataFrame:
 
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(row, kind, start, end) of the weak parts whose complementary parts co-occur in scope."""
-    weak = rows.select("row", F.explode("parts").alias("p")).select("row", F.col("p.kind").alias("role"), "p.start", "p.end")
-    strong = rows.filter(F.size("parts") > 0).select("row", F.explode("base").alias("p")).select("row", F.col("p.kind").alias("role"), "p.start", "p.end")
+    weak = rows.select(F.col(sp.ROW).alias("row"), F.explode(sp.NOTED).alias("p")).select("row", F.col("p.kind").alias("role"), "p.start", "p.end")
+    strong = rows.filter(F.size(sp.NOTED) > 0).select(F.col(sp.ROW).alias("row"), F.explode("base").alias("p")).select("row", F.col("p.kind").alias("role"), "p.start", "p.end")
     ids = weak.filter("role = 'id'")
     all_ids = ids.union(strong.filter("role = 'access'"))
     ends = weak.filter("role = 'endpoint'")
@@ -90,11 +90,16 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     return complete.withColumn("kind", F.lit("weak_secret")).union(named.withColumn("kind", F.lit("weak_id"))).select("row", "kind", "start", "end")
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with base and spans (arrays of spans, the second with linked weak parts); one row for each row."""
-    scanned = docs.withColumn("scan", scan(F.col(text))).withColumns({"row": F.monotonically_increasing_id(), "base": F.col("scan.base"), "parts": F.col("scan.parts")})
-    rows = scratch.save(scanned.drop("scan"), "secrets")
-    return sp.add_spans(rows, linked(rows), F.size("parts") > 1, KINDS).drop("row", "parts")
+def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with base and spans (arrays of spans, the second with linked weak parts); one row for each row.
+
+    ``keep`` names the columns that are carried along (all, if None); what is not named is
+    not written with the intermediate rows.  Columns base and spans of ``docs`` are replaced.
+    """
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
+    noted = docs.select(*carried, scan(F.col(text)).alias(sp.NOTED)).withColumns({sp.ROW: F.monotonically_increasing_id(), "base": F.col(f"{sp.NOTED}.base"), sp.NOTED: F.col(f"{sp.NOTED}.parts")})
+    rows = scratch.save(noted, "secrets")
+    return sp.add_spans(rows, linked(rows), F.size(sp.NOTED) > 0, KINDS).drop(sp.ROW, sp.NOTED)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -58,16 +58,20 @@ def masked(text: Column, spans: Column) -> Column:
     return replace(text, spans)
 
 
+#: Columns that the span operators need on the way; names that no table has.
+ROW, NOTED, EXTRA = "_span_row", "_span_noted", "_span_extra"
+
+
 def add_spans(rows: DataFrame, extra: DataFrame, waiting: Column, kinds: tuple[str, ...]) -> DataFrame:
-    """``rows`` (row, base, …) with ``spans``: the base spans and those of ``extra`` (row, kind, start, end).
+    """``rows`` (`ROW`, base, …) with ``spans``: the base spans and those of ``extra`` (row, kind, start, end).
 
     Only rows for which ``waiting`` holds can have extra spans; the others take no part in
     the join, so their texts are not shuffled.
     """
-    here = extra.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra")).withColumnRenamed("row", "extra_row")
-    joined = rows.filter(waiting).join(here, F.col("row") == F.col("extra_row"), "left").drop("extra_row")
-    both = F.when(F.col("extra").isNull(), F.col("base")).otherwise(ordered(F.concat("base", "extra"), kinds))
-    found = joined.withColumn("spans", both).drop("extra")
+    here = extra.groupBy(F.col("row").alias("_extra_row")).agg(F.collect_set(F.struct("kind", "start", "end")).alias(EXTRA))
+    joined = rows.filter(waiting).join(here, F.col(ROW) == F.col("_extra_row"), "left").drop("_extra_row")
+    both = F.when(F.col(EXTRA).isNull(), F.col("base")).otherwise(ordered(F.concat("base", EXTRA), kinds))
+    found = joined.withColumn("spans", both).drop(EXTRA)
     return rows.filter(~waiting).withColumn("spans", F.col("base")).unionByName(found)
 
 

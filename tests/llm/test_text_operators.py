@@ -232,6 +232,15 @@ def test_secrets_link_parts_only_where_they_meet(spark):
     assert got == [("1", linked), ("1", linked), ("2", ""), ("3", ""), ("4", ""), ("None", linked)]
 
 
+def test_other_columns_stay_as_they_are(spark, texts):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = frame(spark, texts[:20]).withColumns({"base": F.lit("x"), "mentions": F.lit("y"), "extra": F.lit("z")})
+    for made, replaced in ((pii.find(df), {"base"}), (secrets.find(df), {"base"}), (byte_bpe.round_trip(df, path, public_tokenizers.PATTERN), set())):
+        kept = [c for c in df.columns if c not in replaced]
+        assert set(kept) <= set(made.columns)
+        assert sorted(map(str, made.select(*kept).collect())) == sorted(map(str, df.select(*kept).collect()))
+
+
 def test_empty_tables_give_empty_results(spark):
     none = frame(spark, [(1, "x")]).filter("doc_id = 2")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
