@@ -1,6 +1,7 @@
 """Names, positions and declared schemas of columns."""
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,6 +149,19 @@ def column_map(sources: dict[str, list[str]], spark: SparkSession) -> DataFrame:
     return long.groupBy("name").pivot("source", sorted(sources)).agg(F.lit(1)).na.fill(0).orderBy("name")
 
 
+def mapped_columns(df: DataFrame, source: str, changes: list[tuple[str, str, str]]) -> DataFrame:
+    """``df`` under the names that a list of (source, source column, destination column) gives it."""
+    return df.withColumnsRenamed({old: new for s, old, new in changes if s == source and old != new})
+
+
+def schema_of_run(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]], first: int = 20) -> T.StructType:
+    """The schema that a pipeline of steps gives; nothing is read, but a step that must look at rows sees the first ones."""
+    made = df.limit(first)
+    for step in steps:
+        made = made.transform(step)
+    return made.schema
+
+
 def declared_schema(spark: SparkSession, path: str) -> dict[str, TableSpec]:
     """Table specs from a CSV of columns: table, column, datatype, valuetype, role, parent, description, transform."""
     tables: dict[str, TableSpec] = {}

@@ -195,3 +195,32 @@ def run_steps(df: DataFrame, steps: dict[str, Step]) -> DataFrame:
     for step in steps.values():
         df = df.transform(step)
     return df
+
+
+def modify(df: DataFrame, f: Callable[[dict], dict | None], schema: T.StructType) -> DataFrame:
+    """Rows as dicts through a user's function (None drops a row), in Arrow batches.
+
+    For code that no column expression says; everything else should be one.
+    """
+    import pyarrow as pa
+
+    arrow = pa.schema([(name, kind) for name, kind in zip(schema.fieldNames(), _arrow_types(schema), strict=True)])
+
+    def run(batches):
+        for batch in batches:
+            made = [r for r in map(f, batch.to_pylist()) if r is not None]
+            yield pa.RecordBatch.from_pylist(made, arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _arrow_types(schema: T.StructType) -> list:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(f.dataType) for f in schema]
+
+
+def observed(df: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """``df`` with an observation of its ``rows``, known once an action has run; divided by its seconds it is the rate."""
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("rows")), seen

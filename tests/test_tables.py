@@ -94,6 +94,17 @@ def test_steps_are_edited_by_name(spark):
         rows.edited_steps(steps, {"!none": None})
 
 
+def test_user_code_on_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("b", T.StringType())])
+    got = rows.modify(df, lambda r: {"c": r["a"] * 10, "b": r["b"]} if r["b"] else None, schema)
+    assert [tuple(r) for r in got.collect()] == [(10, "x")]
+    counted, seen = rows.observed(df)
+    assert counted.count() == 2 and seen.get == {"rows": 2}
+    assert headers.schema_of_run(df, [lambda d: d.withColumn("z", F.lit(1.0))]).fieldNames() == ["a", "b", "z"]
+    assert headers.mapped_columns(df, "s", [("s", "a", "n"), ("t", "b", "m")]).columns == ["n", "b"]
+
+
 def test_row_numbers_have_no_gaps(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5003).alias("k"), F.lit(9).alias("id")).repartition(7)
     got = row_index.with_row_number(df, ["k"]).orderBy("k").collect()
