@@ -40,7 +40,8 @@ def write_partitions(df: DataFrame, path: str, overwrite: bool = True, rows_a_fi
     levels = [f"p_{p}" for p in PARTS]
     counted = df.groupBy(*levels).agg(F.ceil(F.count("*") / rows_a_file).cast("int").alias("_files"))
     sized = df.join(counted, levels)
-    salt = F.floor(F.rand(0) * F.col("_files"))
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    salt = F.pmod(F.xxhash64(*hashed), F.col("_files"))  # by content, so a task that runs again deals its rows alike
     dealt = sized.withColumn("_salt", salt).repartition(*levels, "_salt").drop("_salt", "_files")
     blank_safe = dealt.withColumns({c: F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in levels})
     mode = "overwrite" if overwrite else "append"
