@@ -90,7 +90,8 @@ def links_within(prints: np.ndarray, radius: int) -> tuple[list[int], list[int]]
         root, open_ = int(open_[0]), open_[1:]
         waiting = [root]
         while waiting and len(open_):
-            near = np.bitwise_count(open_ ^ np.int64(waiting.pop())) <= radius
+            differing = (open_ ^ np.int64(waiting.pop())).view(np.uint64)  # bits of signed numbers are counted in their magnitude
+            near = np.bitwise_count(differing) <= radius
             if near.any():
                 found = open_[near].tolist()
                 open_ = open_[~near]

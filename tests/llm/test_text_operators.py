@@ -120,6 +120,22 @@ def test_simhash_components_agree_with_all_pairs(spark, texts):
     assert len({c for _, _, c in want}) < len(rows) - 50
 
 
+def test_simhash_search_counts_bits_of_any_sign():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, (40, 5)).astype(np.uint64)).astype(np.uint64)
+    prints = np.unique(np.concatenate([base, *(np.bitwise_xor.accumulate(flips[:, :n], axis=1)[:, -1] ^ base for n in (1, 3, 5))]))
+    left, right = simhash.links_within(prints.view(np.int64), 4)
+    owner = {int(x): int(x) for x in prints.view(np.int64)} | dict(zip(left, right, strict=True))
+    want = {i: c for i, _, c in plain_components([(int(x), int(x)) for x in prints])}
+    signed = prints.view(np.int64).tolist()
+    for a, x in zip(signed, prints.tolist(), strict=True):
+        for b, y in zip(signed, prints.tolist(), strict=True):
+            assert (owner[a] == owner[b]) == (want[x] == want[y])
+
+
 def test_simhash_masks_cover_the_radius():
     from itertools import combinations
 
