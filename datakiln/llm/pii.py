@@ -106,12 +106,8 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     likely = [("", *m.span()) for m in NUMBER_LIKE.finditer(text)] if DIGIT.search(text) else []
     if "@" in text or "at)" in text or "at]" in text:
         likely += [("", *m.span()) for m in MAIL_LIKE.finditer(text)]
-    taken = sorted((a, b) for _, a, b in base)
-    for kind, a, b in likely:
-        if not any(x < b and a < y for x, y in taken):
-            places.append((kind, a, b))
     rows = []
-    for kind, a, b in places:
+    for kind, a, b in places + sp.outside(likely, base):
         if pattern := pattern_before(text, a):
             instance = xxhash.xxh3_64_intdigest(re.sub(r"[\s().-]", "", text[a:b].lower())) - (1 << 63)
             rows.append({"kind": kind, "start": a, "end": b, "pattern": pattern, "instance": instance})
@@ -143,17 +139,19 @@ def believed_instances(mentioned: DataFrame, rounds: int = ROUNDS, least_seeds:
     seeded = edges.filter("kind != ''").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least_seeds)
     patterns = scratch.save(seeded.join(instances, "pattern"), "patterns")
     reach = scratch.save(candidates.join(patterns.select("pattern", "kind", "seeds", "instances"), "pattern"), "reach")
-    score = reach.select("pattern", "instance", "kind", (F.col("seeds") / F.col("instances")).alias("trust"))
+    doubt = F.log1p(-F.least(F.col("trust"), F.lit(0.999)))
+    score = scratch.save(reach.select("pattern", "instance", "kind", (F.col("seeds") / F.col("instances")).alias("trust")), "score")
     for _ in range(rounds):
-        doubt = F.exp(F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))))
-        belief = score.groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
-        held = reach.join(belief, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("held"))
+        doubts = score.groupBy("instance", "kind").agg(F.sum(doubt).alias("doubts"))
+        # what the other patterns of an instance say, so that no pattern vouches for itself
+        others = score.join(doubts, ["instance", "kind"]).withColumn("belief", 1 - F.exp(F.col("doubts") - doubt))
+        held = others.groupBy("pattern", "kind").agg(F.sum("belief").alias("held"))
         trust = F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("held", F.lit(0.0))) / F.col("instances"))
         trusted = patterns.join(held, ["pattern", "kind"], "left").select("pattern", "kind", trust.alias("trust"))
         score = scratch.save(reach.select("pattern", "instance", "kind").join(trusted, ["pattern", "kind"]), "score")
-    first_trust = F.col("seeds") / F.col("instances")
-    sure = reach.filter(first_trust >= believed / 2).select("pattern", "kind", "instance").join(score, ["pattern", "kind", "instance"])
-    return sure.filter(F.col("trust") >= believed).groupBy("pattern", "instance").agg(F.max_by("kind", "trust").alias("kind"))
+    beliefs = score.groupBy("instance", "kind").agg((1 - F.exp(F.sum(doubt))).alias("belief")).filter(F.col("belief") >= believed)
+    sure = score.join(beliefs, ["instance", "kind"])
+    return sure.groupBy("pattern", "instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"))
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "=" not in text and ":" not in text:
         return []
     parts = [(role, *m.span(1)) for role, pattern in WEAK for m in pattern.finditer(text)]
-    return [(r, a, b) for r, a, b in parts if not any(x < b and a < y for _, x, y in base)]
+    return sp.outside(parts, base)
 
 
 def scan(text: Column) -> Column:

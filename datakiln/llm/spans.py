@@ -1,5 +1,6 @@
 """Spans in texts: struct<kind, start, end> in code points, end exclusive, ordered by start, then kind."""
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,24 @@ def in_order(spans: list[tuple[str, int, int]], kinds: tuple[str, ...]) -> list[
     return sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2]))
 
 
+def outside(places: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The places that overlap no base span, found by bisection so that long texts stay cheap."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in base:  # ordered by start; overlapping ones grow together
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    kept = []
+    for kind, a, b in places:
+        i = bisect_left(starts, b) - 1  # the last base span that starts before the end
+        if i < 0 or ends[i] <= a:
+            kept.append((kind, a, b))
+    return kept
+
+
 def as_rows(spans: list[tuple[str, int, int]]) -> list[dict]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 

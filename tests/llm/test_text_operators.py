@@ -211,6 +211,21 @@ def test_pii_bootstraps_unseen_identifiers_and_leaves_the_rest(spark):
     assert all(got[i].startswith("phone:20:") for i, _ in known)
 
 
+def test_pii_patterns_do_not_vouch_for_themselves(spark):
+    mixed = [(i, f"the usual value +1 (20{i}) 555-01{i}{i} here") for i in range(4)] + [(50 + i, f"the usual value 98765432{i}{i}{i} here") for i in range(4)]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(frame(spark, mixed))).collect()}
+    assert all(got[50 + i] == "" for i in range(4)) and all(got[i] for i in range(4))
+
+
+def test_places_outside_base_spans():
+    from datakiln.llm import spans
+
+    base = [("x", 5, 9), ("y", 7, 12), ("x", 20, 22)]
+    places = [("p", a, b) for a in range(25) for b in range(a + 1, 26)]
+    want = [p for p in places if not any(x < p[2] and p[1] < y for _, x, y in base)]
+    assert spans.outside(places, base) == want
+
+
 BASE_SECRETS = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
