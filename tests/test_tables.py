@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datakiln.functions import values
+from datakiln.functions import nested, values
 from datakiln.jobs import build, search
 from datakiln.jobs.sqlscript import Warehouse, statements, substituted
 from datakiln.operators import coverage, cubes, headers, row_index, rows, stats
@@ -242,6 +242,30 @@ def test_scripts(spark, tmp_path):
         house.install("none")
 
 
+def test_materialised_partitions_are_bucketed(spark, tmp_path):
+    for name in ("l", "r"):
+        spark.range(50).select("id", (F.col("id") % 5).alias("g")).write.parquet(str(tmp_path / name))
+    house = Warehouse(spark, {f"ex.com-{n}-1": str(tmp_path / n) for n in ("l", "r")})
+    got = house.run("INDEX ex.com-l-1 (id); INDEX ex.com-r-1 (id); SELECT count(*) AS n FROM ex.com-l-1 AS a JOIN ex.com-r-1 AS b ON a.id = b.id")
+    with_threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = house.query("SELECT a.id FROM ex.com-l-1 AS a JOIN ex.com-r-1 AS b ON a.id = b.id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
+    assert got.first().n == 50 and "Exchange" not in plan  # the buckets meet without a shuffle
+    made = house.run("CREATE MATERIALIZED VIEW few AS SELECT g, count(*) AS n FROM ex.com-l-1 GROUP BY g; SELECT sum(n) AS n FROM few")
+    assert made.first().n == 50
+    for name in ("ex_com_l_1", "ex_com_r_1", "few"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_nested_json_of_any_depth(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": "x"}]}, "d": null, "e": {}}'), (2, None), (3, "{broken"), (4, "[true]")], "i int, j string")
+    got = sorted(map(str, (tuple(r) for r in nested.flattened_rows(df, "j").collect())))
+    assert got == sorted(map(str, [(1, "a.b.0", "1"), (1, "a.b.1.c", "x"), (1, "d", None), (4, "0", "true")]))
+
+
 def test_search_phrases_and_index(spark):
     p = search.parsed_phrase("cucumber with salt in california by county from 1978 to 1979")
     assert (p.about, p.with_, p.in_, p.by, p.years) == (["cucumber"], ["salt"], ["california"], ["county"], (1978, 1979))
