@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that is stripped from text before it is judged.
 BLANKS = " \t\n\r\x0b\x0c"
@@ -118,6 +119,19 @@ def cast_to(c: Column, datatype: str) -> Column:
     return CASTS[datatype](c)
 
 
+def cast_typed(c: Column, datatype: str, source: T.DataType) -> Column:
+    """The cast of a column that has a type already: numbers are cut to integers, not read as text."""
+    if isinstance(source, T.IntegralType) and datatype in ("int", "long"):
+        return c.cast("bigint")
+    if isinstance(source, T.NumericType) and datatype in ("int", "long"):
+        return to_int(c, truncate=True)
+    if isinstance(source, T.NumericType) and datatype in ("float", "double"):
+        return c.cast("double")
+    if isinstance(source, T.DateType | T.TimestampType | T.TimestampNTZType) and datatype == "date":
+        return c.cast("date")
+    return cast_to(c, datatype)
+
+
 def failed_value(raw: Column, value: Column) -> Column:
     """The raw text where it holds something and the cast gave nothing, else null: the code beside a value."""
     return F.when(nullify(raw).isNotNull() & value.isNull(), raw.cast("string"))

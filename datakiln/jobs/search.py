@@ -19,9 +19,13 @@ SIMILAR, MOST_FOUND = 0.3, 10
 MARKERS = ("about", "in", "by", "with", "from", "to", "source")
 
 
+#: What stands between the terms of a text.
+APART = r"[^\p{L}\p{N}]+"
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(c), APART), lambda t: t != "")
 
 
 def dataset_documents(datasets: DataFrame, columns: DataFrame) -> DataFrame:
@@ -47,12 +51,10 @@ def partition_documents(partitions: DataFrame, values: DataFrame) -> DataFrame:
 
 def inverted_index(docs: DataFrame, fields: dict[str, str], doc: str = "doc") -> DataFrame:
     """(term, field, doc, tf) of the texts in ``fields`` (field name to column)."""
-    def entries(name: str, c: str) -> Column:
-        return F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(name).alias("field")))
-
-    made = [entries(name, c) for name, c in fields.items()]
-    each = docs.select(F.col(doc).alias("doc"), F.explode(F.concat(*made)).alias("t"))
-    return each.groupBy("t.term", "t.field", "doc").agg(F.count("*").alias("tf"))
+    parts = F.array(*[F.struct(F.lit(name).alias("field"), F.col(c).cast("string").alias("text")) for name, c in fields.items()])
+    each = docs.select(F.col(doc).alias("doc"), F.explode(parts).alias("p"))
+    words = each.select("doc", "p.field", F.explode(F.split(F.lower("p.text"), APART)).alias("term")).filter("term != ''")
+    return words.groupBy("term", "field", "doc").agg(F.count("*").alias("tf"))
 
 
 def extended_index(index: DataFrame, docs: DataFrame, fields: dict[str, str], doc: str = "doc", force: bool = False) -> DataFrame:

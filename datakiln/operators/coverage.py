@@ -12,10 +12,10 @@ def year_of(c: Column, kind: str) -> Column:
 
 def time_coverage(df: DataFrame, keys: list[str], columns: list[str], declared: list[str] = ()) -> DataFrame:
     """(keys…, years): the sorted years of the year and date columns and of declared intervals."""
-    kinds = dict(df.dtypes)
-    own = F.array(*[year_of(F.col(c), kinds[c]) for c in columns])
-    named = F.array_union(F.array().cast("array<int>"), F.flatten(F.array(*[F.coalesce(values.expand_to_years(F.col(c)), F.array().cast("array<int>")) for c in declared]))) if declared else F.array().cast("array<int>")
-    years = df.select(*keys, F.explode(F.array_union(own, named)).alias("year")).filter("year is not null").distinct()
+    kinds, none = dict(df.dtypes), F.array().cast("array<int>")
+    narrow = df.select(*keys, F.array(*[year_of(F.col(c), kinds[c]) for c in columns]).alias("_own"), F.array(*[F.col(c).cast("string") for c in declared]).alias("_declared")).distinct()
+    named = F.flatten(F.transform("_declared", lambda d: F.coalesce(values.expand_to_years(d), none))) if declared else none
+    years = narrow.select(*keys, F.explode(F.array_union("_own", named)).alias("year")).filter("year is not null").distinct()
     return years.groupBy(*keys).agg(F.array_sort(F.collect_list("year")).alias("years"))
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datakiln.functions import casts, values
 from datakiln.operators.headers import TYPES, ColumnSpec, TableSpec
@@ -132,18 +133,21 @@ def cast_columns(df: DataFrame, table: TableSpec, functions: dict[str, Callable[
         failed_here = {} if source_stage else {n: F.col(failed_name(n)) for n in names}
         out = []
         for i, spec in enumerate(specs):
-            value, failed = _stage(spec, plans[spec.name], k, here, failed_here, known, row_n, i, df.columns, source)
+            value, failed = _stage(spec, plans[spec.name], k, here, failed_here, known, row_n, i, df.schema, source)
             out += [value.alias(spec.name), failed.alias(failed_name(spec.name))]
         df = df.select(*out, *(["_row_n"] if numbered else []))
-    errors = F.filter(F.array(*[F.struct(F.lit(n).alias("column"), F.col(failed_name(n)).alias("value")) for n in names]), lambda e: e["value"].isNotNull())
+    each = F.array(*[F.struct(F.lit(n).alias("column"), F.col(failed_name(n)).alias("value")) for n in names])
+    any_failed = F.coalesce(*[F.col(failed_name(n)) for n in names]).isNotNull()  # most rows have none and skip the rest
+    errors = F.filter(F.when(any_failed, each).otherwise(F.slice(each, 1, 0)), lambda e: e["value"].isNotNull())
     final = [F.col(c.name).try_cast(TYPES[c.datatype]).alias(c.name, metadata=c.field().metadata) for c in specs]
     return df.select(*final, errors.alias("_errors"))
 
 
-def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here: dict, known: dict, row_n: Column, i_d: int, source_names: list[str], source: str) -> tuple[Column, Column]:
+def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here: dict, known: dict, row_n: Column, i_d: int, found: T.StructType, source: str) -> tuple[Column, Column]:
     """Value and failed raw text of one column after stage k."""
     null_text = F.lit(None).cast("string")
     stage = plan[k] if k < len(plan) else Stage()
+    source_names = found.fieldNames()
     raw = here.get(spec.name, F.lit(None).cast("string"))
     context = {"v": raw, "row": RowView(here), "row_n": row_n, "header_s": spec.name if spec.name in source_names else None, "header_d": spec.name, "i_s": source_names.index(spec.name) if spec.name in source_names else None, "i_d": i_d, "source": source}
     failed, value = failed_here.get(spec.name, null_text), raw
@@ -152,7 +156,8 @@ def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here:
             value = called(stage.init, known, context, failed_here)
         before = value
         if spec.datatype not in ("str", "text", "unknown"):
-            value = casts.cast_to(value, spec.datatype)
+            typed = found[spec.name].dataType if spec.name in source_names and not stage.init else T.StringType()
+            value = casts.cast_typed(value, spec.datatype, typed)
             failed = casts.failed_value(before, value)
         elif spec.datatype != "unknown":
             value = casts.to_text(value)
@@ -171,7 +176,8 @@ def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here:
 
 def error_report(cast: DataFrame) -> DataFrame:
     """(column, value, rows): what failed to cast and how often."""
-    each = cast.select(F.explode("_errors").alias("e")).select("e.*")
+    # not explode: the size test that Spark infers from it would repeat all casts in a filter
+    each = cast.select(F.explode_outer("_errors").alias("e")).filter("e is not null").select("e.*")
     return each.groupBy("column", "value").agg(F.count("*").alias("rows"))
 
 

@@ -103,6 +103,12 @@ def test_errors_are_reported_unless_cleared(spark):
         transforms.cast_columns(df, spec([("n", "int", "odd")]), {"odd": lambda v, what: v})
 
 
+def test_typed_sources_are_not_read_as_text(spark):
+    df = spark.createDataFrame([(3.7, 2, "x"), (-3.7, None, "y")], "a double, b int, c string")
+    got = transforms.cast_columns(df, spec([("a", "int", ""), ("b", "float", ""), ("c", "str", "")])).collect()
+    assert [tuple(r) for r in got] == [(3, 2.0, "x", []), (-3, None, "y", [])]
+
+
 def test_a_failed_value_stays_failed_through_pipes(spark):
     df = spark.createDataFrame([("*",), ("3",), (None,)], "n string")
     got = transforms.cast_columns(df, spec([("n", "int", "zero;zero")]), {"zero": lambda v: F.coalesce(v, F.lit(0))}).collect()
