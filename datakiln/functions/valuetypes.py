@@ -46,7 +46,7 @@ REGISTRY: dict[str, ValueType] = (
     | _family("d", "i", "float", "lat lon")
     | _family("k", "n", "int", "key")
     | _family("i", "n", "str", "id")
-    | _family("d", "n", "str", "dimension dimension/str dimension/text label name/first name/last name/middle raceth raceth/hci raceth/cen00 raceth/cen10 raceth/omb raceth/civick")
+    | _family("d", "n", "str", "dimension dimension/str dimension/text label name/first name/last name/middle raceth raceth/hci raceth/cen00 raceth/cen10 raceth/omb")
     | _family("d", "o", "int", "dimension/int age decile quartile quintile")
     | _family("d", "o", "str", "age/range", lambda c: values.age_text(values.census_age(c)))
     | _family("d", "o", "float", "pctl percentile", values.percent)
