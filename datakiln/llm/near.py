@@ -5,11 +5,12 @@ leading part of their components is a fair sample of a distance.  Every row belo
 list of its nearest centre (centres are fitted on at most `FIT_ROWS` rows, taken by hash);
 a query scans the lists of its nearest centres.  Within a list the distance grows by
 column blocks: after each block a hypothesis test abandons the candidates whose partial
-distance, scaled up and widened by `WIDTH`, cannot reach the current k-th best.  Survivors
-get the exact cosine of the original vectors in doubles.
+distance, scaled up and widened by `WIDTH` and by `ROUNDING`, cannot reach the current
+k-th best; those that set this bound always survive.  Survivors get the exact cosine of the
+original vectors in doubles.
 
 The number of lists to probe is measured on the sample so that `RECALL` of true
-neighbours lie in probed lists.  Lists are cut into blocks of bounded size by hash, so a
+neighbours lie in probed lists; a query whose lists hold too few rows probes more.  Lists are cut into blocks of bounded size by hash, so a
 list with very many copies is scanned in many tasks; what is broadcast are the centres and
 the rotation, bounded by `MOST_LISTS` and the length.  A row of another length than the
 sample's most common one is compared by the same scan with its own rotation, in one list.
@@ -31,6 +32,8 @@ FIT_ROWS, FIT_QUERIES, MOST_LISTS = 20_000, 400, 256
 RECALL = 0.97
 COLUMNS_A_BLOCK = 16
 WIDTH = 2.1
+#: Added to every bound on a squared distance of unit vectors: far above the rounding of doubles, so copies are not lost.
+ROUNDING = 1e-9
 ROWS_A_LIST, ROWS_A_BLOCK, QUERIES_A_BLOCK = 1024, 4096, 1024
 SEED = 7
 
@@ -88,7 +91,9 @@ def scan(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> tupl
     first = min(n, max(4 * k, 64))
     exact = 2 - 2 * queries @ rows[:first].T
     exact[own[:, :first]] = np.inf
-    radius = np.partition(exact, min(k, first) - 1, axis=1)[:, min(k, first) - 1]
+    radius = np.maximum(np.partition(exact, min(k, first) - 1, axis=1)[:, min(k, first) - 1], 0)
+    sure = np.zeros_like(own)
+    sure[:, :first] = exact <= radius[:, None]
     asked, row = np.nonzero(~own)
     partial = np.zeros(len(asked))
     for start in range(0, dim, COLUMNS_A_BLOCK):
@@ -99,7 +104,7 @@ def scan(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> tupl
         else:
             partial = partial + ((queries[asked, start:end] - rows[row, start:end]) ** 2).sum(axis=1)
         slack = (1 + WIDTH / np.sqrt(end)) ** 2 if end < dim else 1 + 1e-9
-        alive = partial * (dim / end) <= radius[asked] * slack
+        alive = (partial * (dim / end) <= radius[asked] * slack + ROUNDING) | sure[asked, row]
         asked, row, partial = asked[alive], row[alive], partial[alive]
     return asked, row
 
@@ -127,22 +132,29 @@ def search_block(k: int):
     return run
 
 
-def assign(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """``rows`` with ``list``: one row for each of the ``probes`` nearest centres."""
-    shipped = rows.sparkSession.sparkContext.broadcast(centres)
+def assign(rows: DataFrame, centres: np.ndarray, probes: int, sizes: dict[int, int] | None = None, least: int = 0) -> DataFrame:
+    """``rows`` with ``list``: one row for each of the ``probes`` nearest centres.
+
+    With ``sizes`` (rows of each list) as many more as it takes to meet ``least`` rows.
+    """
+    held = np.array([(sizes or {}).get(i, 0) for i in range(len(centres))])
+    shipped = rows.sparkSession.sparkContext.broadcast((centres, held))
 
     @F.arrow_udf("array<int>")
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = shipped.value
+        c, held = shipped.value
         for batch in batches:
             lengths = batch.value_lengths().to_numpy(zero_copy_only=False)
             lists = [[0]] * len(batch)
             fit = np.flatnonzero(lengths == c.shape[1])
             if len(fit):
                 v = batch.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(len(fit), -1)
-                order = np.argsort(-(unit(v) @ c.T), axis=1, kind="stable")[:, :probes]
-                for i, chosen in zip(fit.tolist(), order.tolist(), strict=True):
-                    lists[i] = chosen
+                order = np.argsort(-(unit(v) @ c.T), axis=1, kind="stable")
+                depth = np.full(len(fit), probes)
+                if least:
+                    depth = np.maximum(depth, (held[order].cumsum(axis=1) < least).sum(axis=1) + 1)
+                for i, chosen, n in zip(fit.tolist(), order.tolist(), depth.tolist(), strict=True):
+                    lists[i] = chosen[:n]
             yield pa.array(lists, pa.list_(pa.int32()))
 
     return rows.withColumn("lists", nearest("v")).withColumn("list", F.explode("lists")).drop("lists")
@@ -162,7 +174,8 @@ def nearest_neighbours(rows: DataFrame, is_query: str, k: int = 5, key: str = "v
     else:
         centres, probes = np.eye(1, dim), 1
     owned = scratch.save(assign(whole, centres, 1), "lists")
-    asked = assign(whole.filter(is_query), centres, probes)
+    held = owned.filter(F.col("dim") == dim).groupBy("list").count()  # at most MOST_LISTS rows
+    asked = assign(whole.filter(is_query), centres, probes, {r["list"]: r["count"] for r in held.collect()}, k + 1)
     h = F.xxhash64("vec_id")
     sizes = owned.groupBy("list", "dim").agg(F.ceil(F.count("*") / ROWS_A_BLOCK).cast("int").alias("parts"))
     askers = scratch.save(asked, "askers")

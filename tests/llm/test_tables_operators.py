@@ -80,6 +80,24 @@ def test_neighbours_reach_the_recall_on_a_whole_table(spark):
     assert all(abs(want[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got if (r.query_id, r.vec_id) in want)
 
 
+@pytest.mark.parametrize(("rows_a_list", "noise"), [(1024, 0.0), (1024, 1e-8), (64, 0.0)])
+def test_neighbours_of_many_copies(spark, monkeypatch, rows_a_list, noise):
+    monkeypatch.setattr(near, "ROWS_A_LIST", rows_a_list)
+    rng = np.random.default_rng(4)
+    made = rng.normal(size=(900, 64))
+    made[::3] = made[0] + noise * rng.normal(size=(300, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id long, embedding array<double>")
+    got = near.nearest_neighbours(df, "vec_id % 2 = 0").collect()
+    assert len(got) == 5 * 450
+    assert all(r.score > 1 - 1e-12 and r.vec_id % 3 == 0 for r in got if r.query_id % 3 == 0)
+
+
+def test_neighbours_probe_until_lists_hold_enough(spark):
+    df = spark.createDataFrame([(1, 3, [1.0, 0.5, 0.1])], "vec_id long, dim int, v array<double>")
+    lists = lambda *sizes: sorted(r["list"] for r in near.assign(df, np.eye(3), 1, dict(enumerate(sizes)), 6).collect())
+    assert lists(9, 9, 9) == [0] and lists(2, 4, 9) == [0, 1] and lists(1, 1, 2) == [0, 1, 2]
+
+
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s.encode() if s else b""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
