@@ -7,7 +7,9 @@ of `SCOPE` characters: a weak secret is reported only if an identifier and an en
 lie in its scope, a weak identifier only if it lies in the scope of such a secret.
 
 The joins run on (text, interval of scope length), so a group holds what fits into a few
-scopes however long the text is, and they are semi joins: no pairs are made.  Null texts
+scopes however long the text is, and they are semi joins: no pairs are made.  A weak
+value is taken to its end, however long; what base spans cover of it is left to them.
+Distances are measured between starts.  Null texts
 count as empty; repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -23,6 +25,8 @@ from datakiln.llm import spans as sp
 
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id")
 BASE = KINDS[:3]
+#: Characters that a weak value, or what base spans leave of it, has at least.
+LEAST = {"secret": 6, "id": 3}
 SCOPE = 400
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,8 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 SET = r"""["']?\x20{0,4}[:=]\x20{0,4}["']?"""
 WEAK = (
-    ("secret", re.compile(rf"(?<![A-Za-z])(?:pwd|pass|passphrase|credentials?|auth|private[_ -]?key)(?![A-Za-z]){SET}([^\s\"'<>]{{6,200}})", re.ASCII | re.IGNORECASE)),
-    ("id", re.compile(rf"(?<![A-Za-z])(?:access[_ -]?key[_ -]?id|client[_ -]?id|user(?:[_ -]?name)?|login|account)(?![A-Za-z]){SET}([A-Za-z0-9_.@-]{{3,100}})", re.ASCII | re.IGNORECASE)),
+    ("secret", re.compile(rf"(?<![A-Za-z])(?:pwd|pass|passphrase|credentials?|auth|private[_ -]?key)(?![A-Za-z]){SET}([^\s\"'<>]{{6,}}+)", re.ASCII | re.IGNORECASE)),
+    ("id", re.compile(rf"(?<![A-Za-z])(?:access[_ -]?key[_ -]?id|client[_ -]?id|user(?:[_ -]?name)?|login|account)(?![A-Za-z]){SET}([A-Za-z0-9_.@-]{{3,}}+)", re.ASCII | re.IGNORECASE)),
     ("endpoint", re.compile(rf"(?:[a-z][a-z0-9+.-]{{1,20}}://|(?<![A-Za-z])(?:host(?:name)?|server|endpoint|url){SET})([^\s\"'<>]{{4,200}})", re.ASCII | re.IGNORECASE)),
 )
 
@@ -52,7 +56,8 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "=" not in text and ":" not in text:
         return []
     parts = [(role, *m.span(1)) for role, pattern in WEAK for m in pattern.finditer(text)]
-    return sp.outside(parts, base)
+    values = sp.left_over([p for p in parts if p[0] in LEAST], base)
+    return [p for p in values if p[2] - p[1] >= LEAST[p[0]]] + sp.outside([p for p in parts if p[0] not in LEAST], base)
 
 
 def scan(text: Column) -> Column:

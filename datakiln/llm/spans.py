@@ -1,6 +1,6 @@
 """Spans in texts: struct<kind, start, end> in code points, end exclusive, ordered by start, then kind."""
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +16,8 @@ def in_order(spans: list[tuple[str, int, int]], kinds: tuple[str, ...]) -> list[
     return sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2]))
 
 
-def outside(places: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The places that overlap no base span, found by bisection so that long texts stay cheap."""
+def merged(base: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the base spans cover."""
     starts: list[int] = []
     ends: list[int] = []
     for _, a, b in base:  # ordered by start; overlapping ones grow together
@@ -26,6 +26,12 @@ def outside(places: list[tuple[str, int, int]], base: list[tuple[str, int, int]]
         else:
             starts.append(a)
             ends.append(b)
+    return starts, ends
+
+
+def outside(places: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The places that overlap no base span, found by bisection so that long texts stay cheap."""
+    starts, ends = merged(base)
     kept = []
     for kind, a, b in places:
         i = bisect_left(starts, b) - 1  # the last base span that starts before the end
@@ -34,6 +40,22 @@ def outside(places: list[tuple[str, int, int]], base: list[tuple[str, int, int]]
     return kept
 
 
+def left_over(places: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The pieces of each place that no base span covers."""
+    starts, ends = merged(base)
+    pieces = []
+    for kind, a, b in places:
+        i = bisect_right(ends, a)  # the first base span that ends after the start
+        while i < len(starts) and starts[i] < b:
+            if a < starts[i]:
+                pieces.append((kind, a, starts[i]))
+            a = max(a, ends[i])
+            i += 1
+        if a < b:
+            pieces.append((kind, a, b))
+    return pieces
+
+
 def as_rows(spans: list[tuple[str, int, int]]) -> list[dict]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 

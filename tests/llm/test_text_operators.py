@@ -263,6 +263,17 @@ def test_secrets_link_parts_only_where_they_meet(spark):
     assert got == [("1", linked), ("1", linked), ("2", ""), ("3", ""), ("4", ""), ("None", linked)]
 
 
+def test_secrets_cover_long_values_to_their_end(spark):
+    token, name = "eyJ" + "zZ9_-.qX" * 88, "svc-" + "reports." * 20 + "x"
+    mixed = "user=bob host=db.example.com auth=" + token[:300] + "/" + "ab01" * 8 + "/" + token
+    rows = [(1, f'user={name} host=db.example.com auth="{token}" end'), (2, mixed)]
+    found = secrets.find(frame(spark, rows)).withColumn("masked", secrets.sp.masked(F.col("text"), F.col("spans")))
+    got = {r.doc_id: r.masked for r in found.collect()}
+    assert got[1] == 'user=[WEAK_ID] host=db.example.com auth="[WEAK_SECRET]" end'
+    assert got[2].startswith("user=[WEAK_ID] host=db.example.com auth=[WEAK_SECRET][HEX]") and token not in got[2]
+    assert secrets.weak_parts(mixed, secrets.base_spans(mixed))[0][1:] == (34, 335)
+
+
 def test_other_columns_stay_as_they_are(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = frame(spark, texts[:20]).withColumns({"base": F.lit("x"), "mentions": F.lit("y"), "extra": F.lit("z")})
