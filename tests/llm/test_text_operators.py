@@ -11,7 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 import tiktoken  # noqa: E402
 import xxhash  # noqa: E402
 
-from datakiln.llm import byte_bpe, pii, queries, secrets, simhash, token_counts  # noqa: E402
+from datakiln.llm import byte_bpe, near_copies, pii, queries, secrets, simhash, token_counts  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -167,6 +167,50 @@ def test_simhash_cuts_large_buckets_without_losing_links(spark, monkeypatch):
             assert (roots.get(signed(a), signed(a)) == roots.get(signed(b), signed(b))) == (want[i] == want[j])
 
 
+def edited_texts():
+    """Texts of 30 to 300 words and copies with some words changed, as (doc_id, text)."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(120):
+        words = [word() for _ in range(rng.randint(30, 300))]
+        texts.append(words)
+        for share in (0.005, 0.015, 0.025, 0.04):
+            texts.append([word() if rng.random() < share else w for w in words])
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def plain_groups(rows):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    owner = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if owner[i] != owner[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                old, new = max(owner[i], owner[j]), min(owner[i], owner[j])
+                owner = [new if x == old else x for x in owner]
+    return sorted(enumerate(owner))
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_agree_with_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rows = edited_texts()
+    want = plain_groups(rows)
+    got = near_copies.near_copies(spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string").repartition(3)).collect()
+    assert sorted({(r.doc_id, r.component_id) for r in got}) == want and len(got) == len(rows) + 2
+    pairs = near_copies.near_copies(spark.createDataFrame([(1, None), (2, " "), (3, "A b"), (4, "a  B"), (4, "other"), (None, "x")], "doc_id long, text string"))
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in pairs.collect()))) == ["(1, 1)", "(2, 1)", "(3, 3)", "(4, 3)", "(4, 4)", "(None, None)"]
+
+
+def test_pipeline_keeps_one_of_each_group(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = edited_texts()
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, root in plain_groups(rows) if i == root]
+
+
 BASE_PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
