@@ -58,6 +58,12 @@ def test_top_k_of_an_empty_table_is_empty(spark):
     assert near.nearest_neighbours(vectors_of(spark, odd_vectors()).filter("vec_id = -1"), "vec_id % 50 = 0").count() == 0
 
 
+def test_top_k_keeps_very_low_scores_of_few_candidates(spark):
+    rows = [(1, [1e6, 0.0, 0.0, 0.0]), (2, [-1e6, 0.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0, 0.0])]
+    got = top_k.top_k(vectors_of(spark, rows), "vec_id = 1").collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 3, 0), (2, 2, -(256 * 10**6) ** 2)]
+
+
 def cosine(a, b):
     return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
 
