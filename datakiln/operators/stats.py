@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from datakiln.functions.casts import finite
-from datakiln.functions.values import cut
 
 NUMBERS = ("mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis")
 BINS = 16
@@ -53,8 +52,8 @@ def column_stats(df: DataFrame, keys: list[str] = (), exact: bool = False) -> Da
 
 
 def value_counts(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
-    """(keys…, column, value, count) of non-null values as text, cut to a fixed length; counted before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), cut(F.col(c).cast("string")).alias("value")) for c in columns])
+    """(keys…, column, value, count) of non-null values as whole text; counted before the shuffle."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     long = df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").filter("value is not null")
     return long.groupBy(*keys, "column", "value").agg(F.count("*").alias("count"))
 

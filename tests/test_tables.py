@@ -284,3 +284,10 @@ def test_search_phrases_and_index(spark):
     assert found.first().name == "California" and [r.gvid for r in search.places_named(found, names).collect()] == ["06"]
     years = spark.createDataFrame([("p", 1978, 1981)], "doc string, first_year int, last_year int")
     assert search.in_years(years, (1979, 1980)).count() == 1 and search.in_years(years, (1979, 1980), inside=False).count() == 0
+
+
+def test_counts_take_whole_values(spark):
+    long = [("p" * 250 + end,) for end in "aab"]
+    df = spark.createDataFrame(long, "url string")
+    assert {(r.value, r["count"]) for r in stats.value_counts(df, ["url"]).collect()} == {(long[0][0], 2), (long[2][0], 1)}
+    assert stats.uvalues(df, ["url"]).first().uvalues == {long[0][0]: 2, long[2][0]: 1}
