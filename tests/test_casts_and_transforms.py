@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from datakiln.functions import casts, valuetypes
@@ -59,34 +61,47 @@ def test_spreadsheet_days(spark):
     assert applied(spark, lambda c: casts.excel_date(c, 1904), ["0", "1"]) == [dt.datetime(1904, 1, 1), dt.datetime(1904, 1, 2)]
 
 
-def test_normal_form_of_transforms():
-    forms = {
-        "!except|t1|t2|t3|t4|^init": "^init|t1|t2|t3|t4|!except",
-        "t1|^init|t2|!except|t3|t4;t1|t2|!except|t3|t4": "^init|t1|t2|t3|t4|!except;t1|t2|t3|t4|!except",
-        "|t1|^init|t2|!except|t3|t4;;": "^init|t1|t2|t3|t4|!except;;",
-        "^init": "^init",
-        "!except": "!except",
-        ";transform2": ";transform2",
-    }
-    assert {t: transforms.normal_form(t) for t in forms} == forms
-    for wrong in ("t1|^init;t1|^init", "t1|!a|!b", "^a|^b"):
-        with pytest.raises(ValueError):
-            transforms.parsed(wrong)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["trim", "scale", "row.other.year"]), max_size=3), st.booleans(), st.randoms()), min_size=1, max_size=4), st.booleans())
+def test_normal_form_orders_the_parts_of_each_stage(stages, started):
+    """Handlers and the initialiser may stand anywhere in their stage; the order of the pipes is kept."""
+    written, wanted = [], []
+    for place, (pipes, handled, chance) in enumerate(stages):
+        first = ["^begin"] if started and place == 0 else []
+        last = ["!rescue"] if handled else []
+        mixed = list(pipes)
+        for part in first + last:
+            mixed.insert(chance.randint(0, len(mixed)), part)
+        written.append(" | ".join(mixed))
+        wanted.append("|".join(first + pipes + last))
+    assert transforms.normal_form(";".join(written)) == ";".join(wanted)
+    assert transforms.normal_form(";".join(wanted)) == ";".join(wanted)
+
+
+@pytest.mark.parametrize("wrong", ["scale;^begin", "^begin|scale|^other", "scale;trim|!rescue|!again"])
+def test_a_second_or_late_part_is_an_error(wrong):
+    with pytest.raises(ValueError):
+        transforms.parsed(wrong)
 
 
 def spec(rows):
     return headers.TableSpec("t", {n: headers.ColumnSpec(i, n, k, transform=t) for i, (n, k, t) in enumerate(rows, 1)})
 
 
-def test_staged_transforms(spark):
-    df = spark.createDataFrame([("1", "1.0", "1.0", "1", "1", "one", "two", "06"), ("2", "1.0", "x", "1", "exception", "one", "two", None)], "n string, float_a string, float_b string, int_a string, int_b string, str_a string, str_b string, unused string")
+def test_stages_see_the_stage_before(spark):
+    """Prices of a shop: stage 2 reads what stage 1 made of the other columns, stage 3 what stage 2 made."""
+    df = spark.createDataFrame([("k1", "12", "0.5", "2020-03-04"), ("k2", "n/a", "2", None), ("k3", "7", "lots", "2021-12-31")], "ref string, price string, rate string, sold string")
     table = spec([
-        ("id", "int", "^row_number"), ("float_a", "float", "dbl"), ("float_b", "float", "!ignore;dbl;dbl;dbl|dbl"), ("int_a", "int", ""), ("int_b", "int", ";;clear_error"),
-        ("int_b_codes", "str", ";row.int_b.failed_value"), ("str_a", "str", "upper"), ("str_b", "str", "title|swap"), ("half", "float", ";row.float_a|halve"), ("absent", "date", ""),
+        ("line", "int", "^row_number"), ("ref", "str", "upper"), ("price", "int", "!ignore;double"), ("rate", "float", "capped;;clear_error"), ("rate_text", "str", ";row.rate.failed_value"),
+        ("due", "float", ";;times"), ("sold", "date", ""), ("quarter", "int", ";row.sold.month|quarter"), ("returned", "date", ""),
     ])
-    functions = {"dbl": lambda v: v * 2, "halve": lambda v, row: row["float_a"] / 2, "swap": lambda v: F.replace(v, F.lit("T"), F.lit("X"))}
-    got = transforms.cast_columns(df, table, functions, order=["n"]).orderBy("id").collect()
-    assert [tuple(r)[:-1] for r in got] == [(1, 2.0, 16.0, 1, 1, None, "ONE", "Xwo", 1.0, None), (2, 2.0, None, 1, None, "exception", "ONE", "Xwo", 1.0, None)]
+    functions = {"double": lambda v: v * 2, "capped": lambda v: F.least(v, F.lit(1.0)), "times": lambda v, row: row["price"] * row["rate"], "quarter": lambda v: F.ceil(v / 3)}
+    got = transforms.cast_columns(df, table, functions, order=["ref"]).orderBy("line").collect()
+    first, last = dt.date(2020, 3, 4), dt.date(2021, 12, 31)
+    assert [tuple(r)[:-1] for r in got] == [
+        (1, "K1", 24, 0.5, None, 12.0, first, 1, None),
+        (2, "K2", None, 1.0, None, None, None, None, None),
+        (3, "K3", 14, None, "lots", None, last, 4, None),
+    ]
     assert all(r["_errors"] == [] for r in got)
 
 
