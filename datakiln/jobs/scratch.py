@@ -2,36 +2,68 @@
 
 A saved table cuts the lineage: a lost executor costs the tasks it ran, not the
 stages before the table.  The folder is ``spark.checkpoint.dir`` of the session;
-only where that is unset (tests, one machine) a folder of our own is made.
+only where that is unset and all runs in one process (tests) a folder of our own is
+made: on a cluster each machine would write to its own disk, so that is an error.
 """
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
+_scopes: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the session, or one of our own where none is named."""
+    """The shared folder named by the session, or one of our own where one process is the whole cluster."""
     global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="spark-datakiln-")
     return _own_root
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, never given twice; removed with the `cleared` scope that it is taken in."""
+    path = f"{shared_root(spark)}/datakiln/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
 def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return it read from there.
 
-    Each call takes a new folder, so reruns never see old rows.  The files stay until
-    the shared folder is cleared, because the returned frame is lazy.
+    Each call takes a new folder, so reruns never see old rows.  The returned frame is lazy,
+    so the files stay until the shared folder is cleared, or until a `cleared` block ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/datakiln/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """A block whose saved tables are removed when it ends: use what it computes, or write it elsewhere, inside."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for path in held:
+            remove(spark, path)

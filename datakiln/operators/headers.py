@@ -35,6 +35,14 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with as many strokes behind it as it takes to differ from all ``taken`` ones in any case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def ascii_name(name: str) -> str:
     return name.encode("ascii", "ignore").decode()
 

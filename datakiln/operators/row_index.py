@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from datakiln.jobs import scratch
+from datakiln.operators.headers import unused
 
 
 def with_row_number(df: DataFrame, order: list[str | Column], name: str = "id", start: int = 1) -> DataFrame:
@@ -30,7 +31,26 @@ def with_row_number(df: DataFrame, order: list[str | Column], name: str = "id",
     return joined.select(number.alias(name), *kept.columns)
 
 
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name in ``sums``, the sum of its value over the rows of the same keys up to this one.
+
+    A key with very many rows is cut over several sorted ranges: each range sums its own
+    rows and starts from what the key's earlier ranges held, so no task gathers a key.  Null
+    keys are a key of their own.  ``order`` (columns of ``df``) must be total within a key.
+    """
+    part, late = unused("_range", df.columns), unused("_late", df.columns)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumns(sums).repartitionByRange(ranges, *keys, *order)
+    marked = scratch.save(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+    held = marked.groupBy(part, *keys).agg(*[F.sum(n).alias(n) for n in sums])
+    # a key has at most one row for each range here, so this window is small however hot the key
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(part, *keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums], F.lit(0).alias(late))
+    inside = Window.partitionBy(part, *keys).orderBy(late, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = before.unionByName(marked.withColumn(late, F.lit(1)), allowMissingColumns=True).withColumns({n: F.sum(n).over(inside) for n in sums})
+    return summed.filter(F.col(late) == 1).select(*[c for c in df.columns if c not in sums], *sums)
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "running") -> DataFrame:
-    """An accumulator along the rows of each key, in a stated order."""
-    along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(value).over(along))
+    """An accumulator along the rows of each key, in a stated order; null values add nothing."""
+    return prefix_sums(df, keys, order, {name: F.coalesce(F.col(value), F.lit(0))})

@@ -32,7 +32,7 @@ def coalesced_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders)""")
 def written_and_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partitioned write, and one partition read back by its directories."""
-    path = f"{scratch.shared_root(spark)}/datakiln/build-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = scratch.folder(spark, "build")
     rows = partitioned_orders(spark, sf_dir)
     build.write_partitions(rows, path)
     first = table(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")).cast("string")).first()[0]

@@ -1,7 +1,5 @@
 """Sources: text files written from the tables and read back as any messy source would be."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +13,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {}
 query = registrar(QUERIES)
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch.shared_root(spark)}/datakiln/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer""")
 def delimited_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV files with a header, all columns as text, cast to a declared schema."""
-    path = folder(spark, "csv")
+    path = scratch.folder(spark, "csv")
     build.extract(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey"), path)
     rows = readers.read(spark, readers.SourceSpec("customer", path))
     c = F.col
@@ -32,7 +26,7 @@ def delimited_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part""")
 def fixed_width_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of fixed widths, blanks as nulls."""
-    path = folder(spark, "fixed")
+    path = scratch.folder(spark, "fixed")
     line = F.concat(F.lpad(F.col("p_partkey").cast("string"), 12, " "), F.rpad("p_brand", 20, " "), F.lpad(F.col("p_size").cast("string"), 6, " "))
     table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
     rows = readers.fixed_width(spark, path, [("p_partkey", 1, 12), ("p_brand", 13, 20), ("p_size", 33, 6)])
@@ -45,7 +39,7 @@ def many_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several sources in one run, each row with the name of its source."""
     specs = []
     for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
-        path = folder(spark, name)
+        path = scratch.folder(spark, name)
         table(spark, sf_dir, name).select(F.col(key).alias("key")).write.parquet(path)
         specs.append(readers.SourceSpec(f"{name}s", path, "partition"))
     return runs.together(spark, specs).groupBy("_source").agg(F.count("*").alias("rows"), F.sum("key").alias("keys"))

@@ -7,16 +7,10 @@ from pyspark.sql import types as T
 
 def ingest_new(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str) -> int:
     """Read the files of ``source`` that the checkpoint has not seen, write them to ``out``; the rows written now."""
-    before = _rows(spark, out, schema)
     stream = spark.readStream.schema(schema).option("header", True).csv(source).withColumn("_file", F.input_file_name())
-    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
-    return _rows(spark, out, schema) - before
-
-
-def _rows(spark: SparkSession, path: str, schema: T.StructType) -> int:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path).count() if there else 0
+    written = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    written.awaitTermination()
+    return sum(batch.numInputRows for batch in written.recentProgress)
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -112,6 +112,21 @@ def test_row_numbers_have_no_gaps(spark):
     assert row_index.with_row_number(df.filter("k < 0"), ["k"]).count() == 0
 
 
+def test_running_totals_cross_ranges(spark):
+    """A hot key, null keys and null values, with columns that clash with the helper's own."""
+    made = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 11}", i * 7919 % 1009, None if i % 13 == 0 else i % 10, i) for i in range(1009)]
+    df = spark.createDataFrame(made, "k string, at int, v int, _range int").repartition(5)
+    got = {(r.k, r["at"]): (r.running, r["_range"]) for r in row_index.running_total(df, ["k"], ["at"], "v").collect()}
+    want, sums = {}, {}
+    for k, at, v, i in sorted(made, key=lambda r: r[1]):
+        sums[k] = sums.get(k, 0) + (v or 0)
+        want[k, at] = sums[k], i
+    assert got == want
+    whole = row_index.prefix_sums(df, [], ["at"], {"n": F.lit(1), "total": F.col("at").cast("long")}).collect()
+    assert all(r.n == r["at"] + 1 and r.total == r["at"] * (r["at"] + 1) // 2 for r in whole) and len(whole) == 1009
+    assert row_index.running_total(df.filter("at < 0"), ["k"], ["at"], "v").count() == 0
+
+
 def test_partitions_are_written_read_and_numbered(spark, tmp_path):
     df = spark.range(200).select("id", (F.col("id") % 3).alias("t"), F.when(F.col("id") % 2 == 0, "s-10").otherwise("s-2").alias("seg"))
     parts = build.with_partition(df, "tab", time=F.col("t"), segment=F.col("seg"))
