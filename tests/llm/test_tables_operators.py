@@ -144,13 +144,31 @@ def test_mixture_comes_near_its_targets(spark):
     assert sum(taken.values()) <= sum(sizes.values())
 
 
-def test_mixture_repeats_whole_rows(spark):
-    df = spark.createDataFrame(mixture_rows(), "doc_id long, text string, source string")
-    plan = {r.key: r.copies for r in mixing.mix_plan(df).collect()}
+def test_mixture_follows_its_plan_row_by_row(spark):
+    """Null ids, unlike texts under one id, repeated rows, a very long text, and columns named like the operator's own."""
+    rows = mixture_rows() + [(7, f"other text {i} " * (i % 9), "b") for i in range(40)] + [(None, f"no id {i} " * (i % 5), "b") for i in range(60)] + [(8, "same again " * 4, "a")] * 50
+    rows.append((9, "long " * 200_000, "Z"))
+    df = spark.createDataFrame([(*r, i, "clash") for i, r in enumerate(rows)], "doc_id long, text string, source string, _mix_row int, row string").repartition(4)
+    plan = mixing.mix_plan(df).collect()
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns
-    counted = {r.doc_id: r["count"] for r in mixed.filter("doc_id != 5").groupBy("doc_id").count().collect()}
-    assert counted == {k: c for k, c in plan.items() if c and k not in (5, None)}
+    assert mixed.columns == df.columns and len(plan) == len(rows)
+    want = {}
+    for r in plan:
+        if r.copies:
+            want[r.key, r.source, r.size] = want.get((r.key, r.source, r.size), 0) + r.copies
+    size = mixing.word_count(F.col("text")).alias("size")
+    got = {(r.doc_id, r.source, r.size): r["count"] for r in mixed.groupBy("doc_id", "source", size).count().collect()}
+    assert got == want
+    assert mixed.groupBy("_mix_row").count().agg(F.max("count")).first()[0] <= mixing.MOST_EPOCHS
+    assert mixed.subtract(df).count() == 0
+
+
+def test_many_sources_get_their_targets(spark):
+    sizes = {f"s{i:03d}": (i * 37) % 101 + 1 for i in range(300)} | {None: 50}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = plain_targets(sizes)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * want[s] for s in want)
 
 
 def test_mixture_of_an_empty_table_is_empty(spark):
