@@ -10,15 +10,18 @@ k-th best; those that set this bound always survive.  Survivors get the exact co
 original vectors in doubles.
 
 The number of lists to probe is measured on the sample so that `RECALL` of true
-neighbours lie in probed lists; a query whose lists hold too few rows probes more.  Lists are cut into blocks of bounded size by hash, so a
-list with very many copies is scanned in many tasks; what is broadcast are the centres and
-the rotation, bounded by `MOST_LISTS` and the length.  A row of another length than the
-sample's most common one is compared by the same scan with its own rotation, in one list.
+neighbours lie in probed lists; a query whose lists hold too few rows probes more.  Lists
+grow in number with the square root of the rows; what is broadcast are their centres,
+bounded by `CENTRE_BYTES`, and beyond that bound lists grow longer instead.  A list is cut
+into blocks of bounded bytes by hash, so a list with very many copies is scanned in many
+tasks, and a block is scanned in slices of `PAIRS_AT_ONCE` pairs.  A row of another length
+than the most common one is compared by the same scan with its own rotation, in one list.
 
 Zero vectors take no part; see `vectors` for the other cases.
 """
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,17 @@ from pyspark.sql import functions as F
 from datakiln.jobs import scratch
 from datakiln.llm import vectors
 
-FIT_ROWS, FIT_QUERIES, MOST_LISTS = 20_000, 400, 256
+#: The sample that centres are fitted on, the queries asked of it, and the rows of it that a list needs at least.
+FIT_ROWS, FIT_QUERIES, FIT_ROWS_A_LIST = 20_000, 400, 16
+#: Bytes of centres that are broadcast at most, and rows whose nearest centres are sought at once.
+CENTRE_BYTES, ROWS_AT_ONCE = 16 << 20, 1024
 RECALL = 0.97
 COLUMNS_A_BLOCK = 16
 WIDTH = 2.1
 #: Added to every bound on a squared distance of unit vectors: far above the rounding of doubles, so copies are not lost.
 ROUNDING = 1e-9
-ROWS_A_LIST, ROWS_A_BLOCK, QUERIES_A_BLOCK = 1024, 4096, 1024
+#: Pairs whose distances grow together: 16 columns of both sides of so many pairs take 32 MB.
+PAIRS_AT_ONCE = 1 << 17
 SEED = 7
 
 
@@ -50,12 +57,22 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def owners(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each unit row, some rows at a time."""
+    return np.concatenate([(rows[at : at + ROWS_AT_ONCE] @ centres.T).argmax(axis=1) for at in range(0, len(rows), ROWS_AT_ONCE)] or [np.empty(0, int)])
+
+
+def lists_for(rows: int, sample: int, dim: int) -> int:
+    """How many lists: the square root of the rows, within what the sample can fit and what may be broadcast."""
+    return max(1, min(isqrt(rows), sample // FIT_ROWS_A_LIST, CENTRE_BYTES // (8 * dim)))
+
+
 def fit_centres(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means on unit rows."""
     rng = np.random.default_rng(SEED)
     centres = sample[rng.choice(len(sample), lists, replace=False)]
     for _ in range(rounds):
-        owner = (sample @ centres.T).argmax(axis=1)
+        owner = owners(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, owner, sample)
         empty = ~sums.any(axis=1)
@@ -70,7 +87,7 @@ def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int, recall: float
     scores = asked @ sample.T
     np.fill_diagonal(scores, -np.inf)
     near = np.argpartition(-scores, min(k, len(sample) - 1) - 1, axis=1)[:, :k]
-    owner = (sample @ centres.T).argmax(axis=1)
+    owner = owners(sample, centres)
     order = np.argsort(-(asked @ centres.T), axis=1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(centres))[None, :].repeat(len(asked), axis=0), axis=1)
@@ -113,21 +130,28 @@ def search_block(k: int):
     """For one block of a list and one block of queries: the best k candidates of each query."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")
-            ids, asked_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        left = left.sort_by("vec_id")  # nulls last, so ties go to the smaller id
+        numbers, askers = left.column("row").to_numpy(), right.column("row").to_numpy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(numbers) and len(askers):
             rows, queries = vectors.matrix(left), vectors.matrix(right)
             turn = rotation(rows.shape[1])
             unit_rows, unit_queries = unit(rows), unit(queries)
-            own = asked_ids[:, None] == ids[None, :]
-            asked, row = scan(unit_queries @ turn, unit_rows @ turn, own, k)
-            score = cosine(queries[asked], rows[row], unit_queries[asked], unit_rows[row])
-            order = np.lexsort((ids[row], -score, asked))
-            asked, row, score = asked[order], row[order], score[order]
-            first = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
-            found = {"query_id": asked_ids[asked[first]], "vec_id": ids[row[first]], "score": score[first]}
-        return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_id": pa.array(found["vec_id"], pa.int64()), "score": pa.array(found["score"], pa.float64())})
+            turned_rows, turned_queries = unit_rows @ turn, unit_queries @ turn
+            for at in vectors.slices(len(askers), len(numbers), PAIRS_AT_ONCE):
+                asked, row = scan(turned_queries[at], turned_rows, askers[at, None] == numbers[None, :], k)
+                score = np.empty(len(asked))
+                step = max(1, COLUMNS_A_BLOCK * PAIRS_AT_ONCE // 4 // rows.shape[1])
+                for a in range(0, len(asked), step):
+                    some = slice(a, a + step)
+                    q = asked[some] + at.start
+                    score[some] = cosine(queries[q], rows[row[some]], unit_queries[q], unit_rows[row[some]])
+                order = np.lexsort((row, -score, asked))
+                asked, row, score = asked[order] + at.start, row[order], score[order]
+                first = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+                found.append((asked[first], row[first], score[first]))
+        asked, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"asked": askers[asked], "query_id": right.column("vec_id").take(pa.array(asked, pa.int64())), "vec_id": left.column("vec_id").take(pa.array(row, pa.int64())), "score": score})
 
     return run
 
@@ -147,14 +171,16 @@ def assign(rows: DataFrame, centres: np.ndarray, probes: int, sizes: dict[int, i
             lengths = batch.value_lengths().to_numpy(zero_copy_only=False)
             lists = [[0]] * len(batch)
             fit = np.flatnonzero(lengths == c.shape[1])
-            if len(fit):
-                v = batch.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(len(fit), -1)
-                order = np.argsort(-(unit(v) @ c.T), axis=1, kind="stable")
-                depth = np.full(len(fit), probes)
-                if least:
-                    depth = np.maximum(depth, (held[order].cumsum(axis=1) < least).sum(axis=1) + 1)
-                for i, chosen, n in zip(fit.tolist(), order.tolist(), depth.tolist(), strict=True):
-                    lists[i] = chosen[:n]
+            for some in np.array_split(fit, -(-len(fit) // ROWS_AT_ONCE)) if len(fit) else []:
+                v = unit(batch.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1))
+                if probes == 1 and not least:
+                    chosen = owners(v, c)[:, None]
+                    depth = np.ones(len(some), int)
+                else:
+                    chosen = np.argsort(-(v @ c.T), axis=1, kind="stable")
+                    depth = np.maximum(probes, (held[chosen].cumsum(axis=1) < least).sum(axis=1) + 1)
+                for i, mine, n in zip(some.tolist(), chosen.tolist(), depth.tolist(), strict=True):
+                    lists[i] = mine[:n]
             yield pa.array(lists, pa.list_(pa.int32()))
 
     return rows.withColumn("lists", nearest("v")).withColumn("list", F.explode("lists")).drop("lists")
@@ -165,26 +191,26 @@ def nearest_neighbours(rows: DataFrame, is_query: str, k: int = 5, key: str = "v
     whole = scratch.save(vectors.valid(rows, key, vector, nonzero=True), "vectors")
     common = whole.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     n, dim = (common["count"], common["dim"]) if common else (0, 1)
-    lists = min(MOST_LISTS, max(1, n // ROWS_A_LIST))
-    taken = whole.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", F.lit(SEED))).limit(FIT_ROWS).select("v").toArrow()
+    taken = whole.filter(F.col("dim") == dim).orderBy(F.xxhash64("v", F.lit(SEED)), "row").limit(FIT_ROWS).select("v").toArrow()
     if taken.num_rows > k:
         sample = unit(vectors.matrix(taken))
-        centres = fit_centres(sample, min(lists, len(sample)))
+        centres = fit_centres(sample, lists_for(n, len(sample), dim))
         probes = probes_needed(sample, centres, k)
     else:
         centres, probes = np.eye(1, dim), 1
     owned = scratch.save(assign(whole, centres, 1), "lists")
-    held = owned.filter(F.col("dim") == dim).groupBy("list").count()  # at most MOST_LISTS rows
-    asked = assign(whole.filter(is_query), centres, probes, {r["list"]: r["count"] for r in held.collect()}, k + 1)
-    h = F.xxhash64("vec_id")
-    sizes = owned.groupBy("list", "dim").agg(F.ceil(F.count("*") / ROWS_A_BLOCK).cast("int").alias("parts"))
+    held = owned.filter(F.col("dim") == dim).groupBy("list").count()  # as many rows as centres
+    queries = whole.filter(is_query).filter("vec_id is not null")
+    asked = assign(queries, centres, probes, {r["list"]: r["count"] for r in held.collect()}, k + 1)
+    h = F.xxhash64("row")
+    room = F.greatest(F.lit(64), F.floor(vectors.BLOCK_BYTES / (8 * F.col("dim"))))  # rows of a block
+    sizes = owned.groupBy("list", "dim").agg(F.ceil(F.count("*") / room).cast("int").alias("parts"))
     askers = scratch.save(asked, "askers")
-    loads = askers.groupBy("list", "dim").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).cast("int").alias("blocks"))
-    # one row for each list and length: bounded by MOST_LISTS for each length
-    plan = sizes.join(loads, ["list", "dim"])
+    loads = askers.groupBy("list", "dim").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks"))
+    plan = sizes.join(loads, ["list", "dim"])  # one row for each list and length
     left = owned.join(plan, ["list", "dim"]).withColumns({"part": F.pmod(h, F.col("parts")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     right = askers.join(plan, ["list", "dim"]).withColumns({"block": F.pmod(h, F.col("blocks")).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     keys = ["list", "dim", "part", "block"]
-    columns = [*keys, "vec_id", "v"]
-    found = left.select(*columns).groupBy(*keys).cogroup(right.select(*columns).groupBy(*keys)).applyInArrow(search_block(k), "query_id long, vec_id long, score double")
+    columns = [*keys, "row", "vec_id", "v"]
+    found = left.select(*columns).groupBy(*keys).cogroup(right.select(*columns).groupBy(*keys)).applyInArrow(search_block(k), "asked long, query_id long, vec_id long, score double")
     return vectors.best(found, k)

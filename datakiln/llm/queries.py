@@ -78,15 +78,14 @@ def oracle_sql() -> dict[str, str]:
 TOP_K_SQL = """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-whole AS (SELECT vec_id, list_transform(min(v), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM sound GROUP BY vec_id),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+whole AS MATERIALIZED (SELECT row_number() OVER () AS place, vec_id, list_transform(v, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM sound),
 scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+  SELECT q.place, q.vec_id AS query_id, r.vec_id AS vec_id,
          CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)),
+  FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND q.place <> r.place AND len(q.v) = len(r.v)),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
