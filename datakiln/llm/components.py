@@ -43,3 +43,19 @@ def components(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def joined_names(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, …) with what ``names`` (key, held, …) says of their key; ``held`` is the number of rows of a key.
+
+    Keys that hold more rows than an even share of a shuffle partition would gather in one
+    task; there are fewer of them than shuffle partitions, so they are broadcast and their
+    rows stay where they are.  All other rows meet their names by a shuffle.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = names.agg(F.sum("held")).first()[0] or 0
+    hot = names.filter(F.col("held") > whole / parts)
+    known = F.broadcast(hot.drop("held"))
+    here = rows.join(known, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(names.drop("held"), key)
+    return here.unionByName(rest)

@@ -11,8 +11,12 @@ never become pairs; a bucket above `BUCKET` is cut into blocks and each pair of
 searched on its own, which keeps every link and bounds each task.
 
 Null and empty texts, and texts of white space, have fingerprint zero and link like any
-other.  Repeated rows are repeated in the result.  A null doc_id takes part but is never
-a component's name unless the component has no other.
+other.  Texts are hashed whole; bits are counted some shingles at a time, so very long ones
+take bounded memory beside their words.  Repeated rows are repeated in the result.  A null
+doc_id takes part but is never a component's name unless the component has no other.  A
+fingerprint of very many rows, and a bucket of very many fingerprints, is cut over tasks.
+Only the named columns are read, so other columns may have any names.  An empty table gives
+an empty result.
 """
 
 from collections.abc import Iterator
@@ -22,10 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from datakiln.jobs import scratch
-from datakiln.llm.components import components
+from datakiln.llm.components import components, joined_names
 
 BITS, SEED = 64, 42
 #: Fingerprints that one search holds; larger buckets are searched block by block.
@@ -141,8 +144,8 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
     """Distinct fingerprints (fp) to edges (a, b) that connect all that lies within the radius."""
     masks = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))])
     bucketed = prints.select("fp", F.explode(masks).alias("k"))
-    sized = bucketed.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n > 1")
-    shared = scratch.save(sized, "buckets")
+    sizes = bucketed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.save(bucketed.join(scratch.save(sizes, "sizes"), "k"), "buckets")
     searched = shared.filter(F.col("n") <= BUCKET).select("k", "fp")
     blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     block = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), blocks).cast("int")
@@ -160,14 +163,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links."""
     printed = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words_each).alias("fp"))
     printed = scratch.save(printed, "fingerprints")
-    least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
     roots = scratch.save(components(fingerprint_links(least.select("fp"), radius)), "roots")
     grouped = roots.join(least, roots.node == least.fp).select("node", "root", "least")
     named = grouped.groupBy("root").agg(F.min("least").alias("joint"))
     joint = grouped.join(named, "root").select(F.col("node").alias("fp"), "joint")
-    names = least.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
-    names = scratch.save(names, "names")  # both sides of the next join are then dealt anew, so a hot fingerprint can be split
-    return printed.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = least.join(joint, "fp", "left").select("fp", "held", F.coalesce("joint", "least").alias("component_id"))
+    return joined_names(printed, scratch.save(names, "names"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
