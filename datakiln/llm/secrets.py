@@ -10,7 +10,9 @@ The joins run on (text, interval of scope length), so a group holds what fits in
 scopes however long the text is, and they are semi joins: no pairs are made.  A weak
 value is taken to its end, however long; what base spans cover of it is left to them.
 Distances are measured between starts.  Null texts
-count as empty; repeated rows give repeated results; an empty table gives an empty result.
+count as empty; repeated rows give repeated results; texts of any length are scanned whole,
+in linear time; spans that start together are ordered by kind, then end; an empty table
+gives an empty result.
 """
 
 import re
@@ -32,11 +34,11 @@ SCOPE = 400
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-SET = r"""["']?\x20{0,4}[:=]\x20{0,4}["']?"""
+SET = r"""["']?\x20*+[:=]\x20*+["']?"""
 WEAK = (
     ("secret", re.compile(rf"(?<![A-Za-z])(?:pwd|pass|passphrase|credentials?|auth|private[_ -]?key)(?![A-Za-z]){SET}([^\s\"'<>]{{6,}}+)", re.ASCII | re.IGNORECASE)),
     ("id", re.compile(rf"(?<![A-Za-z])(?:access[_ -]?key[_ -]?id|client[_ -]?id|user(?:[_ -]?name)?|login|account)(?![A-Za-z]){SET}([A-Za-z0-9_.@-]{{3,}}+)", re.ASCII | re.IGNORECASE)),
-    ("endpoint", re.compile(rf"(?:[a-z][a-z0-9+.-]{{1,20}}://|(?<![A-Za-z])(?:host(?:name)?|server|endpoint|url){SET})([^\s\"'<>]{{4,200}})", re.ASCII | re.IGNORECASE)),
+    ("endpoint", re.compile(rf"(?:(?<=[a-z0-9+.-])://|(?<![A-Za-z])(?:host(?:name)?|server|endpoint|url){SET})([^\s\"'<>]{{4,}}+)", re.ASCII | re.IGNORECASE)),
 )
 
 
@@ -63,12 +65,12 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
 def scan(text: Column) -> Column:
     """One pass over a text column: base spans and weak parts."""
 
-    @F.arrow_udf(f"struct<base:{sp.SPANS},parts:{sp.SPANS}>")
+    @F.arrow_udf(f"struct<base:{sp.SPANS},noted:{sp.SPANS}>")
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in sp.batches_of(batches):
             base = [base_spans(t) for t in texts]
             parts = [weak_parts(t, b) for t, b in zip(texts, base, strict=True)]
-            yield pa.StructArray.from_arrays([pa.array(map(sp.as_rows, x), sp.ARROW_SPANS) for x in (base, parts)], ["base", "parts"])
+            yield pa.StructArray.from_arrays([pa.array(map(sp.as_rows, x), sp.ARROW_SPANS) for x in (base, parts)], ["base", "noted"])
 
     return scanned(text)
 
@@ -82,10 +84,8 @@ def in_scope(parts: DataFrame, others: DataFrame, scope: int) -> DataFrame:
     return here.join(near, met, "left_semi").drop("at")
 
 
-def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row, kind, start, end) of the weak parts whose complementary parts co-occur in scope."""
-    weak = rows.select(F.col(sp.ROW).alias("row"), F.explode(sp.NOTED).alias("p")).select("row", F.col("p.kind").alias("role"), "p.start", "p.end")
-    strong = rows.filter(F.size(sp.NOTED) > 0).select(F.col(sp.ROW).alias("row"), F.explode("base").alias("p")).select("row", F.col("p.kind").alias("role"), "p.start", "p.end")
+def linked(weak: DataFrame, strong: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Weak parts and base spans (row, role, start, end) to (row, kind, start, end) of the weak parts whose complementary parts co-occur in scope."""
     ids = weak.filter("role = 'id'")
     all_ids = ids.union(strong.filter("role = 'access'"))
     ends = weak.filter("role = 'endpoint'")
@@ -95,16 +95,21 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     return complete.withColumn("kind", F.lit("weak_secret")).union(named.withColumn("kind", F.lit("weak_id"))).select("row", "kind", "start", "end")
 
 
-def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with base and spans (arrays of spans, the second with linked weak parts); one row for each row.
+def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, base: str = "base", spans: str = "spans") -> DataFrame:
+    """``docs`` with ``base`` and ``spans`` (arrays of spans, the second with linked weak parts); one row for each row.
 
     ``keep`` names the columns that are carried along (all, if None); what is not named is
-    not written with the intermediate rows.  Columns base and spans of ``docs`` are replaced.
+    not written with the intermediate rows.  Columns of ``docs`` that are named as ``base``
+    and ``spans`` are replaced, others may have any names.
     """
-    carried = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
-    noted = docs.select(*carried, scan(F.col(text)).alias(sp.NOTED)).withColumns({sp.ROW: F.monotonically_increasing_id(), "base": F.col(f"{sp.NOTED}.base"), sp.NOTED: F.col(f"{sp.NOTED}.parts")})
-    rows = scratch.save(noted, "secrets")
-    return sp.add_spans(rows, linked(rows), F.size(sp.NOTED) > 0, KINDS).drop(sp.ROW, sp.NOTED)
+    rows, row, note = sp.noted(docs, keep, scan(F.col(text)), base, spans, "secrets")
+    waiting = F.size(note) > 0
+
+    def each(column: str) -> DataFrame:
+        parts = rows.filter(waiting).select(F.col(row).alias("row"), F.explode(column).alias("p"))
+        return parts.select("row", F.col("p.kind").alias("role"), "p.start", "p.end")
+
+    return sp.add_spans(rows, row, linked(each(note), each(base)), waiting, KINDS, base, spans).drop(row, note)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datakiln.llm.identity import identified
+from datakiln.operators.headers import unused
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -99,21 +102,31 @@ def masked(text: Column, spans: Column) -> Column:
     return replace(text, spans)
 
 
-#: Columns that the span operators need on the way; names that no table has.
-ROW, NOTED, EXTRA = "_span_row", "_span_noted", "_span_extra"
+def noted(docs: DataFrame, keep: list[str] | None, scanned: Column, base: str, spans: str, name: str) -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` saved with a number, their base spans and what else a scan noted; the names of number and notes.
+
+    ``scanned`` is a struct<base, noted>.  Of ``docs`` the columns ``keep`` (all, if None)
+    are carried, but for those named as ``base`` and ``spans``, which the result replaces.
+    """
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in (base, spans)]
+    note = unused("_noted", [*carried, base, spans])
+    made = docs.select(*carried, scanned.alias(note)).withColumns({base: F.col(f"{note}.base"), note: F.col(f"{note}.noted")})
+    rows, row = identified(made.select(*carried, base, note), f"_{name}")
+    return rows, row, note
 
 
-def add_spans(rows: DataFrame, extra: DataFrame, waiting: Column, kinds: tuple[str, ...]) -> DataFrame:
-    """``rows`` (`ROW`, base, …) with ``spans``: the base spans and those of ``extra`` (row, kind, start, end).
+def add_spans(rows: DataFrame, row: str, extra: DataFrame, waiting: Column, kinds: tuple[str, ...], base: str, spans: str) -> DataFrame:
+    """``rows`` (row, base, …) with ``spans``: the base spans and those of ``extra`` (row, kind, start, end).
 
     Only rows for which ``waiting`` holds can have extra spans; the others take no part in
     the join, so their texts are not shuffled.
     """
-    here = extra.groupBy(F.col("row").alias("_extra_row")).agg(F.collect_set(F.struct("kind", "start", "end")).alias(EXTRA))
-    joined = rows.filter(waiting).join(here, F.col(ROW) == F.col("_extra_row"), "left").drop("_extra_row")
-    both = F.when(F.col(EXTRA).isNull(), F.col("base")).otherwise(ordered(F.concat("base", EXTRA), kinds))
-    found = joined.withColumn("spans", both).drop(EXTRA)
-    return rows.filter(~waiting).withColumn("spans", F.col("base")).unionByName(found)
+    more, of = unused("_more", rows.columns), unused("_of", rows.columns)
+    here = extra.groupBy(F.col("row").alias(of)).agg(F.collect_set(F.struct("kind", "start", "end")).alias(more))
+    joined = rows.filter(waiting).join(here, F.col(row) == F.col(of), "left")
+    both = F.when(F.col(more).isNull(), F.col(base)).otherwise(ordered(F.concat(base, more), kinds))
+    found = joined.withColumn(spans, both).drop(more, of)
+    return rows.filter(~waiting).withColumn(spans, F.col(base)).unionByName(found)
 
 
 def batches_of(batches: Iterator[pa.Array]) -> Iterator[list[str]]:

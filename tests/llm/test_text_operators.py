@@ -1,6 +1,8 @@
 """Token counts, byte-level BPE, near copies, personal data and secrets against plain versions."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -147,8 +149,6 @@ def test_simhash_masks_cover_the_radius():
 
 
 def test_simhash_cuts_large_buckets_without_losing_links(spark, monkeypatch):
-    import random
-
     monkeypatch.setattr(simhash, "BUCKET", 8)
     rng = random.Random(3)
     prints, now = [], 0x0123456789ABCDEF
@@ -169,8 +169,6 @@ def test_simhash_cuts_large_buckets_without_losing_links(spark, monkeypatch):
 
 def edited_texts():
     """Texts of 30 to 300 words and copies with some words changed, as (doc_id, text)."""
-    import random
-
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     texts = []
@@ -261,6 +259,88 @@ def test_pii_patterns_do_not_vouch_for_themselves(spark):
     assert all(got[50 + i] == "" for i in range(4)) and all(got[i] for i in range(4))
 
 
+def test_pii_believed_instances_induce_new_patterns(spark):
+    """Seeds make a second pattern's instances believed, these a third one's, and each pattern finds one more."""
+    digits = lambda i: f"08{i:02d} 555 {7000 + i}"
+    rows = [(i, f"please call hotline +1 (2{i:02d}) 555-0{100 + i} today") for i in range(60)]
+    rows += [(100 + i, f"now call hotline {digits(i)} today and ring desk {digits(i)} later") for i in range(8)]
+    rows += [(200, f"just ring desk {digits(50)} now"), (300, f"sold about {digits(60)} items")]
+    rows += [(210 + i, f"just ring desk {digits(70 + i)} now, or dial extension {digits(70 + i)} then") for i in range(3)]
+    rows += [(220, f"you may dial extension {digits(80)} then")]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(frame(spark, rows))).collect()}
+    texts = dict(rows)
+    for i in (*range(100, 108), 200, *range(210, 213), 220):
+        found = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",")]
+        assert all(texts[i][a:b].startswith("08") for a, b in found) and len(found) == texts[i].count(" 555 ")
+    assert got[300] == ""
+
+
+def test_pii_contradicted_patterns_find_nothing(spark):
+    """Seeds of two kinds after one pattern, and numbers too long for the kind, count against it; unlike kinds are not taken."""
+    rows = [(i, f"write to us +1 (20{i}) 555-01{i}{i} or") for i in range(5)] + [(10 + i, f"write to us a{i}@b.example or") for i in range(5)]
+    rows += [(20, "write to us 0800 555 7788 or")]
+    rows += [(30 + i, f"our mail box c{i}@d.example or") for i in range(6)] + [(40, "our mail box 0800 555 7799 or"), (41, "our mail box nina (at) web (dot) example or")]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(frame(spark, rows))).collect()}
+    assert got[20] == "" and got[40] == "" and got[41] == "email:13:40"
+
+
+def plain_beliefs(rows, rounds=pii.ROUNDS):
+    """The scoring of the graph in plain Python: (kind, fits, pattern, instance) to {instance: kind}."""
+    seeds = {}
+    for kind, _, _, i in rows:
+        if kind:
+            seeds[i] = max(kind, seeds.get(i, ""))
+    edges = {}
+    for _, fits, p, i in rows:
+        if p:
+            edges.setdefault(p, {})[i] = max(fits, edges.get(p, {}).get(i, ""))
+    edges = {p: e for p, e in edges.items() if len(e) >= pii.LEAST_SUPPORT}
+    votes = {}
+    belief = lambda i, k, but=None: 1 - math.prod(1 - min(t, 0.999) for p, t in votes.get((i, k), {}).items() if p != but)
+    for _ in range(rounds):
+        trust = {}
+        for p, e in edges.items():
+            for k in pii.KINDS:
+                known = sum(seeds.get(i) == k for i in e)
+                open_ = [i for i, fits in e.items() if i not in seeds and k in fits.split(",")]
+                sure = [b for i in open_ if (b := belief(i, k, p)) >= pii.BELIEVED]
+                against = len(e) - known - len(open_) + pii.UNKNOWN * (len(open_) - len(sure))
+                if (known or open_) and known + len(sure) >= pii.LEAST_SUPPORT and (t := (known + sum(sure)) / (known + sum(sure) + against)) >= pii.TRUSTED:
+                    trust[p, k] = t, open_
+        votes = {}
+        for (p, k), (t, open_) in trust.items():
+            for i in open_:
+                votes.setdefault((i, k), {})[p] = t
+    found = dict(seeds)
+    for i in {i for i, _ in votes}:
+        best = max((belief(i, k), k) for k in pii.KINDS)
+        if best[0] >= pii.BELIEVED:
+            found[i] = best[1]
+    return found
+
+
+def test_pii_graph_agrees_with_plain_scoring(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(4000):
+        world, n = rng.choice(["phone", "card"]), rng.randrange(14)
+        p = rng.choice(["", *[f"{world} {n}"] * 6, f"mixed {n}"])
+        i = (rng.randint(0, 40) + 10 * n) * 2 + (world == "card")  # a pattern shares most instances with the next one
+        seed = i < 100 and i % 11 > 2
+        rows.append((world if seed else "", "" if seed else rng.choice([world, world, "card,phone"]) if i % 13 else "", p, i))
+    df = spark.createDataFrame(rows, "kind string, fits string, pattern string, instance long")
+    want = plain_beliefs(rows)
+    got = {r.instance: r.kind for r in pii.believed_instances(df).collect()}
+    assert got == want and len(want) > len({i for k, _, _, i in rows if k}) + 20
+    assert len(plain_beliefs(rows, 1)) + 20 < len(want)  # later rounds find more
+
+
+def test_patterns_take_whole_words():
+    long = "x" * 5000
+    text = f"call {long} 0800 555 7788, Nr.7-0800 555 7799"
+    assert pii.patterns_before(text, [text.index("0800"), text.rindex("0800"), 3]) == [f"call {long}", "nr #", ""]
+
+
 def test_places_outside_base_spans():
     from datakiln.llm import spans
 
@@ -320,11 +400,39 @@ def test_secrets_cover_long_values_to_their_end(spark):
 
 def test_other_columns_stay_as_they_are(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    df = frame(spark, texts[:20]).withColumns({"base": F.lit("x"), "mentions": F.lit("y"), "extra": F.lit("z")})
-    for made, replaced in ((pii.find(df), {"base"}), (secrets.find(df), {"base"}), (byte_bpe.round_trip(df, path, public_tokenizers.PATTERN), set())):
-        kept = [c for c in df.columns if c not in replaced]
-        assert set(kept) <= set(made.columns)
-        assert sorted(map(str, made.select(*kept).collect())) == sorted(map(str, df.select(*kept).collect()))
+    own = ("base", "spans", "mentions", "extra", "_noted", "_pii", "_secrets", "_more", "_of", "kind", "start", "ids_")
+    df = frame(spark, texts[:20]).withColumns({n: F.lit(n) for n in own})
+    names = {"base": "_base", "spans": "_spans"}
+    for made in (pii.find(df, **names), secrets.find(df, **names), byte_bpe.round_trip(df, path, public_tokenizers.PATTERN)):
+        assert set(df.columns) <= set(made.columns)
+        assert sorted(map(str, made.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    assert set(pii.find(df).columns) == set(df.columns) == set(secrets.find(df).columns)  # base and spans are replaced
+
+
+def plain_links(text, scope=secrets.SCOPE):
+    """Weak spans by comparing all parts of a text with each other."""
+    base = secrets.base_spans(text)
+    parts = secrets.weak_parts(text, base)
+    near = lambda p, others: any(abs(p[1] - o[1]) <= scope for o in others)
+    ids, ends = [p for p in parts if p[0] == "id"], [p for p in parts if p[0] == "endpoint"]
+    named = ids + [b for b in base if b[0] == "access"]
+    whole = lambda places: [p for p in places if near(p, named) and near(p, ends)]
+    sure = whole([p for p in parts if p[0] == "secret"])
+    linked = [p for p in ids if near(p, sure + whole([b for b in base if b[0] in ("assign", "hex")]))]
+    found = sorted({*base, *(("weak_secret", a, b) for _, a, b in sure), *(("weak_id", a, b) for _, a, b in linked)}, key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+
+
+def test_secrets_links_agree_with_all_pairs(spark):
+    rng = random.Random(6)
+    pieces = ["user=svc_{n}", "pwd = Zx{n}kk2!q", "host: db{n}.example.net", "https://h{n}.example.org/p", "AKIAABCDEFGHIJKL{n:04d}", "password: hunter{n}hunter", "0123456789abcdef" * 2 + "{n}"]
+    rows = [(0, None), (1, "")]
+    for i in range(2, 120):
+        words = [rng.choice(pieces).format(n=rng.randint(10, 99)) if rng.random() < 0.15 else "w" * rng.randint(1, 60) for _ in range(rng.randint(1, 120))]
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.spans for r in secrets.report(secrets.find(frame(spark, rows))).collect()}
+    assert got == {i: plain_links(t or "") for i, t in rows}
+    assert sum("weak_secret" in s for s in got.values()) > 10
 
 
 def test_empty_tables_give_empty_results(spark):
