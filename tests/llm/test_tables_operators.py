@@ -1,5 +1,6 @@
 """Searches, mixture, classifiers and the pipeline against plain versions and held-out labels."""
 
+import hashlib
 import math
 import random
 import tracemalloc
@@ -313,3 +314,80 @@ def test_pipeline_stages(spark):
         docs = out
     assert docs.filter("n_tokens = 0 and ids_sha256 is null").count() == 0
     assert sizes[1] > 0.8 * sizes[0]
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def odd_documents():
+    """Null and repeated ids, unlike texts under one id, near and exact copies, null, empty and very long texts."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=5))
+    long = " ".join(word() for _ in range(180_000))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[1] + " end"), (3, texts[5]), (4, "quite another text than the first one under this number"), (4, texts[4]), (4, texts[4])]
+    rows += [(30, None), (31, ""), (32, " \n"), (None, None), (40, long), (41, long + " more"), (50, "write to ann@b.example or +1 (201) 555-0123 now"), (None, "or ip 10.2.3.4 here")]
+    docs = [(i, t, "en", rng.choice(["a", "b", None]), None if t is None else len(t)) for i, t in rows]
+    return [(*d, "s", "b", n, "x", [1], "k", "m") for n, d in enumerate(docs)]
+
+
+def odd_frame(spark, rows):
+    own = "spans string, base string, place int, _kept_key string, _copy_row array<int>, kind string, ids string"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {own}").repartition(3)
+
+
+def test_near_copy_stage_keeps_the_first_of_each_group(spark):
+    rows = odd_documents()
+    owner = list(range(len(rows)))
+    sets = [shingles(r[1]) for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                owner = [owner[j] if o == owner[i] else o for o in owner]
+    want = []
+    for group in set(owner):
+        ids = [rows[i][0] for i in range(len(rows)) if owner[i] == group]
+        want.append((min((x for x in ids if x is not None), default=None), group))
+    got = corpus_pipeline.drop_near_copies(spark, odd_frame(spark, rows), SF)
+    assert got.columns == odd_frame(spark, rows).columns
+    kept = got.collect()
+    assert sorted(str((r.doc_id, owner[r.place])) for r in kept) == sorted(map(str, want))
+    assert all(tuple(r) == rows[r.place] for r in kept)
+
+
+def test_personal_data_and_encoding_stages_on_odd_rows(spark):
+    rows = odd_documents()
+    got = {r.place: r for r in corpus_pipeline.hide_personal_data(spark, odd_frame(spark, rows), SF).collect()}
+    assert len(got) == len(rows)
+    for n, row in enumerate(rows):
+        text = row[1] and row[1].replace("ann@b.example", "[EMAIL]").replace("+1 (201) 555-0123", "[PHONE]").replace("10.2.3.4", "[IP]")
+        assert tuple(got[n]) == (row[0], text, row[2], row[3], None if text is None else len(text), *row[5:])
+    coded = corpus_pipeline.encode(spark, odd_frame(spark, rows), SF).collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert sorted(map(str, ((r.doc_id, r.source, r.decoded_sha256) for r in coded))) == sorted(map(str, ((r[0], r[3], sha(r[1])) for r in rows)))
+
+
+def test_quality_and_mixture_stages_on_odd_rows(spark):
+    rows = odd_documents()
+    docs = odd_frame(spark, rows)
+    kept = corpus_pipeline.keep_good(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and kept.subtract(docs).count() == 0
+    by_text = {}
+    for r in kept.groupBy("text").count().collect():
+        by_text[r.text or ""] = by_text.get(r.text or "", 0) + r["count"]
+    assert all(n == sum((r[1] or "") == t for r in rows) for t, n in by_text.items())  # alike texts go or stay together
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    plan = mixing.mix_plan(docs).collect()
+    taken = {r.place: r["count"] for r in mixed.groupBy("place").count().collect()}
+    assert mixed.columns == docs.columns and sum(taken.values()) == sum(r.copies for r in plan) and max(taken.values()) <= 3
+    assert not {n for n, r in enumerate(rows) if not (r[1] or "").split()} & taken.keys()
+
+
+def test_pipeline_stages_take_empty_tables(spark):
+    docs = odd_frame(spark, odd_documents()).filter("doc_id = -1")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0 and (name == "byte_bpe" or out.columns == docs.columns)
