@@ -6,8 +6,12 @@ pairs that explain most of what is left.  A document's score is the logistic of
 its bins' entries, looked up for whole Arrow batches at once.
 
 The model is fitted on at most `MOST_TRAINING` labelled rows (a parameter); all documents
-are scored on their whole text.  Null and empty texts have the features of an empty text.
-Without labels of both kinds the score is the smoothed share of label 1 for every text.
+are scored on their whole text, however long, each row for itself: repeated rows get one
+score.  Null and empty texts have the features of an empty text.  Equal gains cut at the
+lowest bin, and pairs that explain alike are taken in the order of the features; a score of
+exactly 0.5 predicts 1.  Columns held_out, score and predicted of the documents are
+replaced, others may have any names.  Without labels of both kinds the score is the
+smoothed share of label 1 for every text.  An empty table gives an empty result.
 """
 
 from collections import Counter

@@ -2,14 +2,21 @@
 
 Words are chosen by how many different contexts (the word before) they have in toxic and
 in other documents, so that copies of one text count once.  A logistic model over the
-presence of these words is fitted with a penalty on score changes: in labelled sentences
-that name a group, the group's term is swapped for each other term of its kind, and the
-squared difference of the two logits is added to the loss.  Naming a group then says
-nothing by itself, whatever the labels of the texts that happen to name it.
-
-The model is fitted on at most `MOST_TRAINING` labelled rows (a parameter); all documents
-are scored on their whole text.  Null and empty texts have no words and get the score of
-the intercept.  Without labels of both kinds the score is the smoothed share of label 1.
+presence of these words is fitted with a penalty on score changes: in every labelled
+sentence that names a group, the group's term is swapped for each other term of its kind,
+both sentences are read by the model, and the squared difference of their logits is added
+to the loss.  Naming a group then says nothing by itself, whatever the labels of the texts
+that happen to name it.
+
+The model is fitted on at most `MOST_TRAINING` labelled rows (a parameter); its vocabulary
+holds the groups' terms and the `MOST_WORDS` words that tell most, of those with at least
+`LEAST_CONTEXTS` toxic contexts, which bounds what the fit holds and what is broadcast.
+All documents are scored on their whole text, however long, each row for itself: repeated
+rows get one score.  Null and empty texts have no words and get the score of the
+intercept.  Words that tell alike are taken in code point order; a score of exactly 0.5
+predicts 1.  Columns held_out, score and predicted of the documents are replaced, others
+may have any names.  Without labels of both kinds the score is the smoothed share of label
+1.  An empty table gives an empty result.
 """
 
 import re
@@ -80,19 +87,32 @@ def choose_words(sample: DataFrame) -> list[str]:
     return [row.word for row in telling.orderBy(z.desc(), "word").limit(MOST_WORDS).select("word").collect()]
 
 
-def swaps_of(text: str, place: dict[str, int]) -> list[int]:
-    """Places of the group terms in a labelled document, once for each sentence that has them."""
-    found = []
+def swapped_sentences(text: str) -> Iterator[tuple[list[str], list[str], float]]:
+    """(words, words with a group's term swapped, weight) for each sentence, term and other term of its kind.
+
+    The swaps of a term share a weight of one.
+    """
     for sentence in SENTENCES.split(text):
-        found += [place[w] for w in set(words_of(sentence)) & set(NAMES)]
+        words = words_of(sentence)
+        for kind in IDENTITY:
+            for term in set(words) & set(kind):
+                for other in kind:
+                    if other != term:
+                        yield words, [other if w == term else w for w in words], 1 / (len(kind) - 1)
+
+
+def changes_of(text: str, place: dict[str, int]) -> dict[tuple[int, int], float]:
+    """(place lost or -1, place gained or -1) to weight: how swaps change what the model reads of a document's sentences."""
+    found: dict[tuple[int, int], float] = {}
+    for before, after, weight in swapped_sentences(text):
+        a, b = ({place[w] for w in words if w in place} for words in (before, after))
+        change = (next(iter(a - b), -1), next(iter(b - a), -1))  # a swap takes one word out and puts at most one in
+        found[change] = found.get(change, 0.0) + weight
     return found
 
 
-def fit(present: list[list[int]], y: np.ndarray, swapped: list[int], vocabulary: list[str], swap_penalty: float = SWAP_PENALTY) -> Model:
-    """Newton steps on the logistic loss, a ridge, and the squared logit change of each swap.
-
-    The ridge applies to the words; swaps weigh by how many labelled sentences call for them.
-    """
+def fit(present: list[list[int]], y: np.ndarray, changes: dict[tuple[int, int], float], vocabulary: list[str], swap_penalty: float = SWAP_PENALTY) -> Model:
+    """Newton steps on the logistic loss, a ridge on the words, and the squared logit change of each swapped sentence."""
     n, m = len(y), len(vocabulary)
     share = (y.sum() + 1) / (n + 2)
     beta = np.zeros(m + 1)
@@ -105,15 +125,12 @@ def fit(present: list[list[int]], y: np.ndarray, swapped: list[int], vocabulary:
         x[i, np.asarray(places, int) + 1] = 1
     ridge = PENALTY * np.eye(m + 1)
     ridge[0, 0] = 1e-6
-    place = {w: i for i, w in enumerate(vocabulary)}
-    times = np.bincount(np.asarray(swapped, int), minlength=m)
-    for kind in IDENTITY:
-        for a in kind:
-            for b in kind:
-                if a != b and times[place[a]]:
-                    d = np.zeros(m + 1)
-                    d[place[a] + 1], d[place[b] + 1] = 1, -1
-                    ridge += swap_penalty * times[place[a]] / (len(kind) - 1) * np.outer(d, d)
+    for (lost, gained), weight in changes.items():
+        d = np.zeros(m + 1)
+        for place, sign in ((lost, -1), (gained, 1)):
+            if place >= 0:
+                d[place + 1] = sign
+        ridge += swap_penalty * weight * np.outer(d, d)
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-(x @ beta)))
         slope = x.T @ (y - p) - ridge @ beta
@@ -122,28 +139,30 @@ def fit(present: list[list[int]], y: np.ndarray, swapped: list[int], vocabulary:
         beta = beta + step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return Model(float(beta[0]), {w: float(beta[i + 1]) for w, i in place.items()})
+    return Model(float(beta[0]), {w: float(beta[i + 1]) for i, w in enumerate(vocabulary)})
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, swap_penalty: float = SWAP_PENALTY) -> Model:
     """The model of ``labels.toxic`` from at most ``most`` labelled documents outside the fold."""
     sample = scratch.save(training_sample(docs, labels, "toxic", MODULUS, FOLD, most), "sample")
     chosen = choose_words(sample)
     vocabulary = [*NAMES, *(w for w in chosen if w not in NAMES)]
     place = {w: i for i, w in enumerate(vocabulary)}
+    change = pa.list_(pa.struct([("lost", pa.int32()), ("gained", pa.int32()), ("weight", pa.float64())]))
 
-    @F.arrow_udf("struct<present:array<int>,swapped:array<int>>")
+    @F.arrow_udf("struct<present:array<int>,changes:array<struct<lost:int,gained:int,weight:double>>>")
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        numbers = pa.list_(pa.int32())
         for batch in batches:
             texts = [text.as_py() or "" for text in batch]
             present = [sorted(place[w] for w in place.keys() & set(words_of(t))) for t in texts]
-            swapped = [swaps_of(t, place) for t in texts]
-            yield pa.StructArray.from_arrays([pa.array(present, numbers), pa.array(swapped, numbers)], ["present", "swapped"])
+            changes = [[{"lost": a, "gained": b, "weight": n} for (a, b), n in sorted(changes_of(t, place).items())] for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(present, pa.list_(pa.int32())), pa.array(changes, change)], ["present", "changes"])
 
-    rows = sample.select("doc_id", "label", placed(F.col("text")).alias("p")).toArrow().sort_by("doc_id").to_pydict()
-    swapped = [i for p in rows["p"] for i in p["swapped"]]
-    return fit([p["present"] for p in rows["p"]], np.array(rows["label"], float), swapped, vocabulary)
+    read = scratch.save(sample.select("doc_id", "label", placed(F.col("text")).alias("p")), "read")
+    swaps = read.select(F.explode("p.changes").alias("c")).groupBy("c.lost", "c.gained").agg(F.sum("c.weight").alias("weight"))
+    changes = {(r.lost, r.gained): r.weight for r in swaps.orderBy("lost", "gained").collect()}  # at most the pairs of terms
+    rows = read.select("doc_id", "label", "p.present").toArrow().sort_by("doc_id").to_pydict()
+    return fit(rows["present"], np.array(rows["label"], float), changes, vocabulary, swap_penalty)
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
@@ -159,8 +178,8 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     return scored(text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, text: str = "text", doc_id: str = "doc_id", swap_penalty: float = SWAP_PENALTY) -> DataFrame:
     """``docs`` with held_out, score and predicted (1 if score >= 0.5); one row for each row."""
-    model = learn(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, most)
+    model = learn(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, most, swap_penalty)
     scored = docs.withColumns({"held_out": held_out(F.col(doc_id), MODULUS, FOLD), "score": score_column(docs.sparkSession, model, F.col(text))})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -267,18 +267,102 @@ def toxic_fixture(rng):
     return rows, swapped
 
 
-def test_swap_penalty_spares_neutral_mentions(spark):
-    rows, _ = toxic_fixture(random.Random(2))
+def test_sentences_are_swapped_as_they_stand():
+    place = {w: i for i, w in enumerate(toxicity.NAMES)}
+    swaps = list(toxicity.swapped_sentences("The deaf, the blind. No one here! A deaf man"))
+    assert {" ".join(after) for _, after, _ in swaps if "one" not in after} >= {"the young the blind", "the blind the blind", "a deaf woman", "a elderly man"}
+    assert not any("here" in before for before, *_ in swaps) and abs(sum(n for *_, n in swaps) - 4) < 1e-9
+    changes = toxicity.changes_of("the deaf, the blind", place)
+    assert changes[place["deaf"], -1] == 1 / 5 and changes[place["deaf"], place["young"]] == 1 / 5  # the blind are named already
+
+
+def plain_loss(beta, rows, vocabulary, swap_penalty):
+    """The penalised loss, sentence by sentence, with every swapped sentence read anew."""
+    weight = dict(zip(vocabulary, beta[1:], strict=True))
+    logit = lambda words: beta[0] + sum(weight[w] for w in weight.keys() & set(words))
+    total = 0.5 * toxicity.PENALTY * float(beta[1:] @ beta[1:]) + 0.5e-6 * beta[0] ** 2
+    for _, text, label in rows:
+        z = logit(toxicity.words_of(text))
+        total += math.log1p(math.exp(-z if label else z))
+        for before, after, n in toxicity.swapped_sentences(text):
+            total += 0.5 * swap_penalty * n * (logit(before) - logit(after)) ** 2
+    return total
+
+
+@pytest.mark.parametrize("penalty", [0.0, 50.0])
+def test_the_fit_is_the_least_penalised_loss(penalty):
+    rows = toxic_fixture(random.Random(2))[0][:150]
+    rows += [(900, "the muslim and the christian met. muslim idiot", 1), (901, "a blind man and a blind dog", 0)]
     vocabulary = [*toxicity.NAMES, "idiot", "moron"]
     place = {w: i for i, w in enumerate(vocabulary)}
     present = [[place[w] for w in set(toxicity.words_of(t)) if w in place] for _, t, _ in rows]
-    swapped = [i for _, t, _ in rows for i in toxicity.swaps_of(t, place)]
-    y = np.array([label for *_, label in rows], float)
-    plain = toxicity.fit(present, y, swapped, vocabulary, swap_penalty=0.0)
-    fair = toxicity.fit(present, y, swapped, vocabulary)
-    gap = lambda m: abs(m.logit("the muslim baker") - m.logit("the christian baker"))
-    assert gap(fair) < 0.2 * gap(plain) and gap(fair) < 0.1
-    assert fair.logit("you idiot") > 0 > fair.logit("the muslim baker")
+    changes = Counter()
+    for _, t, _ in rows:
+        changes.update(toxicity.changes_of(t, place))
+    model = toxicity.fit(present, np.array([label for *_, label in rows], float), changes, vocabulary, penalty)
+    beta = np.array([model.base, *(model.weights[w] for w in vocabulary)])
+    least = plain_loss(beta, rows, vocabulary, penalty)
+    for j in [0, *(place[w] + 1 for w in ("muslim", "christian", "blind", "idiot", "moron", "queer"))]:
+        for step in (1e-3, -1e-3):
+            moved = beta.copy()
+            moved[j] += step
+            assert plain_loss(moved, rows, vocabulary, penalty) >= least - 1e-9
+
+
+def test_swap_penalty_spares_neutral_mentions(spark):
+    """Through the whole operator: a group named in most toxic texts does not make a neutral text toxic."""
+    rng = random.Random(2)
+    rows = toxic_fixture(rng)[0]
+    asked = [(5000, "the muslim baker sells bread"), (5001, "the christian baker sells bread"), (5002, "you idiot of a baker"), (5003, "the baker sells bread")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + asked, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    plain, fair = ({r.doc_id: r.score for r in toxicity.classify(docs, labels, swap_penalty=n).filter("doc_id >= 5000").collect()} for n in (0.0, toxicity.SWAP_PENALTY))
+    gap = lambda s: abs(s[5000] - s[5001])
+    assert gap(fair) < 0.2 * gap(plain) and gap(fair) < 0.05
+    assert fair[5002] > 0.5 > fair[5000] and plain[5000] > fair[5000]
+
+
+def plain_boosting(x, y):
+    """Cyclic boosting told row by row: each tree by trying all cuts; gives the score of each row."""
+    edges = [quality.cut_points(x[:, j], quality.BINS) for j in range(x.shape[1])]
+    share = (y.sum() + 1) / (len(y) + 2)
+    logit = np.full(len(y), math.log(share / (1 - share)))
+    won = lambda g, h: g * g / (h + quality.PENALTY)
+
+    def leaf_values(values, g, h, cuts, depth):
+        out = np.full(len(values), g.sum() / (h.sum() + quality.PENALTY))
+        if depth and len(values):
+            gains = [(won(g[values <= c].sum(), h[values <= c].sum()) + won(g[values > c].sum(), h[values > c].sum()), -i) for i, c in enumerate(cuts)]
+            if gains and max(gains)[0] > won(g.sum(), h.sum()) + 1e-9:
+                at = -max(gains)[1]
+                for side, kept in ((values <= cuts[at], cuts[:at]), (values > cuts[at], cuts[at + 1 :])):
+                    out[side] = leaf_values(values[side], g[side], h[side], kept, depth - 1)
+        return out
+
+    for _ in range(quality.CYCLES):
+        for j in range(x.shape[1]):
+            p = 1 / (1 + np.exp(-logit))
+            logit = logit + quality.RATE * leaf_values(x[:, j], y - p, p * (1 - p), edges[j], 2)
+    return logit
+
+
+def test_additive_tables_agree_with_plain_boosting(monkeypatch):
+    monkeypatch.setattr(quality, "CYCLES", 12)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    x[:, 3] = np.round(x[:, 3])  # ties
+    x[:, 4] = 1.0
+    y = (x[:, 0] * 2 + np.sin(3 * x[:, 1]) + x[:, 3] + rng.normal(size=400) > 0).astype(float)
+    assert np.allclose(quality.fit(x, y).score(x), plain_boosting(x, y), atol=1e-9)
+
+
+def test_pair_tables_find_what_single_ones_cannot():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2000, len(quality.FEATURES)))
+    y = (x[:, 2] * x[:, 7] > 0).astype(float)  # no feature tells by itself
+    model = quality.fit(x, y)
+    assert (2, 7) in model.pairs and ((model.score(x) > 0) == (y == 1)).mean() > 0.9
 
 
 def test_classifiers_take_odd_rows(spark):
