@@ -30,23 +30,27 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, never given twice; removed with the `cleared` scope that it is taken in."""
+def folder(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A path of its own in the shared folder, never given twice.
+
+    It is removed with the `cleared` block that it is taken in, or with the one around that
+    if it is to outlive its block.
+    """
     path = f"{shared_root(spark)}/datakiln/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes:
-        scope.append(path)
+    if scopes := _scopes[:-1] if outlives else _scopes:
+        scopes[-1].append(path)
     return path
 
 
-def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return it read from there.
 
     Each call takes a new folder, so reruns never see old rows.  The returned frame is lazy,
-    so the files stay until the shared folder is cleared, or until a `cleared` block ends.
+    so the files stay until the shared folder is cleared, or until a `cleared` block ends
+    (for one that ``outlives`` its block, the block around it).
     """
-    path = folder(df.sparkSession, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    path = folder(df.sparkSession, name, outlives)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +68,6 @@ def cleared(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes.remove(held)
+        _scopes.pop()
         for path in held:
             remove(spark, path)

@@ -306,3 +306,21 @@ def test_counts_take_whole_values(spark):
     df = spark.createDataFrame(long, "url string")
     assert {(r.value, r["count"]) for r in stats.value_counts(df, ["url"]).collect()} == {(long[0][0], 2), (long[2][0], 1)}
     assert stats.uvalues(df, ["url"]).first().uvalues == {long[0][0]: 2, long[2][0]: 1}
+
+
+def test_saved_tables_are_cleared_with_their_block(spark):
+    from pathlib import Path
+
+    from datakiln.jobs import scratch
+
+    place = lambda df: Path(df.inputFiles()[0].removeprefix("file://")).parent
+    with scratch.cleared(spark):
+        first = place(scratch.save(spark.range(3).toDF("x"), "outer"))
+        with scratch.cleared(spark):
+            second = place(scratch.save(spark.range(3).toDF("x"), "inner"))
+            kept = scratch.save(spark.range(3).toDF("x"), "kept", outlives=True)
+        gone = place(kept)
+        assert first.exists() and not second.exists() and kept.count() == 3
+    assert not first.exists() and not gone.exists()
+    stays = scratch.save(spark.range(2).toDF("x"), "stays", outlives=True)
+    assert stays.count() == 2
