@@ -3,20 +3,21 @@
 Text sources come as strings under the names of their header; casting is a later step.
 """
 
+import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from datakiln.functions.casts import nullify
 from datakiln.operators.headers import ascii_name, unique_names
-from datakiln.operators.row_index import with_row_number
 
 #: Lines of an archive member that travel in one batch.
 LINES_A_BATCH = 5000
@@ -42,24 +43,55 @@ class SourceSpec:
     space: str = ""
     grain: str = ""
     segment: str = ""
+    #: What becomes of rows of the wrong width: "fail" (an error), "keep" (with the text in ``_corrupt``) or "drop".
+    bad_rows: str = "fail"
+    #: More options of the reader, such as multiLine for line breaks inside quotes.
     options: dict[str, str] = field(default_factory=dict)
 
 
-def delimited(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8", header: bool = True, strict: bool = False) -> DataFrame:
-    """Delimited text, all columns as strings; rows of the wrong width are an error where ``strict``, else in ``_corrupt``."""
-    reader = spark.read.option("sep", separator).option("encoding", encoding).option("header", header).option("multiLine", False)
-    if strict:
-        return reader.option("mode", "FAILFAST").csv(path)
+def delimited(spark: SparkSession, path: str | list[str], separator: str = ",", encoding: str = "UTF-8", header: bool = True, strict: bool = False, options: dict[str, str] | None = None) -> DataFrame:
+    """Delimited text, all columns as strings; rows of the wrong width are an error where ``strict``, else in ``_corrupt``.
+
+    Every row's width is checked, also where a query needs few columns.
+    """
+    reader = spark.read.options(**{"multiLine": False, "escape": '"', "columnPruning": False, **(options or {})})
+    reader = reader.option("sep", separator).option("encoding", encoding).option("header", header)
     names = reader.csv(path).schema
+    if strict:
+        return reader.option("mode", "FAILFAST").schema(names).csv(path)
     return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(T.StructType([*names, T.StructField("_corrupt", T.StringType())])).csv(path)
 
 
-def fixed_width(spark: SparkSession, path: str, widths: Iterable[tuple[str, int, int]]) -> DataFrame:
+def by_policy(spark: SparkSession, path: str | list[str], spec: SourceSpec, separator: str) -> DataFrame:
+    """A plain delimited source with its rows of the wrong width as the spec says."""
+    if spec.bad_rows == "fail":
+        return delimited(spark, path, separator, spec.encoding, strict=True, options=spec.options)
+    rows = delimited(spark, path, separator, spec.encoding, options=spec.options)
+    if spec.bad_rows == "keep":
+        return rows
+    if spec.bad_rows == "drop":
+        return rows.filter("_corrupt is null").drop("_corrupt")
+    raise ValueError(f"bad_rows is {spec.bad_rows!r}, not fail, keep or drop")
+
+
+def corrupt_rows(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """The rows of a plain delimited source that do not have the header's width, with their text in ``_corrupt``."""
+    rows = delimited(spark, spec.reference, "\t" if spec.kind == "tsv" else ",", spec.encoding, options=spec.options)
+    return rows.filter("_corrupt is not null")
+
+
+def text_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """The lines of text files, of any encoding that ends lines with the bytes of ASCII."""
+    lines = spark.read.text(path)
+    return lines if encoding.upper() in ("UTF-8", "UTF8") else lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+
+
+def fixed_width(spark: SparkSession, path: str, widths: Iterable[tuple[str, int, int]], encoding: str = "UTF-8") -> DataFrame:
     """Lines cut at (name, start from 1, width), stripped; a missing width is an error before anything is read."""
     parts = list(widths)
     if bad := [n for n, start, width in parts if not start or not width]:
         raise ValueError(f"fixed-width columns without start or width: {', '.join(bad)}")
-    return spark.read.text(path).select(*[nullify(F.substring("value", start, width)).alias(n) for n, start, width in parts])
+    return text_lines(spark, path, encoding).select(*[nullify(F.substring("value", start, width)).alias(n) for n, start, width in parts])
 
 
 def zip_lines(spark: SparkSession, path: str, member: str = "", encoding: str = "utf-8") -> DataFrame:
@@ -91,10 +123,19 @@ def zip_lines(spark: SparkSession, path: str, member: str = "", encoding: str =
     return files.mapInArrow(unpack, "archive string, member string, line_no long, line string")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): the lines of one text file from 0 on, numbered by their place in the file."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    return with_row_number(text, ["_file", "_block", "_at"], "line_no", 0).select("line_no", "value")
+def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(file, line_no, value): the lines of text files, numbered from 0 by their place in the file.
+
+    Lines keep their order inside a split, so a number is the place in the split and the
+    lines of the splits before: the file is read twice and nothing is sorted or shuffled but
+    one row for each split, which is what is broadcast (8,000 for each TB).
+    """
+    at = F.monotonically_increasing_id().alias("_at")
+    text = text_lines(spark, path, encoding).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), at)
+    splits = text.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    known = splits.select("file", "_block", "_first", before.alias("_before"))
+    return text.join(F.broadcast(known), ["file", "_block"]).select("file", (F.col("_at") - F.col("_first") + F.col("_before")).alias("line_no"), "value")
 
 
 def classified(lines: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -119,19 +160,24 @@ def joined_header(rows: list[list[str]]) -> list[str]:
     return unique_names([ascii_name(" ".join(filter(None, (r[i].strip() for r in filled)))) for i in range(width)])
 
 
-def split_line(value: Column, separator: str = ",") -> Column:
-    """A delimited line as an array; separators inside double quotes do not count."""
-    parts = F.split(value, rf'{re.escape(separator)}(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r'^\s*"([\s\S]*)"\s*$', "$1"), '""', '"'))
+def split_lines(lines: list[str], separator: str = ",") -> list[list[str]]:
+    """A handful of header lines as cells, on the driver."""
+    return list(csv.reader(lines, delimiter=separator))
+
+
+def cells_of(lines: DataFrame, names: list[str], separator: str = ",", line: str = "value") -> DataFrame:
+    """Delimited lines as text columns; cells that a line lacks, and empty ones, are null."""
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    made = lines.select(F.from_csv(F.col(line), schema.simpleString()[7:-1].replace(":", " "), {"sep": separator, "escape": '"'}).alias("c"))
+    return made.select(*[F.col(f"c._{i}").alias(n) for i, n in enumerate(names)])
 
 
 def classified_table(spark: SparkSession, spec: SourceSpec, separator: str = ",") -> DataFrame:
     """The data rows of a delimited file with several header rows, title lines or comments, as strings."""
-    lines = classified(numbered_lines(spark, spec.reference), spec)
-    found = lines.filter("row_class = 'header'").orderBy("line_no").select(split_line(F.col("value"), separator).alias("c")).collect()  # a handful of header lines
-    names = joined_header([r.c for r in found])
-    cells = lines.filter("row_class = 'data'").select(split_line(F.col("value"), separator).alias("c"))
-    return cells.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    lines = classified(numbered_lines(spark, spec.reference, spec.encoding), spec)
+    first = lines.agg(F.min("file")).first()[0]  # files of one source share their header
+    found = lines.filter((F.col("row_class") == "header") & (F.col("file") == first)).orderBy("line_no").select("value").collect()  # a handful of lines
+    return cells_of(lines.filter("row_class = 'data'"), joined_header(split_lines([r.value for r in found], separator)), separator)
 
 
 def generated(spark: SparkSession, rows: int, columns: dict[str, Column]) -> DataFrame:
@@ -158,22 +204,34 @@ def from_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str] | Non
     return spark.createDataFrame(held, unique_names(names or [type(x).__name__ for x in held[0]]))
 
 
-def read(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """The rows of a source by its kind."""
+def is_plain(spec: SourceSpec) -> bool:
+    """Whether a source is delimited text with one header line on top and nothing else but data."""
+    return spec.kind in ("csv", "tsv") and spec.header_lines == (0,) and spec.start_line == 1 and spec.end_line is None and not spec.comment
+
+
+def read(spark: SparkSession, spec: SourceSpec, made: dict[str, Callable[[SparkSession], DataFrame]] | None = None) -> DataFrame:
+    """The rows of a source by its kind.
+
+    A generator names a function in ``made`` that gives a DataFrame; a frame names a
+    temporary view.
+    """
+    separator = "\t" if spec.kind == "tsv" else ","
+    if is_plain(spec):
+        return by_policy(spark, spec.reference, spec, separator)
     if spec.kind in ("csv", "tsv"):
-        separator = "\t" if spec.kind == "tsv" else ","
-        if spec.header_lines == (0,) and spec.start_line == 1 and spec.end_line is None and not spec.comment:
-            return delimited(spark, spec.reference, separator, spec.encoding).drop("_corrupt")
         return classified_table(spark, spec, separator)
     if spec.kind == "fixed":
-        return fixed_width(spark, spec.reference, spec.widths)
+        return fixed_width(spark, spec.reference, spec.widths, spec.encoding)
     if spec.kind == "zip":
         lines = zip_lines(spark, spec.reference, spec.member, spec.encoding)
-        header = lines.filter("line_no = 0").orderBy("archive", "member").select(split_line(F.col("line")).alias("c")).first()
-        cells = lines.filter("line_no > 0 and trim(line) <> ''").select(split_line(F.col("line")).alias("c"))
-        return cells.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(unique_names(header.c))])
+        header = lines.filter("line_no = 0").orderBy("archive", "member").first()
+        return cells_of(lines.filter("line_no > 0 and trim(line) <> ''"), unique_names(split_lines([header.line])[0]), line="line")
     if spec.kind == "partition":
         return spark.read.parquet(spec.reference)
     if spec.kind == "sql":
         return spark.sql(spec.reference)
+    if spec.kind == "frame":
+        return spark.table(spec.reference)
+    if spec.kind == "generator":
+        return made[spec.reference](spark)
     raise ValueError(f"no source kind {spec.kind!r}")

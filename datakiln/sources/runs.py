@@ -1,5 +1,6 @@
 """Which sources a run takes, in what order, and many sources as one table."""
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from itertools import groupby
@@ -7,7 +8,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.sources.readers import SourceSpec, read
+from datakiln.sources.readers import SourceSpec, by_policy, is_plain, read
 
 LIMITED_ROWS = 500
 NEVER_READ = ("ref", "template")
@@ -33,22 +34,35 @@ def by_stage(sources: list[SourceSpec]) -> list[list[SourceSpec]]:
 def together(spark: SparkSession, sources: list[SourceSpec], limited: bool = False, reader: Callable[[SparkSession, SourceSpec], DataFrame] = read) -> DataFrame:
     """All sources by column name, missing columns null, with ``_source``.
 
-    Plain delimited files of one layout are read by one scan, not by a union for each file.
+    Plain delimited files of one layout, encoding and reader options are read by one scan,
+    not by a union for each file.
     """
-    plain = [s for s in sources if s.kind == "csv" and s.header_lines == (0,) and s.start_line == 1 and s.end_line is None and not s.comment]
-    if len(plain) == len(sources) > 1 and not limited and reader is read and len({tuple(read(spark, s).columns) for s in plain}) == 1:
-        files = {s.reference.rstrip("/").rsplit("/", 1)[-1]: s.name for s in plain}
-        if len(files) == len(plain):
-            names = F.create_map(*[F.lit(x) for pair in files.items() for x in pair])
-            rows = spark.read.option("header", True).csv([s.reference for s in plain])
-            return rows.withColumn("_source", names[F.element_at(F.split(F.input_file_name(), "/"), -1)])
-    parts = []
+    parts, alike = [], {}
     for s in sources:
-        rows = reader(spark, s)
-        parts.append((rows.limit(LIMITED_ROWS) if limited else rows).withColumn("_source", F.lit(s.name)))
+        if limited or reader is not read or not is_plain(s):
+            rows = reader(spark, s)
+            parts.append((rows.limit(LIMITED_ROWS) if limited else rows).withColumn("_source", F.lit(s.name)))
+        else:
+            layout = (s.kind, s.encoding.upper(), s.bad_rows, tuple(sorted(s.options.items())), tuple(read(spark, s).columns))
+            alike.setdefault(layout, []).append(s)
+    parts += [one_scan(spark, group) for group in alike.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def one_scan(spark: SparkSession, sources: list[SourceSpec]) -> DataFrame:
+    """Plain delimited sources of one layout, each row with the source whose file or folder it comes from."""
+    first = sources[0]
+    # a path without a host is written with one stroke or three
+    files = [(re.sub(r"^(\w+):///", r"\1:/", file), s.name) for s in sources for file in spark.read.text(s.reference).inputFiles()]
+    if len({file for file, _ in files}) < len(files):
+        raise ValueError("two sources name the same file")
+    rows = by_policy(spark, [s.reference for s in sources], first, "\t" if first.kind == "tsv" else ",")
+    named = spark.createDataFrame(files, "_file string, _source string")
+    marked = rows.withColumn("_path", F.col("_metadata.file_path"))
+    found = F.coalesce("_source", F.raise_error(F.concat(F.lit("no source names the file "), F.col("_path"))))
+    return marked.join(named, F.col("_path") == F.col("_file"), "left").withColumn("_source", found).select(*rows.columns, "_source")
+
+
 def source_table(spark: SparkSession, sources: list[SourceSpec]) -> DataFrame:
     """(name, time, space, grain, segment): what each source covers, to be joined to its rows."""
     rows = [(s.name, s.dest_table, s.time, s.space, s.grain, s.segment or s.name) for s in sources]

@@ -221,7 +221,7 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.read(spark, fixed).collect()] == [("001", "abc", "9"), ("002", "de", "10")]
     with pytest.raises(ValueError):
         readers.fixed_width(spark, "x", [("id", 1, 0)])
-    assert [tuple(r) for r in readers.read(spark, s("z", str(tmp_path / "z.zip"), "zip", member=r"\.csv$")).collect()] == [("7", "z"), ("8", "")]
+    assert [tuple(r) for r in readers.read(spark, s("z", str(tmp_path / "z.zip"), "zip", member=r"\.csv$")).collect()] == [("7", "z"), ("8", None)]
     messy = readers.read(spark, s("m", str(tmp_path / "m.csv"), header_lines=(1, 2), start_line=3, end_line=6, comment="#"))
     assert messy.columns == ["name", "Rent low", "Rent high"] and sorted(tuple(r) for r in messy.collect()) == [("a", "1", "2"), ("b", "3", "4")]
     both = runs.together(spark, [s("a", str(tmp_path / "a.csv")), s("b", str(tmp_path / "b.tsv"), "tsv")])
@@ -236,6 +236,54 @@ def test_sources(spark, tmp_path):
     assert readers.from_rows(spark, [(1, "x", 2)]).columns == ["int", "str", "int_3"]
 
 
+def test_sources_of_folders_and_encodings_keep_their_names(spark, tmp_path):
+    s = readers.SourceSpec
+    for name in ("north side", "south"):
+        (tmp_path / name).mkdir()
+        for part in ("a", "b"):
+            (tmp_path / name / f"{part}.csv").write_text(f"town,n\nK\u00f6ln {name} {part},1\n", encoding="latin-1")
+    (tmp_path / "utf.csv").write_text("town,n\nÅrhus,2\n", encoding="utf-8")
+    (tmp_path / "tabs.tsv").write_text("town\textra\nBrno\tx\n")
+    specs = [s("N", str(tmp_path / "north side"), encoding="ISO-8859-1"), s("S", str(tmp_path / "south"), encoding="ISO-8859-1"), s("U", str(tmp_path / "utf.csv")), s("T", str(tmp_path / "tabs.tsv"), "tsv")]
+    got = sorted((r["_source"], r.town, r.n, r.extra) for r in runs.together(spark, specs).collect())
+    assert got == sorted([*[(n[0].upper(), f"Köln {n} {p}", "1", None) for n in ("north side", "south") for p in "ab"], ("U", "Århus", "2", None), ("T", "Brno", None, "x")])
+    assert sorted(runs.together(spark, specs[:2], limited=True).groupBy("_source").count().collect()) == [("N", 2), ("S", 2)]
+    with pytest.raises(ValueError):
+        runs.together(spark, [specs[0], s("again", str(tmp_path / "north side" / "a.csv"), encoding="ISO-8859-1")])
+    (tmp_path / "messy.csv").write_text("Über uns\nort,zahl\nMünchen,3\n", encoding="latin-1")
+    messy = readers.read(spark, s("m", str(tmp_path / "messy.csv"), encoding="ISO-8859-1", header_lines=(1,), start_line=2))
+    assert [tuple(r) for r in messy.collect()] == [("München", "3")]
+
+
+def test_rows_of_the_wrong_width_are_not_silent(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('a,b\n1,2\n3\n4,5,6\n7,"8\n9"\n')
+    s = lambda **more: readers.SourceSpec("w", str(tmp_path / "w.csv"), options={"multiLine": "true"}, **more)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read(spark, s()).select("a").collect()
+    assert [r.a for r in readers.read(spark, s(bad_rows="drop")).orderBy("a").collect()] == ["1", "7"]
+    assert readers.read(spark, s(bad_rows="drop")).filter("a = '7'").first().b == "8\n9"
+    assert {r["_corrupt"] for r in readers.corrupt_rows(spark, s()).collect()} == {"3", "4,5,6"} and readers.read(spark, s(bad_rows="keep")).count() == 4
+
+
+def test_lines_are_numbered_and_split_whatever_their_form(spark, tmp_path):
+    wide = ",".join(f'"c{i}, ""q"""' for i in range(5000))
+    (tmp_path / "wide.csv").write_text("a title\n" + ",".join(f"h{i}" for i in range(5000)) + f"\n{wide}\n")
+    table = readers.read(spark, readers.SourceSpec("w", str(tmp_path / "wide.csv"), header_lines=(1,), start_line=2))
+    assert len(table.columns) == 5000 and table.select("h0", "h4999").first() == ('c0, "q"', 'c4999, "q"')
+    (tmp_path / "many.txt").write_text("".join(f"line {i}\n" for i in range(40_000)))
+    cut = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        lines = readers.numbered_lines(spark, str(tmp_path / "many.txt"))
+        assert lines.rdd.getNumPartitions() > 10 and lines.filter("value <> 'line ' || line_no").count() == 0 and lines.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+    spark.range(3).createOrReplaceTempView("some_frame")
+    assert readers.read(spark, readers.SourceSpec("f", "some_frame", "frame")).count() == 3
+    assert readers.read(spark, readers.SourceSpec("g", "squares", "generator"), {"squares": lambda spark: readers.generated(spark, 4, {"sq": F.col("id") * F.col("id")})}).agg(F.sum("sq")).first()[0] == 14
+    assert readers.read(spark, readers.SourceSpec("q", "select 1 as one", "sql")).first().one == 1
+
+
 def test_files_are_ingested_once(spark, tmp_path):
     source, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
     source.mkdir()
