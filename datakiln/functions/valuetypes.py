@@ -22,6 +22,11 @@ class ValueType:
     read: Callable[[Column], Column] | None = None
     parameters: tuple[str, ...] = ()
 
+    @property
+    def registered(self) -> str:
+        """The code without its parameters."""
+        return self.code.removesuffix("/" + "/".join(self.parameters))
+
     def cast(self, c: Column) -> Column:
         return self.read(c) if self.read else casts.cast_to(c, self.datatype)
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datakiln.functions.values import name_from_parts
+from datakiln.operators import coverage, stats
 from datakiln.operators.row_index import with_row_number
 
 #: The parts of a partition's name, in order; also its directory levels.
 PARTS = ("time", "space", "grain", "variant", "segment")
-#: Rows of one output file, and of one shuffle bucket of a partition, at most about.
+#: Rows of one output file at most.
 ROWS_A_FILE = 2_000_000
 ANY = object()
 
@@ -34,28 +35,30 @@ def source_partition(df: DataFrame, covers: DataFrame, table: str, segmented: bo
 def write_partitions(df: DataFrame, path: str, overwrite: bool = True, rows_a_file: int = ROWS_A_FILE) -> None:
     """Rows into partition directories; only the partitions that ``df`` has are overwritten.
 
-    Rows are dealt by partition and a salt, as many buckets to a partition as its rows need,
-    so a large partition is written by many tasks and a small one by one.
+    Rows are rebalanced by partition: adaptive execution cuts a large partition over many
+    tasks and lets one task write many small ones, by the sizes it finds.
     """
     levels = [f"p_{p}" for p in PARTS]
-    counted = df.groupBy(*levels).agg(F.ceil(F.count("*") / rows_a_file).cast("int").alias("_files"))
-    sized = df.join(counted, levels)
-    hashed = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    salt = F.pmod(F.xxhash64(*hashed), F.col("_files"))  # by content, so a task that runs again deals its rows alike
-    dealt = sized.withColumn("_salt", salt).repartition(*levels, "_salt").drop("_salt", "_files")
-    blank_safe = dealt.withColumns({c: F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in levels})
+    blank_safe = df.withColumns({c: F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in levels})
     mode = "overwrite" if overwrite else "append"
-    blank_safe.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_a_file).partitionBy(*levels).parquet(path)
+    writer = blank_safe.hint("rebalance", *levels).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.option("maxRecordsPerFile", rows_a_file).partitionBy(*levels).parquet(path)
 
 
 def read_partitions(spark: SparkSession, path: str, **wanted: object) -> DataFrame:
-    """Rows of the partitions that match: a text for a part, or ANY; filters prune directories."""
-    rows = spark.read.option("basePath", path).parquet(path)
+    """Rows of the partitions that match: a text for a part, or ANY; filters prune directories.
+
+    Parts are read as the texts that were written, so a segment 007 stays 007.
+    """
+    levels = {f"p_{p}" for p in PARTS}
+    found = spark.read.option("basePath", path).parquet(path).schema
+    texts = T.StructType([T.StructField(f.name, T.StringType()) if f.name in levels else f for f in found])
+    rows = spark.read.option("basePath", path).schema(texts).parquet(path)
     for part, value in wanted.items():
         if part not in PARTS:
             raise KeyError(f"no partition part {part!r}")
         if value is not ANY:
-            rows = rows.filter(F.col(f"p_{part}").cast("string") == F.lit(value or "-"))
+            rows = rows.filter(F.col(f"p_{part}") == F.lit(value or "-"))
     return rows
 
 
@@ -79,9 +82,26 @@ def numbered_in_partitions(df: DataFrame, keys: list[str], order: list[str], key
     return joined.select((F.col("_n") - F.col("_first") + 1).alias(key), *[c for c in df.columns if c != key])
 
 
-def finalized(df: DataFrame, key: str = "id") -> DataFrame:
-    """(partition, rows, min_id, max_id) of each partition."""
-    return df.groupBy("partition").agg(F.count("*").alias("rows"), F.min(key).alias("min_id"), F.max(key).alias("max_id"))
+def finalized(df: DataFrame, key: str = "id", years: list[str] = (), gvid: str | None = None) -> DataFrame:
+    """(partition, rows, min_id, max_id, years, places, grains, title) of each partition.
+
+    ``years`` names year and date columns, ``gvid`` a column of places; what is not asked
+    for is an empty list.  The title is the time covered and the number of rows.
+    """
+    held = df.groupBy("partition").agg(F.count("*").alias("rows"), F.min(key).alias("min_id"), F.max(key).alias("max_id"))
+    for name, found in (
+        ("years", coverage.time_coverage(df, ["partition"], list(years)) if years else None),
+        ("places", coverage.space_coverage(df, ["partition"], gvid) if gvid else None),
+        ("grains", coverage.grain_coverage(df, ["partition"], gvid) if gvid else None),
+    ):
+        none = F.array().cast("array<int>" if name == "years" else "array<string>")
+        held = held.withColumn(name, none) if found is None else held.join(found, "partition", "left").withColumn(name, F.coalesce(name, none))
+    return held.withColumn("title", coverage.short_description(F.col("years"), F.col("rows")))
+
+
+def finalized_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(partition, column, count, nuniques, …): the statistics of the columns of each partition, in one pass."""
+    return stats.column_stats(df.select("partition", *columns), ["partition"])
 
 
 def extract(df: DataFrame, path: str, limit: int | None = None, order: list[str] | None = None) -> None:
@@ -90,11 +110,6 @@ def extract(df: DataFrame, path: str, limit: int | None = None, order: list[str]
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def from_frame(df: DataFrame, table: str, **parts: Column | str) -> DataFrame:
-    """A new partition from a DataFrame: its own types are the table's."""
-    return with_partition(df, table, **parts)
-
-
 def failed_checks(df: DataFrame, columns: list[str] | None = None, rows: int | None = None, sums: dict[str, float] | None = None, rules: dict[str, Column] | None = None) -> DataFrame:
     """(check, expected, found) of the checks that do not hold; empty if all do. One pass over the rows."""
     spark = df.sparkSession

@@ -132,6 +132,11 @@ def ranked(index: DataFrame, terms: list[str], weights: dict[str, float] | None
     return full.filter(F.col("n") == len(set(terms))).select("doc", "score")
 
 
+def best_hits(hits: DataFrame, most: int = MOST_FOUND, key: str = "doc") -> DataFrame:
+    """The ``most`` hits of the highest score, best first, ties by key."""
+    return hits.orderBy(F.desc("score"), key).limit(most)
+
+
 def in_years(partitions: DataFrame, years: tuple[int, int], inside: bool = True) -> DataFrame:
     """Partitions (first_year, last_year) that hold the asked range, or (not ``inside``) lie within it."""
     low, high = years

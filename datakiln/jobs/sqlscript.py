@@ -10,9 +10,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from datakiln.operators.headers import unused
+
 #: Fixed forms of the statements that are not plain SQL.
 COMMAND = re.compile(r"^\s*(install|materialize|index)\s+(.+?)\s*$", re.IGNORECASE | re.DOTALL)
-RELATION = re.compile(r"\b(from|join)(\s+)([\w][\w.-]*-[\w.-]*|[\w]+\.[\w.-]+)(?=[\s,;)]|$)", re.IGNORECASE)
+QUOTED = r"'(?:[^']|\'\')*'|\"[^\"]*\"|`[^`]*`"
 
 
 def statements(script: str) -> list[str]:
@@ -42,15 +44,23 @@ def view_name(partition: str) -> str:
     return re.sub(r"\W+", "_", partition).strip("_").lower()
 
 
-def substituted(sql: str) -> tuple[str, list[str]]:
-    """The SQL with partition names after FROM and JOIN as view names, and the names found."""
+def substituted(sql: str, views: dict[str, str]) -> tuple[str, list[str]]:
+    """The SQL with partition names (the keys of ``views``) after FROM and JOIN as view names, and the names found.
+
+    Nothing else is touched: no other dotted name, and nothing inside quotes.
+    """
+    if not views:
+        return sql, []
+    names = "|".join(re.escape(n) for n in sorted(views, key=len, reverse=True))
     found: list[str] = []
 
     def swap(m: re.Match) -> str:
-        found.append(m.group(3))
-        return f"{m.group(1)}{m.group(2)}{view_name(m.group(3))}"
+        if m.group("name") is None:
+            return m.group()
+        found.append(m.group("name"))
+        return f"{m.group('before')}{views[m.group('name')]}"
 
-    return RELATION.sub(swap, sql), list(dict.fromkeys(found))
+    return re.sub(rf"{QUOTED}|(?P<before>\b(?:from|join)\s+)(?P<name>{names})(?=[\s,;)]|$)", swap, sql, flags=re.IGNORECASE), list(dict.fromkeys(found))
 
 
 @dataclass
@@ -60,34 +70,41 @@ class Warehouse:
     spark: SparkSession
     partitions: dict[str, str] = field(default_factory=dict)
     installed: set[str] = field(default_factory=set)
+    views: dict[str, str] = field(default_factory=dict)
 
-    def install(self, partition: str) -> str:
-        """A lazy view of a partition."""
+    def named(self) -> dict[str, str]:
+        """The view of each partition; names that differ in other than word characters get views of their own."""
+        for partition in self.partitions:
+            if partition not in self.views:
+                self.views[partition] = unused(view_name(partition), list(self.views.values()))
+        return self.views
+
+    def path(self, partition: str) -> str:
         if partition not in self.partitions:
             raise KeyError(f"no partition {partition!r}")
-        self.spark.read.parquet(self.partitions[partition]).createOrReplaceTempView(view_name(partition))
+        return self.partitions[partition]
+
+    def install(self, partition: str) -> str:
+        """A lazy view of a partition."""
+        self.spark.read.parquet(self.path(partition)).createOrReplaceTempView(self.named()[partition])
         self.installed.add(partition)
-        return view_name(partition)
+        return self.named()[partition]
 
     def materialize(self, partition: str, columns: list[str] | None = None, buckets: int = 32) -> str:
-        """A saved table of a partition, bucketed and sorted by ``columns`` where joins will use them."""
-        rows = self.spark.read.parquet(self.partitions[partition])
+        """A saved table of a partition, bucketed and sorted by ``columns`` so that later joins on them need no shuffle."""
+        rows = self.spark.read.parquet(self.path(partition))
         writer = rows.write.mode("overwrite").format("parquet")
         if columns:
             writer = writer.bucketBy(buckets, *columns).sortBy(*columns)
-        writer.saveAsTable(view_name(partition))
+        writer.saveAsTable(self.named()[partition])
         self.installed.add(partition)
-        return view_name(partition)
-
-    def index(self, partition: str, columns: list[str], buckets: int = 32) -> str:
-        """Bucket a partition by columns, so that later joins on them need no shuffle."""
-        return self.materialize(partition, columns, buckets)
+        return self.named()[partition]
 
     def query(self, sql: str) -> DataFrame:
         """One statement; partitions that it names are installed first."""
-        text, names = substituted(sql)
+        text, names = substituted(sql, self.named())
         for name in names:
-            if name not in self.installed and name in self.partitions:
+            if name not in self.installed:
                 self.install(name)
         return self.spark.sql(text)
 
@@ -96,13 +113,13 @@ class Warehouse:
         all_of = statements(script)
         kind = lambda s: re.match(r"\w+", s).group().lower()
         for s in reversed([s for s in all_of if kind(s) == "drop"]):
-            self.spark.sql(substituted(s)[0])
+            self.spark.sql(substituted(s, self.named())[0])
         commands = [(m.group(1).lower(), m.group(2)) for s in all_of if (m := COMMAND.match(s))]
         for what in ("materialize", "install", "index"):
             for name in (rest for command, rest in commands if command == what):
                 if what == "index":
                     partition, columns = re.match(r"(\S+)\s*\(([^)]*)\)", name).groups()
-                    self.index(partition, [c.strip() for c in columns.split(",")])
+                    self.materialize(partition, [c.strip() for c in columns.split(",")])
                 else:
                     getattr(self, what)(name.strip())
         result = None

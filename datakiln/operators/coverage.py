@@ -19,16 +19,28 @@ def time_coverage(df: DataFrame, keys: list[str], columns: list[str], declared:
     return years.groupBy(*keys).agg(F.array_sort(F.collect_list("year")).alias("years"))
 
 
-def space_coverage(df: DataFrame, keys: list[str], gvid: str) -> DataFrame:
-    """(keys…, places): distinct ids, those below county level rolled up first, so the set stays small."""
-    rolled = df.select(*keys, values.county_of_gvid(F.col(gvid)).alias("place")).filter("place is not null").distinct()
-    return rolled.groupBy(*keys).agg(F.array_sort(F.collect_list("place")).alias("places"))
+#: Levels of places that coverage lists: state, county division, county, subdivision, place, urban area.
+LEVELS = (10, 40, 50, 60, 160, 400)
 
 
-def grain_coverage(df: DataFrame, keys: list[str], gvid: str) -> DataFrame:
-    """(keys…, grains): the summary form of every level that occurs."""
-    grains = df.select(*keys, values.summary_grain(F.col(gvid)).alias("grain")).filter("grain is not null").distinct()
-    return grains.groupBy(*keys).agg(F.array_sort(F.collect_list("grain")).alias("grains"))
+def level_code(level: int) -> str:
+    """A level as the two digits (base 62) that ids start with."""
+    digits = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return digits[level // 62] + digits[level % 62]
+
+
+def space_coverage(df: DataFrame, keys: list[str], gvid: str, levels: tuple[int, ...] = LEVELS, declared: list[str] = ()) -> DataFrame:
+    """(keys…, places): distinct ids of the levels, those below county level rolled up first, and declared places (of sources, partitions)."""
+    rolled = values.county_of_gvid(F.col(gvid))
+    own = F.when(F.substring(rolled, 1, 2).isin([level_code(n) for n in levels]), rolled)
+    narrow = df.select(*keys, F.explode(F.array(own, *[F.nullif(F.col(c), F.lit("")) for c in declared])).alias("place"))
+    return narrow.filter("place is not null").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def grain_coverage(df: DataFrame, keys: list[str], gvid: str, declared: list[str] = ()) -> DataFrame:
+    """(keys…, grains): the summary form of every level that occurs, and declared grains."""
+    narrow = df.select(*keys, F.explode(F.array(values.summary_grain(F.col(gvid)), *[F.nullif(F.col(c), F.lit("")) for c in declared])).alias("grain"))
+    return narrow.filter("grain is not null").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("grain")).alias("grains"))
 
 
 def joint_coverage(parts: DataFrame, keys: list[str], column: str) -> DataFrame:

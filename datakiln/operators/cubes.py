@@ -120,6 +120,12 @@ def with_labels(df: DataFrame, code: str, labels: DataFrame, name: str) -> DataF
     return df.join(known, F.col(code).cast("string") == F.col("_code").cast("string"), "left").drop("_code")
 
 
+def with_codes(df: DataFrame, label: str, labels: DataFrame, name: str) -> DataFrame:
+    """The reverse: ``df`` with the code of a label; of codes that share a label the least."""
+    known = labels.groupBy(F.col("label").alias("_label")).agg(F.min("code").alias(name))
+    return df.join(known, F.col(label) == F.col("_label"), "left").drop("_label")
+
+
 def with_linked_row(df: DataFrame, key: str, other: DataFrame, other_key: str, name: str) -> DataFrame:
     """``df`` with the row that a foreign key points to, as a struct."""
     linked = other.select(F.col(other_key).alias("_key"), F.struct(*other.columns).alias(name))

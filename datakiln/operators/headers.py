@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datakiln.functions import valuetypes
+
 TYPES: dict[str, T.DataType] = {
     "int": T.LongType(), "integer": T.LongType(), "long": T.LongType(), "int64": T.LongType(), "float": T.DoubleType(), "real": T.DoubleType(), "str": T.StringType(), "varchar": T.StringType(), "text": T.StringType(), "date": T.DateType(), "time": T.StringType(), "datetime": T.TimestampNTZType(), "timestamp": T.TimestampNTZType(), "blob": T.BinaryType(), "geometry": T.StringType(), "unknown": T.StringType(),
 }
@@ -176,7 +178,7 @@ def declared_schema(spark: SparkSession, path: str) -> dict[str, TableSpec]:
     for row in spark.read.option("header", True).csv(path).collect():  # one row for each declared column
         r = row.asDict()
         spec = tables.setdefault(r["table"], TableSpec(r["table"]))
-        kind = r.get("datatype") or {"measure": "float", "count": "int", "date": "date", "year": "int"}.get((r.get("valuetype") or "").split("/")[0], "str")
+        kind = r.get("datatype") or (valuetypes.resolved(r["valuetype"]).datatype if r.get("valuetype") else "str")
         spec.columns[r["column"]] = ColumnSpec(len(spec.columns) + 1, r["column"], kind, *((r.get(k) or "") for k in ("valuetype", "role", "parent", "description")), transform=r.get("transform") or "")
     return tables
 

@@ -147,7 +147,9 @@ def sample_positions(count: int = 20, skip: int = 5, est_length: int = 10_000) -
 
 def sample(df: DataFrame, order: list[str], count: int = 20, skip: int = 5, est_length: int = 10_000) -> DataFrame:
     """The rows at `sample_positions` of a total order."""
-    return with_row_number(df, order, "_at", 0).filter(F.col("_at").isin(sample_positions(count, skip, est_length))).drop("_at")
+    places = sample_positions(count, skip, est_length)
+    first = df.orderBy(*order).limit(max(places, default=-1) + 1)  # no later row can be taken, so no more is sorted or written
+    return with_row_number(first, order, "_at", 0).filter(F.col("_at").isin(places)).drop("_at")
 
 
 def systematic_sample(df: DataFrame, key: str, n: int = 20) -> DataFrame:
@@ -191,6 +193,19 @@ def edited_steps(steps: dict[str, Step], changes: dict[str, Step | None]) -> dic
     return made
 
 
+def steps_for(changes: dict[str, dict[str, Step | None]], phase: str, source_table: str = "", table: str = "", source: str = "") -> dict[str, Step | None]:
+    """The changes that a configuration names for a phase: those of its source table, else its table, else its source, else the phase alone."""
+    for key in (f"{phase}-{source_table}", f"{phase}-{table}", f"{phase}-{source}", phase):
+        if key in changes:
+            return changes[key]
+    return {}
+
+
+def configured(phases: dict[str, dict[str, Step]], changes: dict[str, dict[str, Step | None]], source_table: str = "", table: str = "", source: str = "") -> dict[str, dict[str, Step]]:
+    """Each phase's steps with the changes that the configuration has for the source at hand."""
+    return {phase: edited_steps(steps, steps_for(changes, phase, source_table, table, source)) for phase, steps in phases.items()}
+
+
 def run_steps(df: DataFrame, steps: dict[str, Step]) -> DataFrame:
     for step in steps.values():
         df = df.transform(step)

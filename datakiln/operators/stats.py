@@ -1,13 +1,19 @@
 """Column statistics, value counts and histograms as long tables."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from datakiln.functions.casts import finite
+from datakiln.jobs import scratch
+from datakiln.operators.row_index import prefix_sums
 
 NUMBERS = ("mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis")
+QUARTERS = (0.25, 0.5, 0.75)
 BINS = 16
 #: Value counts are kept for columns of at most so many distinct values.
 MOST_VALUES = 1000
@@ -21,8 +27,7 @@ def numeric(df: DataFrame) -> list[str]:
 
 def _measures(c: str, is_number: bool, exact: bool) -> Column:
     x = finite(F.col(c).cast("double")) if is_number else F.lit(None).cast("double")
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quarters = F.percentile(x, at) if exact else F.percentile_approx(x, at)
+    quarters = F.percentile_approx(x, F.array(*map(F.lit, QUARTERS))) if not exact else F.array().cast("array<double>")
     distinct = F.lit(0) if exact else F.approx_count_distinct(F.col(c))
     made = {
         "count": F.count(F.col(c)), "nuniques": distinct, "width": F.max(F.length(F.col(c).cast("string"))).cast("long"),
@@ -32,11 +37,36 @@ def _measures(c: str, is_number: bool, exact: bool) -> Column:
     return F.struct(*whole, *[finite(made[k].cast("double")).alias(k) for k in NUMBERS])
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be null; the keys of ``right`` are dropped."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    met = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, met, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def exact_quarters(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, x, n): values and how often they occur, to (keys…, p25, p50, p75), interpolated between neighbours.
+
+    Running counts over sorted ranges of the distinct values tell which value holds a place,
+    so no task sees all values of a column.
+    """
+    placed = prefix_sums(counts, keys, ["x"], {"upto": F.col("n")})
+    wholes = counts.groupBy(*keys).agg(F.sum("n").alias("whole"))
+    known = _joined(placed, wholes, keys)
+    made = []
+    for name, p in zip(("p25", "p50", "p75"), QUARTERS, strict=True):
+        at = F.lit(p) * (F.col("whole") - 1)
+        value = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col("x")))
+        low, high, part = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        made.append((low + (high - low) * part).alias(name))
+    return known.groupBy(*keys).agg(*made)
+
+
 def column_stats(df: DataFrame, keys: list[str] = (), exact: bool = False) -> DataFrame:
     """(keys…, column, count, nuniques, width, mean, …, kurtosis): a row for each column (and key), one pass.
 
-    Distinct counts and quantiles are sketches unless ``exact``; exact ones cost a shuffle of
-    the distinct values and a map of each column's values.
+    Distinct counts and quantiles are sketches unless ``exact``; exact ones come from the
+    counts of the distinct values, which are counted before their shuffle and stored once.
     """
     kinds = set(numeric(df))
     columns = [c for c in df.columns if c not in set(keys)]
@@ -44,11 +74,12 @@ def column_stats(df: DataFrame, keys: list[str] = (), exact: bool = False) -> Da
     made = grouped.select(*keys, F.explode("all").alias("s")).select(*keys, "s.*")
     if not exact:
         return made
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    values = df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").filter("value is not null").distinct()
-    counted = values.groupBy(*keys, "column").agg(F.count("*").alias("distinct"))
-    joined = made.join(counted, [*keys, "column"], "left").withColumn("nuniques", F.coalesce("distinct", F.lit(0).cast("bigint")))
-    return joined.select(*made.columns)
+    by = [*keys, "column"]
+    counted = scratch.save(value_counts(df, columns, keys), "counts")
+    distinct = counted.groupBy(*by).agg(F.count("*").alias("distinct"))
+    numbers = counted.filter(F.col("column").isin(sorted(kinds))).select(*by, finite(F.col("value").cast("double")).alias("x"), F.col("count").alias("n")).filter("x is not null")
+    joined = _joined(_joined(made.drop("p25", "p50", "p75"), distinct, by, "left"), exact_quarters(numbers, by), by, "left")
+    return joined.withColumn("nuniques", F.coalesce("distinct", F.lit(0).cast("bigint"))).select(*made.columns)
 
 
 def value_counts(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:

@@ -7,6 +7,12 @@ every other one.  In the first stage the order is initialiser, parse to the data
 pipes.  What cannot be parsed stays failed through later pipes; the raw value is at hand as
 ``row.column.failed_value`` and is reported at the end unless it was cleared.
 
+A column with a value type is read by that type (a share above one, say, fails), and later
+stages may ask for attributes of its value: ``row.rate.percent``, ``row.margin.se`` or,
+where a table of the value's attributes is linked, ``row.state.name``.  A pipe in braces is
+a SQL expression over the value ``v`` and the columns of the stage: ``{v * 3}``,
+``{upper(row.name)}``; it may hold no semicolon or stroke.
+
 A stage is one projection of built-in expressions; Catalyst folds them into few.
 """
 
@@ -19,17 +25,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datakiln.functions import casts, values
+from datakiln.functions import casts, values, valuetypes
 from datakiln.operators.headers import TYPES, ColumnSpec, TableSpec
 from datakiln.operators.row_index import with_row_number
 
-ARGUMENTS = ("v", "row", "row_n", "header_s", "header_d", "i_s", "i_d", "source")
+ARGUMENTS = ("v", "row", "row_n", "header_s", "header_d", "i_s", "i_d", "source", "bundle", "scratch", "errors")
 
-#: Attributes that a stage may ask of another column's value.
+#: Attributes that a stage may ask of another column's value, whatever its type.
 ATTRIBUTES: dict[str, Callable[[Column], Column]] = {
     "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "start": lambda c: values.range_years(c)["y1"], "end": lambda c: values.range_years(c)["y2"], "dotted": values.tract_dotted, "rate": values.percent_rate,
 }
 
+
+
+def _standard_error(c: Column, parameters: tuple[str, ...]) -> Column:
+    """The standard error that a margin of so many percent (90, if none is named) stands for."""
+    return values.margin_to_se(c, int(parameters[-1]) if parameters else 90)
+
+
+#: Attributes by the value type, given the value and the type's parameters.
+TYPED: dict[str, dict[str, Callable[[Column, tuple[str, ...]], Column]]] = {
+    "margin": {"se": _standard_error} | {f"m{n}": (lambda c, p, n=n: values.se_to_margin(_standard_error(c, p), n)) for n in (90, 95, 99)},
+    "se": {f"m{n}": (lambda c, p, n=n: values.se_to_margin(c, n)) for n in (90, 95, 99)},
+    "rate": {"percent": lambda c, p: c * 100}, "proportion": {"percent": lambda c, p: c * 100},
+    "pct": {"rate": lambda c, p: c / 100}, "percent": {"rate": lambda c, p: c / 100}, "pctl": {"rate": lambda c, p: c / 100}, "percentile": {"rate": lambda c, p: c / 100},
+    **{code: {part: (lambda c, p, part=part: values.geo_parts(c)[part]) for part in ("state", "county", "tract")} for code in valuetypes.REGISTRY if code.startswith("geoid")},
+    "year": {"start": lambda c, p: c, "end": lambda c, p: c + 1},
+}
+
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "upper": F.upper, "lower": F.lower, "title": values.title, "strip": casts.stripped, "nullify": casts.nullify, "dequote": values.dequote, "parse_int": casts.parse_int, "parse_float": casts.parse_float, "clean_int": casts.clean_int, "clean_float": casts.clean_float, "int_cut": casts.int_cut, "nan_is_null": casts.nan_is_null, "excel_date": casts.excel_date, "percent": values.percent, "share": values.share, "range_text": values.range_text, "row_number": lambda row_n: row_n,
 }
@@ -92,8 +115,14 @@ def called(name: str, known: dict[str, Callable[..., Column]], context: dict[str
         value = context["row"][other]
         if attribute is None:
             return value
+        linked, kind = context["linked"].get(other), context["kinds"].get(other)
+        if linked is not None:
+            return F.col(linked)[attribute]
+        typed = TYPED.get(kind.registered, {}) if kind else {}
+        if attribute in typed:
+            return typed[attribute](value, kind.parameters)
         if attribute not in ATTRIBUTES:
-            raise KeyError(f"no attribute {attribute!r}; known are {', '.join(ATTRIBUTES)}")
+            raise KeyError(f"no attribute {attribute!r}; known are {', '.join([*typed, *ATTRIBUTES])}")
         return ATTRIBUTES[attribute](value)
     if name not in known:
         raise KeyError(f"no transform {name!r}")
@@ -110,11 +139,24 @@ def called(name: str, known: dict[str, Callable[..., Column]], context: dict[str
     return known[name](*given)
 
 
-def cast_columns(df: DataFrame, table: TableSpec, functions: dict[str, Callable[..., Column]] | None = None, order: list[str] | None = None, source: str = "") -> DataFrame:
+def expressed(text: str, value: str) -> Column:
+    """A SQL expression in which ``v`` is the column ``value`` and ``row.name`` a column of the stage; quoted text is left alone."""
+    parts = re.split(r"('(?:[^']|'')*')", text)
+    named = [p if i % 2 else re.sub(r"\brow\.(\w+)", r"`\1`", re.sub(r"(?<![\w.])v(?!\w)", f"`{value}`", p)) for i, p in enumerate(parts)]
+    return F.expr("".join(named))
+
+
+def cast_columns(
+    df: DataFrame, table: TableSpec, functions: dict[str, Callable[..., Column]] | None = None, order: list[str] | None = None,
+    source: object = "", bundle: object = None, linked: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """The rows of ``df`` as rows of ``table``, with ``_errors``: array<struct<column, value>> of failed values.
 
     A column that the source lacks is null.  If a column asks for the row number, ``order``
-    must name a total order of ``df``.
+    must name a total order of ``df``.  Functions may ask for ``source`` and ``bundle`` as
+    they are given here, for ``scratch``, a dict that all calls share while the plan is made,
+    and for ``errors``, the raw text that failed so far.  ``linked`` maps a value type to a
+    table whose first column is the value and whose others are its attributes.
     """
     known = FUNCTIONS | (functions or {})
     specs = sorted(table.columns.values(), key=lambda c: c.position)
@@ -127,15 +169,26 @@ def cast_columns(df: DataFrame, table: TableSpec, functions: dict[str, Callable[
     row_n = F.col("_row_n") if numbered else F.lit(None).cast("bigint")
     names, last = [c.name for c in specs], max(map(len, plans.values()))
     failed_name = lambda n: f"_failed_{n}"
+    shared = {"row_n": row_n, "source": source, "bundle": bundle, "scratch": {}, "kinds": {c.name: valuetypes.resolved(c.valuetype) for c in specs if c.valuetype}}
+    joined: dict[str, str] = {}
     for k in range(last):
         source_stage = k == 0
-        here = {c: F.col(c) for c in (df.columns if source_stage else names)}
+        stage_columns = df.columns if source_stage else names
+        here = {c: F.col(c) for c in stage_columns}
         failed_here = {} if source_stage else {n: F.col(failed_name(n)) for n in names}
+        holder = _Rows(df)
         out = []
         for i, spec in enumerate(specs):
-            value, failed = _stage(spec, plans[spec.name], k, here, failed_here, known, row_n, i, df.schema, source)
+            value, failed = _stage(spec, plans[spec.name], k, here, failed_here, known, shared | {"linked": joined}, i, df.schema, holder)
             out += [value.alias(spec.name), failed.alias(failed_name(spec.name))]
-        df = df.select(*out, *(["_row_n"] if numbered else []))
+        df = holder.df.select(*out, *(["_row_n"] if numbered else []), *joined.values())
+        if source_stage and last > 1:
+            for spec in specs:
+                if (rows := (linked or {}).get(spec.valuetype)) is not None:
+                    key, *attributes = rows.columns
+                    joined[spec.name] = f"_linked_{spec.name}"
+                    named = rows.select(F.col(key).alias("_linked_key"), F.struct(*attributes).alias(joined[spec.name]))
+                    df = df.join(named, F.col(spec.name) == F.col("_linked_key"), "left").drop("_linked_key")
     each = F.array(*[F.struct(F.lit(n).alias("column"), F.col(failed_name(n)).alias("value")) for n in names])
     any_failed = F.coalesce(*[F.col(failed_name(n)) for n in names]).isNotNull()  # most rows have none and skip the rest
     errors = F.filter(F.when(any_failed, each).otherwise(F.slice(each, 1, 0)), lambda e: e["value"].isNotNull())
@@ -143,19 +196,40 @@ def cast_columns(df: DataFrame, table: TableSpec, functions: dict[str, Callable[
     return df.select(*final, errors.alias("_errors"))
 
 
-def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here: dict, known: dict, row_n: Column, i_d: int, found: T.StructType, source: str) -> tuple[Column, Column]:
+class _Rows:
+    """The rows of a stage, to which a pipe may add its value under a name that SQL text can say."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self.made = df, 0
+
+    def named(self, value: Column) -> str:
+        self.made += 1
+        self.df = self.df.withColumn(f"_value_{self.made}", value)
+        return f"_value_{self.made}"
+
+
+def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here: dict, known: dict, shared: dict, i_d: int, found: T.StructType, rows: _Rows) -> tuple[Column, Column]:
     """Value and failed raw text of one column after stage k."""
     null_text = F.lit(None).cast("string")
     stage = plan[k] if k < len(plan) else Stage()
     source_names = found.fieldNames()
     raw = here.get(spec.name, F.lit(None).cast("string"))
-    context = {"v": raw, "row": RowView(here), "row_n": row_n, "header_s": spec.name if spec.name in source_names else None, "header_d": spec.name, "i_s": source_names.index(spec.name) if spec.name in source_names else None, "i_d": i_d, "source": source}
+    context = shared | {"v": raw, "row": RowView(here), "header_s": spec.name if spec.name in source_names else None, "header_d": spec.name, "i_s": source_names.index(spec.name) if spec.name in source_names else None, "i_d": i_d}
     failed, value = failed_here.get(spec.name, null_text), raw
+
+    def made_by(pipe: str, value: Column, failed: Column) -> Column:
+        if m := re.fullmatch(r"\{(.*)\}", pipe, re.DOTALL):
+            return expressed(m.group(1), rows.named(value))
+        return called(pipe, known, context | {"v": value, "errors": failed}, failed_here)
+
     if k == 0:
         if stage.init:
-            value = called(stage.init, known, context, failed_here)
-        before = value
-        if spec.datatype not in ("str", "text", "unknown"):
+            value = made_by(stage.init, value, failed)
+        before, kind = value, shared["kinds"].get(spec.name)
+        if kind and kind.read:
+            value = kind.read(value.cast("string"))
+            failed = casts.failed_value(before, value)
+        elif spec.datatype not in ("str", "text", "unknown"):
             typed = found[spec.name].dataType if spec.name in source_names and not stage.init else T.StringType()
             value = casts.cast_typed(value, spec.datatype, typed)
             failed = casts.failed_value(before, value)
@@ -166,10 +240,10 @@ def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here:
         if pipe == "clear_error":
             failed = null_text
             continue
-        made = called(pipe, known, context | {"v": value}, failed_here)
+        made = made_by(pipe, value, failed)
         value = made if pipe.startswith("row.") else F.when(failed.isNull(), made)
     if stage.handler:
-        handled = F.lit(None) if stage.handler == "ignore" else called(stage.handler, known, context | {"v": start}, failed_here)
+        handled = F.lit(None) if stage.handler == "ignore" else called(stage.handler, known, context | {"v": start, "errors": failed}, failed_here)
         value, failed = F.coalesce(value, handled), null_text
     return value, failed
 

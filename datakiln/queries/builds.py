@@ -42,7 +42,28 @@ def written_and_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'orders-' || o_orderstatus AS partition, CAST(count(*) AS BIGINT) AS rows, min(o_orderkey) AS min_id, max(o_orderkey) AS max_id FROM orders GROUP BY 1""")
 def finalized_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and id bounds of each partition."""
-    return build.finalized(build.with_partition(table(spark, sf_dir, "orders"), "orders", segment=F.col("o_orderstatus")), "o_orderkey")
+    made = build.finalized(build.with_partition(table(spark, sf_dir, "orders"), "orders", segment=F.col("o_orderstatus")), "o_orderkey")
+    return made.select("partition", "rows", "min_id", "max_id")
+
+
+@query("""SELECT o_orderkey, '007' AS p_segment FROM orders WHERE o_orderstatus = 'F'""")
+def looked_up_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that look like numbers are found, and come back, as the texts they are."""
+    path = scratch.folder(spark, "texts")
+    segment = F.when(F.col("o_orderstatus") == "F", "007").otherwise("08")
+    build.write_partitions(build.with_partition(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "orders", segment=segment), path)
+    return build.read_partitions(spark, path, segment="007").select("o_orderkey", "p_segment")
+
+
+@query("""SELECT 'orders-' || o_orderstatus AS partition, CAST(count(*) AS BIGINT) AS rows, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS years,
+  CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) THEN CAST(min(year(o_orderdate)) AS VARCHAR) ELSE min(year(o_orderdate)) || ' to ' || max(year(o_orderdate)) END || ' ' || count(*) || ' Rows.' AS title,
+  CAST(count(o_totalprice) AS BIGINT) AS prices, round(avg(o_totalprice), 6) AS mean, round(min(o_totalprice), 6) AS least FROM orders GROUP BY o_orderstatus""")
+def finalized_with_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What finalising a build tells of each partition: rows, time covered, title, and the statistics of a column."""
+    rows = build.with_partition(table(spark, sf_dir, "orders"), "orders", segment=F.col("o_orderstatus"))
+    held = build.finalized(rows, "o_orderkey", years=["o_orderdate"])
+    told = build.finalized_statistics(rows, ["o_totalprice"]).select("partition", F.col("count").alias("prices"), rounded("mean").alias("mean"), rounded("min").alias("least"))
+    return held.join(told, "partition").select("partition", "rows", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "title", "prices", "mean", "least")
 
 
 @query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS rows FROM events GROUP BY 1, 2""")

@@ -168,3 +168,25 @@ def without_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns with a header but no data are dropped; zeros and empty texts are no data."""
     rows = table(spark, sf_dir, "region").withColumns({"none": F.lit(None).cast("string"), "empty": F.lit(""), "zero": F.lit(0)})
     return headers.without_empty_columns(rows)
+
+
+@query("""SELECT c_custkey AS id, n_name AS state_name, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_nationkey / 100.0 END AS rate, CASE WHEN c_nationkey % 4 = 0 THEN '1.5' END AS rate_code,
+  CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE round(c_nationkey / 100.0 * 100, 6) END AS percent, '19' || CAST(70 + c_nationkey AS VARCHAR) || '/20' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS years, CAST(1970 + c_nationkey AS INTEGER) AS first_year,
+  round((c_nationkey + 1) / 1.645 * 1.96, 6) AS wider, c_nationkey * 3 AS thrice, replace(upper(c_mktsegment), 'A', 'x|v') AS segment, lower(c_mktsegment) AS abbreviation, CAST(12 AS INTEGER) AS zip FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def value_types_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of declared value types, their attributes, a linked table of states, and SQL expressions in the pipes."""
+    n = F.col("c_nationkey")
+    rate = F.when(n % 4 == 0, "1.5").otherwise((n / 100).cast("string"))
+    raw = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), n.cast("string").alias("state"), rate.alias("rate"), F.concat(F.lit("19"), n + 70, F.lit("-20"), F.lpad(n.cast("string"), 2, "0")).alias("years"),
+        (n + 1).cast("string").alias("margin"), F.col("c_mktsegment").alias("segment"), F.concat(F.lit(" "), "c_mktsegment").alias("abbreviation"), F.lit("00012").alias("zip"),
+    )
+    c = headers.ColumnSpec
+    specs = [
+        c(1, "id", "int"), c(2, "state", "int", valuetype="fips/state"), c(3, "state_name", "str", transform=";row.state.name"), c(4, "rate", "float", valuetype="rate", transform=";;clear_error"), c(5, "rate_code", "str", transform=";row.rate.failed_value"),
+        c(6, "percent", "float", transform=";row.rate.percent"), c(7, "years", "str", valuetype="year/range"), c(8, "first_year", "int", transform=";row.years.start"), c(9, "margin", "float", valuetype="margin/90"), c(10, "wider", "float", transform=";row.margin.m95"),
+        c(11, "thrice", "int", transform=";{row.state * 3}"), c(12, "segment", "str", transform="upper|{replace(v, 'A', concat('x', char(124), 'v'))}"), c(13, "abbreviation", "str", valuetype="stusab"), c(14, "zip", "int", valuetype="zip"),
+    ]
+    states = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("state"), F.col("n_name").alias("name"))
+    made = transforms.cast_columns(raw, headers.TableSpec("people", {s.name: s for s in specs}), linked={"fips/state": states})
+    return made.select("id", "state_name", "rate", "rate_code", rounded("percent").alias("percent"), "years", F.col("first_year").cast("int").alias("first_year"), rounded("wider").alias("wider"), F.col("thrice").cast("int").alias("thrice"), "segment", "abbreviation", F.col("zip").cast("int").alias("zip"))

@@ -7,6 +7,7 @@ from datakiln.jobs import build
 from datakiln.jobs.sqlscript import Warehouse
 from datakiln.operators import cubes, stats
 from datakiln.queries.registry import Query, registrar, rounded, table
+from datakiln.sources import runs
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 query = registrar(QUERIES)
@@ -27,10 +28,10 @@ def left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
 
 
-@query("""SELECT c_custkey, s_suppkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) FULL JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey""")
+@query("""SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""")
 def full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey")
-    return left.join(table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey"), F.col("c_custkey") == F.col("s_suppkey"), "full")
+    left = table(spark, sf_dir, "customer").select("c_custkey")
+    return left.join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.col("c_custkey") == F.col("s_suppkey"), "full")
 
 
 @query("""SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_regionkey > r_regionkey""")
@@ -53,6 +54,14 @@ def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubes.with_labels(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", labels, "nation").select("c_custkey", "nation")
 
 
+@query("""SELECT c_custkey, n_nationkey AS code FROM (SELECT c_custkey, coalesce(n_name, 'none') AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey) LEFT JOIN nation ON n_name = label""")
+def labels_to_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels back to codes."""
+    labels = cubes.value_labels(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+    named = cubes.with_labels(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", labels, "nation")
+    return cubes.with_codes(named, "nation", labels, "code").select("c_custkey", "code")
+
+
 @query("""SELECT s_suppkey, n_name, n_regionkey FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
 def linked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A foreign key that carries its row."""
@@ -97,7 +106,8 @@ def script_over_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def not_yet_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a manifest does not have: the incremental step of a build."""
     seen = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(seen, "o_orderkey", "left_anti")
+    listed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"))
+    return runs.still_pending(listed, seen.withColumnRenamed("o_orderkey", "name")).withColumnRenamed("name", "o_orderkey")
 
 
 @query("""SELECT 'rule:priced' AS "check", '0' AS expected, CAST(count(*) FILTER (o_totalprice <= 50000) AS VARCHAR) AS found FROM orders

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.functions import values
+from datakiln.functions import nested, values
 from datakiln.functions.casts import nullify
 from datakiln.operators import row_index, rows
 from datakiln.queries.registry import Query, registrar, rounded, table
+from datakiln.sources import readers, runs
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 query = registrar(QUERIES)
@@ -46,7 +47,7 @@ def nullify_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
 def head_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows in a stated order, without a full sort."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").transform(rows.head, 25, [F.desc("o_totalprice"), "o_orderkey"])
 
 
 @query(f"""SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS spot FROM lineitem) WHERE spot IN ({', '.join(map(str, POSITIONS))})""")
@@ -91,20 +92,28 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of several tables by column name, missing columns null."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
-    return customers.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), allowMissingColumns=True)
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    return united(spark, customers=customers, suppliers=suppliers)
+
+
+def united(spark: SparkSession, **frames: DataFrame) -> DataFrame:
+    """Frames as sources of one run."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(f"united_{name}")
+    return runs.together(spark, [readers.SourceSpec(name, f"united_{name}", "frame") for name in frames]).drop("_source")
 
 
 @query("""SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier""")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = [table(spark, sf_dir, t).select(F.col(c).alias("nation")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
-    return nations[0].union(nations[1]).distinct()
+    return united(spark, customers=nations[0], suppliers=nations[1]).distinct()
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n, json_keys(props)[1] AS path FROM events""")
 def flattened_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects as (path, value) rows."""
-    pairs = F.explode(F.from_json("props", "map<string,string>"))
-    return table(spark, sf_dir, "events").select("event_id", pairs.alias("path", "value")).select("event_id", F.col("value").cast("bigint").alias("n"), "path")
+    leaves = nested.flattened_rows(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+    return leaves.select("event_id", F.col("value").cast("bigint").alias("n"), "path")
 
 
 @query("""SELECT p_partkey, upper(p_name) AS shouted, lower(p_brand) AS quiet, p_type AS bare, substr(p_name, 1, 5) AS shortened, p_brand || '-' || CAST(p_size AS VARCHAR) AS name FROM part""")

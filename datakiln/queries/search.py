@@ -17,8 +17,9 @@ index_ AS (SELECT term, field, doc, count(*) AS tf FROM terms GROUP BY ALL)"""
 FIELDS = {"title": "source", "keywords": "lang", "doc": "text"}
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.inverted_index(table(spark, sf_dir, "documents"), FIELDS, "doc_id")
+def index_of(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The index of the named fields, or of all; other texts are not read."""
+    return search.inverted_index(table(spark, sf_dir, "documents"), {f: FIELDS[f] for f in fields or FIELDS}, "doc_id")
 
 
 @query(f"""WITH {TERMS_SQL.strip()} SELECT field, CAST(count(*) AS BIGINT) AS entries, CAST(sum(tf) AS BIGINT) AS hits, CAST(count(DISTINCT doc) AS BIGINT) AS docs FROM index_ GROUP BY field""")
@@ -38,7 +39,7 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TERMS_SQL.strip()} SELECT doc FROM index_ WHERE field = 'keywords' AND term = 'de' INTERSECT SELECT doc FROM index_ WHERE field = 'title' AND term = 'src5'""")
 def matching_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by keyword and by title."""
-    index = index_of(spark, sf_dir)
+    index = index_of(spark, sf_dir, "keywords", "title")
     return search.matching(index, ["de"], ["keywords"]).join(search.matching(index, ["src5"], ["title"]), "doc", "left_semi")
 
 
@@ -55,10 +56,40 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_names(names, asked).withColumn("similarity", rounded("similarity"))
 
 
-@query("""SELECT source AS dataset, round(CASE WHEN count(*) FILTER (n_chars > 2000) = 0 THEN 0 ELSE 1 + count(*) FILTER (n_chars > 2000) * 0.5 END, 6) AS score, CAST(count(*) FILTER (n_chars > 2000) AS BIGINT) AS partitions FROM documents WHERE source LIKE '%src1%' GROUP BY 1""")
+RANKED_SQL = f"""{TERMS_SQL.strip()}, hits AS (SELECT * FROM index_ WHERE term = 'the' AND field = 'doc'), scored AS (SELECT doc, tf / sum(tf) OVER () AS score FROM hits)"""
+
+
+@query(f"""WITH {RANKED_SQL} SELECT source AS dataset, round(CASE WHEN count(score) = 0 THEN 0 ELSE 1 + sum(score) END, 6) AS score, CAST(count(score) AS BIGINT) AS partitions
+FROM documents LEFT JOIN scored ON doc = doc_id WHERE source LIKE '%src1%' GROUP BY 1""")
 def rolled_up_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dataset scores: their own and those of the partitions found, for one source term."""
-    docs = table(spark, sf_dir, "documents")
-    datasets = docs.select(F.col("source").alias("dataset"), F.col("source").alias("source"), F.lit(1.0).alias("score")).distinct()
-    parts = docs.filter("n_chars > 2000").select(F.col("source").alias("dataset"), F.lit(0.5).alias("score"))
-    return search.rolled_up(datasets, parts, "src1").withColumn("score", rounded("score"))
+    """Scores of datasets (sources): their own rank by title and those of their documents that a term finds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    found = search.ranked(index_of(spark, sf_dir, "doc"), ["the"], {"doc": 1.0})
+    parts = found.join(docs, F.col("doc") == F.col("doc_id")).select(F.col("source").alias("dataset"), "score")
+    titles = docs.select(F.col("source").alias("dataset"), "source").filter("source is not null").distinct()
+    own = titles.withColumn("score", F.lit(1.0))
+    return search.rolled_up(own, parts, "src1").withColumn("score", rounded("score"))
+
+
+@query(f"""WITH {RANKED_SQL} SELECT doc, round(score, 9) AS score FROM scored ORDER BY scored.score DESC, doc LIMIT 10""")
+def best_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best hits of a term in the texts."""
+    found = search.ranked(index_of(spark, sf_dir, "doc"), ["the"], {"doc": 1.0})
+    return search.best_hits(found).withColumn("score", rounded("score", 9))
+
+
+@query("""SELECT 'orders-' || o_orderstatus AS doc FROM orders GROUP BY 1 HAVING min(year(o_orderdate)) <= 1994 AND max(year(o_orderdate)) >= 1995""")
+def partitions_in_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions that cover the years that a phrase asks for."""
+    covers = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("orders-"), "o_orderstatus").alias("doc")).agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"))
+    return search.in_years(covers, search.parsed_phrase("orders from 1994 to 1995").years).select("doc")
+
+
+@query("""SELECT DISTINCT lower(s_name) AS asked, s_suppkey AS gvid FROM supplier""")
+def places_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's name looked up among the names of suppliers and customers: the ids of the best match's type."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("type"), F.col("s_suppkey").alias("gvid"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("type"), F.col("c_custkey").alias("gvid"))
+    places = suppliers.union(customers)
+    found = search.similar_names(places, suppliers.select(F.lower("name").alias("asked")), most=1)
+    return search.places_named(found, places)

@@ -1,5 +1,10 @@
 """Sources: text files written from the tables and read back as any messy source would be."""
 
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +70,106 @@ def partition_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.partition_documents(parts, values)
 
 
-@query("""SELECT name, CAST(name IN ('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority') AS INTEGER) AS orders, CAST(name IN ('s_suppkey', 's_name', 's_nationkey', 's_acctbal') AS INTEGER) AS suppliers FROM (
-  SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority', 's_suppkey', 's_name', 's_nationkey', 's_acctbal']) AS name)""")
+@query("""SELECT c_name AS name, c_nationkey AS nation, 'customers' AS kind FROM customer UNION ALL SELECT s_name, s_nationkey, 'suppliers' FROM supplier""")
 def column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which source has which column."""
-    return headers.column_map({"orders": table(spark, sf_dir, "orders").columns, "suppliers": table(spark, sf_dir, "supplier").columns}, spark)
+    """Rows of two sources under the names that a column map gives them."""
+    frames = {"customers": table(spark, sf_dir, "customer"), "suppliers": table(spark, sf_dir, "supplier")}
+    changes = [("customers", "c_name", "name"), ("customers", "c_nationkey", "nation"), ("suppliers", "s_name", "name"), ("suppliers", "s_nationkey", "nation")]
+    parts = [headers.mapped_columns(df, kind, changes).select("name", "nation", F.lit(kind).alias("kind")) for kind, df in frames.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT 'customers of ' || CAST(c_nationkey % 2 AS VARCHAR) AS _source, c_custkey, 'Zürich ' || c_name AS name FROM customer""")
+def folders_of_tabbed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders of tab-separated Latin-1 files, read by one scan, each row with its source."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Zürich "), "c_name").alias("name"), (F.col("c_nationkey") % 2).alias("side"))
+    specs = []
+    for side in (0, 1):
+        path = scratch.folder(spark, f"side {side}")
+        rows.filter(F.col("side") == side).drop("side").write.options(header=True, sep="\t", encoding="ISO-8859-1").csv(path)
+        specs.append(readers.SourceSpec(f"customers of {side}", path, "tsv", encoding="ISO-8859-1"))
+    return runs.together(spark, specs).withColumn("c_custkey", casts.to_int(F.col("c_custkey")))
+
+
+def zipped(rows: pa.Table) -> pa.Table:
+    """The lines of a group as an archive with a file of lines and one that is not wanted."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("data/items.csv", "key,name\n" + "".join(f"{line}\n" for line in rows.column("line").to_pylist()))
+        archive.writestr("about.txt", "nothing\n")
+    return pa.table({"path": [f"{rows.column('nation')[0]}.zip"], "content": [held.getvalue()]})
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) || '.zip' AS archive, c_custkey AS "key", c_name || ', "x"' AS name FROM customer""")
+def zipped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each nation; the lines of one member by name, cells in quotes."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit(', ""x"""'))
+    archives = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), line.alias("line")).groupBy("nation").applyInArrow(zipped, "path string, content binary")
+    lines = readers.unpacked(archives, r"\.csv$").filter("line_no > 0")
+    cells = lines.select("archive", F.from_csv("line", "key string, name string", {"escape": '"'}).alias("c"))
+    return cells.select("archive", casts.to_int(F.col("c.key")).alias("key"), "c.name")
+
+
+def headed(*lines: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines on top of every file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"value": list(lines)}, batch.schema)
+                first = False
+            yield batch
+
+    return run
+
+
+@query("""SELECT p_partkey AS id, p_brand AS "Part brand", p_size AS "Part size" FROM part""")
+def classified_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a title, two header rows, a comment and a last line that is no data."""
+    path = scratch.folder(spark, "classified")
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_brand", F.lit('"')), F.col("p_size").cast("string"))
+
+    table(spark, sf_dir, "part").repartition(4, "p_partkey").select(line.alias("value")).mapInArrow(headed("The parts,,", ",Part,", "id,brand,size", "# not data"), "value string").write.text(path)
+    rows = readers.read(spark, readers.SourceSpec("parts", path, header_lines=(1, 2), start_line=3, comment="#"))
+    return rows.select(casts.to_int(F.col("id")).alias("id"), "Part brand", casts.to_int(F.col("Part size")).cast("int").alias("Part size"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'of the wrong width' ELSE 'read' END AS outcome FROM orders""")
+def rows_of_the_wrong_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file some of whose rows have a cell too many: these are reported, the others read."""
+    path = scratch.folder(spark, "widths")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.when(F.col("o_orderstatus") == "P", "more"))
+    table(spark, sf_dir, "orders").select(line.alias("value")).mapInArrow(headed("key,status"), "value string").write.text(path)
+    rows = readers.delimited(spark, path)
+    key = casts.to_int(F.split(F.coalesce("_corrupt", rows.columns[0]), ",")[0])
+    return rows.select(key.alias("o_orderkey"), F.when(F.col("_corrupt").isNull(), "read").otherwise("of the wrong width").alias("outcome"))
+
+
+@query("""SELECT s_name AS name, CAST(1 AS INTEGER) AS stage FROM supplier WHERE s_suppkey % 3 <> 0""")
+def pending_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that a manifest does not have yet; the manifest is what earlier runs wrote."""
+    suppliers = table(spark, sf_dir, "supplier")
+    manifest = suppliers.filter("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"))
+    listed = suppliers.select(F.col("s_name").alias("name"), F.lit("").alias("dest_table"), F.lit(1).alias("stage"))
+    return runs.still_pending(listed, manifest).select("name", "stage")
+
+
+@query("""SELECT n_name, CAST(count(*) AS BIGINT) AS rows, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def staged_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages: the second reads the partitions that the first built, found by name."""
+    path = scratch.folder(spark, "stages")
+    specs = [readers.SourceSpec("sums", f"{path}/customers", "partition", stage=2), readers.SourceSpec("customers", f"{sf_dir}/customer.parquet", "partition", stage=1)]
+    by_name = {s.name: s for s in specs}
+
+    def built(spark: SparkSession, name: str) -> None:
+        rows = runs.together(spark, [by_name[name]])
+        if name == "customers":
+            rows.select("c_nationkey", "c_acctbal").write.parquet(f"{path}/customers")
+        else:
+            rows.groupBy("c_nationkey").agg(F.count("*").alias("rows"), F.sum("c_acctbal").alias("balance")).write.parquet(f"{path}/sums")
+
+    build.in_stages(spark, [[s.name for s in stage] for stage in runs.by_stage(specs)], built)
+    sums = spark.read.parquet(f"{path}/sums")
+    joined = sums.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("n_name", "rows", F.round("balance", 2).alias("balance"))

@@ -95,7 +95,12 @@ def fixed_width(spark: SparkSession, path: str, widths: Iterable[tuple[str, int,
 
 
 def zip_lines(spark: SparkSession, path: str, member: str = "", encoding: str = "utf-8") -> DataFrame:
-    """(archive, member, line_no, line) of the members whose name matches; archives unpack in parallel.
+    """The lines of the archives at a path; see `unpacked`."""
+    return unpacked(spark.read.format("binaryFile").load(path), member, encoding)
+
+
+def unpacked(files: DataFrame, member: str = "", encoding: str = "utf-8") -> DataFrame:
+    """``files`` (path, content) to (archive, member, line_no, line) of the members whose name matches; archives unpack in parallel.
 
     An archive cannot be split, so one task streams it; lines leave in batches of fixed size.
     """
@@ -119,8 +124,7 @@ def zip_lines(spark: SparkSession, path: str, member: str = "", encoding: str =
         n = len(held)
         return pa.RecordBatch.from_pydict({"archive": [archive] * n, "member": [name] * n, "line_no": pa.array([i for i, _ in held], pa.int64()), "line": pa.array([t for _, t in held], pa.string())})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(unpack, "archive string, member string, line_no long, line string")
+    return files.select("path", "content").mapInArrow(unpack, "archive string, member string, line_no long, line string")
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:

@@ -17,7 +17,12 @@ NEVER_READ = ("ref", "template")
 def pending(spark: SparkSession, sources: list[SourceSpec], manifest: DataFrame, force: bool = False) -> DataFrame:
     """(name, dest_table, stage) of the sources that the manifest (name) does not have yet, or of all."""
     listed = spark.createDataFrame([(s.name, s.dest_table, s.stage) for s in sources if s.kind not in NEVER_READ], "name string, dest_table string, stage int")
-    return listed if force else listed.join(manifest.select("name"), "name", "left_anti")
+    return listed if force else still_pending(listed, manifest)
+
+
+def still_pending(listed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Listed sources (name, …) that the manifest (name) does not have; both may be tables of any size."""
+    return listed.join(manifest.select("name").distinct(), "name", "left_anti")
 
 
 def only(sources: list[SourceSpec], names: set[str] | None = None, tables: set[str] | None = None) -> list[SourceSpec]:

@@ -105,6 +105,29 @@ def test_stages_see_the_stage_before(spark):
     assert all(r["_errors"] == [] for r in got)
 
 
+def test_value_types_and_expressions(spark):
+    df = spark.createDataFrame([("a v", "0.25", "12.5%", "8", "06075010100", "1,000", "6"), ("b", "3", "x", None, "bad", "7", "99")], "name string, part string, pct string, moe string, place string, n string, state string")
+    table = headers.TableSpec("t", {n: headers.ColumnSpec(i, n, k, v, transform=t) for i, (n, k, v, t) in enumerate([
+        ("name", "str", "", "{upper(v)}|{replace(v, 'V', 'v w')}"), ("part", "float", "proportion", ";;clear_error"), ("part_code", "str", "", ";row.part.failed_value"), ("part_percent", "float", "", ";row.part.percent"),
+        ("pct", "float", "pct", ""), ("pct_rate", "float", "", ";row.pct.rate"), ("moe", "float", "margin/95", ""), ("moe_se", "float", "", ";row.moe.se"), ("place", "str", "geoid/census", ""), ("county", "int", "", ";row.place.county"),
+        ("n", "int", "", "^{replace(v, ',', '')}|{v + 1}"), ("total", "float", "", ";{row.n * row.part}"), ("state", "int", "fips/state", ""), ("state_name", "str", "", ";row.state.name"), ("tag", "str", "", "^tagged"),
+    ], 1)})
+    states = spark.createDataFrame([(6, "California", "CA")], "state int, name string, short string")
+
+    def tagged(v, source, bundle, scratch):
+        scratch["seen"] = scratch.get("seen", 0) + 1
+        return F.lit(f"{source}-{bundle}-{scratch['seen']}")
+
+    cast = transforms.cast_columns(df, table, {"tagged": tagged}, source="s", bundle="b", linked={"fips/state": states})
+    one, two = (r.asDict() for r in cast.orderBy("name").collect())
+    assert (one["name"], one["part"], one["part_percent"], one["pct"], one["pct_rate"]) == ("A v w", 0.25, 25.0, 12.5, 0.125)
+    assert round(one["moe_se"] * 1.96, 9) == 8.0 and (one["county"], one["n"], one["total"], one["state_name"], one["tag"]) == (75, 1001, 250.25, "California", "s-b-1")
+    assert (two["part"], two["part_code"], two["pct"], two["county"], two["state_name"], two["n"]) == (None, "3", None, None, None, 8)
+    assert [tuple(e) for e in two["_errors"]] == [("pct", "x")]
+    with pytest.raises(KeyError):
+        transforms.cast_columns(df, spec([("name", "str", ""), ("x", "str", ";row.name.nosuch")])).count()
+
+
 def test_errors_are_reported_unless_cleared(spark):
     df = spark.createDataFrame([("1",), ("*",), ("*",), ("b",), (None,), (" ",)], "n string")
     cast = transforms.cast_columns(df, spec([("n", "int", "")]))

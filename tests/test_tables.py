@@ -92,6 +92,10 @@ def test_steps_are_edited_by_name(spark):
     assert list(made) == ["zero", "two", "three"] and rows.run_steps(df, made).columns == ["a", "z", "y"]
     with pytest.raises(KeyError):
         rows.edited_steps(steps, {"!none": None})
+    changes = {"body": {"!two": None}, "body-src": {"+last": steps["one"]}, "body-tab": {"!one": None}}
+    phases = {"body": steps, "final": {"one": steps["one"]}}
+    assert [list(rows.configured(phases, changes, *names)["body"]) for names in (("t0", "tab", "src"), ("", "", "src"), ())] == [["two"], ["one", "two", "last"], ["one"]]
+    assert list(rows.configured(phases, changes)["final"]) == ["one"]
 
 
 def test_user_code_on_rows(spark):
@@ -141,6 +145,9 @@ def test_partitions_are_written_read_and_numbered(spark, tmp_path):
     assert all(r.a == 1 and r.b == r.c for r in bounds)
     first = numbered.filter("t = 0 and n = 1").first()
     assert first.p_segment == "s-10"  # byte order
+    zeros = build.with_partition(df, "tab", segment=F.lpad(F.col("t").cast("string"), 3, "0"))
+    build.write_partitions(zeros, str(tmp_path / "zeros"))
+    assert build.read_partitions(spark, str(tmp_path / "zeros"), segment="001").count() == 67 and build.read_partitions(spark, str(tmp_path / "zeros"), segment="1").count() == 0
     joined = build.coalesce_segments(parts, ["id"], "n").orderBy("n").collect()
     assert [r.n for r in joined] == list(range(1, 201)) and {r.p_segment for r in joined} == {""}
     build.extract(parts.select("id", "t"), str(tmp_path / "csv"), 10, ["id"])
@@ -199,6 +206,28 @@ def test_years_geo_and_ages(spark):
     assert one(spark, values.source_keywords(F.lit("foo.bar.com"))) == ["bar.com", "com", "foo", "foo.bar", "foo.bar.com"]
 
 
+def test_coverage_keeps_the_levels_asked_for(spark):
+    assert coverage.level_code(50) == "0O" and coverage.level_code(150) == "2q"
+    made = [("0O0601", "0a05", "county"), ("2q060100010", "", ""), ("2Mzz", "x1", None), (None, None, "state")]
+    df = spark.createDataFrame([(1, *r) for r in made], "k int, gvid string, own string, grain string")
+    assert coverage.space_coverage(df, ["k"], "gvid", declared=["own"]).first().places == ["0O0601", "0a05", "x1"]
+    assert coverage.space_coverage(df, ["k"], "gvid", levels=(40,)).count() == 0
+    assert coverage.grain_coverage(df, ["k"], "gvid", declared=["grain"]).first().grains[-2:] == ["county", "state"]
+
+
+def test_exact_quarters_of_odd_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 3 == 0 else f"k{i % 2}", None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(x), int(i % 5)) for i, x in enumerate(rng.normal(size=500).round(1))]
+    df = spark.createDataFrame(rows, "k string, x double, n long").repartition(6)
+    for r in stats.column_stats(df, ["k"], exact=True).collect():
+        held = [x if r.column == "x" else n for k, x, n in rows if k == r.k]
+        numbers = [v for v in held if v is not None and v == v]
+        assert np.allclose([r.p25, r.p50, r.p75], np.quantile(numbers, [0.25, 0.5, 0.75]), rtol=1e-12)
+        assert r.nuniques == len({str(v) for v in held if v is not None})
+
+
 def test_coverage_of_generated_rows(spark):
     df = readers.generated(spark, 4000, {"year": 2000 + F.col("id") % 4, "n": F.col("id") % 100, "bg": values.gvid(F.col("id") % 4 + 1, F.col("id") % 16 / 4 + 1, F.col("id") % 5 + 1, F.col("id") % 5 + 1), "one": F.lit(1), "f": readers.random_normal(100, 15, 1)})
     assert coverage.time_coverage(df, ["one"], ["year"]).first().years == [2000, 2001, 2002, 2003]
@@ -300,7 +329,13 @@ def test_scripts(spark, tmp_path):
     house = Warehouse(spark, {"ex.com-ints-1": str(tmp_path / "p1")})
     script = "DROP VIEW IF EXISTS v; /* note; */ CREATE VIEW v AS SELECT g, count(*) AS n FROM ex.com-ints-1 WHERE 'a;b' <> '--' GROUP BY g; SELECT * FROM v WHERE n > 6; SELECT 1"
     assert len(statements(script)) == 4 and [r.n for r in house.run(script).collect()] == [7, 7]
-    assert substituted("SELECT * FROM ex.com-ints-1 AS a JOIN b ON a.x = b.y")[1] == ["ex.com-ints-1"]
+    views = {"ex.com-ints-1": "v1", "o.day": "v2"}
+    assert substituted("SELECT * FROM ex.com-ints-1 AS a JOIN b ON a.x = b.y", views)[1] == ["ex.com-ints-1"]
+    for same in ("SELECT * FROM catalog.db.real_table", "SELECT 'from ex.com-ints-1' AS x FROM `ex.com-ints-1`", "SELECT extract(year FROM o.date) FROM t"):
+        assert substituted(same, views) == (same, [])
+    spark.range(2).write.parquet(str(tmp_path / "p2"))
+    alike = Warehouse(spark, {"a-b": str(tmp_path / "p1"), "a_b": str(tmp_path / "p2")})
+    assert alike.query("SELECT x.id FROM a-b x JOIN a_b y ON x.id = y.id").count() == 2 and alike.query("SELECT * FROM a-b").count() == 20
     with pytest.raises(KeyError):
         house.install("none")
 
