@@ -163,13 +163,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links."""
     printed = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words_each).alias("fp"))
     printed = scratch.save(printed, "fingerprints")
-    least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
-    roots = scratch.save(components(fingerprint_links(least.select("fp"), radius)), "roots")
-    grouped = roots.join(least, roots.node == least.fp).select("node", "root", "least")
-    named = grouped.groupBy("root").agg(F.min("least").alias("joint"))
-    joint = grouped.join(named, "root").select(F.col("node").alias("fp"), "joint")
-    names = least.join(joint, "fp", "left").select("fp", "held", F.coalesce("joint", "least").alias("component_id"))
-    return joined_names(printed, scratch.save(names, "names"), "fp").select("doc_id", "fp", "component_id")
+    with scratch.cleared(docs.sparkSession):
+        least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+        roots = scratch.save(components(fingerprint_links(least.select("fp"), radius)), "roots")
+        grouped = roots.join(least, roots.node == least.fp).select("node", "root", "least")
+        named = grouped.groupBy("root").agg(F.min("least").alias("joint"))
+        joint = grouped.join(named, "root").select(F.col("node").alias("fp"), "joint")
+        names = least.join(joint, "fp", "left").select("fp", "held", F.coalesce("joint", "least").alias("component_id"))
+        names = scratch.save(names, "names", outlives=True)
+    return joined_names(printed, names, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
