@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     printed = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words_each).alias("fp"))
     printed = scratch.save(printed, "fingerprints")
     with scratch.cleared(docs.sparkSession):
-        least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+        least = scratch.save(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")), "least")
         roots = scratch.save(components(fingerprint_links(least.select("fp"), radius)), "roots")
         grouped = roots.join(least, roots.node == least.fp).select("node", "root", "least")
         named = grouped.groupBy("root").agg(F.min("least").alias("joint"))
