@@ -173,13 +173,14 @@ def schema_of_run(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]],
 
 
 def declared_schema(spark: SparkSession, path: str) -> dict[str, TableSpec]:
-    """Table specs from a CSV of columns: table, column, datatype, valuetype, role, parent, description, transform."""
+    """Table specs from a CSV of columns: table, column, datatype, valuetype, role, parent, description, transform; in file order where it has no position."""
     tables: dict[str, TableSpec] = {}
     for row in spark.read.option("header", True).csv(path).collect():  # one row for each declared column
         r = row.asDict()
         spec = tables.setdefault(r["table"], TableSpec(r["table"]))
         kind = r.get("datatype") or (valuetypes.resolved(r["valuetype"]).datatype if r.get("valuetype") else "str")
-        spec.columns[r["column"]] = ColumnSpec(len(spec.columns) + 1, r["column"], kind, *((r.get(k) or "") for k in ("valuetype", "role", "parent", "description")), transform=r.get("transform") or "")
+        place = int(r.get("position") or len(spec.columns) + 1)
+        spec.columns[r["column"]] = ColumnSpec(place, r["column"], kind, *((r.get(k) or "") for k in ("valuetype", "role", "parent", "description")), transform=r.get("transform") or "")
     return tables
 
 

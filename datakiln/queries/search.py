@@ -93,3 +93,24 @@ def places_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = suppliers.union(customers)
     found = search.similar_names(places, suppliers.select(F.lower("name").alias("asked")), most=1)
     return search.places_named(found, places)
+
+
+DELETED_SQL = f"""{TERMS_SQL.strip()}, kept AS (SELECT * FROM index_ WHERE field <> 'doc' AND doc NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+@query(f"""WITH {DELETED_SQL} SELECT field, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT doc) AS BIGINT) AS docs FROM kept GROUP BY field""")
+def index_without_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of titles and keywords once the documents that are labelled toxic are deleted from it."""
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc"))
+    kept = search.without_documents(index_of(spark, sf_dir, "title", "keywords"), gone)
+    return kept.groupBy("field").agg(F.count("*").alias("entries"), F.count_distinct("doc").alias("docs"))
+
+
+@query(f"""WITH {TERMS_SQL.strip()} SELECT field, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT doc) AS BIGINT) AS docs FROM index_ WHERE field <> 'doc' GROUP BY field""")
+def index_extended_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted documents come back when the index is extended by what it lacks; none is counted twice."""
+    docs = table(spark, sf_dir, "documents")
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc"))
+    kept = search.without_documents(index_of(spark, sf_dir, "title", "keywords"), gone)
+    made = search.extended_index(kept, docs, {f: FIELDS[f] for f in ("title", "keywords")}, "doc_id")
+    return made.groupBy("field").agg(F.count("*").alias("entries"), F.count_distinct("doc").alias("docs"))
