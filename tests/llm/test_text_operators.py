@@ -191,9 +191,11 @@ def plain_groups(rows):
     return sorted(enumerate(owner))
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_near_copies_agree_with_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "most"), [(512, 25), (3, 25), (2, 1)])
+def test_near_copies_agree_with_all_pairs(spark, monkeypatch, block, most):
+    """Groups searched whole, block by block, and band by band."""
     monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "MOST_BLOCKS", most)
     rows = edited_texts()
     want = plain_groups(rows)
     got = near_copies.near_copies(spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string").repartition(3)).collect()
