@@ -6,7 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.llm import byte_bpe, mixing, near, pii, quality, secrets, simhash, token_counts, top_k, toxicity
+from datakiln.jobs import scratch
+from datakiln.llm import byte_bpe, mixing, near, pii, quality, secrets, simhash, token_counts, token_files, top_k, toxicity
+
+
+#: What the token files have behind each document.
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +70,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find(docs, keep=["doc_id"]))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch.folder(spark, "token_files")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_files.report(token_files.read(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_top_k, op4_toxicity, op5_nearest, op6_quality, op7_byte_bpe, op8_simhash, op9_pii, op10_secrets)}
+    made = (op1_token_counts, op2_mixing, op3_top_k, op4_toxicity, op5_nearest, op6_quality, op7_byte_bpe, op8_simhash, op9_pii, op10_secrets, op13_token_files)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
