@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datakiln.jobs import scratch
-from datakiln.llm import byte_bpe, mixing, near, pii, quality, secrets, simhash, token_counts, token_files, top_k, toxicity
+from datakiln.llm import byte_bpe, hard_negatives, mixing, near, pii, quality, secrets, simhash, token_counts, token_files, top_k, toxicity, va_file
 
 
-#: What the token files have behind each document.
+#: Clusters and rounds of the clustering, and what the token files have behind each document.
+CENTROIDS, ROUNDS = 40, 5
 END_ID = 2
 
 
@@ -70,6 +71,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find(docs, keep=["doc_id"]))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label=label)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch.folder(spark, "token_files")
     token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -77,13 +87,13 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_counts, op2_mixing, op3_top_k, op4_toxicity, op5_nearest, op6_quality, op7_byte_bpe, op8_simhash, op9_pii, op10_secrets, op13_token_files)
+    made = (op1_token_counts, op2_mixing, op3_top_k, op4_toxicity, op5_nearest, op6_quality, op7_byte_bpe, op8_simhash, op9_pii, op10_secrets, op11_hard_negatives, op12_centroids, op13_token_files)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against plain versions."""
-    return {"op2_mixing": MIXING_SQL, "op3_top_k": TOP_K_SQL}
+    return {"op2_mixing": MIXING_SQL, "op3_top_k": TOP_K_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_centroids": centroids_sql(CENTROIDS, ROUNDS)}
 
 
 #: The exact searches and the mixture, as DuckDB states them.
@@ -101,6 +111,59 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+HARD_NEGATIVES_SQL = """
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.place AS anchor, a.vec_id AS anchor_id, r.place, r.vec_id, a.label = r.label AS alike, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM whole a JOIN whole r ON a.vec_id % 100 = 0 AND a.place <> r.place AND len(a.v) = len(r.v)),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, place) AS nth FROM scored WHERE alike)
+  WHERE nth <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY n.score DESC, n.vec_id NULLS LAST, n.place) AS INTEGER) AS rank
+  FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+CENTROIDS_START = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS INTEGER) AS cluster, v AS c FROM kept)
+  WHERE cluster < {k})"""
+
+CENTROIDS_NEAREST = """,
+a{i} AS MATERIALIZED (
+  SELECT place, vec_id, v, cluster, distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY place ORDER BY distance, cluster) AS nth FROM (
+      SELECT k.*, c.cluster, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS distance FROM kept k, c{i} c))
+  WHERE nth = 1)"""
+
+CENTROIDS_MEANS = """,
+m{i} AS (
+  SELECT cluster, list(floor(total / n) ORDER BY d) AS c FROM (
+    SELECT cluster, d, sum(v[d]) AS total, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS d) GROUP BY cluster, d) GROUP BY cluster),
+c{j} AS MATERIALIZED (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m ON o.cluster = m.cluster)"""
+
+CENTROIDS_END = """
+SELECT a.vec_id, a.cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{i} a JOIN c{i} c ON a.cluster = c.cluster
+"""
+
+
+def centroids_sql(k: int, rounds: int) -> str:
+    """The rounds of the clustering written out one after the other."""
+    steps = [CENTROIDS_NEAREST.format(i=i) + CENTROIDS_MEANS.format(i=i, j=i + 1) for i in range(rounds)]
+    return CENTROIDS_START.format(k=k) + "".join(steps) + CENTROIDS_NEAREST.format(i=rounds) + CENTROIDS_END.format(i=rounds)
+
+
 MIXING_SQL = r"""
 WITH slim AS (
   SELECT doc_id, source, md5('0:' || CAST(doc_id AS VARCHAR)) AS shuffled,
