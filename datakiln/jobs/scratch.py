@@ -49,7 +49,11 @@ def save(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     so the files stay until the shared folder is cleared, or until a `cleared` block ends
     (for one that ``outlives`` its block, the block around it).
     """
-    path = folder(df.sparkSession, name, outlives)
+    return written(df, folder(df.sparkSession, name, outlives))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a path of the shared folder and read from there."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
