@@ -13,7 +13,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 import tiktoken  # noqa: E402
 import xxhash  # noqa: E402
 
-from datakiln.llm import byte_bpe, near_copies, pii, queries, secrets, simhash, token_counts  # noqa: E402
+from datakiln.llm import byte_bpe, identity, near_copies, pii, queries, secrets, simhash, token_counts  # noqa: E402
+from datakiln.llm.components import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -191,11 +192,12 @@ def plain_groups(rows):
     return sorted(enumerate(owner))
 
 
-@pytest.mark.parametrize(("block", "most"), [(512, 25), (3, 25), (2, 1)])
-def test_near_copies_agree_with_all_pairs(spark, monkeypatch, block, most):
-    """Groups searched whole, block by block, and band by band."""
-    monkeypatch.setattr(near_copies, "BLOCK", block)
-    monkeypatch.setattr(near_copies, "MOST_BLOCKS", most)
+@pytest.mark.parametrize(("spokes", "stars", "room"), [(4096, 2, 1 << 21), (2, 1, 1 << 21), (3, 3, 60), (2, 1, 1)])
+def test_near_copies_agree_with_all_pairs(spark, monkeypatch, spokes, stars, room):
+    """Buckets settled by hubs, searched whole, and block by block."""
+    monkeypatch.setattr(near_copies, "SPOKES", spokes)
+    monkeypatch.setattr(near_copies, "STARS", stars)
+    monkeypatch.setattr(near_copies, "ROOM", room)
     rows = edited_texts()
     want = plain_groups(rows)
     got = near_copies.near_copies(spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string").repartition(3)).collect()
@@ -204,6 +206,34 @@ def test_near_copies_agree_with_all_pairs(spark, monkeypatch, block, most):
     assert sorted(map(str, ((r.doc_id, r.component_id) for r in pairs.collect()))) == ["(1, 1)", "(2, 1)", "(3, 3)", "(4, 3)", "(4, 4)", "(None, None)"]
 
 
+def test_blocks_of_long_texts_stay_bounded(spark, monkeypatch):
+    """One bucket of sets of very unlike sizes: no block holds more than its room and one set, and no link is lost."""
+    monkeypatch.setattr(near_copies, "ROOM", 1000)
+    near = spark.range(300).select(F.col("id").alias("node"), F.sequence(F.lit(1).cast("long"), F.col("id") + 1).alias("shingles"))
+    members = spark.range(300).select(F.lit(7).cast("long").alias("k"), F.lit(0).cast("long").alias("hub"), "id")
+    blocks = near_copies.blocked(members, near).groupBy("mine").agg(F.sum("size").alias("held")).collect()
+    assert len(blocks) > 40 and sum(r.held for r in blocks) == 300 * 301 // 2 and max(r.held for r in blocks) <= 1000 + 300
+    roots = {r.node: r.root for r in components(near_copies.searched(members, near, 0.8)).collect()}
+    assert roots == dict.fromkeys(range(3, 300), 3)  # of sets 1 to n and 1 to n + 1 those from 4 on are similar enough
+
+
+def test_rows_of_a_file_are_named_by_their_place(spark, tmp_path):
+    rows = spark.range(100).select(F.lit(1).alias("_row"), F.col("id").alias("doc_id"))
+    rows.repartition(5).write.parquet(str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    named, row = identity.identified(read, "_row")
+    assert row == "_row_" and named.columns == ["_row", "doc_id", "_row_"]
+    one = {r[0]: tuple(r[1]) for r in named.select("doc_id", row).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        other = {r[0]: tuple(r[1]) for r in named.select("doc_id", row).repartition(3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert one == other and len(set(one.values())) == 100
+    saved, row = identity.identified(read.groupBy("doc_id").count(), "_row")
+    assert saved.select(row).distinct().count() == 100
+
+
 def test_pipeline_keeps_one_of_each_group(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = edited_texts()
