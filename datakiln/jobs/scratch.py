@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
@@ -58,6 +59,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """A file system and the path in it, for files that tasks write or read themselves; any scheme that pyarrow knows."""
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri("s3" + path[3:] if path.startswith("s3a:") else path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
