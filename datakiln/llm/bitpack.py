@@ -16,15 +16,21 @@ def packed_size(count: int, width: int) -> int:
     return (count * width + 7) // 8
 
 
+def room(width: int) -> int:
+    """The bits of the number type that holds ``width`` bits."""
+    return 16 if width <= 16 else 32
+
+
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """Each row of (n, m) numbers below 2 ** width as bytes, the lowest bit first."""
     n, m = values.shape
     out = np.empty((n, packed_size(m, width)), np.uint8)
-    shifts = np.arange(width, dtype=np.uint32)
-    step = max(1, BITS_AT_ONCE // max(m * width, 1))
+    held = room(width)
+    step = max(1, BITS_AT_ONCE // max(m * held, 1))
     for at in range(0, n, step):
-        bits = (values[at : at + step, :, None].astype(np.uint32) >> shifts) & np.uint32(1)
-        out[at : at + step] = np.packbits(bits.astype(np.uint8).reshape(len(bits), -1), axis=1, bitorder="little")
+        some = np.ascontiguousarray(values[at : at + step], dtype=f"<u{held // 8}")
+        bits = np.unpackbits(some.view(np.uint8).reshape(-1, held // 8), axis=1, count=width, bitorder="little")
+        out[at : at + step] = np.packbits(bits.reshape(len(some), m * width), axis=1, bitorder="little")
     return out
 
 

@@ -22,14 +22,20 @@ from datakiln.llm.bitpack import bit_length, pack, packed_size, unpack
 
 MAGIC = b"PFORIDS1"
 BLOCK, PERCENTILE = 128, 0.9
+#: Blocks that are encoded at once.
+BLOCKS_AT_ONCE = 4096
 _HEAD, _TAIL = 6, 24 + len(MAGIC)
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Ids below 2 ** 32 as blocks."""
+    step = BLOCK * BLOCKS_AT_ONCE
+    return [block for at in range(0, len(ids), step) for block in encode_some(ids[at : at + step])]
+
+
+def encode_some(ids: np.ndarray) -> list[bytes]:
+    """As many ids as are encoded at once."""
     n = len(ids)
-    if not n:
-        return []
     whole = np.full(-(-n // BLOCK) * BLOCK, ids[-1], np.uint32)
     whole[:n] = ids
     values = whole.reshape(-1, BLOCK)

@@ -1,15 +1,15 @@
 """Documents as files of token ids, written and read by Spark as the data source ``token_blocks``.
 
-Documents are encoded once (`word_ids`) and saved, then sorted by range in ascending
-doc_id order; each task writes its range as files of about `FILE_IDS` ids in the format of
-`patched`, whole documents in each.  When all tasks are done a manifest names the files in
+Documents are sorted by range in ascending doc_id order; each task encodes its range
+(`word_ids`) and writes it as files of about `FILE_IDS` ids in the format of `patched`,
+whole documents in each.  When all tasks are done a manifest names the files in
 order with the number of ids before each, so what a failed or repeated task left behind is
 never read.  Reading takes one task for each file; a document's start is its place in the
 file and the ids before the file.
 
 Null and empty texts are documents with the end id alone.  A null doc_id stays null and
 comes last; rows that repeat a doc_id stay rows of their own, in the order of a hash of
-their text; rows alike in both keep the order in which they were saved.  Texts are taken whole,
+their text; rows alike in both keep the order in which they were read.  Texts are taken whole,
 however long: a document is never cut over files.  Only the named columns are read, so
 others may have any names.  An empty table gives a manifest without files and an empty result.
 
@@ -23,28 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from datakiln.jobs import scratch
+from datakiln.jobs.scratch import located
 from datakiln.llm import patched, word_ids
 
-#: Ids of a file at least, but for the last of a task; bytes of ids that a range of the sort and a batch of the reader hold about.
+#: Ids of a file at least, but for the last of a task; bytes of texts that a range of the sort holds about, and of ids that a batch of the reader holds.
 FILE_IDS, RANGE_BYTES, BATCH_BYTES = 4 << 20, 64 << 20, 8 << 20
 MANIFEST = "manifest.json"
 SCHEMA = "doc_id long, start long, ids binary"
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """A file system and the path in it."""
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri("s3" + path[3:] if path.startswith("s3a:") else path)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     """The files of one task in order, with their ids and documents."""
@@ -54,34 +46,42 @@ class Written(WriterCommitMessage):
 
 
 class BlockWriter(DataSourceArrowWriter):
-    """Rows (doc_id, ids) of one sorted range to files; the manifest when all ranges are written."""
+    """Rows (doc_id, text) of one sorted range to files; the manifest when all ranges are written.
+
+    A text is encoded where it is written, so its ids never leave the worker but as blocks.
+    """
 
-    def __init__(self, path: str, id_bytes: int) -> None:
-        self.path, self.kind = path, f"<u{id_bytes}"
+    def __init__(self, path: str, model_path: str, end: int) -> None:
+        self.path, self.end = path, end
+        self.prepared = word_ids.prepared(model_path, end)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = located(self.path)
         system.create_dir(root, recursive=True)
-        task, files = TaskContext.get().partitionId(), []
-        held: list[tuple[int | None, bytes]] = []
+        task, files, encoder = TaskContext.get().partitionId(), [], word_ids.encoder(*self.prepared)
+        kind = encoder.kind
+        last = np.array([self.end], kind).tobytes()
+        doc_ids: list[int | None] = []
+        held: list[bytes] = []
         size = 0
 
         def flush() -> None:
-            nonlocal held, size
-            ids = np.frombuffer(b"".join(x for _, x in held), self.kind).astype(np.uint32)
-            starts = np.concatenate([[0], np.cumsum([len(x) for _, x in held])]) // np.dtype(self.kind).itemsize
-            content = patched.encode_file(ids, np.array([d or 0 for d, _ in held]), np.array([d is not None for d, _ in held]), starts)
+            nonlocal doc_ids, held, size
+            ids = np.frombuffer(b"".join(held), kind)
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in held])]) // kind.itemsize
+            content = patched.encode_file(ids, np.array([d or 0 for d in doc_ids]), np.array([d is not None for d in doc_ids]), starts)
             name = f"ids-{task:06d}-{len(files):05d}-{uuid.uuid4().hex}.pfor"
             with system.open_output_stream(f"{root}/{name}") as out:
                 out.write(content)
-            files.append((name, len(ids), len(held)))
-            held, size = [], 0
+            files.append((name, len(ids), len(doc_ids)))
+            doc_ids, held, size = [], [], 0
 
         for batch in iterator:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((doc_id, ids.as_buffer().to_pybytes()))
-                size += len(held[-1][1])
-                if size >= FILE_IDS * np.dtype(self.kind).itemsize:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(text.as_py() or "" for text in batch.column(1)), strict=True):
+                doc_ids.append(doc_id)
+                held.append(ids + last)
+                size += len(held[-1])
+                if size >= FILE_IDS * kind.itemsize:
                     flush()
         if held:
             flush()
@@ -143,7 +143,7 @@ class BlockReader(DataSourceReader):
 
 
 class TokenBlocks(DataSource):
-    """The data source ``token_blocks``; options: path, and for writing id_bytes (2 or 4)."""
+    """The data source ``token_blocks``; options: path, and for writing model (a local path of the driver) and end (an id)."""
 
     @classmethod
     def name(cls) -> str:
@@ -153,7 +153,7 @@ class TokenBlocks(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool) -> BlockWriter:  # noqa: ARG002
-        return BlockWriter(self.options["path"], int(self.options["id_bytes"]))
+        return BlockWriter(self.options["path"], self.options["model"], int(self.options["end"]))
 
     def reader(self, schema) -> BlockReader:  # noqa: ARG002
         return BlockReader(self.options["path"])
@@ -163,15 +163,12 @@ def write(docs: DataFrame, path: str, model_path: str, end: int, text: str = "te
     """The ids of each document and ``end`` behind them as files at ``path``, in ascending order of the key."""
     spark = docs.sparkSession
     spark.dataSource.register(TokenBlocks)
-    with scratch.cleared(spark):
-        ids, id_bytes = word_ids.encode(spark, F.col(text), model_path, end)
-        rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"), ids.alias("ids"))
-        saved = scratch.save(rows, "ids")
-        held = saved.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
-        order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row")]
-        dealt = saved.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-        dealt.write.format("token_blocks").option("id_bytes", id_bytes).mode("append").save(path)
+    held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row")]
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").write.format("token_blocks").option("model", model_path).option("end", end).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
