@@ -19,7 +19,7 @@ source of its own, last in order.  Texts are counted whole, however long.  Colum
 ``docs`` may have any names.  An empty table gives an empty result.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from datakiln.jobs import scratch
@@ -99,13 +99,18 @@ def cut_point(timed: DataFrame, most: int = MOST_EPOCHS) -> tuple | None:
     return fits.union(whole).agg(F.max(F.struct(*ORDER)).alias("cut")).first().cut
 
 
+def literal(value: object) -> Column:
+    """A value, or a row of values, as a constant column."""
+    return F.struct(*(literal(x).alias(n) for n, x in value.asDict(recursive=False).items())) if isinstance(value, Row) else F.lit(value)
+
+
 def planned(slim: DataFrame, seed: int) -> DataFrame:
     """``slim`` (row, key, source, size, tie) with source_size, target and copies, how often the mix takes the row."""
     timed = scratch.save(finish_times(slim, seed), "times")
     cut = cut_point(timed)
     copies = F.lit(0)
     if cut is not None:
-        last = F.struct(*(F.lit(x).alias(n) for n, x in zip(ORDER, cut, strict=True)))
+        last = literal(cut)
         for epoch in range(1, MOST_EPOCHS + 1):
             mine = F.struct(finish(F.lit(epoch)).alias("time"), *ORDER[1:])
             copies = copies + F.when((F.col("size") > 0) & (mine <= last), 1).otherwise(0)

@@ -203,6 +203,17 @@ def test_mixture_follows_its_plan_row_by_row(spark):
     assert mixed.subtract(df).count() == 0
 
 
+def test_mixture_of_a_file_is_that_of_its_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 40, f"s{i % 3}" if i % 7 else None, "word " * (i % 13)) for i in range(300)], "doc_id long, source string, text string").withColumn("_mix_row", F.lit(1))
+    rows.repartition(4).write.parquet(str(tmp_path / "rows"))
+    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "rows")))
+    plan = mixing.mix_plan(rows)
+    taken = lambda df: sorted((str(r[0]), r[1]) for r in df.collect())
+    got = mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))))
+    want = plan.filter("taken > 0").groupBy("source").agg(F.sum("taken"))
+    assert mixed.columns == rows.columns and taken(got) == taken(want)
+
+
 def test_many_sources_get_their_targets(spark):
     sizes = {f"s{i:03d}": (i * 37) % 101 + 1 for i in range(300)} | {None: 50}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
