@@ -269,8 +269,9 @@ def geo_parts(c: Column) -> Column:
 
 
 def tract_dotted(tract: Column) -> Column:
+    """A tract number with its point; null for none."""
     text = F.lpad(tract.cast("string"), 6, "0")
-    return F.concat_ws(".", F.substring(text, 1, 4), F.substring(text, 5, 2))
+    return F.concat(F.substring(text, 1, 4), F.lit("."), F.substring(text, 5, 2))
 
 
 def county_census(state: Column, county: Column) -> Column:

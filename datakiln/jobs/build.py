@@ -1,6 +1,8 @@
 """Partitioned builds: choosing partitions, writing, coalescing segments, looking up, extracting."""
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import types as T
 
 from datakiln.functions.values import name_from_parts
 from datakiln.operators import coverage, stats
+from datakiln.operators.headers import unused
 from datakiln.operators.row_index import with_row_number
 
 #: The parts of a partition's name, in order; also its directory levels.
@@ -26,10 +29,20 @@ def with_partition(df: DataFrame, table: str, **parts: Column | str) -> DataFram
 
 def source_partition(df: DataFrame, covers: DataFrame, table: str, segmented: bool = True) -> DataFrame:
     """Partitions from what the source of each row covers; ``covers`` has one small row for each source."""
-    known = covers.select("_source", *[F.col(p).alias(f"_{p}") for p in ("time", "space", "grain", "segment")])
-    joined = df.join(known, "_source", "left")
-    parts = {p: F.col(f"_{p}") for p in ("time", "space", "grain")} | ({"segment": F.col("_segment")} if segmented else {})
-    return with_partition(joined, table, **parts).drop("_time", "_space", "_grain", "_segment")
+    names = {p: unused(f"_{p}", df.columns) for p in ("time", "space", "grain", "segment")}
+    joined = df.join(covers.select("_source", *[F.col(p).alias(n) for p, n in names.items()]), "_source", "left")
+    parts = {p: F.col(n) for p, n in names.items() if p != "segment" or segmented}
+    return with_partition(joined, table, **parts).drop(*names.values())
+
+
+def directory(part: Column) -> Column:
+    """A part as the name of a directory: a stroke for a blank one, and one more in front of what starts with a stroke."""
+    return F.when(F.coalesce(part, F.lit("")) == "", "-").when(part.startswith("-"), F.concat(F.lit("-"), part)).otherwise(part)
+
+
+def part_of(name: Column) -> Column:
+    """The reverse of `directory`."""
+    return F.when(name.startswith("-"), F.substring(name, 2, 1 << 30)).otherwise(name)
 
 
 def write_partitions(df: DataFrame, path: str, overwrite: bool = True, rows_a_file: int = ROWS_A_FILE) -> None:
@@ -39,7 +52,7 @@ def write_partitions(df: DataFrame, path: str, overwrite: bool = True, rows_a_fi
     tasks and lets one task write many small ones, by the sizes it finds.
     """
     levels = [f"p_{p}" for p in PARTS]
-    blank_safe = df.withColumns({c: F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in levels})
+    blank_safe = df.withColumns({c: directory(F.col(c)) for c in levels})
     mode = "overwrite" if overwrite else "append"
     writer = blank_safe.hint("rebalance", *levels).write.mode(mode).option("partitionOverwriteMode", "dynamic")
     writer.option("maxRecordsPerFile", rows_a_file).partitionBy(*levels).parquet(path)
@@ -48,7 +61,7 @@ def write_partitions(df: DataFrame, path: str, overwrite: bool = True, rows_a_fi
 def read_partitions(spark: SparkSession, path: str, **wanted: object) -> DataFrame:
     """Rows of the partitions that match: a text for a part, or ANY; filters prune directories.
 
-    Parts are read as the texts that were written, so a segment 007 stays 007.
+    Parts are read as the texts that were written, so a segment 007 stays 007 and a blank one blank.
     """
     levels = {f"p_{p}" for p in PARTS}
     found = spark.read.option("basePath", path).parquet(path).schema
@@ -58,8 +71,8 @@ def read_partitions(spark: SparkSession, path: str, **wanted: object) -> DataFra
         if part not in PARTS:
             raise KeyError(f"no partition part {part!r}")
         if value is not ANY:
-            rows = rows.filter(F.col(f"p_{part}") == F.lit(value or "-"))
-    return rows
+            rows = rows.filter(F.col(f"p_{part}") == directory(F.lit(value)))
+    return rows.withColumns({level: part_of(F.col(level)) for level in levels})
 
 
 def coalesce_segments(df: DataFrame, order: list[str], key: str = "id") -> DataFrame:
@@ -72,14 +85,12 @@ def numbered_in_partitions(df: DataFrame, keys: list[str], order: list[str], key
 
     Global numbers along (keys, order), less the least number of the partition.
     """
-    numbered = with_row_number(df, [*keys, *order], "_n", 0)
-    first = numbered.groupBy(*keys).agg(F.min("_n").alias("_first"))
-    named = first.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first")
-    met = F.lit(True)
-    for k in keys:
-        met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = numbered.join(named, met)
-    return joined.select((F.col("_n") - F.col("_first") + 1).alias(key), *[c for c in df.columns if c != key])
+    n, first = unused("_n", df.columns), unused("_first", df.columns)
+    numbered = with_row_number(df, [*keys, *order], n, 0)
+    names = {k: unused(f"_k_{k}", [*df.columns, n, first]) for k in keys}
+    least = numbered.groupBy(*keys).agg(F.min(n).alias(first)).select(*[F.col(k).alias(names[k]) for k in keys], first)
+    joined = numbered.join(least, reduce(and_, [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]))
+    return joined.select((F.col(n) - F.col(first) + 1).alias(key), *[c for c in df.columns if c != key])
 
 
 def finalized(df: DataFrame, key: str = "id", years: list[str] = (), gvid: str | None = None) -> DataFrame:

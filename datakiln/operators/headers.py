@@ -28,12 +28,15 @@ def mangled(df: DataFrame) -> DataFrame:
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """A name that came before gets its position (from 1)."""
+    """A name that came before gets its position (from 1), or the next number that makes it new."""
     seen: set[str] = set()
     out = []
     for place, name in enumerate(names, 1):
-        out.append(f"{name}_{place}" if name in seen else name)
-        seen.add(name)
+        made = name
+        while made in seen:
+            made, place = f"{name}_{place}", place + 1
+        out.append(made)
+        seen.add(made)
     return out
 
 
@@ -137,22 +140,38 @@ def merged(name: str, sources: list[list[ColumnSpec]], declared: set[str] = froz
 
     Columns are taken by position and added once by name; where sources disagree the types
     are promoted, ``unknown`` never overrides, and columns in ``declared`` keep their type.
+    A column with codes gets another beside it that takes what is no number, and reports it as no error.
     """
     table = TableSpec(name, {"id": ColumnSpec(1, "id", "int", role="k")})
+    names = [c.name for source in sources for c in source]
     for spec in sorted((c for source in sources for c in source), key=lambda c: c.position):
         have = table.columns.get(spec.name)
         if have is None:
             place = len(table.columns) + 1
-            table.columns[spec.name] = ColumnSpec(place, spec.name, spec.datatype, spec.valuetype, spec.role, spec.parent, spec.description, spec.has_codes)
+            table.columns[spec.name] = ColumnSpec(place, spec.name, spec.datatype, spec.valuetype, spec.role, spec.parent, spec.description, transform=spec.transform)
             if spec.has_codes:
-                code = f"{spec.name}_code"
-                table.columns.setdefault(code, ColumnSpec(place + 1, code, "str", parent=spec.name))
+                _add_codes(table, spec.name, names)
         elif spec.name not in declared and spec.name != "id":
             have.datatype = promoted(have.datatype, spec.datatype)
             have.description = have.description or spec.description
+            if spec.has_codes and not have.has_codes and have.datatype != "str":
+                _add_codes(table, spec.name, names)
+    for column in list(table.columns.values()):
+        if column.has_codes and column.datatype == "str":  # another source made it text, so nothing fails
+            column.has_codes, column.transform = False, ""
+            table.columns.pop(next(c.name for c in table.columns.values() if c.parent == column.name and c.transform == f";row.{column.name}.failed_value"))
+    for place, column in enumerate(table.columns.values(), 1):
+        column.position = place
     return table
 
 
+def _add_codes(table: TableSpec, name: str, taken: list[str]) -> None:
+    """A column behind ``name`` that takes its codes."""
+    table.columns[name].has_codes, table.columns[name].transform = True, ";;clear_error"
+    code = unused(f"{name}_code", [*table.columns, *taken])
+    table.columns[code] = ColumnSpec(len(table.columns) + 1, code, "str", parent=name, transform=f";row.{name}.failed_value")
+
+
 def column_map(sources: dict[str, list[str]], spark: SparkSession) -> DataFrame:
     """Which source has which column: one row for each name, one column of 0 and 1 for each source."""
     long = spark.createDataFrame([(s, c) for s, names in sources.items() for c in names], "source string, name string")

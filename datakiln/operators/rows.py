@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datakiln.functions.casts import nullify
+from datakiln.jobs import scratch
+from datakiln.operators.headers import unused
 from datakiln.operators.row_index import with_row_number
 
 
@@ -172,6 +174,67 @@ def fold(df: DataFrame, sums: list[str] = (), least: list[str] = (), most: list[
     return df.agg(*made)
 
 
+#: States that are merged into one at a time, and keys that a task holds before it passes their states on.
+FAN_IN, KEYS_HELD = 64, 10_000
+
+
+def tree_fold(df: DataFrame, keys: list[str], value: str, start: Callable[[], object], add: Callable[[object, object], object], merge: Callable[[object, object], object], kind: str, name: str = "state") -> DataFrame:
+    """(keys…, state): the values of each key folded by functions of the user, into a state of SQL type ``kind``.
+
+    ``add`` takes a state and a value, ``merge`` two states.  Each task folds its rows as they
+    come, batch by batch; then states are merged `FAN_IN` at a time, round by round, so a key
+    however hot takes a number of rounds that grows with the logarithm of the tasks and no
+    task holds more than that many states of it.  The order of rows is not kept: it must not
+    matter how values are dealt to states nor in which order states are merged
+    (``merge`` associative and commutative, ``add(merge(a, b), x) = merge(a, add(b, x))``,
+    ``start()`` neutral).  A state must fit a task.  Null values are values; an empty table
+    without keys gives no row.
+    """
+    import pyarrow as pa
+
+    kept = df.select(*keys, F.col(value).alias(unused(value, keys)))
+    made = T.StructType([*[df.schema[k] for k in keys], T.StructField(name, T._parse_datatype_string(kind))])
+    arrow = pa.schema(list(zip(made.fieldNames(), _arrow_types(made), strict=True)))
+
+    def states(held: dict[tuple, object]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(made.fieldNames(), (*k, s), strict=True)) for k, s in held.items()], arrow)
+
+    def partial(batches):
+        held: dict[tuple, object] = {}
+        for batch in batches:
+            for *key, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k = tuple(key)
+                held[k] = add(held[k] if k in held else start(), x)
+                if len(held) > KEYS_HELD:
+                    yield states(held)
+                    held = {}
+        yield states(held)
+
+    def merged(group):
+        state = reduce(merge, [_plain(x, arrow.field(name).type) for x in group.column(name).to_pylist()])
+        return pa.Table.from_batches([states({tuple(group.column(k)[0].as_py() for k in keys): state})])
+
+    now = scratch.save(kept.mapInArrow(partial, made), "states")
+    nth, parts = unused("_nth", made.fieldNames()), unused("_parts", made.fieldNames())
+    while True:
+        counted = now.groupBy(*keys).agg(F.count("*").alias(parts))
+        most = counted.agg(F.max(parts)).first()[0] or 0
+        if most <= 1:
+            return now
+        numbered = scratch.save(now.withColumn(nth, F.monotonically_increasing_id()), "numbered")
+        named = counted.select(*[F.col(k).alias(f"{k}_of_state") for k in keys], F.ceil(F.col(parts) / FAN_IN).alias(parts))
+        met = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_of_state")) for k in keys]) if keys else F.lit(True)
+        dealt = numbered.join(named if keys else F.broadcast(named), met).withColumn(nth, F.pmod(F.xxhash64(nth), F.col(parts))).select(*made.fieldNames(), nth)
+        now = scratch.save(dealt.groupBy(*keys, nth).applyInArrow(merged, made), "states")
+
+
+def _plain(state: object, kind: object) -> object:
+    """A map that comes from Arrow as pairs, as a dict."""
+    import pyarrow as pa
+
+    return dict(state) if pa.types.is_map(kind) and not isinstance(state, dict) and state is not None else state
+
+
 Step = Callable[[DataFrame], DataFrame]
 
 

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datakiln.functions import casts, values, valuetypes
-from datakiln.operators.headers import TYPES, ColumnSpec, TableSpec
-from datakiln.operators.row_index import with_row_number
+from datakiln.operators.headers import TYPES, ColumnSpec, TableSpec, unused
+from datakiln.operators.row_index import prefix_scan, with_row_number
 
-ARGUMENTS = ("v", "row", "row_n", "header_s", "header_d", "i_s", "i_d", "source", "bundle", "scratch", "errors")
+ARGUMENTS = ("v", "row", "row_n", "header_s", "header_d", "i_s", "i_d", "source", "bundle", "scratch", "errors", "accumulator")
 
 #: Attributes that a stage may ask of another column's value, whatever its type.
 ATTRIBUTES: dict[str, Callable[[Column], Column]] = {
@@ -139,6 +139,12 @@ def called(name: str, known: dict[str, Callable[..., Column]], context: dict[str
     return known[name](*given)
 
 
+def asks_for_row(stage: Stage, known: dict[str, Callable[..., Column]]) -> bool:
+    """Whether a function of the stage takes the row number or an accumulator along the rows."""
+    named = [n for n in (stage.init, *stage.pipes, stage.handler) if n in known]
+    return any(p in ("row_n", "accumulator") for n in named for p in inspect.signature(known[n]).parameters)
+
+
 def expressed(text: str, value: str) -> Column:
     """A SQL expression in which ``v`` is the column ``value`` and ``row.name`` a column of the stage; quoted text is left alone."""
     parts = re.split(r"('(?:[^']|'')*')", text)
@@ -152,24 +158,30 @@ def cast_columns(
 ) -> DataFrame:
     """The rows of ``df`` as rows of ``table``, with ``_errors``: array<struct<column, value>> of failed values.
 
-    A column that the source lacks is null.  If a column asks for the row number, ``order``
-    must name a total order of ``df``.  Functions may ask for ``source`` and ``bundle`` as
+    A column that the source lacks is null, but for a key in the first column without a
+    transform: it gets the row number.  Row numbers follow ``order``, a total order of ``df``,
+    or else the order in which its rows come.  Columns of ``df`` may have any names.  Functions may ask for ``source`` and ``bundle`` as
     they are given here, for ``scratch``, a dict that all calls share while the plan is made,
-    and for ``errors``, the raw text that failed so far.  ``linked`` maps a value type to a
+    for ``errors``, the raw text that failed so far, and for ``accumulator``, which carries a
+    value along the rows in the order of their numbers.  ``linked`` maps a value type to a
     table whose first column is the value and whose others are its attributes.
     """
     known = FUNCTIONS | (functions or {})
     specs = sorted(table.columns.values(), key=lambda c: c.position)
-    plans = {c.name: parsed(c.transform or "") for c in specs}
-    numbered = any("row_number" in (s.init or "") or "row_number" in s.pipes for plan in plans.values() for s in plan)
-    if numbered:
-        if order is None:
-            raise ValueError("a transform asks for row numbers, so an order is needed")
-        df = with_row_number(df, order, "_row_n")
-    row_n = F.col("_row_n") if numbered else F.lit(None).cast("bigint")
+    texts = {c.name: c.transform or "" for c in specs}
+    first = specs[0]
+    if first.role == "k" and not texts[first.name] and first.name not in df.columns:
+        texts[first.name] = "^row_number"
+    plans = {name: parsed(text) for name, text in texts.items()}
     names, last = [c.name for c in specs], max(map(len, plans.values()))
-    failed_name = lambda n: f"_failed_{n}"
-    shared = {"row_n": row_n, "source": source, "bundle": bundle, "scratch": {}, "kinds": {c.name: valuetypes.resolved(c.valuetype) for c in specs if c.valuetype}}
+    numbered = any("row_number" in (s.init or "") or "row_number" in s.pipes or asks_for_row(s, known) for plan in plans.values() for s in plan)
+    at = unused("_row_n", [*df.columns, *names])
+    if numbered:
+        df = with_row_number(df, order, at)
+    row_n = F.col(at) if numbered else F.lit(None).cast("bigint")
+    failed_names = {n: unused(f"_failed_{n}", [*df.columns, *names]) for n in names}
+    failed_name = failed_names.__getitem__
+    shared = {"row_n": row_n, "at": at, "source": source, "bundle": bundle, "scratch": {}, "kinds": {c.name: valuetypes.resolved(c.valuetype) for c in specs if c.valuetype}}
     joined: dict[str, str] = {}
     for k in range(last):
         source_stage = k == 0
@@ -181,14 +193,15 @@ def cast_columns(
         for i, spec in enumerate(specs):
             value, failed = _stage(spec, plans[spec.name], k, here, failed_here, known, shared | {"linked": joined}, i, df.schema, holder)
             out += [value.alias(spec.name), failed.alias(failed_name(spec.name))]
-        df = holder.df.select(*out, *(["_row_n"] if numbered else []), *joined.values())
+        df = holder.df.select(*out, *([at] if numbered else []), *joined.values())
         if source_stage and last > 1:
             for spec in specs:
                 if (rows := (linked or {}).get(spec.valuetype)) is not None:
                     key, *attributes = rows.columns
-                    joined[spec.name] = f"_linked_{spec.name}"
-                    named = rows.select(F.col(key).alias("_linked_key"), F.struct(*attributes).alias(joined[spec.name]))
-                    df = df.join(named, F.col(spec.name) == F.col("_linked_key"), "left").drop("_linked_key")
+                    joined[spec.name], of = unused(f"_linked_{spec.name}", df.columns), unused("_linked_key", df.columns)
+                    # a key that repeats names its least row, so it never multiplies rows
+                    named = rows.groupBy(F.col(key).alias(of)).agg(F.min(F.struct(*attributes)).alias(joined[spec.name]))
+                    df = df.join(named, F.col(spec.name) == F.col(of), "left").drop(of)
     each = F.array(*[F.struct(F.lit(n).alias("column"), F.col(failed_name(n)).alias("value")) for n in names])
     any_failed = F.coalesce(*[F.col(failed_name(n)) for n in names]).isNotNull()  # most rows have none and skip the rest
     errors = F.filter(F.when(any_failed, each).otherwise(F.slice(each, 1, 0)), lambda e: e["value"].isNotNull())
@@ -196,16 +209,28 @@ def cast_columns(
     return df.select(*final, errors.alias("_errors"))
 
 
+class Accumulator:
+    """What a transform may carry along the rows in their order: ``accumulator("greatest", v)``, or another scan of `row_index.SCANS`."""
+
+    def __init__(self, rows: "_Rows", at: str) -> None:
+        self.rows, self.at = rows, at
+
+    def __call__(self, scan: str, value: Column) -> Column:
+        name = unused("_scanned", self.rows.df.columns)
+        self.rows.df = prefix_scan(self.rows.df, [], [self.at], {name: (scan, value)})
+        return F.col(name)
+
+
 class _Rows:
     """The rows of a stage, to which a pipe may add its value under a name that SQL text can say."""
 
     def __init__(self, df: DataFrame) -> None:
-        self.df, self.made = df, 0
+        self.df = df
 
     def named(self, value: Column) -> str:
-        self.made += 1
-        self.df = self.df.withColumn(f"_value_{self.made}", value)
-        return f"_value_{self.made}"
+        name = unused("_value", self.df.columns)
+        self.df = self.df.withColumn(name, value)
+        return name
 
 
 def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here: dict, known: dict, shared: dict, i_d: int, found: T.StructType, rows: _Rows) -> tuple[Column, Column]:
@@ -214,7 +239,7 @@ def _stage(spec: ColumnSpec, plan: list[Stage], k: int, here: dict, failed_here:
     stage = plan[k] if k < len(plan) else Stage()
     source_names = found.fieldNames()
     raw = here.get(spec.name, F.lit(None).cast("string"))
-    context = shared | {"v": raw, "row": RowView(here), "header_s": spec.name if spec.name in source_names else None, "header_d": spec.name, "i_s": source_names.index(spec.name) if spec.name in source_names else None, "i_d": i_d}
+    context = shared | {"v": raw, "row": RowView(here), "header_s": spec.name if spec.name in source_names else None, "header_d": spec.name, "i_s": source_names.index(spec.name) if spec.name in source_names else None, "i_d": i_d, "accumulator": Accumulator(rows, shared["at"])}
     failed, value = failed_here.get(spec.name, null_text), raw
 
     def made_by(pipe: str, value: Column, failed: Column) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("casting", "rows", "statistics", "joins", "values", "sources", "builds", "search", "schemas", "pipelines")
+MODULES = ("casting", "rows", "statistics", "joins", "values", "sources", "builds", "search", "schemas", "pipelines", "scans")
 
 
 def collected() -> dict[str, tuple[Query, str | None]]:

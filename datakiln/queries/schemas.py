@@ -22,20 +22,19 @@ def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.only_laid_out(headers.without_blank_names(named), layout)
 
 
-@query("""SELECT 'customers' AS kind, CAST(count(*) AS BIGINT) AS rows, round(sum(floor(c_acctbal)), 2) AS balance, CAST(count(*) FILTER (c_custkey % 50 = 0) AS BIGINT) AS codes, 'bigint,bigint,double,bigint,string' AS types FROM customer
-UNION ALL SELECT 'suppliers', CAST(count(*) AS BIGINT), round(sum(s_acctbal), 2), CAST(0 AS BIGINT), 'bigint,bigint,double,bigint,string' FROM supplier""")
+@query("""SELECT 'customers' AS kind, CAST(count(*) AS BIGINT) AS rows, round(sum(floor(c_acctbal)), 2) AS balance, CAST(count(*) FILTER (c_custkey % 50 = 0) AS BIGINT) AS codes, CAST(0 AS BIGINT) AS errors, CAST(count(*) * (count(*) + 1) / 2 AS BIGINT) AS ids, 'bigint,bigint,double,bigint,string' AS types FROM customer
+UNION ALL SELECT 'suppliers', CAST(count(*) AS BIGINT), round(sum(s_acctbal), 2), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(count(*) * (count(*) + 1) / 2 AS BIGINT), 'bigint,bigint,double,bigint,string' FROM supplier""")
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two text sources cast to one table whose types are inferred from both, promoted where they differ, codes beside values."""
+    """Two text sources cast to one table whose types are inferred from both, promoted where they differ, codes beside values, rows numbered in the first column."""
     key = F.col("c_custkey")
     customers = table(spark, sf_dir, "customer").select(key.cast("string").alias("key"), F.floor("c_acctbal").cast("string").alias("balance"), F.when(key % 50 == 0, "*").otherwise(key.cast("string")).alias("coded"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_acctbal").cast("string").alias("balance"))
     sources = {"customers": customers, "suppliers": suppliers}
     made = headers.merged("people", [infer.inferred(df) for df in sources.values()])
-    made.columns["coded_code"].transform = ";row.coded.failed_value"
     types = ",".join(f.dataType.simpleString() for f in made.schema())
-    parts = [transforms.cast_columns(df, made).drop("_errors").withColumn("kind", F.lit(kind)) for kind, df in sources.items()]
+    parts = [transforms.cast_columns(df, made).withColumn("kind", F.lit(kind)) for kind, df in sources.items()]
     held = parts[0].unionByName(parts[1]).groupBy("kind")
-    return held.agg(F.count("*").alias("rows"), rounded(F.sum("balance"), 2).alias("balance"), F.count("coded_code").alias("codes")).withColumn("types", F.lit(types))
+    return held.agg(F.count("*").alias("rows"), rounded(F.sum("balance"), 2).alias("balance"), F.count("coded_code").alias("codes"), F.sum(F.size("_errors")).alias("errors"), F.sum("id").alias("ids")).withColumn("types", F.lit(types))
 
 
 @query("""SELECT c_mktsegment AS segment, round(avg(c_acctbal), 4) AS balance, round(avg(c_acctbal / 10), 4) AS balance_se, CAST(count(*) AS BIGINT) AS count FROM customer GROUP BY 1""")

@@ -3,6 +3,7 @@
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,23 +92,78 @@ def folders_of_tabbed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.together(spark, specs).withColumn("c_custkey", casts.to_int(F.col("c_custkey")))
 
 
-def zipped(rows: pa.Table) -> pa.Table:
-    """The lines of a group as an archive with a file of lines and one that is not wanted."""
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
-        archive.writestr("data/items.csv", "key,name\n" + "".join(f"{line}\n" for line in rows.column("line").to_pylist()))
-        archive.writestr("about.txt", "nothing\n")
-    return pa.table({"path": [f"{rows.column('nation')[0]}.zip"], "content": [held.getvalue()]})
+#: Rows of one archive.
+ROWS_AN_ARCHIVE = 1000
 
 
-@query("""SELECT CAST(c_nationkey AS VARCHAR) || '.zip' AS archive, c_custkey AS "key", c_name || ', "x"' AS name FROM customer""")
+def put_archive(folder: str):
+    """For applyInArrow: the lines of a group as an archive with a file of lines and one that is not wanted."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("data/items.csv", "key,name\n" + "".join(f"{line}\n" for line in rows.column("line").to_pylist()))
+            archive.writestr("about.txt", "nothing\n")
+        system, root = scratch.located(folder)
+        system.create_dir(root, recursive=True)
+        name = f"{rows.column('nation')[0]}-{rows.column('nth')[0]}.zip"
+        with system.open_output_stream(f"{root}/{name}") as out:
+            out.write(held.getvalue())
+        return pa.table({"name": [name]})
+
+    return run
+
+
+def archived(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """(nation, nth, line) as an archive for each nation and nth; the folder."""
+    path = scratch.folder(spark, name)
+    lines.groupBy("nation", "nth").applyInArrow(put_archive(path), "name string").count()
+    return path
+
+
+@query("""SELECT c_custkey AS "key", c_name || chr(10) || ', "x"' AS name FROM customer""")
 def zipped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive for each nation; the lines of one member by name, cells in quotes."""
-    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit(', ""x"""'))
-    archives = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), line.alias("line")).groupBy("nation").applyInArrow(zipped, "path string, content binary")
-    lines = readers.unpacked(archives, r"\.csv$").filter("line_no > 0")
-    cells = lines.select("archive", F.from_csv("line", "key string, name string", {"escape": '"'}).alias("c"))
-    return cells.select("archive", casts.to_int(F.col("c.key")).alias("key"), "c.name")
+    """Archives of a bounded number of lines; the records of one member by name, cells in quotes that hold line breaks."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('\n, ""x"""'))
+    lines = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_custkey") / ROWS_AN_ARCHIVE).alias("nth"), line.alias("line"))
+    rows = readers.read(spark, readers.SourceSpec("items", archived(spark, lines, "archives"), "zip", member=r"\.csv$"))
+    return rows.select(casts.to_int(F.col("key")).alias("key"), "name")
+
+
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 2 THEN c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def files_of_unlike_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder whose files have their columns in other orders, and some of them fewer: each by its own header."""
+    path = scratch.folder(spark, "layouts")
+    orders = (("c_custkey", "c_name", "c_nationkey"), ("c_mktsegment", "c_nationkey", "c_name", "c_custkey"), ("c_name", "c_custkey"))
+    for nth, names in enumerate(orders):
+        table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 3 == nth).select(*names).write.mode("append").option("header", True).csv(path)
+    rows = readers.read(spark, readers.SourceSpec("customers", path))
+    return rows.select(casts.to_int(F.col("c_custkey")).alias("c_custkey"), "c_name", casts.to_int(F.col("c_nationkey")).cast("int").alias("c_nationkey"), "c_mktsegment")
+
+
+@query("""SELECT kind, CAST(count(*) AS BIGINT) AS rows, CAST(sum("key") AS BIGINT) AS keys, round(sum(balance), 2) AS balance FROM (
+  SELECT 'customers' AS kind, c_custkey AS "key", c_acctbal AS balance FROM customer UNION ALL SELECT 'suppliers', s_suppkey, s_acctbal FROM supplier UNION ALL SELECT 'nations', n_nationkey, NULL FROM nation) GROUP BY 1""")
+def sources_of_unlike_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three text sources with columns in other orders in one run: one job for their headers, one scan for each distinct one."""
+    columns = {"customers": ("customer", {"c_custkey": "key", "c_acctbal": "balance"}), "suppliers": ("supplier", {"s_acctbal": "balance", "s_suppkey": "key"}), "nations": ("nation", {"n_nationkey": "key"})}
+    specs = []
+    for name, (file, named) in columns.items():
+        path = scratch.folder(spark, name)
+        build.extract(table(spark, sf_dir, file).select(*[F.col(c).alias(n) for c, n in named.items()]), path)
+        specs.append(readers.SourceSpec(name, path))
+    rows = runs.together(spark, specs).groupBy(F.col("_source").alias("kind"))
+    return rows.agg(F.count("*").alias("rows"), F.sum(casts.to_int(F.col("key"))).alias("keys"), F.round(F.sum(casts.to_float(F.col("balance"))), 2).alias("balance"))
+
+
+@query("""SELECT p_partkey AS id, p_name || chr(10) || chr(10) || '"' || p_brand || '", ' || chr(10) AS note FROM part""")
+def records_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a title, a comment and cells that hold blank lines, quotes and line breaks: lines are joined into records."""
+    path = scratch.folder(spark, "records")
+    note = F.concat(F.lit('"'), "p_name", F.lit('\n\n""'), "p_brand", F.lit('"", \n"'))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), note)
+    table(spark, sf_dir, "part").repartition(4, "p_partkey").select(line.alias("value")).mapInArrow(headed("The \"parts", "id,note", "# a comment with \""), "value string").write.text(path)
+    rows = readers.read(spark, readers.SourceSpec("parts", path, header_lines=(1,), start_line=2, comment="#"))
+    return rows.select(casts.to_int(F.col("id")).alias("id"), "note")
 
 
 def headed(*lines: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -135,24 +191,35 @@ def classified_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(casts.to_int(F.col("id")).alias("id"), "Part brand", casts.to_int(F.col("Part size")).cast("int").alias("Part size"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'of the wrong width' ELSE 'read' END AS outcome FROM orders""")
+@query("""SELECT kind, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderkey AS VARCHAR) || ',P,more' ELSE 'read' END AS kept, o_orderstatus <> 'P' AS "left" FROM orders, (VALUES ('plain'), ('classified'), ('zipped')) k(kind)""")
 def rows_of_the_wrong_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file some of whose rows have a cell too many: these are reported, the others read."""
-    path = scratch.folder(spark, "widths")
+    """Plain, classified and zipped text some of whose rows have a cell too many: kept with their text under one policy, left out under another."""
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.when(F.col("o_orderstatus") == "P", "more"))
-    table(spark, sf_dir, "orders").select(line.alias("value")).mapInArrow(headed("key,status"), "value string").write.text(path)
-    rows = readers.delimited(spark, path)
-    key = casts.to_int(F.split(F.coalesce("_corrupt", rows.columns[0]), ",")[0])
-    return rows.select(key.alias("o_orderkey"), F.when(F.col("_corrupt").isNull(), "read").otherwise("of the wrong width").alias("outcome"))
-
-
-@query("""SELECT s_name AS name, CAST(1 AS INTEGER) AS stage FROM supplier WHERE s_suppkey % 3 <> 0""")
+    orders = table(spark, sf_dir, "orders")
+    plain, messy = scratch.folder(spark, "plain"), scratch.folder(spark, "messy")
+    lines = orders.select(line.alias("value"))
+    lines.mapInArrow(headed("key,name"), "value string").write.text(plain)
+    lines.mapInArrow(headed("Orders", "key,name"), "value string").write.text(messy)
+    zipped = archived(spark, orders.select(F.lit(0).alias("nation"), F.floor(F.col("o_orderkey") / ROWS_AN_ARCHIVE).alias("nth"), line.alias("line")), "widths")
+    s = readers.SourceSpec
+    kinds = {"plain": s("o", plain), "classified": s("o", messy, header_lines=(1,), start_line=2), "zipped": s("o", zipped, "zip", member="csv$")}
+    made = []
+    for kind, spec in kinds.items():
+        kept, left = (readers.read(spark, replace(spec, bad_rows=policy)) for policy in ("keep", "drop"))
+        key = casts.to_int(F.coalesce(F.split("_corrupt", ",")[0], "key"))
+        told = kept.select(F.lit(kind).alias("kind"), key.alias("o_orderkey"), F.coalesce("_corrupt", F.lit("read")).alias("kept"))
+        found = left.select(casts.to_int(F.col("key")).alias("o_orderkey"), F.lit(True).alias("left"))
+        made.append(told.join(found, "o_orderkey", "left").select("kind", "o_orderkey", "kept", F.coalesce("left", F.lit(False)).alias("left")))
+    return made[0].union(made[1]).union(made[2])
+
+
+@query("""SELECT n_name AS name, 'people' AS dest_table, CAST(n_regionkey + 1 AS INTEGER) AS stage FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)""")
 def pending_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that a manifest does not have yet; the manifest is what earlier runs wrote."""
-    suppliers = table(spark, sf_dir, "supplier")
-    manifest = suppliers.filter("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"))
-    listed = suppliers.select(F.col("s_name").alias("name"), F.lit("").alias("dest_table"), F.lit(1).alias("stage"))
-    return runs.still_pending(listed, manifest).select("name", "stage")
+    """Sources that a manifest does not have yet: here each nation is a source, and those of rich customers were read by an earlier run."""
+    nations = table(spark, sf_dir, "nation")
+    specs = [readers.SourceSpec(r.n_name, dest_table="people", stage=r.n_regionkey + 1) for r in nations.collect()]  # a listed source each
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return runs.pending(spark, [*specs, readers.SourceSpec("never", kind="ref")], rich.select(F.col("n_name").alias("name")))
 
 
 @query("""SELECT n_name, CAST(count(*) AS BIGINT) AS rows, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")

@@ -1,14 +1,17 @@
 """Reading delimited, fixed-width and zipped text, tables, SQL, generated and local rows.
 
 Text sources come as strings under the names of their header; casting is a later step.
+Every file has its own header, and rows of another width than theirs meet the policy of the
+source, whether the text is plain, classified or zipped.
 """
 
-import csv
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +20,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from datakiln.functions.casts import nullify
-from datakiln.operators.headers import ascii_name, unique_names
+from datakiln.jobs import scratch
+from datakiln.operators.headers import unique_names
+from datakiln.sources.records import cells_of, joined_lines, layouts_of, records
 
 #: Lines of an archive member that travel in one batch.
 LINES_A_BATCH = 5000
@@ -49,24 +54,25 @@ class SourceSpec:
     options: dict[str, str] = field(default_factory=dict)
 
 
-def delimited(spark: SparkSession, path: str | list[str], separator: str = ",", encoding: str = "UTF-8", header: bool = True, strict: bool = False, options: dict[str, str] | None = None) -> DataFrame:
-    """Delimited text, all columns as strings; rows of the wrong width are an error where ``strict``, else in ``_corrupt``.
+def delimited(spark: SparkSession, path: str | list[str], separator: str = ",", encoding: str = "UTF-8", header: bool = True, strict: bool = False, options: dict[str, str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """Delimited text of one layout, all columns as strings; rows of the wrong width are an error where ``strict``, else in ``_corrupt``.
 
-    Every row's width is checked, also where a query needs few columns.
+    Every row's width is checked, also where a query needs few columns.  ``names`` are those of
+    the header if they are known.
     """
     reader = spark.read.options(**{"multiLine": False, "escape": '"', "columnPruning": False, **(options or {})})
     reader = reader.option("sep", separator).option("encoding", encoding).option("header", header)
-    names = reader.csv(path).schema
+    fields = [T.StructField(n, T.StringType()) for n in names] if names else list(reader.csv(path).schema)
     if strict:
-        return reader.option("mode", "FAILFAST").schema(names).csv(path)
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(T.StructType([*names, T.StructField("_corrupt", T.StringType())])).csv(path)
+        return reader.option("mode", "FAILFAST").schema(T.StructType(fields)).csv(path)
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(T.StructType([*fields, T.StructField("_corrupt", T.StringType())])).csv(path)
 
 
-def by_policy(spark: SparkSession, path: str | list[str], spec: SourceSpec, separator: str) -> DataFrame:
-    """A plain delimited source with its rows of the wrong width as the spec says."""
+def by_policy(spark: SparkSession, path: str | list[str], spec: SourceSpec, separator: str, names: list[str] | None = None) -> DataFrame:
+    """Plain delimited files of one layout with their rows of the wrong width as the spec says."""
     if spec.bad_rows == "fail":
-        return delimited(spark, path, separator, spec.encoding, strict=True, options=spec.options)
-    rows = delimited(spark, path, separator, spec.encoding, options=spec.options)
+        return delimited(spark, path, separator, spec.encoding, strict=True, options=spec.options, names=names)
+    rows = delimited(spark, path, separator, spec.encoding, options=spec.options, names=names)
     if spec.bad_rows == "keep":
         return rows
     if spec.bad_rows == "drop":
@@ -74,10 +80,42 @@ def by_policy(spark: SparkSession, path: str | list[str], spec: SourceSpec, sepa
     raise ValueError(f"bad_rows is {spec.bad_rows!r}, not fail, keep or drop")
 
 
+def path_of(uri: str) -> str:
+    """The path that Spark's readers take for a file that they named: decoded, and no pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
+
+
+def file_layouts(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", separator: str = ",") -> list[tuple[list[str], list[str]]]:
+    """(names, files) of each distinct header among delimited files, from one job over all of them.
+
+    The first line of a file is the first of its first split; one line for each file is
+    gathered, as Spark's own list of the files is.
+    """
+    text = text_lines(spark, paths, encoding).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    heads = scratch.save(text.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header")), "headers")
+    known, layouts = layouts_of(heads, separator, joined=False)
+    files: dict[int, list[str]] = {}
+    for row in known.orderBy("file").collect():
+        files.setdefault(row.layout, []).append(path_of(row.file))
+    return [(layouts[nth], mine) for nth, mine in files.items()]
+
+
+def plain_table(spark: SparkSession, specs: list[SourceSpec]) -> DataFrame:
+    """Plain delimited sources that are read alike: one scan for each distinct header, columns by name, missing ones null, and ``_file``."""
+    first = specs[0]
+    separator, paths = "\t" if first.kind == "tsv" else ",", [s.reference for s in specs]
+    found = file_layouts(spark, paths, first.encoding, separator)
+    if not found:  # no file has a line
+        return delimited(spark, paths, separator, first.encoding).withColumn("_file", F.lit(None).cast("string")).drop("_corrupt")
+    parts = [by_policy(spark, files, first, separator, names).withColumn("_file", F.col("_metadata.file_path")) for names, files in found]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    last = [c for c in ("_corrupt", "_file") if c in rows.columns]
+    return rows.select(*[c for c in rows.columns if c not in last], *last)
+
+
 def corrupt_rows(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """The rows of a plain delimited source that do not have the header's width, with their text in ``_corrupt``."""
-    rows = delimited(spark, spec.reference, "\t" if spec.kind == "tsv" else ",", spec.encoding, options=spec.options)
-    return rows.filter("_corrupt is not null")
+    """The rows of a delimited source, plain, classified or zipped, that do not have their header's width, with their text in ``_corrupt``."""
+    return read(spark, replace(spec, bad_rows="keep")).filter("_corrupt is not null")
 
 
 def text_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -94,15 +132,16 @@ def fixed_width(spark: SparkSession, path: str, widths: Iterable[tuple[str, int,
     return text_lines(spark, path, encoding).select(*[nullify(F.substring("value", start, width)).alias(n) for n, start, width in parts])
 
 
-def zip_lines(spark: SparkSession, path: str, member: str = "", encoding: str = "utf-8") -> DataFrame:
-    """The lines of the archives at a path; see `unpacked`."""
+def zip_records(spark: SparkSession, path: str, member: str = "", encoding: str = "utf-8") -> DataFrame:
+    """The records of the archives at a path; see `unpacked`."""
     return unpacked(spark.read.format("binaryFile").load(path), member, encoding)
 
 
 def unpacked(files: DataFrame, member: str = "", encoding: str = "utf-8") -> DataFrame:
-    """``files`` (path, content) to (archive, member, line_no, line) of the members whose name matches; archives unpack in parallel.
+    """``files`` (path, content) to (archive, member, line_no, value) of the members whose name matches; archives unpack in parallel.
 
-    An archive cannot be split, so one task streams it; lines leave in batches of fixed size.
+    An archive cannot be split, so one task streams it; lines inside quotes are joined as
+    they pass, and records leave in batches of fixed size.
     """
     wanted = re.compile(member)
 
@@ -113,18 +152,27 @@ def unpacked(files: DataFrame, member: str = "", encoding: str = "utf-8") -> Dat
                     for name in sorted(n for n in archive.namelist() if not n.endswith("/") and wanted.search(n)):
                         with archive.open(name) as raw:
                             held: list[tuple[int, str]] = []
-                            for number, line in enumerate(io.TextIOWrapper(raw, encoding=encoding, newline=None)):
-                                held.append((number, line.rstrip("\n")))
+                            for row in joined_lines(line.rstrip("\n") for line in io.TextIOWrapper(raw, encoding=encoding, newline=None)):
+                                held.append(row)
                                 if len(held) >= LINES_A_BATCH:
-                                    yield lines(path_, name, held)
+                                    yield some(path_, name, held)
                                     held = []
-                            yield lines(path_, name, held)
+                            yield some(path_, name, held)
 
-    def lines(archive: str, name: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
+    def some(archive: str, name: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
         n = len(held)
-        return pa.RecordBatch.from_pydict({"archive": [archive] * n, "member": [name] * n, "line_no": pa.array([i for i, _ in held], pa.int64()), "line": pa.array([t for _, t in held], pa.string())})
+        return pa.RecordBatch.from_pydict({"archive": [archive] * n, "member": [name] * n, "line_no": pa.array([i for i, _ in held], pa.int64()), "value": pa.array([t for _, t in held], pa.string())})
+
+    return files.select("path", "content").mapInArrow(unpack, "archive string, member string, line_no long, value string")
 
-    return files.select("path", "content").mapInArrow(unpack, "archive string, member string, line_no long, line string")
+
+def zipped_table(found: DataFrame, spec: SourceSpec, keep: list[str] = ()) -> DataFrame:
+    """Unpacked records as columns, each member by its own first line, and ``keep`` (archive, member); unpacked once."""
+    keys = ["archive", "member"]
+    lines = scratch.save(found, "unpacked")
+    known, layouts = layouts_of(scratch.save(lines.filter("line_no = 0").select(*keys, F.col("value").alias("header")), "headers"), ",", joined=False)
+    rows = lines.filter("line_no > 0").filter(F.length(F.trim("value")) > 0).join(known, keys, "left")
+    return cells_of(rows, layouts, spec.bad_rows, keep=list(keep))
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -143,45 +191,27 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
 
 
 def classified(lines: DataFrame, spec: SourceSpec) -> DataFrame:
-    """``lines`` (line_no, value) with row_class: header, comment, data or other, from the places in the spec."""
+    """``lines`` (line_no, value) with row_class: header, comment, data, blank or other, from the places in the spec."""
     at = F.col("line_no")
     inside = (at >= spec.start_line) & (F.lit(True) if spec.end_line is None else at <= spec.end_line)
     comment = F.col("value").startswith(spec.comment) if spec.comment else F.lit(False)
-    kind = F.when(at.isin(list(spec.header_lines)), "header").when(comment, "comment").when(inside & (F.length(F.trim("value")) > 0), "data").otherwise("other")
+    blank = F.length(F.trim("value")) == 0
+    kind = F.when(at.isin(list(spec.header_lines)), "header").when(comment, "comment").when(~inside, "other").when(blank, "blank").otherwise("data")
     return lines.withColumn("row_class", kind)
 
 
-def joined_header(rows: list[list[str]]) -> list[str]:
-    """Several header rows as one: gaps of all but the last row filled from the left, rows joined by a blank."""
-    width = max(map(len, rows), default=0)
-    filled = []
-    for place, row in enumerate(rows):
-        row = [*row, *[""] * (width - len(row))]
-        if place < len(rows) - 1:
-            last = ""
-            row = [last := (c.strip() or last) for c in row]
-        filled.append(row)
-    return unique_names([ascii_name(" ".join(filter(None, (r[i].strip() for r in filled)))) for i in range(width)])
-
-
-def split_lines(lines: list[str], separator: str = ",") -> list[list[str]]:
-    """A handful of header lines as cells, on the driver."""
-    return list(csv.reader(lines, delimiter=separator))
-
+def text_table(lines: DataFrame, keys: list[str], spec: SourceSpec, separator: str, joined: bool) -> DataFrame:
+    """Numbered lines (keys, line_no, value) of delimited text as columns, each file by its own header.
 
-def cells_of(lines: DataFrame, names: list[str], separator: str = ",", line: str = "value") -> DataFrame:
-    """Delimited lines as text columns; cells that a line lacks, and empty ones, are null."""
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-    made = lines.select(F.from_csv(F.col(line), schema.simpleString()[7:-1].replace(":", " "), {"sep": separator, "escape": '"'}).alias("c"))
-    return made.select(*[F.col(f"c._{i}").alias(n) for i, n in enumerate(names)])
-
-
-def classified_table(spark: SparkSession, spec: SourceSpec, separator: str = ",") -> DataFrame:
-    """The data rows of a delimited file with several header rows, title lines or comments, as strings."""
-    lines = classified(numbered_lines(spark, spec.reference, spec.encoding), spec)
-    first = lines.agg(F.min("file")).first()[0]  # files of one source share their header
-    found = lines.filter((F.col("row_class") == "header") & (F.col("file") == first)).orderBy("line_no").select("value").collect()  # a handful of lines
-    return cells_of(lines.filter("row_class = 'data'"), joined_header(split_lines([r.value for r in found], separator)), separator)
+    Comments are taken out before lines are joined into records; a record has the place of
+    its first line.
+    """
+    lines = classified(lines, spec)
+    heads = lines.filter("row_class = 'header'").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n").alias("header"))
+    known, layouts = layouts_of(scratch.save(heads, "headers"), separator, joined)  # one row for each file
+    inside = lines.filter(F.col("row_class").isin("data", "blank")).select(*keys, "line_no", "value")
+    whole = records(inside, keys).filter(F.length(F.trim("value")) > 0)
+    return cells_of(whole.join(known, keys, "left"), layouts, spec.bad_rows, separator)
 
 
 def generated(spark: SparkSession, rows: int, columns: dict[str, Column]) -> DataFrame:
@@ -221,15 +251,13 @@ def read(spark: SparkSession, spec: SourceSpec, made: dict[str, Callable[[SparkS
     """
     separator = "\t" if spec.kind == "tsv" else ","
     if is_plain(spec):
-        return by_policy(spark, spec.reference, spec, separator)
+        return plain_table(spark, [spec]).drop("_file")
     if spec.kind in ("csv", "tsv"):
-        return classified_table(spark, spec, separator)
+        return text_table(numbered_lines(spark, spec.reference, spec.encoding), ["file"], spec, separator, joined=True)
     if spec.kind == "fixed":
         return fixed_width(spark, spec.reference, spec.widths, spec.encoding)
     if spec.kind == "zip":
-        lines = zip_lines(spark, spec.reference, spec.member, spec.encoding)
-        header = lines.filter("line_no = 0").orderBy("archive", "member").first()
-        return cells_of(lines.filter("line_no > 0 and trim(line) <> ''"), unique_names(split_lines([header.line])[0]), line="line")
+        return zipped_table(zip_records(spark, spec.reference, spec.member, spec.encoding), spec)
     if spec.kind == "partition":
         return spark.read.parquet(spec.reference)
     if spec.kind == "sql":

@@ -8,7 +8,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.sources.readers import SourceSpec, by_policy, is_plain, read
+from datakiln.sources.readers import SourceSpec, is_plain, plain_table, read
 
 LIMITED_ROWS = 500
 NEVER_READ = ("ref", "template")
@@ -39,8 +39,8 @@ def by_stage(sources: list[SourceSpec]) -> list[list[SourceSpec]]:
 def together(spark: SparkSession, sources: list[SourceSpec], limited: bool = False, reader: Callable[[SparkSession, SourceSpec], DataFrame] = read) -> DataFrame:
     """All sources by column name, missing columns null, with ``_source``.
 
-    Plain delimited files of one layout, encoding and reader options are read by one scan,
-    not by a union for each file.
+    Plain delimited files that are read alike (kind, encoding, policy, options) take one job for
+    their headers and one scan for each distinct header, not one for each source.
     """
     parts, alike = [], {}
     for s in sources:
@@ -48,24 +48,21 @@ def together(spark: SparkSession, sources: list[SourceSpec], limited: bool = Fal
             rows = reader(spark, s)
             parts.append((rows.limit(LIMITED_ROWS) if limited else rows).withColumn("_source", F.lit(s.name)))
         else:
-            layout = (s.kind, s.encoding.upper(), s.bad_rows, tuple(sorted(s.options.items())), tuple(read(spark, s).columns))
-            alike.setdefault(layout, []).append(s)
+            alike.setdefault((s.kind, s.encoding.upper(), s.bad_rows, tuple(sorted(s.options.items()))), []).append(s)
     parts += [one_scan(spark, group) for group in alike.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def one_scan(spark: SparkSession, sources: list[SourceSpec]) -> DataFrame:
-    """Plain delimited sources of one layout, each row with the source whose file or folder it comes from."""
-    first = sources[0]
+    """Plain delimited sources that are read alike, each row with the source whose file or folder it comes from."""
     # a path without a host is written with one stroke or three
     files = [(re.sub(r"^(\w+):///", r"\1:/", file), s.name) for s in sources for file in spark.read.text(s.reference).inputFiles()]
     if len({file for file, _ in files}) < len(files):
         raise ValueError("two sources name the same file")
-    rows = by_policy(spark, [s.reference for s in sources], first, "\t" if first.kind == "tsv" else ",")
-    named = spark.createDataFrame(files, "_file string, _source string")
-    marked = rows.withColumn("_path", F.col("_metadata.file_path"))
-    found = F.coalesce("_source", F.raise_error(F.concat(F.lit("no source names the file "), F.col("_path"))))
-    return marked.join(named, F.col("_path") == F.col("_file"), "left").withColumn("_source", found).select(*rows.columns, "_source")
+    rows = plain_table(spark, sources)
+    named = spark.createDataFrame(files, "_named string, _source string")
+    found = F.coalesce("_source", F.raise_error(F.concat(F.lit("no source names the file "), F.col("_file"))))
+    return rows.join(named, F.col("_file") == F.col("_named"), "left").withColumn("_source", found).drop("_file", "_named")
 
 
 def source_table(spark: SparkSession, sources: list[SourceSpec]) -> DataFrame:
