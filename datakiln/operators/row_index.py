@@ -132,7 +132,7 @@ def scan_with(df: DataFrame, keys: list[str], order: list[str], value: str, name
         return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
 
     def carried(group: pa.Table) -> pa.Table:
-        group = group.sort_by(part)
+        group = group.select([part, *keys, state]).sort_by(part)
         out, held = [], None
         for x in group.column(state).to_pylist():
             out.append(held)
@@ -148,7 +148,8 @@ def scan_with(df: DataFrame, keys: list[str], order: list[str], value: str, name
     slim = marked.select(part, *keys, *[c for c in order if c not in keys], state)
     parts = slim.repartition(part).sortWithinPartitions(part, *keys, *order).mapInArrow(folded, schema([part, *keys, state]))
     # a key has at most one row for each range here
-    before = (parts.groupBy(*keys) if keys else parts.groupBy(F.lit(0))).applyInArrow(carried, schema([part, *keys, state]))
+    by = parts.groupBy(*keys) if keys else parts.withColumn(late, F.lit(0)).groupBy(late)
+    before = by.applyInArrow(carried, schema([part, *keys, state]))
     both = before.withColumn(late, F.lit(0)).unionByName(marked.withColumn(late, F.lit(1)), allowMissingColumns=True)
     out = ", ".join(filter(None, [schema(columns), f"`{name}` {marked.schema[state].dataType.simpleString()}"]))
     return both.repartition(part).sortWithinPartitions(part, *keys, late, *order).mapInArrow(finished, out)
