@@ -318,6 +318,15 @@ def summary_grain(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 2), F.repeat(F.lit("Z"), F.length(c) - 2))
 
 
+def all_in_upper(c: Column) -> Column:
+    """The id of all places of its level in the place above: the last part at its top value."""
+    ends = [2 + sum(WIDTHS[:depth]) for depth in range(len(WIDTHS) + 1)]
+    made = F.lit(None).cast("string")
+    for start, end in zip(ends, ends[1:], strict=False):
+        made = F.when(F.length(c) == end, F.concat(F.substring(c, 1, start), F.lit("Z" * (end - start)))).otherwise(made)
+    return made
+
+
 def county_name_parts(c: Column) -> Column:
     """"Los Angeles County, California" as struct<state, name, division, short>."""
     parts = F.split(c, r",\s*")

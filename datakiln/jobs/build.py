@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datakiln.functions import values
 from datakiln.functions.values import name_from_parts
 from datakiln.operators import coverage, stats
 from datakiln.operators.headers import unused
@@ -99,17 +100,28 @@ def finalized(df: DataFrame, key: str = "id", years: list[str] = (), gvid: str |
     ``years`` names year and date columns, ``gvid`` a column of places; what is not asked
     for is an empty list.  The title is the time covered and the number of rows.
     """
-    held = df.groupBy("partition").agg(F.count("*").alias("rows"), F.min(key).alias("min_id"), F.max(key).alias("max_id"))
-    for name, found in (
-        ("years", coverage.time_coverage(df, ["partition"], list(years)) if years else None),
-        ("places", coverage.space_coverage(df, ["partition"], gvid) if gvid else None),
-        ("grains", coverage.grain_coverage(df, ["partition"], gvid) if gvid else None),
-    ):
-        none = F.array().cast("array<int>" if name == "years" else "array<string>")
-        held = held.withColumn(name, none) if found is None else held.join(found, "partition", "left").withColumn(name, F.coalesce(name, none))
+    none = {"years": F.array().cast("array<int>"), "places": F.array().cast("array<string>"), "grains": F.array().cast("array<string>")}
+    kinds = dict(df.dtypes)
+    listed = {"years": F.array_sort(F.array_distinct(F.flatten(F.array(*[F.collect_set(coverage.year_of(F.col(c), kinds[c])) for c in years])))) if years else none["years"]}
+    listed["places"] = F.array_sort(F.collect_set(coverage.place_of(F.col(gvid)))) if gvid else none["places"]
+    listed["grains"] = F.array_sort(F.collect_set(values.summary_grain(F.col(gvid)))) if gvid else none["grains"]
+    # one scan; the lists hold a partition's years, places and levels, which are what is asked for
+    held = df.groupBy("partition").agg(F.count("*").alias("rows"), F.min(key).alias("min_id"), F.max(key).alias("max_id"), *[c.alias(n) for n, c in listed.items()])
     return held.withColumn("title", coverage.short_description(F.col("years"), F.col("rows")))
 
 
+def store_statistics(df: DataFrame, path: str, columns: list[str]) -> None:
+    """The mergeable statistics of the partitions that ``df`` has, beside those of others that are there."""
+    made = stats.partial_stats(df.select("partition", *columns), ["partition"])
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition").parquet(path)
+
+
+def stored_statistics(spark: SparkSession, path: str, by_partition: bool = False) -> DataFrame:
+    """The statistics of a table (or of each partition) from what was stored, without its rows."""
+    held = spark.read.schema(f"column string, {stats.PARTIAL}, partition string").parquet(path)
+    return stats.merged_stats(held, ["partition"] if by_partition else [])
+
+
 def finalized_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """(partition, column, count, nuniques, …): the statistics of the columns of each partition, in one pass."""
     return stats.column_stats(df.select("partition", *columns), ["partition"])

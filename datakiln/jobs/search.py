@@ -1,16 +1,24 @@
 """Search over descriptions: documents, an inverted index as a table, ranking, fuzzy names.
 
-The index is (term, field, doc, tf), counted before the shuffle.  A query filters the index
-by its few terms first; ranking then works on the hits alone.
+The index is (term, field, doc, tf), counted inside each document, and may be stored in
+segments.  A query filters the index by its few terms first; ranking then works on the hits alone.
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from datakiln.functions.values import cut
+from datakiln.functions.values import all_in_upper, cut
+from datakiln.jobs import scratch
 
 FIRST_YEAR, LAST_YEAR = 1970, 2029
 #: Own rule: the weight of a hit in each field.
@@ -49,12 +57,30 @@ def partition_documents(partitions: DataFrame, values: DataFrame) -> DataFrame:
     return joined.select(F.col("id").alias("doc"), F.col("name").alias("title"), F.concat_ws(" ", "name", "description", "held").alias("text"), covers.alias("keywords"))
 
 
+def counted(terms: Column) -> Column:
+    """The distinct terms of a list with how often it has them: array<struct<term, tf>>."""
+
+    @F.arrow_udf("array<struct<term:string,tf:long>>")
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = pa.table({"row": pc.list_parent_indices(batch), "term": batch.flatten()})
+            met = rows.group_by(["row", "term"]).aggregate([([], "count_all")]).sort_by("row")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(met.column("row").to_numpy(), minlength=len(batch)))]).astype(np.int32)
+            columns = [pa.concat_arrays(met.column(c).chunks) if len(met) else pa.array([], kind) for c, kind in (("term", pa.string()), ("count_all", pa.int64()))]
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["term", "tf"]))
+
+    return each(terms)
+
+
 def inverted_index(docs: DataFrame, fields: dict[str, str], doc: str = "doc") -> DataFrame:
-    """(term, field, doc, tf) of the texts in ``fields`` (field name to column)."""
-    parts = F.array(*[F.struct(F.lit(name).alias("field"), F.col(c).cast("string").alias("text")) for name, c in fields.items()])
+    """(term, field, doc, tf) of the texts in ``fields`` (field name to column).
+
+    A row is a document and its terms are counted in it, so nothing is shuffled; rows that
+    repeat a doc give entries each, which the look-ups below add up.
+    """
+    parts = F.array(*[F.struct(F.lit(name).alias("field"), tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("terms")) for name, c in fields.items()])
     each = docs.select(F.col(doc).alias("doc"), F.explode(parts).alias("p"))
-    words = each.select("doc", "p.field", F.explode(F.split(F.lower("p.text"), APART)).alias("term")).filter("term != ''")
-    return words.groupBy("term", "field", "doc").agg(F.count("*").alias("tf"))
+    return each.select("doc", "p.field", F.explode(counted(F.col("p.terms"))).alias("t")).select("t.term", "field", "doc", "t.tf")
 
 
 def extended_index(index: DataFrame, docs: DataFrame, fields: dict[str, str], doc: str = "doc", force: bool = False) -> DataFrame:
@@ -70,6 +96,104 @@ def without_documents(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("doc").distinct(), "doc", "left_anti")
 
 
+#: Buckets of a stored index by the hash of the term.
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """An inverted index in a folder: segments of additions and deletions, merged when it is read.
+
+    An addition is a segment of postings in directories by the bucket of their term, and of its doc ids;
+    a deletion is a segment of doc ids.  Segments are numbered; an entry counts unless a later
+    segment deletes its document.  Adding reads the new documents and the ids alone, a
+    look-up the buckets of its terms, and compaction writes what counts as one segment.
+    """
+
+    spark: SparkSession
+    path: str
+    fields: dict[str, str] = field(default_factory=dict)
+    buckets: int = BUCKETS
+
+    def segments(self) -> list[int]:
+        """The numbers of the segments in order; one small row each."""
+        try:
+            held = self.spark.read.parquet(f"{self.path}/segments")
+        except AnalysisException:  # nothing was added yet
+            return []
+        return sorted(r.segment for r in held.select("segment").distinct().collect())
+
+    def bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def _noted(self, segment: int, kind: str) -> None:
+        """A segment counts once this row is there, so one that was cut off does not."""
+        self.spark.createDataFrame([(segment, kind)], "segment int, kind string").coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
+
+    def _next(self) -> int:
+        return max(self.segments(), default=0) + 1
+
+    def add(self, docs: DataFrame, doc: str = "doc", force: bool = False) -> int:
+        """Documents that the index lacks, or (``force``) all of these in the place of their old entries; the new segment's number."""
+        number = self._next()
+        ids = docs.select(F.col(doc).alias("doc"))
+        if force:
+            ids.distinct().write.mode("overwrite").parquet(f"{self.path}/gone/segment={number}")
+        elif number > 1:
+            docs = docs.join(self.documents().withColumnRenamed("doc", doc), doc, "left_anti")
+        docs.select(F.col(doc).alias("doc")).distinct().write.mode("overwrite").parquet(f"{self.path}/docs/segment={number}")
+        entries = inverted_index(docs, self.fields, doc).withColumn("bucket", self.bucket(F.col("term")))
+        entries.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
+        self._noted(number, "added")
+        return number
+
+    def delete(self, ids: DataFrame) -> int:
+        """(doc) are no more; the new segment's number."""
+        number = self._next()
+        ids.select("doc").distinct().write.mode("overwrite").parquet(f"{self.path}/gone/segment={number}")
+        self._noted(number, "deleted")
+        return number
+
+    def _live(self, kind: str, columns: str) -> DataFrame:
+        """Rows (…, doc, segment) of the counted segments, less those that a later segment deletes."""
+        known = self.segments()
+        held = self._rows(kind, known, columns)
+        gone = self._rows("gone", known, f"doc {held.schema['doc'].dataType.simpleString()}").groupBy("doc").agg(F.max("segment").alias("until"))
+        # an addition that replaces its own documents deletes those of earlier segments
+        return held.join(gone, "doc", "left").filter("until is null or segment >= until").drop("until")
+
+    def _rows(self, kind: str, known: list[int], columns: str) -> DataFrame:
+        try:
+            found = self.spark.read.parquet(f"{self.path}/{kind}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], f"{columns}, segment int")
+        return found.filter(F.col("segment").isin(known))
+
+    def documents(self) -> DataFrame:
+        """(doc) of what the index holds."""
+        return self._live("docs", "doc long").select("doc").distinct()
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """(term, field, doc, tf), of all terms or of some: then only their buckets are read."""
+        held = self._live("postings", "term string, field string, doc long, tf long, bucket int")
+        if terms is not None:
+            wanted = self.spark.range(1).select(F.array(*[self.bucket(F.lit(t)) for t in terms]).alias("b")).first().b if terms else []
+            held = held.filter(F.col("bucket").isin(wanted) & F.col("term").isin(list(terms)))
+        return held.select("term", "field", "doc", "tf")
+
+    def compact(self) -> int:
+        """What counts as one segment; the old segments' rows are no longer read, and their files removed."""
+        known, number = self.segments(), self._next()
+        self.documents().write.mode("overwrite").parquet(f"{self.path}/docs/segment={number}")
+        live = self.postings().withColumn("bucket", self.bucket(F.col("term")))
+        live.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
+        self.spark.createDataFrame([(number, "compacted")], "segment int, kind string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/segments")
+        for old in known:
+            for kind in ("docs", "gone", "postings"):
+                scratch.remove(self.spark, f"{self.path}/{kind}/segment={old}")
+        return number
+
+
 @dataclass
 class Phrase:
     """A parsed search: terms on the documents, places, grains, years and a source."""
@@ -86,16 +210,21 @@ def parsed_phrase(text: str) -> Phrase:
     """Markers and the terms after them; what comes before any marker is "about".
 
     A year after "from" or "to" bounds the years, another word after "from" is a source;
-    further words after a marker of one value belong to "about".
+    further words after a marker of one value belong to "about".  What stands in quotes is one
+    term, and no marker or year.
     """
     phrase, marker = Phrase(), "about"
     low: int | None = None
     high: int | None = None
-    for word in re.findall(r"[\w.-]+", text.lower()):
-        if word in MARKERS:
+    for found in re.finditer(r"'([^']*)'|\"([^\"]*)\"|[\w.-]+", text.lower()):
+        quoted = next((g for g in found.groups() if g is not None), None)
+        word = found.group() if quoted is None else quoted.strip()
+        if not word:
+            continue
+        if word in MARKERS and quoted is None:
             marker = word
             continue
-        year = int(word) if re.fullmatch(r"\d{4}", word) and FIRST_YEAR <= int(word) <= LAST_YEAR else None
+        year = int(word) if quoted is None and re.fullmatch(r"\d{4}", word) and FIRST_YEAR <= int(word) <= LAST_YEAR else None
         if marker in ("from", "to") and year is not None:
             low, high = (year, high) if marker == "from" else (low, year)
         elif marker in ("from", "source"):
@@ -112,9 +241,14 @@ def parsed_phrase(text: str) -> Phrase:
     return phrase
 
 
+def terms_of(phrases: list[str]) -> list[str]:
+    """The distinct terms of words and of quoted terms, which have several; the index has no places, so all must be met."""
+    return sorted({t for p in phrases for t in re.split(r"[\W_]+", p.lower()) if t})
+
+
 def matching(index: DataFrame, terms: list[str], fields: list[str] | None = None) -> DataFrame:
     """Documents that have all terms (in the fields)."""
-    wanted = sorted(set(terms))
+    wanted = terms_of(terms)
     hits = index.filter(F.col("term").isin(wanted))
     if fields:
         hits = hits.filter(F.col("field").isin(fields))
@@ -123,13 +257,13 @@ def matching(index: DataFrame, terms: list[str], fields: list[str] | None = None
 
 def ranked(index: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """(doc, score): over the terms and fields, the weight times the hits here by the hits in all documents."""
-    weights = weights or WEIGHTS
-    hits = index.filter(F.col("term").isin(sorted(set(terms))))
+    weights, terms = weights or WEIGHTS, terms_of(terms)
+    hits = index.filter(F.col("term").isin(terms))
     totals = hits.groupBy("term", "field").agg(F.sum("tf").alias("all"))
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("field")]
     scored = hits.join(totals, ["term", "field"]).withColumn("part", F.coalesce(weight, F.lit(0.0)) * F.col("tf") / F.col("all"))
     full = scored.groupBy("doc").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("n"))
-    return full.filter(F.col("n") == len(set(terms))).select("doc", "score")
+    return full.filter(F.col("n") == len(terms)).select("doc", "score")
 
 
 def best_hits(hits: DataFrame, most: int = MOST_FOUND, key: str = "doc") -> DataFrame:
@@ -164,20 +298,69 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(cut_up))
 
 
-def similar_names(names: DataFrame, asked: DataFrame, threshold: float = SIMILAR, most: int = MOST_FOUND) -> DataFrame:
-    """(asked, name, similarity, place): names at or above a trigram similarity, best first.
+#: Thresholds that are tried before the one asked for: whoever has enough names at one needs none below it.
+TRIED_FIRST = (0.9, 0.7, 0.5)
+_EDGE = 1e-9
 
-    ``names``: name; ``asked``: asked, a bounded list of searches.  Candidates share a
-    trigram; shared ones are counted, and the similarity follows from the counts.
+
+def gram_sets(names: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, grams, n) and (asked, grams, n): distinct texts with their trigrams, those that fewest names have first."""
+    sides = [df.select(c).distinct().withColumn("t", trigrams(F.col(c))) for df, c in ((names, "name"), (asked, "asked"))]
+    held = sides[0].select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("names"))
+
+    def by_rarity(side: DataFrame, c: str) -> DataFrame:
+        each = side.select(c, F.explode("t").alias("g")).join(held, "g", "left")
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "g")))  # as many as the text has
+        return each.groupBy(c).agg(F.transform(ordered, lambda x: x["g"]).alias("grams")).withColumn("n", F.size("grams"))
+
+    return by_rarity(sides[0], "name"), by_rarity(sides[1], "asked")
+
+
+def candidate_pairs(names: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(asked, name, both grams and sizes) of the pairs that may reach a similarity, each once.
+
+    Of n grams at least threshold * n must be shared, so one of the first
+    n - threshold * n + 1, the rarest, is; sizes may differ by the threshold at most.
     """
-    from pyspark.sql.window import Window
 
-    left = names.select("name").distinct().withColumn("t", trigrams(F.col("name"))).withColumn("n", F.size("t"))
-    right = asked.select("asked").distinct().withColumn("t", trigrams(F.col("asked"))).withColumn("m", F.size("t"))
-    shared = left.select("name", "n", F.explode("t").alias("g")).join(right.select("asked", "m", F.explode("t").alias("g")), "g").groupBy("asked", "name", "n", "m").agg(F.count("*").alias("both"))
-    scored = shared.withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).filter(F.col("similarity") >= threshold)
+    def firsts(side: DataFrame, c: str, grams: str, n: str) -> DataFrame:
+        long = F.col("n") - F.ceil(F.col("n") * threshold - _EDGE) + 1
+        held = side.select(c, F.col("grams").alias(grams), F.col("n").alias(n), F.slice("grams", F.lit(1), long.cast("int")).alias(f"first_{grams}"))
+        return held.withColumn("g", F.explode(f"first_{grams}"))
+
+    met = firsts(names, "name", "t", "n").join(firsts(asked, "asked", "u", "m"), "g")
+    sizes = (F.col("n") >= F.col("m") * threshold - _EDGE) & (F.col("m") >= F.col("n") * threshold - _EDGE)
+    return met.filter(sizes & (F.get(F.array_intersect("first_t", "first_u"), F.lit(0)) == F.col("g")))
+
+
+def similar_pairs(names: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(asked, name, similarity) of all pairs of `gram_sets` at or above the threshold."""
+    both = F.size(F.array_intersect("t", "u"))
+    scored = candidate_pairs(names, asked, threshold).select("asked", "name", (both / (F.col("n") + F.col("m") - both)).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold)
+
+
+def similar_names(names: DataFrame, asked: DataFrame, threshold: float = SIMILAR, most: int = MOST_FOUND) -> DataFrame:
+    """(asked, name, similarity, place): the ``most`` names at or above a trigram similarity, best first, ties by name.
+
+    ``names``: name; ``asked``: asked, both tables of any size.  Candidates share a rare
+    trigram (`candidate_pairs`); high thresholds, which few pairs can reach, are tried first.
+    """
     order = Window.partitionBy("asked").orderBy(F.desc("similarity"), "name")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("asked", "name", "similarity", "place")
+    held, open_ = (scratch.save(side, "grams") for side in gram_sets(names, asked))
+    found = []
+    for level in [*[t for t in TRIED_FIRST if t > threshold], threshold]:
+        ranked = similar_pairs(held, open_, level).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        ranked = scratch.save(ranked.select("asked", "name", "similarity", "place"), "similar")
+        if level == threshold:
+            found.append(ranked)
+            break
+        done = ranked.filter(F.col("place") == most).select("asked")
+        found.append(ranked.join(done, "asked", "left_semi"))
+        open_ = scratch.save(open_.join(done, "asked", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def places_named(found: DataFrame, places: DataFrame) -> DataFrame:
@@ -188,3 +371,8 @@ def places_named(found: DataFrame, places: DataFrame) -> DataFrame:
     typed = found.join(places, "name")
     best = typed.groupBy("asked").agg(F.max_by("type", F.struct("similarity", -F.col("place"))).alias("type"))
     return typed.join(best, ["asked", "type"]).select("asked", "gvid").distinct()
+
+
+def with_upper_level(named: DataFrame) -> DataFrame:
+    """(asked, gvid) and, for each id, that of all places of its kind in the place above it."""
+    return named.unionByName(named.select("asked", all_in_upper(F.col("gvid")).alias("gvid"))).distinct()

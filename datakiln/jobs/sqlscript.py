@@ -1,8 +1,13 @@
 """SQL scripts over partitions by name.
 
 Spark parses the SQL.  Here only names of partitions after FROM and JOIN become views, and
-statements run in the order of the rules: drops (last first), then what is to be
-materialised, installed, and created; the first SELECT is the result.
+statements run in the order of the rules, wherever they stand: drops (last first), then what is
+to be materialised, installed, indexed and created, in the order of the text; the first SELECT
+comes last and is the result.
+
+The columns on which a statement joins partitions are found in the plan that Spark makes of it;
+`Warehouse.index_joins` saves these partitions once, bucketed on them, so that the joins of
+this and later statements need no shuffle.
 """
 
 import re
@@ -71,6 +76,8 @@ class Warehouse:
     partitions: dict[str, str] = field(default_factory=dict)
     installed: set[str] = field(default_factory=set)
     views: dict[str, str] = field(default_factory=dict)
+    #: Partition to the columns that `index_joins` has bucketed it on.
+    bucketed: dict[str, list[str]] = field(default_factory=dict)
 
     def named(self) -> dict[str, str]:
         """The view of each partition; names that differ in other than word characters get views of their own."""
@@ -92,6 +99,7 @@ class Warehouse:
 
     def materialize(self, partition: str, columns: list[str] | None = None, buckets: int = 32) -> str:
         """A saved table of a partition, bucketed and sorted by ``columns`` so that later joins on them need no shuffle."""
+        self.check_shared()
         rows = self.spark.read.parquet(self.path(partition))
         writer = rows.write.mode("overwrite").format("parquet")
         if columns:
@@ -100,6 +108,64 @@ class Warehouse:
         self.installed.add(partition)
         return self.named()[partition]
 
+    def check_shared(self) -> None:
+        """An error where saved tables would go to a folder of one machine of several."""
+        named = self.spark.sparkContext.getConf().get("spark.sql.warehouse.dir")
+        if not named and self.spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.sql.warehouse.dir must name a folder that the driver and all executors share")
+
+    def join_columns(self, sql: str) -> dict[str, list[str]]:
+        """Partition to the columns on which the statement joins it first, by equality with another partition."""
+        text, names = substituted(sql, self.named())
+        for name in names:
+            if name not in self.installed:
+                self.install(name)
+        plan = self.spark.sql(text)._jdf.queryExecution().analyzed()  # noqa: SLF001
+        owner: dict[int, tuple[str, str]] = {}
+        found: dict[str, list[str]] = {}
+        by_view = {self.named()[n]: n for n in names}
+
+        def each(seq):
+            return [seq.apply(i) for i in range(seq.size())]
+
+        def walk(node) -> None:
+            for child in each(node.children()):
+                walk(child)
+            if node.nodeName() == "SubqueryAlias" and (view := node.alias()) in by_view:
+                for a in each(node.output()):
+                    owner[a.exprId().id()] = (by_view[view], a.name())
+            elif node.nodeName() == "SubqueryAlias":  # another name for what is below keeps its columns
+                pass
+            elif node.nodeName() == "Join" and node.condition().isDefined():
+                pairs: dict[tuple[str, str], list[tuple[str, str]]] = {}
+                for a, b in equalities(node.condition().get()):
+                    if a in owner and b in owner and owner[a][0] != owner[b][0]:
+                        one, other = sorted((owner[a], owner[b]))
+                        pairs.setdefault((one[0], other[0]), []).append((one[1], other[1]))
+                for sides, columns in pairs.items():
+                    if not any(side in found for side in sides):
+                        for nth, side in enumerate(sides):
+                            found[side] = [c[nth] for c in columns]
+
+        def equalities(e) -> list[tuple[int, int]]:
+            if e.nodeName() == "And":
+                return equalities(e.left()) + equalities(e.right())
+            if e.nodeName() == "EqualTo" and e.left().nodeName() == e.right().nodeName() == "AttributeReference":
+                return [(e.left().exprId().id(), e.right().exprId().id())]
+            return []
+
+        walk(plan)
+        return found
+
+    def index_joins(self, sql: str, buckets: int = 32) -> dict[str, list[str]]:
+        """The partitions that a statement joins saved once, bucketed on the columns of the join; what was bucketed before stays."""
+        wanted = {p: columns for p, columns in self.join_columns(sql).items() if self.bucketed.get(p) != columns}
+        for partition, columns in wanted.items():
+            self.spark.catalog.dropTempView(self.named()[partition])
+            self.materialize(partition, columns, buckets)
+            self.bucketed[partition] = columns
+        return wanted
+
     def query(self, sql: str) -> DataFrame:
         """One statement; partitions that it names are installed first."""
         text, names = substituted(sql, self.named())
@@ -109,7 +175,7 @@ class Warehouse:
         return self.spark.sql(text)
 
     def run(self, script: str) -> DataFrame | None:
-        """A whole script; the first SELECT is returned, lazily."""
+        """A whole script; the first SELECT runs after all else and is returned, lazily."""
         all_of = statements(script)
         kind = lambda s: re.match(r"\w+", s).group().lower()
         for s in reversed([s for s in all_of if kind(s) == "drop"]):
@@ -122,15 +188,14 @@ class Warehouse:
                     self.materialize(partition, [c.strip() for c in columns.split(",")])
                 else:
                     getattr(self, what)(name.strip())
-        result = None
         for s in all_of:
-            if kind(s) == "create":
-                text = re.sub(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp\s+|temporary\s+)?view", "CREATE OR REPLACE TEMP VIEW", s, flags=re.IGNORECASE)
-                materialised = re.match(r"^\s*create\s+materialized\s+view\s+(\w+)\s+as\s+(.*)$", s, re.IGNORECASE | re.DOTALL)
-                if materialised:
-                    self.query(materialised.group(2)).write.mode("overwrite").saveAsTable(materialised.group(1))
-                else:
-                    self.query(text)
-            elif kind(s) in ("select", "with") and result is None:
-                result = self.query(s)
-        return result
+            if kind(s) != "create":
+                continue
+            materialised = re.match(r"^\s*create\s+materialized\s+view\s+(\w+)\s+as\s+(.*)$", s, re.IGNORECASE | re.DOTALL)
+            if materialised:
+                self.check_shared()
+                self.query(materialised.group(2)).write.mode("overwrite").saveAsTable(materialised.group(1))
+            else:
+                self.query(re.sub(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp\s+|temporary\s+)?view", "CREATE OR REPLACE TEMP VIEW", s, flags=re.IGNORECASE))
+        first = next((s for s in all_of if kind(s) in ("select", "with")), None)
+        return None if first is None else self.query(first)

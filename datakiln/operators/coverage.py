@@ -29,10 +29,15 @@ def level_code(level: int) -> str:
     return digits[level // 62] + digits[level % 62]
 
 
+def place_of(gvid: Column, levels: tuple[int, ...] = LEVELS) -> Column:
+    """An id of one of the levels, those below county level as their county; null for another level."""
+    rolled = values.county_of_gvid(gvid)
+    return F.when(F.substring(rolled, 1, 2).isin([level_code(n) for n in levels]), rolled)
+
+
 def space_coverage(df: DataFrame, keys: list[str], gvid: str, levels: tuple[int, ...] = LEVELS, declared: list[str] = ()) -> DataFrame:
     """(keys…, places): distinct ids of the levels, those below county level rolled up first, and declared places (of sources, partitions)."""
-    rolled = values.county_of_gvid(F.col(gvid))
-    own = F.when(F.substring(rolled, 1, 2).isin([level_code(n) for n in levels]), rolled)
+    own = place_of(F.col(gvid), levels)
     narrow = df.select(*keys, F.explode(F.array(own, *[F.nullif(F.col(c), F.lit("")) for c in declared])).alias("place"))
     return narrow.filter("place is not null").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("place")).alias("places"))
 

@@ -5,7 +5,7 @@ integers and floats together are floats; a column that is at least `MOSTLY` nume
 otherwise text is numeric with codes; anything else is text; no values at all: unknown.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datakiln.functions import casts
@@ -17,17 +17,20 @@ MOSTLY = 0.95
 
 def type_counts(df: DataFrame) -> DataFrame:
     """(column, position, total, nulls, int, float, date, datetime, time, str): one row for each column, one pass."""
-    raw = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("raw")) for c in df.columns])
-    each = df.select(F.explode(raw).alias("x")).select("x.column", casts.nullify(F.col("x.raw")).alias("text"))
-    text = F.col("text")
+    made = []
+    for place, c in enumerate(df.columns):
+        kind = kind_of(casts.nullify(F.col(f"`{c}`").cast("string")))
+        fields = [F.count("*").alias("total"), F.count_if(kind == "null").alias("nulls"), *[F.count_if(kind == k).alias(k) for k in KINDS], F.lit(place).alias("position")]
+        made.append(F.struct(F.lit(c).alias("column"), *fields))
+    return df.agg(F.array(*made).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+
+
+def kind_of(text: Column) -> Column:
+    """The first kind that a text fits, "null" for none."""
     date = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}/\d{1,2}/(\d{4}|\d{2})$") & casts.to_date(text).isNotNull()
     stamp = text.rlike(r"^\d{4}-?\d{2}-?\d{2}[T ]\d{2}") & casts.to_timestamp(text).isNotNull()
     time = text.rlike(r"^\d{1,2}:\d{2}") & casts.to_time(text).isNotNull()
-    kind = F.when(text.isNull(), "null").when(text.rlike(casts.INT_TEXT), "int").when(text.rlike(casts.FLOAT_TEXT), "float").when(date, "date").when(stamp, "datetime").when(time, "time").otherwise("str")
-    long = each.select("column", kind.alias("kind"))
-    counted = long.groupBy("column").agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "null").alias("nulls"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
-    place = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
-    return counted.withColumn("position", place[F.col("column")])
+    return F.when(text.isNull(), "null").when(text.rlike(casts.INT_TEXT), "int").when(text.rlike(casts.FLOAT_TEXT), "float").when(date, "date").when(stamp, "datetime").when(time, "time").otherwise("str")
 
 
 def resolved(counts: DataFrame) -> DataFrame:

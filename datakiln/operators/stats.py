@@ -82,6 +82,61 @@ def column_stats(df: DataFrame, keys: list[str] = (), exact: bool = False) -> Da
     return joined.withColumn("nuniques", F.coalesce("distinct", F.lit(0).cast("bigint"))).select(*made.columns)
 
 
+#: Size of the stored sketches: quantiles err by about 1.3 % of the rows, distinct counts by about 1.6 %.
+KLL_SIZE, HLL_BITS = 200, 12
+#: What a statistic is kept as so that it can be merged, beside keys and column.
+PARTIAL = "rows long, count long, width long, n long, mean double, m2 double, m3 double, m4 double, min double, max double, distinct binary, quantiles binary"
+
+
+def partial_stats(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys…, column, rows, count, width, n, mean, m2, m3, m4, min, max, distinct, quantiles): statistics that `merged_stats` can add up, in one pass.
+
+    Central moments about the own mean, least and largest over the ``n`` finite values, and
+    sketches of the distinct values (as text) and of the quantiles.
+    """
+    kinds, columns = set(numeric(df)), [c for c in df.columns if c not in set(keys)]
+    made = []
+    for c in columns:
+        x = finite(F.col(c).cast("double")) if c in kinds else F.lit(None).cast("double")
+        n, m2 = F.count(x), F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)
+        scale = m2 / F.greatest(n, F.lit(1))
+        flat = (m2 == 0) | m2.isNull()
+        m3 = F.when(flat, 0.0).otherwise(F.skewness(x) * n * F.pow(scale, 1.5))
+        m4 = F.when(flat, 0.0).otherwise((F.kurtosis(x) + 3) * n * scale * scale)
+        fields = {
+            "rows": F.count("*"), "count": F.count(F.col(c)), "width": F.max(F.length(F.col(c).cast("string"))).cast("long"), "n": n, "mean": F.avg(x), "m2": m2, "m3": m3, "m4": m4,
+            "min": F.min(x), "max": F.max(x), "distinct": F.hll_sketch_agg(F.col(c).cast("string"), HLL_BITS), "quantiles": F.kll_sketch_agg_double(x, KLL_SIZE),
+        }
+        made.append(F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in fields.items()]))
+    return df.groupBy(*keys).agg(F.array(*made).alias("_all")).select(*keys, F.explode("_all").alias("_s")).select(*keys, "_s.*")
+
+
+def merged_stats(partials: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """`partial_stats` of any parts to (keys…, column, rows, count, nuniques, width, mean, std, …, kurtosis) of their union.
+
+    Only the partials are read: a row for each part and column, whatever the rows of the parts.
+    Moments are those of all values but for rounding; nuniques and quartiles come from the
+    merged sketches.
+    """
+    by = [*keys, "column"]
+    whole = partials.groupBy(*by).agg(F.sum("n").alias("_n"), (F.sum(F.col("mean") * F.col("n")) / F.sum(F.when(F.col("n") > 0, F.col("n")))).alias("_mean"))
+    known = _joined(partials, whole, by)
+    d, n = F.coalesce(F.col("mean") - F.col("_mean"), F.lit(0.0)), F.col("n")
+    m2 = F.sum(F.col("m2") + n * d * d)
+    m3 = F.sum(F.col("m3") + 3 * d * F.col("m2") + n * d * d * d)
+    m4 = F.sum(F.col("m4") + 4 * d * F.col("m3") + 6 * d * d * F.col("m2") + n * d * d * d * d)
+    added = known.groupBy(*by).agg(
+        F.sum("rows").alias("rows"), F.sum("count").alias("count"), F.max("width").alias("width"), F.first("_n").alias("n"), F.first("_mean").alias("mean"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.hll_union_agg("distinct", True).alias("distinct"), F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+    spread = (F.col("m2") > 0) & (F.col("n") > 0)
+    quarters = {f"p{int(100 * q)}": F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("quantiles", F.lit(q))) for q in QUARTERS}
+    return added.select(
+        *by, "rows", "count", F.hll_sketch_estimate("distinct").alias("nuniques"), "width", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("std"), "min",
+        *[c.alias(k) for k, c in quarters.items()], "max", F.when(spread, F.sqrt(F.col("n")) * F.col("m3") / F.pow("m2", F.lit(1.5))).alias("skewness"), F.when(spread, F.col("n") * F.col("m4") / (F.col("m2") * F.col("m2")) - 3).alias("kurtosis"),
+    )
+
+
 def value_counts(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """(keys…, column, value, count) of non-null values as whole text; counted before the shuffle."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])

@@ -66,6 +66,33 @@ def finalized_with_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(told, "partition").select("partition", "rows", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "title", "prices", "mean", "least")
 
 
+AFTER_SQL = """WITH t AS (SELECT o_totalprice AS x, o_orderpriority FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 3 = 0), n AS (SELECT count(*) AS n FROM t)
+SELECT 'o_totalprice' AS "column", CAST(count(x) AS BIGINT) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max, round(skewness(x) * (count(x) - 2) / sqrt(count(x) * (count(x) - 1.0)), 4) AS skewness, round(kurtosis_pop(x), 4) AS kurtosis, TRUE AS near_distinct, TRUE AS near_median FROM t
+UNION ALL SELECT 'o_orderpriority', CAST(count(o_orderpriority) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, TRUE, TRUE FROM t"""
+
+
+@query(AFTER_SQL)
+def statistics_after_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of a table, merged from those stored with its partitions after one of them was written anew: no other is read.
+
+    Counts and moments are those of SQL; the sketches are held against exact figures with their bounds.
+    """
+    path, columns = scratch.folder(spark, "statistics"), ["o_totalprice", "o_orderpriority"]
+    orders = build.with_partition(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", *columns), "orders", segment=F.col("o_orderstatus"))
+    build.store_statistics(orders, path, columns)
+    build.store_statistics(orders.filter("o_orderstatus = 'F' and o_orderkey % 3 = 0"), path, columns)
+    made = build.stored_statistics(spark, path)
+    now = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F' or o_orderkey % 3 = 0")
+    below = F.avg((F.col("o_totalprice") <= F.col("p50")).cast("double"))
+    [median] = made.filter(F.col("column") == "o_totalprice").select("p50").collect()
+    rank, prices, priorities = now.withColumn("p50", F.lit(median.p50)).agg(below, F.count_distinct("o_totalprice"), F.count_distinct("o_orderpriority")).first()
+    exact = F.when(F.col("column") == "o_totalprice", F.lit(prices)).otherwise(F.lit(priorities))
+    return made.select(
+        "column", "count", *[rounded(c, 4).alias(c) for c in ("mean", "std", "min", "max", "skewness", "kurtosis")], (F.abs(F.col("nuniques") - exact) <= 0.07 * exact).alias("near_distinct"),
+        (F.col("p50").isNull() | F.lit(abs(rank - 0.5) <= 0.03)).alias("near_median"),
+    )
+
+
 @query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS rows FROM events GROUP BY 1, 2""")
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed counts of the stream job, over the table."""

@@ -102,6 +102,32 @@ def script_over_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         """)
 
 
+@query("""SELECT c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1""")
+def script_in_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script whose SELECT stands before the views that it needs."""
+    house = Warehouse(spark, {f"any.order-{n}-1": f"{sf_dir}/{n}.parquet" for n in ("orders", "customer")})
+    return house.run("""
+        SELECT c_mktsegment AS segment, count(*) AS orders, round(sum(price), 2) AS total FROM done_orders JOIN any.order-customer-1 AS c ON cust = c.c_custkey GROUP BY c_mktsegment;
+        CREATE VIEW done_orders AS SELECT o_custkey AS cust, o_totalprice AS price FROM any.order-orders-1 WHERE o_orderstatus = 'F';
+        SELECT 'never run';
+        """)
+
+
+INDEXED = "SELECT c_mktsegment AS segment, count(*) AS items, round(sum(l_quantity), 2) AS quantity FROM by.query-lineitem-1 AS l JOIN by.query-orders-1 AS o ON l.l_orderkey = o.o_orderkey JOIN by.query-customer-1 AS c ON o.o_custkey = c.c_custkey GROUP BY c_mktsegment"
+
+
+def indexed_house(spark: SparkSession, sf_dir: str) -> Warehouse:
+    return Warehouse(spark, {f"by.query-{n}-1": f"{sf_dir}/{n}.parquet" for n in ("lineitem", "orders", "customer")})
+
+
+@query("""SELECT c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS items, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def joins_indexed_from_the_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions saved in buckets of the columns on which a statement joins them, as its plan tells, and the statement over them."""
+    house = indexed_house(spark, sf_dir)
+    house.index_joins(INDEXED)
+    return house.query(INDEXED)
+
+
 @query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def not_yet_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a manifest does not have: the incremental step of a build."""

@@ -82,15 +82,22 @@ def overwritten_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("written", F.lit(seen.get["rows"]).cast("long"))
 
 
-@query("""SELECT CAST(count(*) AS BIGINT) AS rows, TRUE AS normal, TRUE AS exponential, TRUE AS triangular, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders""")
+@query("""WITH n AS (SELECT count(*) AS n, sum(o_orderkey) AS keys FROM orders) SELECT kind, CAST(n AS BIGINT) AS rows, CAST(keys AS BIGINT) AS keys, moment, expected, TRUE AS within FROM n,
+  (VALUES ('normal', 'mean', 100.0), ('normal', 'deviation', 15.0), ('normal', 'skewness', 0.0), ('exponential', 'mean', 2.0), ('exponential', 'deviation', 2.0), ('exponential', 'skewness', 2.0), ('triangular', 'mean', 4.666667), ('triangular', 'deviation', 2.054805), ('triangular', 'skewness', 0.191249)) m(kind, moment, expected)""")
 def generated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generator beside the orders: as many random rows as there are orders, their means where they should be."""
+    """A generator beside the orders: as many random rows as there are orders, and three moments of each kind held against those of its distribution."""
     orders = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).first()
     columns = {"normal": readers.random_normal(100, 15, 1), "exponential": readers.random_exponential(0.5, 2), "triangular": readers.random_triangular(0, 10, 4, 3)}
     made = readers.read(spark, readers.SourceSpec("noise", "noise", "generator"), {"noise": lambda spark: readers.generated(spark, orders.n, columns)})
-    near = lambda c, mean, by: F.abs(F.avg(c) - mean) < by
-    inside = (F.min("triangular") >= 0) & (F.max("triangular") <= 10) & near("triangular", 14 / 3, 0.4)
-    return made.agg(F.count("*").alias("rows"), near("normal", 100, 2.5).alias("normal"), (near("exponential", 2, 0.4) & (F.min("exponential") >= 0)).alias("exponential"), inside.alias("triangular")).withColumn("keys", F.lit(orders.keys))
+    measures = {"mean": F.avg, "deviation": F.stddev_samp, "skewness": F.skewness}
+    expected = {"normal": (100.0, 15.0, 0.0), "exponential": (2.0, 2.0, 2.0), "triangular": (14 / 3, (38 / 9) ** 0.5, 0.191249)}
+    error = 8 / max(orders.n, 1) ** 0.5  # of a moment in deviations: several times what chance allows
+    each = []
+    for kind, wanted in expected.items():
+        for (moment, f), value in zip(measures.items(), wanted, strict=True):
+            slack = error * (wanted[1] if moment != "skewness" else 3.0)
+            each.append(F.struct(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.lit(orders.keys).alias("keys"), F.lit(moment).alias("moment"), F.lit(round(value, 6)).alias("expected"), (F.abs(f(kind) - value) < slack).alias("within")))
+    return made.agg(F.array(*each).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
 @query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS rows, round(sum(o_totalprice * weight), 2) AS weighed FROM orders JOIN (VALUES (1, 1.5), (2, 1.25), (3, 1.0), (4, 0.75), (5, 0.5)) w(place, weight) ON CAST(substr(o_orderpriority, 1, 1) AS INTEGER) = place GROUP BY 1""")

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.jobs import search
+from datakiln.functions import values
+from datakiln.jobs import scratch, search
 from datakiln.queries.registry import Query, registrar, rounded, table
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -59,15 +60,17 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKED_SQL = f"""{TERMS_SQL.strip()}, hits AS (SELECT * FROM index_ WHERE term = 'the' AND field = 'doc'), scored AS (SELECT doc, tf / sum(tf) OVER () AS score FROM hits)"""
 
 
-@query(f"""WITH {RANKED_SQL} SELECT source AS dataset, round(CASE WHEN count(score) = 0 THEN 0 ELSE 1 + sum(score) END, 6) AS score, CAST(count(score) AS BIGINT) AS partitions
+@query(f"""WITH {RANKED_SQL} SELECT source AS dataset, round(CASE WHEN count(score) = 0 THEN 0 ELSE CASE WHEN source IN ('src1', 'src12') THEN 3.0 ELSE 0 END + sum(score) END, 6) AS score, CAST(count(score) AS BIGINT) AS partitions
 FROM documents LEFT JOIN scored ON doc = doc_id WHERE source LIKE '%src1%' GROUP BY 1""")
 def rolled_up_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of datasets (sources): their own rank by title and those of their documents that a term finds."""
+    """Scores of datasets (sources): their own by the terms of their title, and those of their documents that a term finds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     found = search.ranked(index_of(spark, sf_dir, "doc"), ["the"], {"doc": 1.0})
     parts = found.join(docs, F.col("doc") == F.col("doc_id")).select(F.col("source").alias("dataset"), "score")
     titles = docs.select(F.col("source").alias("dataset"), "source").filter("source is not null").distinct()
-    own = titles.withColumn("score", F.lit(1.0))
+    index = search.inverted_index(titles, {"title": "source"}, "dataset")
+    hits = [search.ranked(index, [term]) for term in ("src1", "src12")]
+    own = titles.join(hits[0].unionByName(hits[1]).withColumnRenamed("doc", "dataset"), "dataset", "left")
     return search.rolled_up(own, parts, "src1").withColumn("score", rounded("score"))
 
 
@@ -78,11 +81,15 @@ def best_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_hits(found).withColumn("score", rounded("score", 9))
 
 
-@query("""SELECT 'orders-' || o_orderstatus AS doc FROM orders GROUP BY 1 HAVING min(year(o_orderdate)) <= 1994 AND max(year(o_orderdate)) >= 1995""")
+@query("""WITH c AS (SELECT o_custkey, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
+SELECT 'orders of ' || CAST(o_custkey AS VARCHAR) AS doc, mode FROM c, (VALUES ('holds'), ('within')) m(mode) WHERE CASE mode WHEN 'holds' THEN a <= 1997 AND b >= 1998 ELSE a >= 1997 AND b <= 1998 END""")
 def partitions_in_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partitions that cover the years that a phrase asks for."""
-    covers = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("orders-"), "o_orderstatus").alias("doc")).agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"))
-    return search.in_years(covers, search.parsed_phrase("orders from 1994 to 1995").years).select("doc")
+    """Partitions (the orders of a customer) that hold the years of a phrase, and those that lie within them."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'")
+    covers = orders.groupBy(F.concat(F.lit("orders of "), "o_custkey").alias("doc")).agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"))
+    years = search.parsed_phrase("orders from 1997 to 1998").years
+    holds, within = (search.in_years(covers, years, inside).select("doc", F.lit(mode).alias("mode")) for mode, inside in (("holds", True), ("within", False)))
+    return holds.unionByName(within)
 
 
 @query("""SELECT DISTINCT lower(s_name) AS asked, s_suppkey AS gvid FROM supplier""")
@@ -95,22 +102,63 @@ def places_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.places_named(found, places)
 
 
-DELETED_SQL = f"""{TERMS_SQL.strip()}, kept AS (SELECT * FROM index_ WHERE field <> 'doc' AND doc NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+DIGIT = lambda n: f"substr('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({n} AS INTEGER) % 62 + 1, 1)"
 
 
-@query(f"""WITH {DELETED_SQL} SELECT field, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT doc) AS BIGINT) AS docs FROM kept GROUP BY field""")
+@query(f"""WITH ids AS (SELECT lower(s_name) AS asked, '0O' || {DIGIT("(s_nationkey + 1) // 62")} || {DIGIT("s_nationkey + 1")} AS state, {DIGIT("s_suppkey // 62")} || {DIGIT("s_suppkey")} AS county FROM supplier)
+SELECT DISTINCT asked, unnest([state || county, state || 'ZZ']) AS gvid FROM ids""")
+def places_with_their_upper_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as counties of their nation, looked up by name: their ids and those of all counties of the nation."""
+    places = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("county").alias("type"), values.gvid(F.col("s_nationkey") + 1, F.col("s_suppkey")).alias("gvid"))
+    found = search.similar_names(places, places.select(F.lower("name").alias("asked")), most=1)
+    return search.with_upper_level(search.places_named(found, places))
+
+
+@query("""WITH names AS (SELECT DISTINCT p_name AS name FROM part), grams AS (SELECT DISTINCT name, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT name, unnest(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM names), range(1, 100) r(i) WHERE i <= length(w) + 1),
+sizes AS (SELECT name, count(*) AS n FROM grams GROUP BY 1), shared AS (SELECT a.name AS asked, b.name, count(*) AS both_ FROM grams a JOIN grams b USING (g) GROUP BY ALL)
+SELECT s.asked, s.name, round(both_ / (a.n + b.n - both_), 6) AS similarity FROM shared s JOIN sizes a ON s.asked = a.name JOIN sizes b ON s.name = b.name WHERE s.asked <> s.name AND both_ / (a.n + b.n - both_) >= 0.8""")
+def names_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of part names at a trigram similarity of 0.8 or more, from candidates that share a rare trigram."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    pairs = search.similar_pairs(*search.gram_sets(names, names.withColumnRenamed("name", "asked")), 0.8)
+    return pairs.filter("asked <> name").withColumn("similarity", rounded("similarity"))
+
+
+LIVE_SQL = f"""{TERMS_SQL.strip()}, kept AS (SELECT * FROM index_ WHERE doc NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame) -> search.StoredIndex:
+    """A stored index of some documents in a folder of its own."""
+    index = search.StoredIndex(spark, scratch.folder(spark, name), FIELDS)
+    index.add(docs, "doc_id")
+    return index
+
+
+@query(f"""WITH {LIVE_SQL} SELECT field, CAST(count(*) AS BIGINT) AS entries, CAST(sum(tf) AS BIGINT) AS hits, CAST(count(DISTINCT doc) AS BIGINT) AS docs FROM kept GROUP BY field""")
 def index_without_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of titles and keywords once the documents that are labelled toxic are deleted from it."""
-    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc"))
-    kept = search.without_documents(index_of(spark, sf_dir, "title", "keywords"), gone)
-    return kept.groupBy("field").agg(F.count("*").alias("entries"), F.count_distinct("doc").alias("docs"))
+    """A stored index once the documents that are labelled toxic are deleted from it and it is compacted."""
+    index = stored(spark, sf_dir, "deleted", table(spark, sf_dir, "documents"))
+    index.delete(table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc")))
+    index.compact()
+    return index.postings().groupBy("field").agg(F.count("*").alias("entries"), F.sum("tf").alias("hits"), F.count_distinct("doc").alias("docs"))
 
 
-@query(f"""WITH {TERMS_SQL.strip()} SELECT field, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT doc) AS BIGINT) AS docs FROM index_ WHERE field <> 'doc' GROUP BY field""")
+@query(f"""WITH {TERMS_SQL.strip()} SELECT field, CAST(count(*) AS BIGINT) AS entries, CAST(sum(tf) AS BIGINT) AS hits, CAST(count(DISTINCT doc) AS BIGINT) AS docs FROM index_ GROUP BY field""")
 def index_extended_again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted documents come back when the index is extended by what it lacks; none is counted twice."""
+    """A stored index made of half the documents, some deleted, then extended by what it lacks, and some of it indexed anew; nothing is counted twice."""
     docs = table(spark, sf_dir, "documents")
-    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc"))
-    kept = search.without_documents(index_of(spark, sf_dir, "title", "keywords"), gone)
-    made = search.extended_index(kept, docs, {f: FIELDS[f] for f in ("title", "keywords")}, "doc_id")
-    return made.groupBy("field").agg(F.count("*").alias("entries"), F.count_distinct("doc").alias("docs"))
+    index = stored(spark, sf_dir, "extended", docs.filter("doc_id % 2 = 0"))
+    index.delete(table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc")))
+    index.add(docs, "doc_id")
+    index.add(docs.filter("doc_id % 3 = 0"), "doc_id", force=True)
+    return index.postings().groupBy("field").agg(F.count("*").alias("entries"), F.sum("tf").alias("hits"), F.count_distinct("doc").alias("docs"))
+
+
+@query(f"""WITH {LIVE_SQL}, hits AS (SELECT * FROM kept WHERE term IN ('the', 'en')), totals AS (SELECT term, field, sum(tf) AS total FROM hits GROUP BY 1, 2)
+SELECT doc, round(sum(CASE h.field WHEN 'title' THEN 3.0 WHEN 'keywords' THEN 2.0 ELSE 1.0 END * tf / total), 9) AS score FROM hits h JOIN totals t ON h.term = t.term AND h.field = t.field GROUP BY doc HAVING count(DISTINCT h.term) = 2""")
+def ranked_in_a_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all terms of a phrase, in part quoted, from the buckets of its terms in a stored index with deletions."""
+    index = stored(spark, sf_dir, "ranked", table(spark, sf_dir, "documents"))
+    index.delete(table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc")))
+    terms = search.terms_of(search.parsed_phrase("about 'the en'").about)
+    return search.ranked(index.postings(terms), terms).withColumn("score", rounded("score", 9))

@@ -84,11 +84,11 @@ def measure_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("l_extendedprice", rounded("l_extendedprice"))
 
 
-@query("""SELECT c_mktsegment, c_nationkey, round(avg(c_acctbal), 6) AS c_acctbal, CAST(count(*) AS BIGINT) AS count, string_agg(DISTINCT substr(c_name, 1, 9), ', ' ORDER BY substr(c_name, 1, 9)) AS head FROM customer GROUP BY 1, 2""")
+@query("""SELECT c_mktsegment, c_nationkey, round(avg(c_acctbal), 6) AS c_acctbal, CAST(count(*) AS BIGINT) AS count, string_agg(DISTINCT c_name, ', ' ORDER BY c_name) AS names FROM customer GROUP BY 1, 2""")
 def measure_with_joined_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two dimensions, and a text column as its joined distinct values."""
-    rows = table(spark, sf_dir, "customer").withColumn("head", F.substring("c_name", 1, 9))
-    return cubes.measure_by(rows, "c_acctbal", ["c_mktsegment", "c_nationkey"], extra=["head"]).withColumn("c_acctbal", rounded("c_acctbal"))
+    rows = table(spark, sf_dir, "customer").withColumn("names", F.col("c_name"))
+    return cubes.measure_by(rows, "c_acctbal", ["c_mktsegment", "c_nationkey"], extra=["names"]).withColumn("c_acctbal", rounded("c_acctbal"))
 
 
 @query("""SELECT l_returnflag, round(avg(l_tax) FILTER (l_linestatus = 'F'), 6) AS "F", round(avg(l_tax) FILTER (l_linestatus = 'O'), 6) AS "O" FROM lineitem GROUP BY 1""")

@@ -365,10 +365,13 @@ def test_nested_json_of_any_depth(spark):
 
 
 def test_search_phrases_and_index(spark):
-    p = search.parsed_phrase("cucumber with salt in california by county from 1978 to 1979")
-    assert (p.about, p.with_, p.in_, p.by, p.years) == (["cucumber"], ["salt"], ["california"], ["county"], (1978, 1979))
-    q = search.parsed_phrase("table2 source example.com from 1978")
-    assert q.source == "example.com" and q.years == (1978, 2029) and search.parsed_phrase("x from example.com").source == "example.com"
+    p = search.parsed_phrase("bus fares by tract with transfers to 2011 in oregon from 2004")
+    assert (p.about, p.with_, p.in_, p.by, p.years) == (["bus", "fares"], ["transfers"], ["oregon"], ["tract"], (2004, 2011))
+    q = search.parsed_phrase("from transit.example to 1999 ridership")
+    assert q.source == "transit.example" and q.years == (1970, 1999) and q.about == ["ridership"] and search.parsed_phrase("source mine.example").source == "mine.example"
+    r = search.parsed_phrase("'fares by tract' with \"in 2004\" '' in 'new  york'")
+    assert (r.about, r.with_, r.in_, r.by, r.years) == (["fares by tract"], ["in 2004"], ["new  york"], [], None)
+    assert search.terms_of(r.about + ["bus-fares", "bus"]) == ["bus", "by", "fares", "tract"]
     docs = spark.createDataFrame([("d1", "Rent by county", "california"), ("d2", "Rent rent rent", "")], "doc string, text string, keywords string")
     index = search.inverted_index(docs, {"doc": "text", "keywords": "keywords"})
     scores = {r.doc: r.score for r in search.ranked(index, ["rent"]).collect()}
