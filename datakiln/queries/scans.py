@@ -20,7 +20,7 @@ def carried_along(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_index.prefix_scan(orders, ["o_custkey"], ["o_orderkey"], made).select("o_orderkey", *made)
 
 
-@query("""SELECT "key", price, max(price) OVER w AS highest, CAST(sum(CAST(price AS BIGINT)) OVER w AS BIGINT) AS total, last_value(clerk IGNORE NULLS) OVER w AS clerk FROM (
+@query("""SELECT "key", price, max(price) OVER w AS highest, CAST(coalesce(sum(CAST(price AS BIGINT)) OVER w, 0) AS BIGINT) AS total, last_value(clerk IGNORE NULLS) OVER w AS clerk FROM (
   SELECT o_orderkey AS "key", CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice) END AS price, CASE WHEN o_orderpriority <= '2' THEN o_orderpriority END AS clerk FROM orders)
 WINDOW w AS (ORDER BY "key" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def accumulated_by_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:

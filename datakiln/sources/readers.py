@@ -228,8 +228,12 @@ def random_exponential(rate: float, seed: int) -> Column:
 
 
 def random_triangular(low: float, high: float, mode: float, seed: int) -> Column:
-    u, at = F.rand(seed), (mode - low) / (high - low)
-    return F.when(u < at, low + F.sqrt(u * (high - low) * (mode - low))).otherwise(high - F.sqrt((1 - u) * (high - low) * (high - mode)))
+    at = (mode - low) / (high - low)
+
+    def inverse(u: Column) -> Column:
+        return F.when(u < at, low + F.sqrt(u * (high - low) * (mode - low))).otherwise(high - F.sqrt((1 - u) * (high - low) * (high - mode)))
+
+    return F.transform(F.array(F.rand(seed)), inverse)[0]  # one draw for both sides
 
 
 def from_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str] | None = None) -> DataFrame:
