@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from datakiln.jobs import scratch
-from datakiln.llm.identity import identified
+from datakiln.llm.identity import identified, numbered
 from datakiln.operators.row_index import prefix_sums, with_row_number
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,7 +127,7 @@ def mix_plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: s
 
     ``copies`` is how often the mix takes the row, ``taken`` the words of those copies.
     """
-    slim, row = identified(docs.select(*measured(text, key, source)), "row")
+    slim, row = numbered(docs.select(*measured(text, key, source)), "row")
     plan = planned(slim.withColumnRenamed(row, "row"), seed)
     return plan.select("key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -191,7 +191,7 @@ def nearest_neighbours(rows: DataFrame, is_query: str, k: int = 5, key: str = "v
     whole = scratch.save(vectors.valid(rows, key, vector, nonzero=True), "vectors")
     common = whole.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     n, dim = (common["count"], common["dim"]) if common else (0, 1)
-    taken = whole.filter(F.col("dim") == dim).orderBy(F.xxhash64("v", F.lit(SEED)), "row").limit(FIT_ROWS).select("v").toArrow()
+    taken = vectors.sampled(whole.filter(F.col("dim") == dim), n, FIT_ROWS, "row").select("v").toArrow()
     if taken.num_rows > k:
         sample = unit(vectors.matrix(taken))
         centres = fit_centres(sample, lists_for(n, len(sample), dim))

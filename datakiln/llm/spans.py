@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datakiln.llm.identity import identified
+from datakiln.llm.identity import numbered
 from datakiln.operators.headers import unused
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -111,7 +111,7 @@ def noted(docs: DataFrame, keep: list[str] | None, scanned: Column, base: str, s
     carried = [c for c in (docs.columns if keep is None else keep) if c not in (base, spans)]
     note = unused("_noted", [*carried, base, spans])
     made = docs.select(*carried, scanned.alias(note)).withColumns({base: F.col(f"{note}.base"), note: F.col(f"{note}.noted")})
-    rows, row = identified(made.select(*carried, base, note), f"_{name}")
+    rows, row = numbered(made.select(*carried, base, note), f"_{name}")
     return rows, row, note
 
 

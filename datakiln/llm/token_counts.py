@@ -7,11 +7,11 @@ the table count 1 by look-up, and only the rest go through the merges (and are t
 remembered, up to a fixed number of entries).
 
 Nulls count as empty texts (0 tokens), whole texts are processed whatever their length,
-repeated rows give repeated results and other columns pass through untouched.
+repeated rows give repeated results and an empty table an empty one.  Columns named n_bytes,
+n_tokens or over_limit are replaced; others may have any names and pass through untouched.
 """
 
 import json
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,7 +60,7 @@ class TokenCounter:
         self.tok = Tokenizer.from_str(text_of_model)
         self.proved, self.known = proved, dict.fromkeys(proved, 1)
         self.split = pretokens.Splitter(split_pattern(spec), suspects)
-        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"])).search
+        self.special = pretokens.added_tokens(spec)
         self.merge = words_merger(self.tok.model)
 
     def pieces(self, text: str) -> list[str]:
@@ -77,7 +77,7 @@ class TokenCounter:
                     missing = {piece for pieces in split for piece in pieces if piece not in self.known}
                 self.known |= {piece: len(ids) for piece, ids in self.merge(list(missing))}
             for text, pieces in zip(group, split, strict=True):
-                if "<|" in text and self.special(text):
+                if self.special(text):
                     yield len(self.tok.encode(text, add_special_tokens=False).ids)
                 else:
                     yield sum(map(self.known.__getitem__, pieces))

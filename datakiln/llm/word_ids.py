@@ -9,7 +9,7 @@ library.  Texts that name an added token go through the library as they are.
 import functools
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
@@ -23,14 +23,6 @@ REMEMBERED = 800_000
 NOT_SPACE = re.compile("[\x1c-\x1f]").search
 
 
-def added_tokens(spec: dict) -> Callable[[str], object]:
-    """A search for the strings that the model looks for in raw text before all else."""
-    added = spec["added_tokens"]
-    if any(t["normalized"] or t["single_word"] for t in added):
-        raise ValueError("added tokens that match other than their very string are not supported")
-    return re.compile("|".join(re.escape(t["content"]) for t in added)).search if added else lambda text: None
-
-
 class WordEncoder:
     """Texts to the bytes of their ids, little-endian, in ``kind`` ("<u2" or "<u4")."""
 
@@ -38,7 +30,7 @@ class WordEncoder:
         spec = json.loads(text_of_model)
         self.tok = Tokenizer.from_str(text_of_model)
         self.split = pretokens.Splitter(split_pattern(spec), suspects)
-        self.added = added_tokens(spec)
+        self.added = pretokens.added_tokens(spec)
         self.words = Tokenizer(self.tok.model)
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = np.dtype(kind)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from datakiln.llm import mixing, near, quality, queries, top_k, toxicity, vectors  # noqa: E402
+from datakiln.llm import meeting, mixing, near, quality, queries, top_k, toxicity, vectors  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 VECTOR_SCHEMA = "vec_id long, embedding array<float>, score double, rank string"
@@ -47,9 +47,8 @@ def test_top_k_is_exact_for_any_block_size(spark, monkeypatch):
     rows = odd_vectors()
     want = plain_search(rows, lambda a, b: int((np.floor(a * 256) * np.floor(b * 256)).sum()))
     assert len({r for q, r, *_ in want if q == 50}) < len([q for q, *_ in want if q == 50])  # rows that repeat an id are queries each
-    for bytes_, gather, pairs in ((8 << 20, 16, 1 << 20), (1, 2, 100), (1, 1, 1 << 20)):
-        monkeypatch.setattr(top_k, "GATHER", gather)
-        monkeypatch.setattr(vectors, "BLOCK_BYTES", bytes_)
+    for bytes_, pairs in ((32 << 20, 1 << 20), (2000, 100), (200_000, 1 << 20)):
+        monkeypatch.setattr(meeting, "BLOCK_BYTES", bytes_)
         monkeypatch.setattr(vectors, "PAIRS_AT_ONCE", pairs)
         got = top_k.top_k(vectors_of(spark, rows), "vec_id % 50 = 0").collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -230,6 +230,8 @@ def test_rows_of_a_file_are_named_by_their_place(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert one == other and len(set(one.values())) == 100
+    numbered, row = identity.numbered(read.withColumn("doc_id", F.rand(1)), "_row")
+    assert row == "_row_" and numbered.orderBy(row).collect() == numbered.orderBy(row).collect()  # computed once
     saved, row = identity.identified(read.groupBy("doc_id").count(), "_row")
     assert saved.select(row).distinct().count() == 100
 

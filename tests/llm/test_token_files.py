@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from datakiln.llm import bitpack, patched, queries, token_files, word_ids  # noqa: E402
+from datakiln.llm import bitpack, patched, pretokens, queries, token_files  # noqa: E402
 from tests.llm.test_text_operators import ODD  # noqa: E402
 
 MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -105,8 +105,8 @@ def test_an_empty_table_gives_no_rows(spark, tmp_path):
 
 def test_added_tokens_of_another_kind_are_an_error():
     with pytest.raises(ValueError, match="added tokens"):
-        word_ids.added_tokens({"added_tokens": [{"content": "[A]", "normalized": True, "single_word": False}]})
-    assert word_ids.added_tokens({"added_tokens": []})("anything") is None
+        pretokens.added_tokens({"added_tokens": [{"content": "[A]", "normalized": True, "single_word": False}]})
+    assert pretokens.added_tokens({"added_tokens": []})("anything") is None
 
 
 def test_the_query_says_what_the_library_says(spark):
