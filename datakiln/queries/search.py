@@ -114,13 +114,13 @@ def places_with_their_upper_level(spark: SparkSession, sf_dir: str) -> DataFrame
     return search.with_upper_level(search.places_named(found, places))
 
 
-@query("""WITH names AS (SELECT DISTINCT p_name AS name FROM part), grams AS (SELECT DISTINCT name, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT name, unnest(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM names), range(1, 100) r(i) WHERE i <= length(w) + 1),
+@query("""WITH names AS (SELECT DISTINCT c_name AS name FROM customer), grams AS (SELECT DISTINCT name, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT name, unnest(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM names), range(1, 100) r(i) WHERE i <= length(w) + 1),
 sizes AS (SELECT name, count(*) AS n FROM grams GROUP BY 1), shared AS (SELECT a.name AS asked, b.name, count(*) AS both_ FROM grams a JOIN grams b USING (g) GROUP BY ALL)
-SELECT s.asked, s.name, round(both_ / (a.n + b.n - both_), 6) AS similarity FROM shared s JOIN sizes a ON s.asked = a.name JOIN sizes b ON s.name = b.name WHERE s.asked <> s.name AND both_ / (a.n + b.n - both_) >= 0.8""")
+SELECT s.asked, s.name, round(both_ / (a.n + b.n - both_), 6) AS similarity FROM shared s JOIN sizes a ON s.asked = a.name JOIN sizes b ON s.name = b.name WHERE s.asked <> s.name AND both_ / (a.n + b.n - both_) >= 0.9""")
 def names_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of part names at a trigram similarity of 0.8 or more, from candidates that share a rare trigram."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    pairs = search.similar_pairs(*search.gram_sets(names, names.withColumnRenamed("name", "asked")), 0.8)
+    """All pairs of customers' names at a trigram similarity of 0.9 or more, from candidates that share a rare trigram."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    pairs = search.similar_pairs(*search.gram_sets(names, names.withColumnRenamed("name", "asked")), 0.9)
     return pairs.filter("asked <> name").withColumn("similarity", rounded("similarity"))
 
 

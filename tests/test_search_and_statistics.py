@@ -10,6 +10,7 @@ from datakiln.functions import values
 from datakiln.jobs import build, search
 from datakiln.jobs.sqlscript import Warehouse
 from datakiln.operators import infer, stats
+from datakiln.operators import rows as rows_of_tables
 from datakiln.queries import joins
 from tests.test_queries import rows_of
 
@@ -178,3 +179,11 @@ def test_a_select_may_stand_before_its_views(spark, tmp_path):
     house = Warehouse(spark, {"some.ids-1": str(tmp_path / "p")})
     assert house.run("SELECT count(*) AS n FROM late_view; CREATE VIEW late_view AS SELECT id FROM some.ids-1 WHERE id > 3; WITH x AS (SELECT 1) SELECT * FROM x").first().n == 5
     assert house.run("DROP VIEW IF EXISTS late_view") is None
+
+
+def test_first_rows_need_no_sort_of_all(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("x"), F.col("id").cast("string").alias("t"))
+    assert [r.k for r in rows_of_tables.first_rows(df, ["k"], 20).collect()] == list(range(20))
+    assert [r.k for r in rows_of_tables.first_rows(df, ["x", "k"], 3).collect()] == sorted(r.k for r in df.filter("x is null").collect())[:3]
+    assert [r.t for r in rows_of_tables.first_rows(df, ["t"], 3).collect()] == ["0", "1", "10"] and rows_of_tables.first_rows(df, ["k"], 9000).count() == 5000
+    assert [r.k for r in rows_of_tables.sample(df, ["k"], 4, 2, 100).orderBy("k").collect()] == rows_of_tables.sample_positions(4, 2, 100)
