@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from datakiln.jobs import scratch
 from datakiln.llm import meeting, vectors
-from datakiln.llm.top_k import exact_kind
+from datakiln.llm.top_k import exact_kind, largest
 
 SEGMENTS = (1, 4, 16)
 #: The share of pairs above which a level is multiplied as a whole instead of pair by pair.
@@ -61,7 +61,7 @@ class Block:
     def __init__(self, table: pa.Table) -> None:
         table = table.sort_by("vec_id")
         self.v = vectors.matrix(table, "v")
-        self.floats = self.v.astype(float)
+        self.floats, self.largest = self.v.astype(float), largest(self.v)
         self.row, self.label = table.column("row").to_numpy(), table.column("label").to_numpy()
         self.vec_id = table.column("vec_id").combine_chunks()
         self.levels = [summaries(self.floats, s) for s in SEGMENTS]
@@ -86,7 +86,7 @@ def narrowed(open_: np.ndarray, asked: tuple, held: tuple, low: np.ndarray, high
 
 def exact_scores(a: np.ndarray, block: Block, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, row, score) of the open pairs, by anchor and row."""
-    kind = exact_kind(a.astype(float), block.floats) if len(a) and len(block.v) else np.float64
+    kind = exact_kind(largest(a), block.largest, a.shape[1])
     a, b = a.astype(kind), block.floats if kind is np.float64 else block.v.astype(kind)
     i, j = np.nonzero(open_)
     if open_.mean() > DENSE:

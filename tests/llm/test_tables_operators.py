@@ -124,12 +124,19 @@ def test_a_full_block_is_searched_in_bounded_memory():
         n = vectors.rows_a_block(dim)
         table = lambda m, at: pa.table({"row": np.arange(at, at + m), "vec_id": np.arange(at, at + m), "v": pa.FixedSizeListArray.from_arrays(rng.normal(size=m * dim), dim).cast(pa.list_(pa.float64()))})  # noqa: B023, E731
         left, right = table(n, 0), table(asked, n)
-        for run in (near.search_block(5), top_k.in_blocks(5, 4, with_cutoff=False)):
-            tracemalloc.start()
-            found = run(left, right)
-            peak = tracemalloc.get_traced_memory()[1]
-            tracemalloc.stop()
-            assert found.num_rows == 5 * asked and peak < 300e6
+        tracemalloc.start()
+        found = near.search_block(5)(left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.num_rows == 5 * asked and peak < 300e6
+        whole = lambda m, at: pa.table({"row": np.arange(at, at + m), "vec_id": np.arange(at, at + m), "v": pa.FixedSizeListArray.from_arrays(rng.integers(-256, 257, m * dim).astype(np.int16), dim).cast(pa.list_(pa.int16()))})  # noqa: B023, E731
+        left, right = whole(meeting.BLOCK_BYTES // (8 * dim), 0), whole(asked, 10**6)
+        tracemalloc.start()
+        block = top_k.Block(left, 4)
+        found = pa.Table.from_batches(top_k.in_blocks(5, with_cutoff=False)(block, right.to_batches()[0]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.num_rows == 5 * asked and peak < 300e6
 
 
 def test_lists_grow_with_the_rows():

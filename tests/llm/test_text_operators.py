@@ -43,6 +43,20 @@ def test_token_counts_agree_with_the_library(spark, texts):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
 
+def test_clashing_columns_of_the_encoders_are_replaced_or_kept(spark):
+    rows = spark.createDataFrame([(1, "some text", 7)], "doc_id long, text string, n int")
+    named = rows.withColumns({c: F.lit(f"old {c}") for c in ("n_bytes", "n_tokens", "over_limit", "ids", "decoded", "_bpe_coded", "_BPE_coded_")} | {"text": F.col("text")})
+    counted = token_counts.count_tokens(named, public_tokenizers.path("word_bpe_49k.json"))
+    assert counted.columns == named.columns and (counted.first().n_tokens, counted.first().n_bytes, counted.first().ids, counted.first().n) == (2, 9, "old ids", 7)
+    coded = byte_bpe.round_trip(named, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert sorted(coded.columns) == sorted(named.columns) and bytes(coded.first().decoded) == b"some text" and coded.first()["_bpe_coded"] == "old _bpe_coded" and coded.first()["_BPE_coded_"] == "old _BPE_coded_"
+    for made in (counted, coded):
+        assert made.first().over_limit in (False, "old over_limit") and made.first().n == 7
+    empty = named.limit(0)
+    assert token_counts.count_tokens(empty, public_tokenizers.path("word_bpe_49k.json")).collect() == []
+    assert byte_bpe.digests(byte_bpe.round_trip(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).collect() == []
+
+
 def test_proved_words_are_one_token_each():
     path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as file:
