@@ -59,6 +59,12 @@ def renamed_by_position(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*unique_names(names))
 
 
+def headed_by(df: DataFrame, table: "TableSpec", key: str = "id") -> DataFrame:
+    """Columns under the names of a table in its order, by position; a source has no ``key``, which its table adds."""
+    names = [c.name for c in sorted(table.columns.values(), key=lambda c: c.position)]
+    return renamed_by_position(df, names if key in df.columns else [n for n in names if n != key])
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Mapped columns renamed, the others as they are."""
     return df.withColumnsRenamed(names)
@@ -178,6 +184,31 @@ def column_map(sources: dict[str, list[str]], spark: SparkSession) -> DataFrame:
     return long.groupBy("name").pivot("source", sorted(sources)).agg(F.lit(1)).na.fill(0).orderBy("name")
 
 
+def column_changes(tables: dict[str, tuple[list[str], TableSpec]], spark: SparkSession, all_columns: bool = False) -> DataFrame:
+    """(source, position, source_column, column) where a source's columns have other names than their table's, by position.
+
+    The table's key stands before them and is left out; ``all_columns`` lists those of the same name, too.
+    """
+    rows = []
+    for source, (names, table) in tables.items():
+        held = [c.name for c in sorted(table.columns.values(), key=lambda c: c.position) if c.role != "k" or c.name in names]
+        if len(held) != len(names):
+            raise ValueError(f"{len(names)} columns of {source!r} for {len(held)} of {table.name!r}")
+        rows += [(source, i, old, new) for i, (old, new) in enumerate(zip(names, held, strict=True), 1) if all_columns or old != new]
+    return spark.createDataFrame(rows, "source string, position int, source_column string, column string")
+
+
+def table_of_frame(df: DataFrame, name: str, key: str = "id") -> TableSpec:
+    """The table that a frame's columns and types declare, behind a key."""
+    kinds = {T.StringType: "str", T.DateType: "date", T.TimestampType: "datetime", T.TimestampNTZType: "datetime", T.BinaryType: "blob"}
+    table = TableSpec(name, {key: ColumnSpec(1, key, "int", role="k")})
+    for f in df.schema:
+        kind = kinds.get(type(f.dataType)) or ("int" if isinstance(f.dataType, T.IntegralType) else "float" if isinstance(f.dataType, T.NumericType) else "str")
+        if f.name != key:
+            table.columns[f.name] = ColumnSpec(len(table.columns) + 1, f.name, kind, **{k: f.metadata[k] for k in ("valuetype", "role", "parent", "description") if k in f.metadata})
+    return table
+
+
 def mapped_columns(df: DataFrame, source: str, changes: list[tuple[str, str, str]]) -> DataFrame:
     """``df`` under the names that a list of (source, source column, destination column) gives it."""
     return df.withColumnsRenamed({old: new for s, old, new in changes if s == source and old != new})

@@ -5,7 +5,9 @@ keeps what is true, `skip_rows` drops only what is true.
 """
 
 import math
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -29,8 +31,13 @@ def skip_rows(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(~F.coalesce(predicate, F.lit(False)))
 
 
-def skip_counted(df: DataFrame, predicate: Column, name: str = "skip") -> tuple[DataFrame, Observation]:
-    """`skip_rows`, with an observation of the rows ``skipped`` and ``passed``, free of a second pass."""
+def skip_counted(df: DataFrame, predicate: Column, name: str = "skip", table: str | None = None, only: str | None = None) -> tuple[DataFrame, Observation]:
+    """`skip_rows`, with an observation of the rows ``skipped`` and ``passed``, free of a second pass.
+
+    A step that is meant for ``only`` one destination lets all rows of another ``table`` pass.
+    """
+    if only is not None and table != only:
+        predicate = F.lit(False)
     seen, hit = Observation(name), F.coalesce(predicate, F.lit(False))
     counted = df.observe(seen, F.count_if(hit).alias("skipped"), F.count_if(~hit).alias("passed"))
     return counted.filter(~hit), seen
@@ -319,3 +326,24 @@ def observed(df: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
     """``df`` with an observation of its ``rows``, known once an action has run; divided by its seconds it is the rate."""
     seen = Observation(name)
     return df.observe(seen, F.count("*").alias("rows")), seen
+
+
+@dataclass
+class Run:
+    """The rows of a run and the seconds that it took."""
+
+    rows: int = 0
+    seconds: float = 0.0
+
+    @property
+    def rate(self) -> float:
+        """Rows a second; 0 for a run that took no time."""
+        return self.rows / self.seconds if self.seconds else 0.0
+
+
+def measured_run(df: DataFrame, action: Callable[[DataFrame], object], name: str = "run") -> Run:
+    """What an action on ``df`` (a write, say) took: its rows are counted on the way, not by a pass of their own."""
+    counted, seen = observed(df, name)
+    start = time.perf_counter()
+    action(counted)
+    return Run(seen.get["rows"], time.perf_counter() - start)

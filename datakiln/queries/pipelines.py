@@ -30,6 +30,17 @@ def skipped_and_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(seen.get["skipped"], seen.get["passed"])], "skipped long, passed long")
 
 
+@query("""SELECT t AS destination, CAST(count(*) FILTER (t = 'cheap' AND o_totalprice > 200000) AS BIGINT) AS skipped, CAST(count(*) FILTER (t <> 'cheap' OR o_totalprice <= 200000) AS BIGINT) AS passed, TRUE AS rated FROM orders, (VALUES ('cheap'), ('all')) d(t) GROUP BY 1""")
+def skipped_for_one_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step that skips rows of one destination table only, counted by the writes themselves, with their rate."""
+    orders, found = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), []
+    for name in ("cheap", "all"):
+        kept, seen = rows.skip_counted(orders, F.col("o_totalprice") > 200000, f"skip {name}", table=name, only="cheap")
+        run = rows.measured_run(kept, lambda df, name=name: scratch.save(df, name), f"write {name}")
+        found.append((name, seen.get["skipped"], run.rows, run.rate > 0))
+    return spark.createDataFrame(found, "destination string, skipped long, passed long, rated boolean")
+
+
 @query("""SELECT o_orderkey, substr(o_orderpriority, instr(o_orderpriority, '-') + 1) AS priority FROM orders WHERE o_orderstatus <> 'P'""")
 def rows_by_user_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as dicts through a function of the user, which may drop them."""

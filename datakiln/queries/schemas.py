@@ -37,6 +37,19 @@ def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.agg(F.count("*").alias("rows"), rounded(F.sum("balance"), 2).alias("balance"), F.count("coded_code").alias("codes"), F.sum(F.size("_errors")).alias("errors"), F.sum("id").alias("ids")).withColumn("types", F.lit(types))
 
 
+@query("""SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS id, CAST(c_custkey AS BIGINT) AS number, c_name AS title, round(c_acctbal, 2) AS balance, '2:c_name>title,3:c_acctbal>balance' AS changes FROM customer""")
+def table_of_a_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table declared by a frame's types, its source headed by the table's names less the key, the differing names listed, rows numbered in the key."""
+    frame = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("number"), "c_name", "c_acctbal")
+    made = headers.table_of_frame(frame.toDF("number", "title", "balance"), "people")
+    source = headers.headed_by(frame.select(*[F.col(c).cast("string") for c in frame.columns]), made)
+    listed = headers.column_changes({"customers": (frame.columns, made)}, spark)
+    pairs = F.array_sort(F.collect_list(F.concat(F.col("position").cast("string"), F.lit(":"), "source_column", F.lit(">"), "column")))
+    changes = listed.agg(F.array_join(pairs, ",").alias("changes")).first().changes  # one row for each column
+    rows = transforms.checked(transforms.cast_columns(source.withColumn("nr", F.col("number").cast("long")), made, order=["nr"]))
+    return rows.withColumn("balance", rounded("balance", 2)).withColumn("changes", F.lit(changes))
+
+
 @query("""SELECT c_mktsegment AS segment, round(avg(c_acctbal), 4) AS balance, round(avg(c_acctbal / 10), 4) AS balance_se, CAST(count(*) AS BIGINT) AS count FROM customer GROUP BY 1""")
 def declared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A schema exported as CSV and declared from it again; its roles name the dimensions, the measure and what hangs on it."""

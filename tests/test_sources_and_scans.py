@@ -188,3 +188,24 @@ def test_folds_of_user_code_need_no_order(spark, monkeypatch):
     assert {r.key: r.state for r in made} == want and len(made) == len(want)
     assert rows_of_tables.tree_fold(df, [], "x", int, lambda s, x: s + (x or 0), lambda a, b: a + b, "long").first().state == sum(x or 0 for _, x in rows)
     assert rows_of_tables.tree_fold(df.limit(0), ["key"], "x", dict, counted, merge, "map<int,long>").collect() == []
+
+
+def test_frames_declare_tables_and_tables_head_sources(spark):
+    df = spark.createDataFrame([(1, "a", 2.5, None, b"x", [1])], "n int, t string, f float, d date, b binary, l array<int>").withColumn("f", F.col("f").alias("f", metadata={"role": "m", "valuetype": "rate"}))
+    made = headers.table_of_frame(df, "t")
+    assert [(c.name, c.datatype, c.role) for c in made.columns.values()] == [("id", "int", "k"), ("n", "int", ""), ("t", "str", ""), ("f", "float", "m"), ("d", "date", ""), ("b", "blob", ""), ("l", "str", "")]
+    raw = spark.createDataFrame([("1", "2", "3", "4", "5", "6")], "a string, t string, c string, e string, g string, h string")
+    assert headers.headed_by(raw, made).columns == ["n", "t", "f", "d", "b", "l"] and headers.headed_by(raw.select("a").withColumn("id", F.lit(1)), headers.table_of_frame(df.select("n"), "t")).columns == ["id", "n"]
+    with pytest.raises(ValueError, match="names for"):
+        headers.headed_by(raw.select("a"), made)
+    listed = lambda **more: [tuple(r) for r in headers.column_changes({"s": (raw.columns, made)}, spark, **more).orderBy("position").collect()]
+    assert listed() == [("s", 1, "a", "n"), ("s", 3, "c", "f"), ("s", 4, "e", "d"), ("s", 5, "g", "b"), ("s", 6, "h", "l")] and len(listed(all_columns=True)) == 6
+    with pytest.raises(ValueError, match="columns of 's'"):
+        headers.column_changes({"s": (["a"], made)}, spark)
+
+
+def test_runs_are_measured_by_their_own_action(spark, tmp_path):
+    run = rows_of_tables.measured_run(spark.range(50), lambda df: df.write.parquet(str(tmp_path / "x")), "measured")
+    assert run.rows == 50 and run.rate > 0 and rows_of_tables.Run().rate == 0
+    kept, seen = rows_of_tables.skip_counted(spark.range(10), F.col("id") > 6, "one table", table="t", only="u")
+    assert kept.count() == 10 and (seen.get["skipped"], seen.get["passed"]) == (0, 10)
