@@ -8,8 +8,9 @@ reverses the byte table.  A token may hold part of a character: `decode_bytes` i
 `decode_text` puts the pieces together before it reads UTF-8.
 
 Nulls encode as empty texts (no ids); a null list of ids decodes to null; whole texts are
-processed whatever their length; repeated rows give repeated results and other columns
-pass through untouched.
+processed whatever their length; repeated rows give repeated results and an empty table an
+empty one.  `round_trip` replaces columns named ids and decoded, `digests` n_tokens, ids_sha256
+and decoded_sha256; others may have any names and pass through untouched.
 """
 
 import base64
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import models
 
 from datakiln.llm import pretokens
+from datakiln.operators.headers import unused
 
 #: Pieces that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
@@ -172,8 +174,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             ids = as_lists(encoder(text.as_py() or "" for text in batch))
             yield pa.StructArray.from_arrays([ids, bytes_of(ids, table)], ["ids", "decoded"])
 
-    made = docs.withColumn("_bpe_coded", coded(F.col(text)))
-    return made.withColumns({"ids": F.col("_bpe_coded.ids"), "decoded": F.col("_bpe_coded.decoded")}).drop("_bpe_coded")
+    both = unused("_bpe_coded", [*docs.columns, "ids", "decoded"])
+    made = docs.withColumn(both, coded(F.col(text)))
+    return made.withColumns({"ids": F.col(f"{both}.ids"), "decoded": F.col(f"{both}.decoded")}).drop(both)
 
 
 def digests(coded: DataFrame) -> DataFrame:
