@@ -6,9 +6,10 @@ scores in the lists.
 1. Local score lists: every query meets some blocks of rows (the square root of their
    number).  There each column list is ranked by its partial products alone, and only the
    entries that lead a list are resolved to scores.  The k-th best of these is a safe cutoff:
-   at least k rows reach it.
-2. The cutoff goes to all other blocks with the queries.  A row that reaches it has at least
-   cutoff / lists in some list, so the entries at or above that are sufficient; a list
+   at least k rows reach it.  They give the cutoff and nothing else, since a row that leads no
+   list may have a higher score than those that do.
+2. The cutoff goes to all blocks, the first ones too, with the queries.  A row that reaches it
+   has at least cutoff / lists in some list, so the entries at or above that are sufficient; a list
    whose longest row cannot bring a query's product so far is not multiplied at all.
 3. Only the sufficient entries are resolved, exactly; of those that reach the cutoff each
    block returns its k best, which are ranked together.
@@ -158,19 +159,15 @@ def top_k(rows: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", vecto
     dealt = slim.withColumn("nth", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     queries = slim.filter(is_query).filter("vec_id is not null")
 
-    def met(asking: DataFrame, since: int, until: int, with_cutoff: bool) -> DataFrame:
-        sent = asking.withColumn("nth", F.explode(F.sequence(F.lit(since), F.lit(until - 1))))
-        held = dealt.filter((F.col("nth") >= since) & (F.col("nth") < until))
+    def met(asking: DataFrame, until: int, with_cutoff: bool) -> DataFrame:
+        sent = asking.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(until - 1))))
+        held = dealt.filter(F.col("nth") < until)
         blocks = [df.withColumn("block", F.xxhash64("nth", "dim")).drop("nth", "dim") for df in (held, sent)]
         return meeting.meet(*blocks, lambda table: Block(table, lists), in_blocks(k, with_cutoff), FOUND)
 
-    gathered = met(queries, 0, early, with_cutoff=False)
-    if early == parts:
-        return vectors.best(gathered, k)
-    gathered = scratch.save(gathered, "gathered")
+    gathered = scratch.save(met(queries, early, with_cutoff=False), "gathered")
     bar = Window.partitionBy("asked").orderBy(F.desc("score"))
     led = gathered.withColumn("place", F.row_number().over(bar)).filter(F.col("place") == k)
     cut = led.select(F.col("asked").alias("row"), F.col("score").alias("cutoff"))
     known = scratch.save(queries.join(cut, "row", "left"), "cutoffs")
-    rest = met(known, early, parts, with_cutoff=True)
-    return vectors.best(gathered.unionByName(rest), k)
+    return vectors.best(met(known, parts, with_cutoff=True), k)

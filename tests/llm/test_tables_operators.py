@@ -54,6 +54,16 @@ def test_top_k_is_exact_for_any_block_size(spark, monkeypatch):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("bytes_", [32 << 20, 1000])
+def test_top_k_finds_what_leads_no_column_list(spark, monkeypatch, bytes_):
+    """Rows with something in each list beat rows with all in one, wherever their block is."""
+    monkeypatch.setattr(meeting, "BLOCK_BYTES", bytes_)
+    rows = [(0, [1.0] * 8)] + [(1 + i, [10.0 if j == 2 * (i % 4) else 0.0 for j in range(8)]) for i in range(120)] + [(200 + i, [3.0, 0.0] * 4) for i in range(30)]
+    got = top_k.top_k(vectors_of(spark, rows), "vec_id % 50 = 0").collect()
+    want = plain_search(rows, lambda a, b: int((np.floor(a * 256) * np.floor(b * 256)).sum()))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and [r.vec_id for r in got if r.query_id == 0] == [200, 201, 202, 203, 204]
+
+
 def test_a_uniform_threshold_leaves_out_what_cannot_reach():
     """Lists that no row can bring to the threshold are not multiplied, and the result is that of all pairs."""
     rng = np.random.default_rng(2)
