@@ -5,9 +5,11 @@ segments.  A query filters the index by its few terms first; ranking then works
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations, count, takewhile
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -292,20 +294,25 @@ def rolled_up(datasets: DataFrame, partitions: DataFrame, source: str | None = N
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct trigrams of the words, each padded by two blanks in front and one behind."""
+    """Distinct trigrams of the words, each padded by two blanks in front and one behind; three code points of 21 bits in a long."""
     padded = F.transform(tokens(c), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    cut_up = F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))
+    points = F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.ascii(F.substr(p, i, F.lit(1))).cast("long")))
+    packed = lambda p, i: F.shiftleft(F.get(p, i), 42) + F.shiftleft(F.get(p, i + 1), 21) + F.get(p, i + 2)
+    cut_up = F.transform(points, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: packed(p, i)))
     return F.array_distinct(F.flatten(cut_up))
 
 
 #: Thresholds that are tried before the one asked for: whoever has enough names at one needs none below it.
 TRIED_FIRST = (0.9, 0.7, 0.5)
 _EDGE = 1e-9
+#: Trigrams that make one key of a name at most, and keys of a name where several make one.
+MOST_TOGETHER, MOST_KEYS = 5, 32
 
 
 def gram_sets(names: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(name, grams, n) and (asked, grams, n): distinct texts with their trigrams, those that fewest names have first."""
-    sides = [df.select(c).distinct().withColumn("t", trigrams(F.col(c))) for df, c in ((names, "name"), (asked, "asked"))]
+    tasks = names.sparkSession.sparkContext.defaultParallelism  # names are few bytes and much work
+    sides = [df.select(c).repartition(tasks, c).distinct().withColumn("t", trigrams(F.col(c))) for df, c in ((names, "name"), (asked, "asked"))]
     held = sides[0].select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("names"))
 
     def by_rarity(side: DataFrame, c: str) -> DataFrame:
@@ -316,37 +323,62 @@ def gram_sets(names: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]
     return by_rarity(sides[0], "name"), by_rarity(sides[1], "asked")
 
 
-def candidate_pairs(names: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
-    """(asked, name, both grams and sizes) of the pairs that may reach a similarity, each once.
+def together(lacking: int) -> int:
+    """Trigrams that make one key where ``lacking`` of a name's may be missing: as many as leave it `MOST_KEYS` keys."""
+    return max([k for k in range(1, MOST_TOGETHER + 1) if comb(lacking + k, k) <= MOST_KEYS], default=1)
+
+
+def gram_keys(grams: Column, n: Column, threshold: float) -> tuple[Column, Callable[[Column], Column]]:
+    """The keys of a name (``n`` trigrams, rarest first), and how many trigrams make a key of a pair whose larger name has some number.
 
-    Of n grams at least threshold * n must be shared, so one of the first
-    n - threshold * n + 1, the rarest, is; sizes may differ by the threshold at most.
+    Of n trigrams those of a pair share need = threshold * n at least, so the k rarest that they
+    share are among the first n - need + k of either; each k of these make a key.  A name has
+    keys for all k that it may have with a larger one.
     """
+    few = list(takewhile(lambda e: together(e) > 1, count()))
+    kinds = F.array(*[F.lit(together(e)) for e in few])
+    cuts = {e * (MOST_TOGETHER + 1) + k: list(combinations(range(1, e + k + 1), k)) for e in few for k in range(2, MOST_TOGETHER + 1) if comb(e + k, k) <= MOST_KEYS}
+    chosen = F.create_map(*[x for kind, sets in cuts.items() for x in (F.lit(kind), F.array(*[F.array(*map(F.lit, s)) for s in sets]))])
+    need = lambda x: F.ceil(x * threshold - _EDGE).cast("int")
+    size = lambda x: F.greatest(F.lit(1), F.least(F.coalesce(F.get(kinds, (x - need(x)).cast("int")), F.lit(1)), need(x)))
+    lacking = n - need(n)
+    alone = F.transform(F.slice(grams, F.lit(1), lacking + 1), lambda g: F.xxhash64(F.array(g)))
+    several = lambda k: F.transform(chosen[lacking * (MOST_TOGETHER + 1) + k], lambda s: F.xxhash64(F.transform(s, lambda i: F.get(grams, i - 1))))
+    sizes = F.array_distinct(F.transform(F.sequence(n, F.floor(n / threshold + _EDGE).cast("int")), size))
+    return F.flatten(F.transform(sizes, lambda k: F.when(k == 1, alone).otherwise(several(k)))), size
 
-    def firsts(side: DataFrame, c: str, grams: str, n: str) -> DataFrame:
-        long = F.col("n") - F.ceil(F.col("n") * threshold - _EDGE) + 1
-        held = side.select(c, F.col("grams").alias(grams), F.col("n").alias(n), F.slice("grams", F.lit(1), long.cast("int")).alias(f"first_{grams}"))
-        return held.withColumn("g", F.explode(f"first_{grams}"))
 
-    met = firsts(names, "name", "t", "n").join(firsts(asked, "asked", "u", "m"), "g")
+def candidate_pairs(names: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(asked, name, n, m: their sizes, both: what they share) of the pairs that may reach a similarity, each once.
+
+    They share a key (`gram_keys`) of several of their rarest trigrams, if the threshold is high,
+    since single ones may be in very many names; sizes may differ by the threshold at most.
+    """
+    keys = F.explode(gram_keys(F.col("grams"), F.col("n"), threshold)[0])
+    keyed = [side.withColumn("key", keys).withColumnsRenamed({"grams": t, "n": n}) for side, t, n in ((names, "t", "n"), (asked, "u", "m"))]
     sizes = (F.col("n") >= F.col("m") * threshold - _EDGE) & (F.col("m") >= F.col("n") * threshold - _EDGE)
-    return met.filter(sizes & (F.get(F.array_intersect("first_t", "first_u"), F.lit(0)) == F.col("g")))
+    met = keyed[0].join(keyed[1], "key").filter(sizes).select("asked", "name", "n", "m", "key", F.array_intersect("t", "u").alias("both"))
+    size = gram_keys(F.col("both"), F.col("n"), threshold)[1](F.greatest("n", "m"))
+    return met.filter(F.xxhash64(F.slice("both", F.lit(1), size)) == F.col("key")).drop("key")
 
 
 def similar_pairs(names: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
     """(asked, name, similarity) of all pairs of `gram_sets` at or above the threshold."""
-    both = F.size(F.array_intersect("t", "u"))
+    both = F.size("both")
     scored = candidate_pairs(names, asked, threshold).select("asked", "name", (both / (F.col("n") + F.col("m") - both)).alias("similarity"))
     return scored.filter(F.col("similarity") >= threshold)
 
 
-def similar_names(names: DataFrame, asked: DataFrame, threshold: float = SIMILAR, most: int = MOST_FOUND) -> DataFrame:
+def similar_names(names: DataFrame, asked: DataFrame, threshold: float = SIMILAR, most: int = MOST_FOUND, same_first: bool = False) -> DataFrame:
     """(asked, name, similarity, place): the ``most`` names at or above a trigram similarity, best first, ties by name.
 
-    ``names``: name; ``asked``: asked, both tables of any size.  Candidates share a rare
-    trigram (`candidate_pairs`); high thresholds, which few pairs can reach, are tried first.
+    ``names``: name; ``asked``: asked, both tables of any size.  Candidates share rare
+    trigrams (`candidate_pairs`); high thresholds, which few pairs can reach, are tried first.
+    Unlike texts may have the same trigrams: ``same_first`` puts the text itself, whatever its
+    case, and then one of the same words in the same order, before other names of the same similarity.
     """
-    order = Window.partitionBy("asked").orderBy(F.desc("similarity"), "name")
+    same = [F.desc(F.lower("name") == F.lower("asked")), F.desc(tokens(F.col("name")) == tokens(F.col("asked")))] if same_first else []
+    order = Window.partitionBy("asked").orderBy(F.desc("similarity"), *same, "name")
     held, open_ = (scratch.save(side, "grams") for side in gram_sets(names, asked))
     found = []
     for level in [*[t for t in TRIED_FIRST if t > threshold], threshold]:
@@ -364,12 +396,12 @@ def similar_names(names: DataFrame, asked: DataFrame, threshold: float = SIMILAR
 
 
 def places_named(found: DataFrame, places: DataFrame) -> DataFrame:
-    """(asked, gvid): ids of the names found that are of the best match's type.
+    """(asked, gvid): ids of the names found that are of the best match's type, of several the last by name.
 
     ``places``: name, type, gvid.
     """
     typed = found.join(places, "name")
-    best = typed.groupBy("asked").agg(F.max_by("type", F.struct("similarity", -F.col("place"))).alias("type"))
+    best = typed.groupBy("asked").agg(F.max_by("type", F.struct("similarity", -F.col("place"), "type")).alias("type"))
     return typed.join(best, ["asked", "type"]).select("asked", "gvid").distinct()
 
 

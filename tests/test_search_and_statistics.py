@@ -187,3 +187,10 @@ def test_first_rows_need_no_sort_of_all(spark):
     assert [r.k for r in rows_of_tables.first_rows(df, ["x", "k"], 3).collect()] == sorted(r.k for r in df.filter("x is null").collect())[:3]
     assert [r.t for r in rows_of_tables.first_rows(df, ["t"], 3).collect()] == ["0", "1", "10"] and rows_of_tables.first_rows(df, ["k"], 9000).count() == 5000
     assert [r.k for r in rows_of_tables.sample(df, ["k"], 4, 2, 100).orderBy("k").collect()] == rows_of_tables.sample_positions(4, 2, 100)
+
+
+def test_numbered_names_leave_few_candidates(spark):
+    """Any one trigram of these names is in dozens of them at least; their keys are in few."""
+    names = spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(0, 200_000, 50)], "name string")
+    sides = search.gram_sets(names, names.withColumnRenamed("name", "asked"))
+    assert search.candidate_pairs(*sides, 0.9).count() < 20 * 4000
