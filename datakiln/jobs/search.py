@@ -5,15 +5,12 @@ segments.  A query filters the index by its few terms first; ranking then works
 """
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations, count, takewhile
 from math import comb
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,27 +57,32 @@ def partition_documents(partitions: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def counted(terms: Column) -> Column:
-    """The distinct terms of a list with how often it has them: array<struct<term, tf>>."""
+    """The distinct terms of a list with how often it has them: array<struct<term, tf>>.
+
+    Sorted, a term starts where it differs from the one before; a row is counted on its own,
+    so a task holds one text and no batch of them.
+    """
+
+    def each(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))  # and the end of the last
+        return named(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.get(at, j + 1) - i).cast("long").alias("tf"))))
+
+    return F.filter(named(F.sort_array(terms), each), lambda t: t["tf"].isNotNull())
 
-    @F.arrow_udf("array<struct<term:string,tf:long>>")
-    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = pa.table({"row": pc.list_parent_indices(batch), "term": batch.flatten()})
-            met = rows.group_by(["row", "term"]).aggregate([([], "count_all")]).sort_by("row")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(met.column("row").to_numpy(), minlength=len(batch)))]).astype(np.int32)
-            columns = [pa.concat_arrays(met.column(c).chunks) if len(met) else pa.array([], kind) for c, kind in (("term", pa.string()), ("count_all", pa.int64()))]
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["term", "tf"]))
 
-    return each(terms)
+def named(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``c``, which is computed once however often it stands there."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
-def inverted_index(docs: DataFrame, fields: dict[str, str], doc: str = "doc") -> DataFrame:
-    """(term, field, doc, tf) of the texts in ``fields`` (field name to column).
+def inverted_index(docs: DataFrame, fields: dict[str, str], doc: str = "doc", terms: list[str] | None = None) -> DataFrame:
+    """(term, field, doc, tf) of the texts in ``fields`` (field name to column), of all terms or of some.
 
     A row is a document and its terms are counted in it, so nothing is shuffled; rows that
     repeat a doc give entries each, which the look-ups below add up.
     """
-    parts = F.array(*[F.struct(F.lit(name).alias("field"), tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("terms")) for name, c in fields.items()])
+    wanted = lambda t: t if terms is None else F.filter(t, lambda x: x.isin(terms))
+    parts = F.array(*[F.struct(F.lit(name).alias("field"), wanted(tokens(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias("terms")) for name, c in fields.items()])
     each = docs.select(F.col(doc).alias("doc"), F.explode(parts).alias("p"))
     return each.select("doc", "p.field", F.explode(counted(F.col("p.terms"))).alias("t")).select("t.term", "field", "doc", "t.tf")
 

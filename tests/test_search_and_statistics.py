@@ -121,6 +121,15 @@ def test_terms_are_counted_inside_their_row(spark):
     assert sorted(tuple(r) for r in index.collect()) == [("a", "t", "x", 1), ("a", "t", "x", 2), ("b", "t", "x", 1)]
     assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
     assert search.inverted_index(docs.limit(0), {"t": "text"}).collect() == []
+    assert sorted(tuple(r) for r in search.inverted_index(docs, {"t": "text"}, terms=["b", "zz"]).collect()) == [("b", "t", "x", 1)]
+
+
+def test_terms_are_counted_without_batches_of_texts(spark):
+    """A row at a time: batches of texts in Python grew with the rows of a task."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j * j % (i + 1)}" for j in range(i))) for i in range(60)], "doc long, text string")
+    index = search.inverted_index(docs, {"t": "text"})
+    assert {(r.doc, r.term): r.tf for r in index.collect()} == {(d, t): n for (t, d), n in plain_index({r.doc: r.text for r in docs.collect()}).items()}
+    assert "Python" not in index._jdf.queryExecution().executedPlan().toString()
 
 
 def test_statistics_merge_to_those_of_the_whole(spark, tmp_path):
