@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from datakiln.functions import values
 from datakiln.functions.values import name_from_parts
+from datakiln.jobs import scratch
 from datakiln.operators import coverage, stats
 from datakiln.operators.headers import unused
 from datakiln.operators.row_index import with_row_number
@@ -18,6 +19,8 @@ from datakiln.operators.row_index import with_row_number
 PARTS = ("time", "space", "grain", "variant", "segment")
 #: Rows of one output file at most.
 ROWS_A_FILE = 2_000_000
+#: Bytes of a partition's rows that one task sorts and writes, about; several slices may meet in a task.
+TASK_BYTES = 64 << 20
 ANY = object()
 
 
@@ -46,16 +49,36 @@ def part_of(name: Column) -> Column:
     return F.when(name.startswith("-"), F.substring(name, 2, 1 << 30)).otherwise(name)
 
 
-def write_partitions(df: DataFrame, path: str, overwrite: bool = True, rows_a_file: int = ROWS_A_FILE) -> None:
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory: its texts, lists as text, and 16 for each column."""
+    long = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    nested = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
+    each = [F.octet_length(quoted(c)) for c in long] + [F.octet_length(F.to_json(F.struct(quoted(c)))) for c in nested]
+    return sum((F.coalesce(x, F.lit(0)).cast("long") for x in each), F.lit(16 * len(df.columns)).cast("long"))
+
+
+def write_partitions(df: DataFrame, path: str, overwrite: bool = True, rows_a_file: int = ROWS_A_FILE, task_bytes: int = TASK_BYTES) -> None:
     """Rows into partition directories; only the partitions that ``df`` has are overwritten.
 
-    Rows are rebalanced by partition: adaptive execution cuts a large partition over many
-    tasks and lets one task write many small ones, by the sizes it finds.
+    A task sorts its rows by partition.  Shuffled bytes do not tell how many rows those are,
+    as equal texts are compressed away, so the bytes of each partition are summed first, and
+    a partition of more than ``task_bytes`` is dealt over several tasks by a hash of its rows.
     """
     levels = [f"p_{p}" for p in PARTS]
     blank_safe = df.withColumns({c: directory(F.col(c)) for c in levels})
+    held, slices, nth = (unused(n, blank_safe.columns) for n in ("_bytes", "_slices", "_nth"))
+    sizes = scratch.save(blank_safe.select(*levels, row_bytes(blank_safe).alias(held)).groupBy(*levels).agg(F.sum(held).alias(held)), "partition_sizes")
+    tasks = df.sparkSession.sparkContext.defaultParallelism + 2 * (sizes.agg(F.sum(held)).first()[0] or 0) // task_bytes
+    # as many rows as all bytes hold task_bytes, at most
+    large = sizes.filter(F.col(held) > task_bytes).select(*levels, F.ceil(F.col(held) / task_bytes).alias(slices))
+    hashed = F.xxhash64(*[quoted(f.name) for f in blank_safe.schema if "map<" not in f.dataType.simpleString()])
+    dealt = blank_safe.join(F.broadcast(large), levels, "left").withColumn(nth, F.pmod(hashed, F.coalesce(slices, F.lit(1))))
     mode = "overwrite" if overwrite else "append"
-    writer = blank_safe.hint("rebalance", *levels).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer = dealt.repartition(tasks, *levels, nth).select(*map(quoted, blank_safe.columns)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
     writer.option("maxRecordsPerFile", rows_a_file).partitionBy(*levels).parquet(path)
 
 

@@ -131,6 +131,18 @@ def test_running_totals_cross_ranges(spark):
     assert row_index.running_total(df.filter("at < 0"), ["k"], ["at"], "v").count() == 0
 
 
+def test_a_large_partition_is_dealt_over_tasks_by_the_bytes_of_its_rows(spark, tmp_path):
+    """Rows that shrink to nothing when they are shuffled are many in memory all the same."""
+    df = spark.range(20_000).select("id", F.lit("the same text").alias("a.b"), F.when(F.col("id") % 100 == 0, F.array(F.lit(1))).alias("list"))
+    parts = build.with_partition(df, "tab", segment=F.when(F.col("id") < 19_000, "-large").otherwise(F.lit("s")))
+    path = tmp_path / "parts"
+    build.write_partitions(parts, str(path), task_bytes=100_000)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.glob("*/*/*/*/p_segment=*")}
+    assert len(files) == 2 and max(files.values()) > 10
+    read = build.read_partitions(spark, str(path)).select(*[f"`{c}`" for c in parts.columns])
+    assert read.exceptAll(parts).isEmpty() and parts.exceptAll(read).isEmpty()
+
+
 def test_partitions_are_written_read_and_numbered(spark, tmp_path):
     df = spark.range(200).select("id", (F.col("id") % 3).alias("t"), F.when(F.col("id") % 2 == 0, "s-10").otherwise("s-2").alias("seg"))
     parts = build.with_partition(df, "tab", time=F.col("t"), segment=F.col("seg"))
