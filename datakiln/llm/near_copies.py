@@ -1,16 +1,26 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies: SimHash fingerprints through covering masks, confirmed by the exact Jaccard similarity.
 
 A text is the set of its shingles (`simhash.shingle_hashes`).  Texts with equal sets fold
-into one first.  Min-hashes in `BANDS` bands of `ROWS` give candidates: a pair at
-similarity s shares no band with probability (1 - s ** ROWS) ** BANDS, 0.00005 at 0.8 and
-less above.  What shares a band is a bucket; buckets of the same sets count once.
+into one first.  Each set has a wide SimHash fingerprint (`simhash.wide_fingerprint`): two
+words that are compared as a whole, and parts of few bits, each with the covering masks of
+`RADIUS`.  Sets that differ in at most so many bits of any part agree on one of its masks
+for certain.  A bit of two sets at the similarity differs with a probability known from
+the angle between them (`differing`); there are so many parts that such a pair agrees on no
+mask with probability `MISSED` or less (`parts_for`, an exact sum), and more alike pairs
+less.  Sets of few shingles, whose bits differ more often, have more parts.  The masks get
+wider with the number of rows, so that sets which only happen to agree stay few.
+
+What agrees on a mask is a bucket.  In it, sets hang together if the two words differ in no
+more bits than pairs at the similarity do (five standard deviations above their mean, or
+links through others); the rest is alone and is dropped.  A bucket of very many sets is cut
+into blocks, each pair of blocks on its own.  Buckets of the same sets count once.
 
 Candidates are confirmed by the similarity itself.  First each set is compared with one of
 its bucket, the hub, which stays in memory while the others stream past it; a bucket whose sets
 then hang together needs no more, and most do.  What is still apart after `STARS` such
 rounds, each with another hub, is searched whole: a search takes each set from the
 unvisited ones once, so groups of near copies never become pairs, in blocks of `ROOM`
-shingles, each pair of blocks on its own.  So every link between sets that share a band is
+shingles, each pair of blocks on its own.  So every link between sets of a bucket is
 kept, whatever the size of a group, and each task holds bounded bytes.
 
 Null, empty and white-space texts have the same, empty set and are copies of each other.
@@ -19,7 +29,9 @@ doc_id; the key may be a struct, and its least value names the group.  Only the
 columns are read.  An empty table gives an empty result.
 """
 
+import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -30,48 +42,179 @@ from pyspark.sql import functions as F
 from datakiln.jobs import scratch
 from datakiln.llm import meeting
 from datakiln.llm.components import components, joined_names
-from datakiln.llm.simhash import shingle_hashes
+from datakiln.llm.simhash import covering_masks, mixed, shingle_hashes, wide_fingerprint
 from datakiln.operators.row_index import prefix_sums
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 25, 5, 42
+SEED = 42
+#: Bits of a part within which sets agree on a mask for certain, and how probable it may be that a pair at the similarity agrees on no mask of any part.
+RADIUS, MISSED = 2, 0.00005
+#: Words that are compared as a whole, standard deviations that they may differ beyond their mean, and sets of so few shingles whose bits differ by so much more often.
+WHOLE, DEVIATIONS, FEW, MORE = 2, 5, 8, 1.25
+#: Bits of a mask at least, and how many less than the bits of the number of rows.
+LEAST_BITS, FEWER_BITS = 12, 5
+#: Sets that one block of a bucket holds about, the share of sets that says which buckets are cut, and sets up to which all pairs of a bucket are compared at once.
+BUCKET, SHARE, ALL_PAIRS = 8192, 16, 256
 #: Sets that meet one copy of a hub, rounds before a bucket is searched whole, and shingles that a block of that search holds about.
 SPOKES, STARS, ROOM = 4096, 1, 1 << 21
-#: Shingles that are min-hashed at once, and that are compared with a hub at once.
-SHINGLES_AT_ONCE, SHINGLES_COMPARED = 1 << 12, 1 << 19
+#: Shingles that are compared with a hub at once.
+SHINGLES_COMPARED = 1 << 19
 
-_rng = np.random.default_rng(SEED)
-TURNS = _rng.integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 
+def differing(similarity: float) -> float:
+    """How often a bit differs between sets of one size at a similarity: their angle as a share of the half circle."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A hash for each band of min-hashes; none for an empty set."""
-    if not len(shingles):
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
-        turned = (shingles[at : at + SHINGLES_AT_ONCE, None] ^ TURNS[0]) * (TURNS[1] | np.uint64(1))
-        least = np.minimum(least, turned.min(axis=0))
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
 
+def agreeing(bits: int, differ: float) -> float:
+    """How often two parts of so many bits agree on a covering mask, if each bit differs with the probability ``differ``."""
+    size = 2 ** (RADIUS + 1)
+    alike = [(1 - differ) ** sum(i % size == v for i in range(bits)) for v in range(size)]
+    found = 0.0
+    for apart in product((False, True), repeat=size - 1):  # the vectors of the covering code that have a bit that differs
+        seen = [v for v, x in enumerate(apart, 1) if x]
+        if any(all((v & mask).bit_count() % 2 == 0 for v in seen) for mask in range(1, size)):
+            found += math.prod(1 - alike[v] if x else alike[v] for v, x in enumerate(apart, 1))
+    return found
 
-def shingled(text: Column, words_each: int) -> Column:
-    """The name of a text's set of shingles and its band keys."""
 
-    @F.arrow_udf("struct<id:long,bands:array<long>>")
+def parts_for(bits: int, differ: float) -> int:
+    """So many parts that a pair agrees on no mask of any of them with probability `MISSED` or less."""
+    found = agreeing(bits, differ)
+    return 1 if found >= 1 else math.ceil(math.log(MISSED) / math.log1p(-found))
+
+
+def bits_for(rows: int) -> int:
+    """Bits of a part: masks have half of them, so a bucket holds some 30 sets that only happen to agree, however many rows there are."""
+    return 2 * max(LEAST_BITS, rows.bit_length() - FEWER_BITS)
+
+
+def print_of(shingles: np.ndarray, bits: int, parts: int) -> tuple[list[int], list[int]]:
+    """The words of a set that are compared as a whole, and its parts; no parts for an empty set."""
+    head = 64 * WHOLE
+    on = wide_fingerprint(shingles, -(-(head + bits * parts) // 64))
+    whole = np.packbits(on[:head], bitorder="little").view(np.int64).tolist()
+    cut = on[head : head + bits * parts].reshape(parts, bits) @ (np.int64(1) << np.arange(bits))
+    return whole, cut.tolist() if len(shingles) else []
+
+
+def shingled(text: Column, words_each: int, similarity: float, bits: int) -> Column:
+    """The name of a text's set of shingles and its fingerprint."""
+    differ = differing(similarity)
+    usual, few = parts_for(bits, differ), parts_for(bits, MORE * differ)
+
+    @F.arrow_udf("struct<id:long,a:long,b:long,parts:array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            ids, bands = np.empty(len(batch), np.uint64), []
+            ids, whole, parts = np.empty(len(batch), np.uint64), np.empty((len(batch), WHOLE), np.int64), []
             for i, t in enumerate(batch):  # one set at a time
                 held = np.unique(shingle_hashes(t.as_py(), words_each))
                 ids[i] = xxhash.xxh64_intdigest(held.tobytes(), SEED)
-                bands.append(band_keys(held))
-            yield pa.StructArray.from_arrays([pa.array(ids.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["id", "bands"])
+                whole[i], cut = print_of(held, bits, few if len(held) <= FEW else usual)
+                parts.append(cut)
+            columns = [pa.array(ids.view(np.int64)), *(pa.array(w) for w in whole.T.copy()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, ["id", "a", "b", "parts"])
 
     return made(text.cast("binary"))
 
 
+def apart(a: np.ndarray, b: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bits in which the two words differ between rows ``one`` and rows ``other``."""
+    return np.bitwise_count(a[one] ^ a[other]) + np.bitwise_count(b[one] ^ b[other])
+
+
+def pair_labels(keys: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the first row that it hangs together with; all pairs of each bucket are compared, a distance in the order at a time."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at, step = np.arange(len(keys)), 1
+    while len(at):
+        at = at[: np.searchsorted(at, len(keys) - step)]
+        at = at[keys[at] == keys[at + step]]
+        near = at[apart(a, b, at, at + step) <= radius]
+        left.append(near)
+        right.append(near + step)
+        step += 1
+    one, other = np.concatenate(left), np.concatenate(right)
+    labels = np.arange(len(keys))
+    while True:
+        least = np.minimum(labels[one], labels[other])
+        new = labels.copy()
+        np.minimum.at(new, one, least)
+        np.minimum.at(new, other, least)
+        new = new[new]
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
+def search_labels(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """As `pair_labels` for one large bucket: each row is taken from the open ones once."""
+    labels = open_ = np.arange(len(a))
+    labels = labels.copy()
+    while len(open_):
+        root, open_ = open_[0], open_[1:]
+        waiting = [root]
+        while waiting and len(open_):
+            near = apart(a, b, open_, waiting.pop()) <= radius
+            found, open_ = open_[near], open_[~near]
+            labels[found] = root
+            waiting += found.tolist()
+    return labels
+
+
+def close_ones(radius: int):
+    """For mapInArrow over rows (k, a, b, id) sorted by k: (k, id) of what hangs together in each bucket, with a k of its own."""
+
+    def found(pieces: list[list[np.ndarray]]) -> pa.RecordBatch:
+        keys, a, b, ids = (np.concatenate(column) for column in zip(*pieces, strict=True))
+        a, b = a.view(np.uint64), b.view(np.uint64)  # bits of signed numbers are counted in their magnitude
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        labels, small = np.arange(len(keys)), np.flatnonzero(np.repeat(sizes <= ALL_PAIRS, sizes))
+        labels[small] = small[pair_labels(keys[small], a[small], b[small], radius)]
+        for start, size in zip(starts[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS], strict=True):
+            labels[start : start + size] = start + search_labels(a[start : start + size], b[start : start + size], radius)
+        held = np.bincount(labels, minlength=len(keys))[labels] > 1
+        named = mixed(mixed(keys.astype(np.int64).view(np.uint64)) ^ ids[labels].view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(named[held]), pa.array(ids[held])], ["k", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(n).to_numpy() for n in ("k", "a", "b", "id")]
+            keys = columns[0]
+            first = np.searchsorted(keys, keys[-1])  # of the last bucket, which may go on
+            if held and (first or held[-1][0][-1] != keys[0]):
+                yield found([*held, [c[:first] for c in columns]])
+                held = []
+            elif first:
+                yield found([[c[:first] for c in columns]])
+            held.append([c[first:] for c in columns])
+        if held:
+            yield found(held)
+
+    return run
+
+
+def close_sets(sets: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """(id, a, b, parts) to (k, id): sets that agree on a mask and hang together by the two words."""
+    keys = F.array(*[F.hash("place", F.lit(m), F.col("part").bitwiseAND(F.lit(m))) for m in covering_masks(RADIUS, bits)])
+    rows = sets.select("a", "b", "id", F.posexplode("parts").alias("place", "part")).select("a", "b", "id", F.explode(keys).alias("k"))
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0).groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") * SHARE > BUCKET)
+    blocks = F.ceil(F.col("n") * SHARE / BUCKET).cast("int")
+    large = some.select("k", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    key = F.when(F.col("other").isNull(), F.col("k")).otherwise(F.hash("k", F.least(mine, "other"), F.greatest(mine, "other")))
+    # few buckets are large: their sizes sum up to no more than the masks of all sets
+    spread = rows.join(F.broadcast(large), "k", "left").select(key.alias("k"), "a", "b", "id").repartition("k").sortWithinPartitions("k")
+    differ = differing(similarity)
+    whole = 64 * WHOLE
+    radius = math.ceil(whole * differ + DEVIATIONS * math.sqrt(whole * differ * (1 - differ)))
+    return spread.mapInArrow(close_ones(radius), "k long, id long")
+
+
 def shingle_set(text: Column, words_each: int) -> Column:
     """The distinct shingle hashes of a text."""
 
@@ -137,11 +280,11 @@ def group_links(similarity: float):
     return run
 
 
-def buckets_of(bands: DataFrame) -> DataFrame:
-    """(id, k) to (k, hub, id): the sets of each band that several share, one band for all with the same sets."""
-    held = bands.groupBy("k").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("n > 1")
+def buckets_of(close: DataFrame) -> DataFrame:
+    """(k, id) to (k, hub, id): the sets of each bucket, one bucket for all with the same sets."""
+    held = close.groupBy("k").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("n > 1")
     once = held.groupBy("hub", "n", "sum").agg(F.min("k").alias("k"))
-    return bands.join(once.select("k", "hub"), "k").select("k", "hub", "id")
+    return close.join(once.select("k", "hub"), "k").select("k", "hub", "id")
 
 
 def marks_of(members: DataFrame) -> DataFrame:
@@ -151,7 +294,7 @@ def marks_of(members: DataFrame) -> DataFrame:
     """
     pairs = members.filter("id <> hub").select(F.col("id").alias("node"), "hub").distinct()
     copies = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("copies"))
-    asks = pairs.join(copies, "hub").groupBy("node").agg(F.collect_list(F.struct("hub", "copies")).alias("asks"))  # one for each band at most
+    asks = pairs.join(copies, "hub").groupBy("node").agg(F.collect_list(F.struct("hub", "copies")).alias("asks"))  # one for each mask at most
     return asks.join(copies.withColumnRenamed("hub", "node"), "node", "full")
 
 
@@ -194,9 +337,12 @@ def star_links(marked: DataFrame, similarity: float) -> DataFrame:
 
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The buckets (k, hub, id) whose sets do not hang together yet, each with another hub than before."""
+    """The buckets (k, hub, id) whose sets do not hang together yet, each with another hub than before.
+
+    Of two sets one is the hub, so they have been compared and need no more.
+    """
     placed = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = placed.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max_by("id", F.xxhash64("id", F.lit(SEED))).alias("next")).filter("a <> b")
+    apart = placed.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max_by("id", F.xxhash64("id", F.lit(SEED))).alias("next"), F.count("*").alias("n")).filter("a <> b and n > 2")
     return members.join(apart.select("k", "next"), "k").select("k", F.col("next").alias("hub"), "id")
 
 
@@ -223,11 +369,13 @@ def searched(members: DataFrame, near: DataFrame, similarity: float) -> DataFram
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for each row; component_id is the least doc_id reachable over links."""
     hashed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    made = scratch.save(hashed.select("doc_id", "h", shingled(F.col("text"), words_each).alias("s")).select("doc_id", "h", "s.*"), "shingled")
+    bits = bits_for(docs.count())
+    made = scratch.save(hashed.select("doc_id", "h", shingled(F.col("text"), words_each, similarity, bits).alias("s")).select("doc_id", "h", "s.*"), "shingled")
     with scratch.cleared(docs.sparkSession):
-        one = made.groupBy("id").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.first("bands").alias("bands"), F.count("*").alias("held"))
-        sets = scratch.save(one.select("id", "bands", "held", F.col("one.doc_id").alias("least"), "one.h"), "sets")
-        members = scratch.save(buckets_of(sets.select("id", F.explode("bands").alias("k"))), "buckets")
+        same = [F.first(n).alias(n) for n in ("a", "b", "parts")]
+        one = made.groupBy("id").agg(F.min(F.struct("doc_id", "h")).alias("one"), *same, F.count("*").alias("held"))
+        sets = scratch.save(one.select("id", "a", "b", "parts", "held", F.col("one.doc_id").alias("least"), "one.h"), "sets")
+        members = scratch.save(buckets_of(scratch.save(close_sets(sets, bits, similarity), "close")), "buckets")
         maybe = marks_of(members).join(sets.select(F.col("id").alias("node"), "least", "h"), "node")
         there = F.col("doc_id").eqNullSafe(F.col("least")) & (hashed.h == maybe.h)
         marked = hashed.join(maybe, there).select("node", "asks", "copies", shingle_set(F.col("text"), words_each).alias("shingles"))

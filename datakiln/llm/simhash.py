@@ -35,6 +35,8 @@ BITS, SEED = 64, 42
 BUCKET = 8192
 #: Shingles whose bits are counted at once.
 SHINGLES_AT_ONCE = 1 << 16
+#: Shingles whose bits are counted in one byte, and what tells the words of a wide fingerprint apart.
+SHINGLES_A_BYTE, TURNS = 255, np.random.default_rng(SEED).integers(0, 2**64, 1024, dtype=np.uint64)
 
 
 def shingle_hashes(text: bytes | None, words_each: int) -> np.ndarray:
@@ -75,10 +77,26 @@ def fingerprint_column(text: Column, words_each: int = 4) -> Column:
     return prints(text.cast("binary"))
 
 
-def covering_masks(radius: int) -> list[int]:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers of which every bit depends on every bit of ``x``."""
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(times)
+    return x ^ (x >> np.uint64(33))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The bits of a fingerprint of ``words`` times 64, each set if set in more than half of the hashes, turned anew for each word."""
+    counts = np.zeros(words * BITS, np.int64)
+    for at in range(0, len(hashes), SHINGLES_A_BYTE):
+        turned = mixed(hashes[at : at + SHINGLES_A_BYTE, None] ^ TURNS[:words])
+        counts += np.unpackbits(turned.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return 2 * counts > len(hashes)
+
+
+def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """2 ** (radius + 1) - 1 masks (as signed longs); any two fingerprints within the radius agree on one."""
     size = 2 ** (radius + 1)
-    vectors = [i % size for i in range(BITS)]
+    vectors = [i % size for i in range(bits)]
     masks = [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, size)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
