@@ -10,18 +10,24 @@ mask with probability `MISSED` or less (`parts_for`, an exact sum), and more ali
 less.  Sets of few shingles, whose bits differ more often, have more parts.  The masks get
 wider with the number of rows, so that sets which only happen to agree stay few.
 
-What agrees on a mask is a bucket.  In it, sets hang together if the two words differ in no
-more bits than pairs at the similarity do (five standard deviations above their mean, or
-links through others); the rest is alone and is dropped.  A bucket of very many sets is cut
-into blocks, each pair of blocks on its own.  Buckets of the same sets count once.
-
-Candidates are confirmed by the similarity itself.  First each set is compared with one of
-its bucket, the hub, which stays in memory while the others stream past it; a bucket whose sets
-then hang together needs no more, and most do.  What is still apart after `STARS` such
-rounds, each with another hub, is searched whole: a search takes each set from the
-unvisited ones once, so groups of near copies never become pairs, in blocks of `ROOM`
-shingles, each pair of blocks on its own.  So every link between sets of a bucket is
-kept, whatever the size of a group, and each task holds bounded bytes.
+What agrees on a mask is a bucket.  In it, sets hang together if the two words and a third
+one, of bits of the first parts, differ in no more bits than pairs at the similarity do
+(five standard deviations above their mean, or links through others); the rest is alone and
+is dropped.  A bucket of very many sets is cut into blocks, each pair of blocks on its own.
+
+Near copies agree on most masks, so the same sets hang together in many buckets.  Buckets with
+the same hub, their least set, are one group; groups that share sets are one gathering, in
+which each set is held once, however many buckets it is in.
+
+Candidates are confirmed by the similarity itself.  A gathering is searched whole: a search
+takes each set from the unvisited ones once, so groups of near copies never become pairs,
+in blocks of `ROOM` / `BLOCKS` shingles, each pair of blocks on its own.  That sends a set
+`BLOCKS` times at most.  In a gathering above `ROOM` shingles each set is compared with the hubs
+of its groups first, which stay in memory while the others stream past them; a group whose
+sets then hang together needs no more.  What is still apart after `STARS` such rounds, each
+with another hub, is searched group by group, in blocks of `ROOM` shingles.  So every link
+between sets of a bucket is kept, whatever the size of a group, and each task holds bounded
+bytes.
 
 Null, empty and white-space texts have the same, empty set and are copies of each other.
 Texts are taken whole.  Sets are named by a hash of 64 bits.  Rows may repeat or have a null
@@ -29,6 +35,7 @@ doc_id; the key may be a struct, and its least value names the group.  Only the
 columns are read.  An empty table gives an empty result.
 """
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import product
@@ -38,6 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from datakiln.jobs import scratch
 from datakiln.llm import meeting
@@ -55,8 +63,10 @@ WHOLE, DEVIATIONS, FEW, MORE = 2, 5, 8, 1.25
 LEAST_BITS, FEWER_BITS = 12, 5
 #: Sets that one block of a bucket holds about, the share of sets that says which buckets are cut, and sets up to which all pairs of a bucket are compared at once.
 BUCKET, SHARE, ALL_PAIRS = 8192, 16, 256
-#: Sets that meet one copy of a hub, rounds before a bucket is searched whole, and shingles that a block of that search holds about.
+#: Sets that meet one copy of a hub, rounds before a group is searched whole, and shingles that a block of that search holds about.
 SPOKES, STARS, ROOM = 4096, 1, 1 << 21
+#: Blocks of a gathering that is searched at once; it has no more than `ROOM` shingles.
+BLOCKS = 8
 #: Shingles that are compared with a hub at once.
 SHINGLES_COMPARED = 1 << 19
 
@@ -99,38 +109,38 @@ def print_of(shingles: np.ndarray, bits: int, parts: int) -> tuple[list[int], li
 
 
 def shingled(text: Column, words_each: int, similarity: float, bits: int) -> Column:
-    """The name of a text's set of shingles and its fingerprint."""
+    """The name of a text's set of shingles, its size and its fingerprint."""
     differ = differing(similarity)
     usual, few = parts_for(bits, differ), parts_for(bits, MORE * differ)
 
-    @F.arrow_udf("struct<id:long,a:long,b:long,parts:array<long>>")
+    @F.arrow_udf("struct<id:long,size:long,a:long,b:long,parts:array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            ids, whole, parts = np.empty(len(batch), np.uint64), np.empty((len(batch), WHOLE), np.int64), []
+            ids, sizes, whole, parts = np.empty(len(batch), np.uint64), np.empty(len(batch), np.int64), np.empty((len(batch), WHOLE), np.int64), []
             for i, t in enumerate(batch):  # one set at a time
                 held = np.unique(shingle_hashes(t.as_py(), words_each))
-                ids[i] = xxhash.xxh64_intdigest(held.tobytes(), SEED)
+                ids[i], sizes[i] = xxhash.xxh64_intdigest(held.tobytes(), SEED), len(held)
                 whole[i], cut = print_of(held, bits, few if len(held) <= FEW else usual)
                 parts.append(cut)
-            columns = [pa.array(ids.view(np.int64)), *(pa.array(w) for w in whole.T.copy()), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(columns, ["id", "a", "b", "parts"])
+            columns = [pa.array(ids.view(np.int64)), pa.array(sizes), *(pa.array(w) for w in whole.T.copy()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, ["id", "size", "a", "b", "parts"])
 
     return made(text.cast("binary"))
 
 
-def apart(a: np.ndarray, b: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Bits in which the two words differ between rows ``one`` and rows ``other``."""
-    return np.bitwise_count(a[one] ^ a[other]) + np.bitwise_count(b[one] ^ b[other])
+def apart(words: list[np.ndarray], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bits in which the words differ between rows ``one`` and rows ``other``."""
+    return sum(np.bitwise_count(w[one] ^ w[other]) for w in words)
 
 
-def pair_labels(keys: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+def pair_labels(keys: np.ndarray, words: list[np.ndarray], radius: int) -> np.ndarray:
     """For each row the first row that it hangs together with; all pairs of each bucket are compared, a distance in the order at a time."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at, step = np.arange(len(keys)), 1
     while len(at):
         at = at[: np.searchsorted(at, len(keys) - step)]
         at = at[keys[at] == keys[at + step]]
-        near = at[apart(a, b, at, at + step) <= radius]
+        near = at[apart(words, at, at + step) <= radius]
         left.append(near)
         right.append(near + step)
         step += 1
@@ -147,15 +157,15 @@ def pair_labels(keys: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) ->
         labels = new
 
 
-def search_labels(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+def search_labels(words: list[np.ndarray], radius: int) -> np.ndarray:
     """As `pair_labels` for one large bucket: each row is taken from the open ones once."""
-    labels = open_ = np.arange(len(a))
+    labels = open_ = np.arange(len(words[0]))
     labels = labels.copy()
     while len(open_):
         root, open_ = open_[0], open_[1:]
         waiting = [root]
         while waiting and len(open_):
-            near = apart(a, b, open_, waiting.pop()) <= radius
+            near = apart(words, open_, waiting.pop()) <= radius
             found, open_ = open_[near], open_[~near]
             labels[found] = root
             waiting += found.tolist()
@@ -163,27 +173,29 @@ def search_labels(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 
 def close_ones(radius: int):
-    """For mapInArrow over rows (k, a, b, id) sorted by k: (k, id) of what hangs together in each bucket, with a k of its own."""
+    """For mapInArrow over rows (k, a, b, c, id) sorted by k: (k, hub, id) of what hangs together in each bucket, with a k of its own and its least set."""
 
     def found(pieces: list[list[np.ndarray]]) -> pa.RecordBatch:
-        keys, a, b, ids = (np.concatenate(column) for column in zip(*pieces, strict=True))
-        a, b = a.view(np.uint64), b.view(np.uint64)  # bits of signed numbers are counted in their magnitude
+        keys, *words, ids = (np.concatenate(column) for column in zip(*pieces, strict=True))
+        words = [w.view(np.uint64) for w in words]  # bits of signed numbers are counted in their magnitude
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         labels, small = np.arange(len(keys)), np.flatnonzero(np.repeat(sizes <= ALL_PAIRS, sizes))
-        labels[small] = small[pair_labels(keys[small], a[small], b[small], radius)]
+        labels[small] = small[pair_labels(keys[small], [w[small] for w in words], radius)]
         for start, size in zip(starts[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS], strict=True):
-            labels[start : start + size] = start + search_labels(a[start : start + size], b[start : start + size], radius)
+            labels[start : start + size] = start + search_labels([w[start : start + size] for w in words], radius)
         held = np.bincount(labels, minlength=len(keys))[labels] > 1
         named = mixed(mixed(keys.astype(np.int64).view(np.uint64)) ^ ids[labels].view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(named[held]), pa.array(ids[held])], ["k", "id"])
+        hubs = ids.copy()
+        np.minimum.at(hubs, labels, ids)
+        return pa.RecordBatch.from_arrays([pa.array(named[held]), pa.array(hubs[labels[held]]), pa.array(ids[held])], ["k", "hub", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(n).to_numpy() for n in ("k", "a", "b", "id")]
+            columns = [batch.column(n).to_numpy() for n in ("k", "a", "b", "c", "id")]
             keys = columns[0]
             first = np.searchsorted(keys, keys[-1])  # of the last bucket, which may go on
             if held and (first or held[-1][0][-1] != keys[0]):
@@ -199,20 +211,22 @@ def close_ones(radius: int):
 
 
 def close_sets(sets: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """(id, a, b, parts) to (k, id): sets that agree on a mask and hang together by the two words."""
+    """(id, a, b, parts) to (k, hub, id): sets that agree on a mask and hang together by the three words; the hub is the least of them."""
+    first = [F.shiftleft(F.coalesce(F.get("parts", F.lit(i)), F.lit(0)), i * bits) for i in range(-(-64 // bits))]
+    third = functools.reduce(Column.bitwiseXOR, first).alias("c")
     keys = F.array(*[F.hash("place", F.lit(m), F.col("part").bitwiseAND(F.lit(m))) for m in covering_masks(RADIUS, bits)])
-    rows = sets.select("a", "b", "id", F.posexplode("parts").alias("place", "part")).select("a", "b", "id", F.explode(keys).alias("k"))
+    rows = sets.select("a", "b", third, "id", F.posexplode("parts").alias("place", "part")).select("a", "b", "c", "id", F.explode(keys).alias("k"))
     some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0).groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") * SHARE > BUCKET)
     blocks = F.ceil(F.col("n") * SHARE / BUCKET).cast("int")
     large = some.select("k", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     mine = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
     key = F.when(F.col("other").isNull(), F.col("k")).otherwise(F.hash("k", F.least(mine, "other"), F.greatest(mine, "other")))
     # few buckets are large: their sizes sum up to no more than the masks of all sets
-    spread = rows.join(F.broadcast(large), "k", "left").select(key.alias("k"), "a", "b", "id").repartition("k").sortWithinPartitions("k")
+    spread = rows.join(F.broadcast(large), "k", "left").select(key.alias("k"), "a", "b", "c", "id").repartition("k").sortWithinPartitions("k")
     differ = differing(similarity)
-    whole = 64 * WHOLE
+    whole = 64 * (WHOLE + 1)
     radius = math.ceil(whole * differ + DEVIATIONS * math.sqrt(whole * differ * (1 - differ)))
-    return spread.mapInArrow(close_ones(radius), "k long, id long")
+    return spread.mapInArrow(close_ones(radius), "k long, hub long, id long")
 
 
 def shingle_set(text: Column, words_each: int) -> Column:
@@ -280,15 +294,19 @@ def group_links(similarity: float):
     return run
 
 
-def buckets_of(close: DataFrame) -> DataFrame:
-    """(k, id) to (k, hub, id): the sets of each bucket, one bucket for all with the same sets."""
-    held = close.groupBy("k").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("n > 1")
-    once = held.groupBy("hub", "n", "sum").agg(F.min("k").alias("k"))
-    return close.join(once.select("k", "hub"), "k").select("k", "hub", "id")
+def gatherings(pairs: DataFrame) -> DataFrame:
+    """Distinct (hub, id) to (id, g): sets of groups that share sets, directly or through others, have the same g.
+
+    Only hubs are linked, each to the least hub of a set of its group.
+    """
+    least = F.min("hub").over(Window.partitionBy("id"))  # a set has one hub for each mask at most
+    roots = components(pairs.select("hub", least.alias("least")).filter("hub <> least").distinct().toDF("a", "b"))
+    held = pairs.groupBy("id").agg(F.min("hub").alias("node"))
+    return held.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("g"))
 
 
 def marks_of(members: DataFrame) -> DataFrame:
-    """(k, hub, id) to (node, asks: the hubs that a set is to be compared with, copies: how often it is sent as a hub).
+    """(hub, id) to (node, asks: the hubs that a set is to be compared with, copies: how often it is sent as a hub).
 
     A hub of many sets is sent once for each `SPOKES` of them, so none gathers in one task.
     """
@@ -337,7 +355,7 @@ def star_links(marked: DataFrame, similarity: float) -> DataFrame:
 
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The buckets (k, hub, id) whose sets do not hang together yet, each with another hub than before.
+    """The groups (k, hub, id) whose sets do not hang together yet, each with another hub than before.
 
     Of two sets one is the hub, so they have been compared and need no more.
     """
@@ -346,19 +364,19 @@ def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(apart.select("k", "next"), "k").select("k", F.col("next").alias("hub"), "id")
 
 
-def blocked(members: DataFrame, near: DataFrame) -> DataFrame:
-    """(k, hub, id) to (k, node, size, mine): the sets of each bucket in blocks of at most `ROOM` shingles and one set."""
+def blocked(members: DataFrame, near: DataFrame, share: int = 1) -> DataFrame:
+    """(k, id) to (k, node, size, mine): the sets of each group in blocks of at most `ROOM` / ``share`` shingles and one set."""
     sized = members.join(near.select(F.col("node").alias("id"), F.size("shingles").cast("long").alias("size")), "id")
     placed = prefix_sums(sized.select("k", "id", "size"), ["k"], ["id"], {"upto": F.col("size")})
-    return placed.select("k", F.col("id").alias("node"), "size", F.floor((F.col("upto") - F.col("size")) / ROOM).alias("mine"))
+    return placed.select("k", F.col("id").alias("node"), "size", F.floor((F.col("upto") - F.col("size")) / max(1, ROOM // share)).alias("mine"))
 
 
-def searched(members: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect in each bucket exactly what pairs of at least this similarity connect.
+def searched(members: DataFrame, near: DataFrame, similarity: float, share: int = 1) -> DataFrame:
+    """Edges (a, b) that connect in each group exactly what pairs of at least this similarity connect.
 
-    Each pair of blocks of a bucket is searched on its own.
+    Each pair of blocks of a group is searched on its own.
     """
-    cut = scratch.save(blocked(members, near), "blocks")
+    cut = scratch.save(blocked(members, near, share), "blocks")
     blocks = cut.groupBy("k").agg((F.max("mine") + 1).alias("blocks"))
     met = cut.join(blocks, "k").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = met.select("node", F.xxhash64("k", F.least("mine", "other"), F.greatest("mine", "other")).alias("k")).join(near, "node")
@@ -372,21 +390,28 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     bits = bits_for(docs.count())
     made = scratch.save(hashed.select("doc_id", "h", shingled(F.col("text"), words_each, similarity, bits).alias("s")).select("doc_id", "h", "s.*"), "shingled")
     with scratch.cleared(docs.sparkSession):
-        same = [F.first(n).alias(n) for n in ("a", "b", "parts")]
+        same = [F.first(n).alias(n) for n in ("size", "a", "b", "parts")]
         one = made.groupBy("id").agg(F.min(F.struct("doc_id", "h")).alias("one"), *same, F.count("*").alias("held"))
-        sets = scratch.save(one.select("id", "a", "b", "parts", "held", F.col("one.doc_id").alias("least"), "one.h"), "sets")
-        members = scratch.save(buckets_of(scratch.save(close_sets(sets, bits, similarity), "close")), "buckets")
-        maybe = marks_of(members).join(sets.select(F.col("id").alias("node"), "least", "h"), "node")
+        sets = scratch.save(one.select("id", "size", "a", "b", "parts", "held", F.col("one.doc_id").alias("least"), "one.h"), "sets")
+        pairs = scratch.save(close_sets(sets, bits, similarity).select("hub", "id").distinct(), "pairs")
+        gathered = gatherings(pairs).join(sets.select("id", "size", "least", "h"), "id")
+        gathered = scratch.save(gathered, "gathered")
+        large = gathered.groupBy("g").agg(F.sum("size").alias("all")).filter(F.col("all") > ROOM).select("g")
+        ids = scratch.save(gathered.join(large, "g", "left_semi").select("id"), "large")
+        members = scratch.save(pairs.join(ids, "id", "left_semi").select(F.col("hub").alias("k"), "hub", "id"), "groups")
+        maybe = gathered.select(F.col("id").alias("node"), "least", "h").join(marks_of(members), "node", "left")
         there = F.col("doc_id").eqNullSafe(F.col("least")) & (hashed.h == maybe.h)
         marked = hashed.join(maybe, there).select("node", "asks", "copies", shingle_set(F.col("text"), words_each).alias("shingles"))
         marked = scratch.save(marked, "near")
         near = marked.select("node", "shingles")
-        links = scratch.save(star_links(marked, similarity).distinct(), "links")
+        links = scratch.save(searched(gathered.join(large, "g", "left_anti").select(F.col("g").alias("k"), "id"), near, similarity, BLOCKS).distinct(), "links")
+        if not members.isEmpty():
+            links = scratch.save(links.union(star_links(marked, similarity)).distinct(), "links")
         roots = components(links)
         for nth in range(STARS):
-            members = scratch.save(unsettled(members, roots), "unsettled")
             if members.isEmpty():
                 break
+            members = scratch.save(unsettled(members, roots), "unsettled")
             more = star_links(near.join(marks_of(members), "node"), similarity) if nth < STARS - 1 else searched(members, near, similarity)
             links = scratch.save(links.union(more).distinct(), "links")
             roots = components(links)

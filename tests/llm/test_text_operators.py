@@ -273,6 +273,37 @@ def test_blocks_of_long_texts_stay_bounded(spark, monkeypatch):
     assert roots == dict.fromkeys(range(3, 300), 3)  # of sets 1 to n and 1 to n + 1 those from 4 on are similar enough
 
 
+def test_a_set_is_searched_once_however_many_buckets_hold_it(spark, monkeypatch):
+    """Near copies below the similarity meet in most buckets: the rows that are searched are as many as the sets, not as what the buckets hold."""
+    plain, sent = near_copies.blocked, []
+
+    def counted(*args):
+        cut = plain(*args)
+        sent.append((cut.count(), cut.select("node").distinct().count()))
+        return cut
+
+    monkeypatch.setattr(near_copies, "blocked", counted)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    first = [word() for _ in range(200)]
+    rows = [(i, " ".join(word() if rng.random() < 0.035 else w for w in first)) for i in range(160)]
+    for n in (80, 160):
+        got = near_copies.near_copies(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == plain_groups(rows[:n])
+    assert len(sent) == 2 and sent[0][1] > 60 and sent[1][1] > 120
+    assert all(held == sets for held, sets in sent)
+
+
+def test_gatherings_are_groups_that_share_sets(spark):
+    rng = random.Random(4)
+    pairs = {(hub, hub) for hub in range(60)} | {(hub, rng.randint(hub, 400)) for hub in range(60) for _ in range(5)}
+    got = {r.id: r.g for r in near_copies.gatherings(spark.createDataFrame(sorted(pairs), "hub long, id long")).collect()}
+    want = {i: i for pair in pairs for i in pair}
+    for hub, i in sorted(pairs) * 60:
+        want[hub] = want[i] = min(want[hub], want[i])
+    assert len(set(want.values())) < 30 and got == want
+
+
 def test_rows_of_a_file_are_named_by_their_place(spark, tmp_path):
     rows = spark.range(100).select(F.lit(1).alias("_row"), F.col("id").alias("doc_id"))
     rows.repartition(5).write.parquet(str(tmp_path / "rows"))
