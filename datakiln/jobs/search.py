@@ -309,16 +309,19 @@ TRIED_FIRST = (0.9, 0.7, 0.5)
 _EDGE = 1e-9
 #: Trigrams that make one key of a name at most, and keys of a name where several make one.
 MOST_TOGETHER, MOST_KEYS = 5, 32
+#: Trigrams are counted by hash in so many buckets at most, whatever the scripts of the names: any order that both sides share finds all pairs.
+MOST_COUNTS = 1 << 18
 
 
 def gram_sets(names: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(name, grams, n) and (asked, grams, n): distinct texts with their trigrams, those that fewest names have first."""
+    """(name, grams, n) and (asked, grams, n): distinct texts with their trigrams, those that fewest names have first (by `MOST_COUNTS` buckets)."""
     tasks = names.sparkSession.sparkContext.defaultParallelism  # names are few bytes and much work
     sides = [df.select(c).repartition(tasks, c).distinct().withColumn("t", trigrams(F.col(c))) for df, c in ((names, "name"), (asked, "asked"))]
-    held = sides[0].select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("names"))
+    bucket = F.pmod(F.xxhash64("g"), F.lit(MOST_COUNTS))
+    held = sides[0].select(F.explode("t").alias("g")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("names"))
 
     def by_rarity(side: DataFrame, c: str) -> DataFrame:
-        each = side.select(c, F.explode("t").alias("g")).join(held, "g", "left")
+        each = side.select(c, F.explode("t").alias("g")).join(F.broadcast(held), bucket == F.col("bucket"), "left")
         ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "g")))  # as many as the text has
         return each.groupBy(c).agg(F.transform(ordered, lambda x: x["g"]).alias("grams")).withColumn("n", F.size("grams"))
 
@@ -355,11 +358,13 @@ def candidate_pairs(names: DataFrame, asked: DataFrame, threshold: float) -> Dat
 
     They share a key (`gram_keys`) of several of their rarest trigrams, if the threshold is high,
     since single ones may be in very many names; sizes may differ by the threshold at most.
+    Spark takes the size of the exploded keys for that of the names' file, a hundred times too
+    small, so neither side is left to be broadcast.
     """
     keys = F.explode(gram_keys(F.col("grams"), F.col("n"), threshold)[0])
     keyed = [side.withColumn("key", keys).withColumnsRenamed({"grams": t, "n": n}) for side, t, n in ((names, "t", "n"), (asked, "u", "m"))]
     sizes = (F.col("n") >= F.col("m") * threshold - _EDGE) & (F.col("m") >= F.col("n") * threshold - _EDGE)
-    met = keyed[0].join(keyed[1], "key").filter(sizes).select("asked", "name", "n", "m", "key", F.array_intersect("t", "u").alias("both"))
+    met = keyed[0].join(keyed[1].hint("merge"), "key").filter(sizes).select("asked", "name", "n", "m", "key", F.array_intersect("t", "u").alias("both"))
     size = gram_keys(F.col("both"), F.col("n"), threshold)[1](F.greatest("n", "m"))
     return met.filter(F.xxhash64(F.slice("both", F.lit(1), size)) == F.col("key")).drop("key")
 

@@ -211,3 +211,24 @@ def test_the_name_itself_comes_before_others_of_the_same_trigrams(spark):
     found = search.similar_names(names, asked, most=1, same_first=True)
     assert sorted((r.asked, r.name, r.similarity) for r in found.collect()) == [("BOTH", "both", 1.0), ("South-Mill", "SOUTH  mill", 1.0), ("s#000001000", "S#000001000", 1.0)]
     assert sorted(r.gvid for r in search.places_named(found, names).collect()) == ["S#000001000/y", "SOUTH  mill/z", "both/y"]
+
+
+def test_keys_of_names_in_a_small_file_are_not_broadcast(spark, tmp_path):
+    """Spark takes the size of the keys for that of the file, and of the trigrams' counts, too: those are bounded."""
+    spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(0, 200_000, 500)], "name string").write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names")
+    pairs = search.candidate_pairs(*search.gram_sets(names, names.withColumnRenamed("name", "asked")), 0.9)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+    assert plan.count("BroadcastHashJoin [") == plan.count("BroadcastHashJoin [pmod(") == 2
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.9])
+def test_trigrams_that_are_counted_together_lose_no_pair(spark, monkeypatch, threshold):
+    monkeypatch.setattr(search, "MOST_COUNTS", 3)
+    held = [*names_of(spark), *(chr(0x4E00 + 7 * i) * 2 + chr(0x4E00 + i % 9) for i in range(60))]
+    names = spark.createDataFrame([(n,) for n in held], "name string")
+    pairs = search.similar_pairs(*search.gram_sets(names, names.withColumnRenamed("name", "asked")), threshold).collect()
+    grams = {n: plain_grams(n) for n in set(held)}
+    want = {(a, n) for a in grams for n in grams if grams[n] and len(grams[a] & grams[n]) / len(grams[a] | grams[n]) >= threshold}
+    assert {(r.asked, r.name) for r in pairs} == want and len(pairs) == len(want)
